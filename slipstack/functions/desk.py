@@ -1,0 +1,72 @@
+"""The sheets of one batch while its edits are replayed.
+
+Edits do not commute, so a batch is replayed in order; the state is only its sheets.
+Sheets are named by their position (1 = first), slots from 0.
+"""
+
+from __future__ import annotations
+
+from slipstack import fixed
+
+Sheet = dict  # {"layout": str, "slots": list[int | None]}
+
+
+def size_of(layout: str) -> int:
+    return len(fixed.LAYOUTS.get(layout, fixed.LAYOUTS[fixed.DEFAULT_LAYOUT])[2])
+
+
+def blank(layout: str = fixed.DEFAULT_LAYOUT) -> Sheet:
+    return {"layout": layout, "slots": [None] * size_of(layout)}
+
+
+def _where(sheets: list[Sheet], receipt: int) -> tuple[Sheet, int] | None:
+    return next(((s, s["slots"].index(receipt)) for s in sheets if receipt in s["slots"]), None)
+
+
+def _swept(sheets: list[Sheet]) -> list[Sheet]:
+    return [s for s in sheets if any(r is not None for r in s["slots"])] or [blank()]
+
+
+def _repacked(sheets: list[Sheet], new_layout: str = fixed.DEFAULT_LAYOUT) -> list[Sheet]:
+    queue = [r for s in sheets for r in s["slots"] if r is not None]
+    layouts, packed = [s["layout"] for s in sheets], []
+    while layouts or queue:
+        sheet = blank(layouts.pop(0) if layouts else new_layout)
+        room = len(sheet["slots"])
+        sheet["slots"] = (queue[:room] + [None] * room)[:room]
+        queue = queue[room:]
+        packed.append(sheet)
+    return _swept(packed)
+
+
+def apply_edit(
+    sheets: list[Sheet], op: str, receipt: int | None, sheet: int | None, slot: int | None, layout: str | None
+) -> list[Sheet]:
+    """R-15: the sheets after one edit; an edit that does not fit changes nothing."""
+    target = sheets[sheet - 1] if sheet and 0 < sheet <= len(sheets) else None
+    if op == "clear":
+        return [blank()]
+    if op == "add":
+        home = next((s for s in sheets if None in s["slots"]), None)
+        if home is None:
+            home = blank(sheets[-1]["layout"]) if sheets else blank()
+            sheets = [*sheets, home]
+        home["slots"][home["slots"].index(None)] = receipt
+        return sheets
+    if op == "layout" and target and layout in fixed.LAYOUTS:
+        target["layout"] = layout
+        return _repacked(sheets)
+    if op == "apply-all" and target:
+        chosen = target["layout"]
+        return _repacked([{**s, "layout": chosen} for s in sheets], chosen)
+    found = _where(sheets, receipt) if op in ("remove", "move") else None
+    if found is None:
+        return sheets
+    here, at = found
+    if op == "remove":
+        here["slots"][at] = None
+        return _swept(sheets)
+    if target and slot is not None and 0 <= slot < len(target["slots"]) and (here is not target or at != slot):
+        here["slots"][at], target["slots"][slot] = target["slots"][slot], receipt
+        return _swept(sheets)
+    return sheets

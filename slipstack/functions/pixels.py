@@ -144,3 +144,10 @@ def is_blank(stats):
 def is_dark(stats):
     """F-10 on U-01."""
     return F.coalesce((stats["sampled"] > 0) & (stats["black"] >= fixed.BLANK_RATIO), F.lit(False))
+
+
+@F.pandas_udf(T.LongType())
+def matching_pixels(data: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
+    """C-22: how many pixels match the top border colour."""
+    grids = (_grid(d, w, h) for d, w, h in zip(data, width, height))
+    return pd.Series([None if g is None else int(matches(g, middle_colour(g[0])).sum()) for g in grids])

@@ -7,12 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slipstack import fixed
 from slipstack.functions.amounts import collapse_spaces, parse_amount, well_formed, with_fast_total
-from slipstack.operators.ordered import HOUR, by_time, running, sessions
+from slipstack.functions.desk import apply_edit
+from slipstack.operators.ordered import HOUR, by_number, by_time, running, sessions
 
 
 def quiet_sessions(turns: DataFrame, key: str, gap_ms: int = fixed.QUIET_MS, bucket_s: int = HOUR) -> DataFrame:
@@ -268,3 +269,56 @@ def cooldown(
     ready = slim.join(chained, unit, "left").withColumn("cold", F.coalesce("cold", F.lit(0)))
     walked = _sorted_by(ready, unit, ["_us"]).mapInPandas(walk, f"{head}, _us bigint, tried boolean")
     return cut.join(walked, [*unit, "_us"]).drop("_burst", "_slice", "_us")
+
+
+# --- edit log ----------------------------------------------------------------
+
+PLACED = "sheet_no bigint, layout string, slot bigint, receipt_id bigint"
+
+
+def placed_rows(owner, key: str, sheets: list[dict]) -> pd.DataFrame:
+    rows = [
+        (owner, n, s["layout"], slot, receipt)
+        for n, s in enumerate(sheets, 1)
+        for slot, receipt in enumerate(s["slots"])
+        if receipt is not None
+    ]
+    return pd.DataFrame(rows, columns=[key, "sheet_no", "layout", "slot", "receipt_id"])
+
+
+def _maybe(value):
+    return None if value is None or value != value else int(value)
+
+
+def edit_args(row) -> tuple:
+    return (row.op, _maybe(row.receipt_id), _maybe(row.sheet), _maybe(row.slot), row.layout)
+
+
+def replay(log: DataFrame, key: str) -> DataFrame:
+    """R-15: final placements of every batch after its edit log.
+
+    ``log`` is ``key, seq, op, receipt_id, sheet, slot, layout``.  Everything before
+    the last "clear" of a batch is dropped first (a running count, safe for huge
+    batches).  The rest streams through tasks in order; only the sheets are held.
+    """
+    clears = (F.col("op") == "clear").cast("bigint")
+    total = log.groupBy(key).agg(F.sum(clears).alias("_clears"))
+    slim = log.select(key, "seq", "op", "receipt_id", "sheet", "slot", "layout")
+    live = running(slim, [key], ["seq"], by_number("seq"), sums={"_age": clears}, per_key=total).filter(
+        F.col("_age") == F.col("_clears")
+    ).drop("_age", "_clears")
+
+    def play(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        owner, sheets = None, []
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                if getattr(row, key) != owner:
+                    if owner is not None:
+                        yield placed_rows(owner, key, sheets)
+                    owner, sheets = getattr(row, key), []
+                sheets = apply_edit(sheets, *edit_args(row))
+        if owner is not None:
+            yield placed_rows(owner, key, sheets)
+
+    key_type = log.schema[key].dataType.simpleString()
+    return _sorted_by(live, [key], ["seq"]).mapInPandas(play, f"{key} {key_type}, {PLACED}")
