@@ -147,15 +147,29 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """An input as a DataFrame."""
+def _derive(spark: SparkSession, name: str, read) -> DataFrame:
     text = INPUTS[name] + (INPUTS["sheets"] if "{sheets}" in INPUTS[name] else "")
     for t in TABLES:
         if "{" + t + "}" in text:
-            table(spark, folder, t).createOrReplaceTempView(f"slipstack_in_{t}")
+            read(t).createOrReplaceTempView(f"slipstack_in_{t}")
     return spark.sql(_sql(name, {t: f"slipstack_in_{t}" for t in TABLES}))
 
 
+def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """An input as a DataFrame."""
+    return _derive(spark, name, lambda t: table(spark, folder, t))
+
+
+def load_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """An input as a stream over the same files (inputs without grouping)."""
+
+    def read(t: str) -> DataFrame:
+        schema = table(spark, folder, t).schema
+        return spark.readStream.schema(schema).option("pathGlobFilter", f"{t}.parquet").parquet(folder)
+
+    return _derive(spark, name, read)
+
+
 def cte(*names: str) -> str:
     """The inputs as SQL common table expressions over the plain tables."""
     plain = {t: t for t in TABLES}
