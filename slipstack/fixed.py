@@ -60,9 +60,9 @@ DEFAULT_CURRENCY = "BOB"
 AMOUNT_PATTERN = r"(?:\d{1,3}(?:,\d{3})+\.\d{2}|\d+\.\d{2})"
 AMOUNT_PREFIX = r"(?:Bs\.?|BOB|\$)?\s*"
 # Unicode white space as browsers define it (wider than Java's \s).
-WIDE_SPACE = (
-    "[\\s\\u000B\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF]"
-)
+WIDE_SPACES = "\\s\\u000B\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF"
+WIDE_SPACE = f"[{WIDE_SPACES}]"
+NOT_SPACE = f"[^{WIDE_SPACES}]"
 
 # --- settings ----------------------------------------------------------------
 CODE_CORNERS = ("sup-izq", "sup-der", "inf-izq", "inf-der")

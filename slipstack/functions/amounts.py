@@ -40,13 +40,21 @@ def candidate_cents(value: Column) -> Column:
     return F.when(F.length(digits) <= 14, digits.try_cast("bigint"))
 
 
+def has_text(col: Column) -> Column:
+    """Same as a non-empty C-02 text, but stops at the first visible character."""
+    return F.coalesce(F.regexp_like(col, F.lit(fixed.NOT_SPACE)), F.lit(False))
+
+
 def with_fast_total(df: DataFrame, text: str = "text", out: str = "total_cents") -> DataFrame:
     """C-05 with A-06: the single distinct amount of a text, else null.
 
     The steps are separate projections so that the regular expressions are
-    evaluated once per row; nothing here moves data.
+    evaluated once per row; nothing here moves data.  Every amount contains a digit,
+    a point and two digits, and C-02 cannot make that appear, so texts without it
+    skip the costly patterns.
     """
-    staged = df.withColumn("_clean", collapse_spaces(F.col(text)))
+    possible = F.regexp_like(F.col(text), F.lit(r"\d\.\d\d"))
+    staged = df.withColumn("_clean", F.when(possible, collapse_spaces(F.col(text))))
     staged = staged.withColumn(
         "_cents",
         F.array_distinct(

@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slipstack import fixed
-from slipstack.functions.amounts import collapse_spaces, parse_amount, well_formed, with_fast_total
+from slipstack.functions.amounts import collapse_spaces, has_text, parse_amount, well_formed, with_fast_total
 from slipstack.functions.desk import apply_edit
 from slipstack.operators.ordered import HOUR, by_number, by_time, running, sessions
+from slipstack.session import cut_lineage
 
 
 def quiet_sessions(turns: DataFrame, key: str, gap_ms: int = fixed.QUIET_MS, bucket_s: int = HOUR) -> DataFrame:
@@ -93,7 +94,7 @@ def manual_edits(edits: DataFrame, key: str) -> DataFrame:
         "cents",
         F.col("cents").isNotNull().alias("manual"),
         F.when(
-            F.col("_last._cents").isNull() & (collapse_spaces(F.col("_last.typed")) != ""),
+            F.col("_last._cents").isNull() & has_text(F.col("_last.typed")),
             F.col("_last.typed"),
         ).alias("draft"),
     )
@@ -183,20 +184,32 @@ def _exits(ts: list[int], failed: list[bool], wait: int) -> list[int]:
     return out
 
 
-def _groups(frames: Iterator[pd.DataFrame], names: list[str]) -> Iterator[pd.DataFrame]:
-    """Whole groups out of sorted Arrow batches (a group may span batches)."""
+def _whole_groups(
+    frames: Iterator[pd.DataFrame], names: list[str]
+) -> Iterator[tuple[pd.DataFrame, list[tuple[int, int]]]]:
+    """Sorted Arrow batches recut so that no group spans two, with the group bounds."""
+
+    def bounds(frame: pd.DataFrame) -> list[tuple[int, int]]:
+        changed = np.zeros(len(frame), dtype=bool)
+        changed[0] = True
+        for n in names:
+            values = frame[n].to_numpy()
+            changed[1:] |= values[1:] != values[:-1]
+        starts = np.flatnonzero(changed).tolist()
+        return list(zip(starts, [*starts[1:], len(frame)]))
+
     held: pd.DataFrame | None = None
     for frame in frames:
-        frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
-        if frame.empty:
+        whole = frame if held is None else pd.concat([held, frame], ignore_index=True)
+        if whole.empty:
             continue
-        changed = (frame[names] != frame[names].shift()).any(axis=1).to_numpy()
-        edges = np.flatnonzero(changed)
-        for a, b in zip(edges[:-1], edges[1:]):
-            yield frame.iloc[a:b]
-        held = frame.iloc[edges[-1] :]
-    if held is not None and len(held):
-        yield held
+        cuts = bounds(whole)
+        last = cuts.pop()[0]
+        held = whole.iloc[last:]
+        if cuts:
+            yield whole.iloc[:last], cuts
+    if held is not None:
+        yield held, [(0, len(held))]
 
 
 def _sorted_by(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
@@ -219,54 +232,60 @@ def cooldown(
     cut = burst.withColumn("_us", us).withColumn(
         "_slice", F.floor((F.col("_us") - F.unix_micros("_burst")) / slice_us)
     )
+    # Read four times below, after four passes to find the bursts: written once.
+    cut = cut_lineage(cut)
     unit = [key, "_burst", "_slice"]
     slim = cut.select(*unit, "_us", "failed")
 
     def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in _groups(frames, unit):
-            ts, bad = g["_us"].tolist(), g["failed"].tolist()
-            out = _exits(ts, bad, wait)
-            stop = min(len(ts), bisect_left(ts, ts[0] + wait) + 1)
-            # Neighbouring entries with one exit need one row, kept under the last of them.
-            keep = [i for i in range(stop) if i + 1 == stop or out[i] != out[i + 1]]
-            yield pd.DataFrame(
-                {
-                    **{n: [g[n].iloc[0]] * len(keep) for n in unit},
-                    "entry": [ts[i] for i in keep],
-                    "leaves": [out[i] for i in keep],
-                    "last": [i + 1 == stop for i in keep],
-                }
-            )
+        for frame, cuts in _whole_groups(frames, unit):
+            stamps, flags = frame["_us"].tolist(), frame["failed"].tolist()
+            picked, entry, leaves = [], [], []
+            for a, b in cuts:
+                ts = stamps[a:b]
+                out = _exits(ts, flags[a:b], wait)
+                stop = min(len(ts), bisect_left(ts, ts[0] + wait) + 1)
+                # Neighbouring entries with one exit need one row, kept under the last of them.
+                keep = [i for i in range(stop) if i + 1 == stop or out[i] != out[i + 1]]
+                picked += [a] * len(keep)
+                entry += [ts[i] for i in keep]
+                leaves += [out[i] for i in keep]
+            yield frame[unit].iloc[picked].assign(entry=entry, leaves=leaves)
 
     def chain(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, cold = None, 0
-        for g in _groups(frames, unit):
-            owner = (g[key].iloc[0], g["_burst"].iloc[0])
-            if owner != current:
-                current, cold = owner, 0
-            yield pd.DataFrame({**{n: [g[n].iloc[0]] for n in unit}, "cold": [cold]})
-            entries = g["entry"].tolist()
-            at = bisect_left(entries, cold)
-            if at < len(entries):
-                cold = int(g["leaves"].iloc[at])
+        for frame, cuts in _whole_groups(frames, unit):
+            owners = list(zip(frame[key].tolist(), frame["_burst"].tolist()))
+            entries, leaves = frame["entry"].tolist(), frame["leaves"].tolist()
+            colds = []
+            for a, b in cuts:
+                if owners[a] != current:
+                    current, cold = owners[a], 0
+                colds.append(cold)
+                at = bisect_left(entries, cold, a, b)
+                cold = leaves[at] if at < b else cold
+            yield frame[unit].iloc[[a for a, _ in cuts]].assign(cold=colds)
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in _groups(frames, unit):
-            tried, _ = _walk(g["_us"].tolist(), g["failed"].tolist(), int(g["cold"].iloc[0]), wait)
-            yield g[[*unit, "_us"]].assign(tried=tried)
+        for frame, cuts in _whole_groups(frames, unit):
+            stamps, flags, colds = frame["_us"].tolist(), frame["failed"].tolist(), frame["cold"].tolist()
+            tried = [_walk(stamps[a:b], flags[a:b], colds[a], wait)[0] for a, b in cuts]
+            yield frame[[*unit, "_us"]].assign(tried=np.concatenate(tried))
 
     key_type = attempts.schema[key].dataType.simpleString()
     head = f"{key} {key_type}, _burst timestamp, _slice bigint"
     # Bursts that fit one slice need no chaining: they enter cold-free.
-    sliced = slim.groupBy(key, "_burst").agg(F.max("_slice").alias("_last"))
-    long_bursts = sliced.filter("_last > 0").select(key, "_burst")
-    probes = _sorted_by(slim.join(long_bursts, [key, "_burst"], "left_semi"), unit, ["_us"]).mapInPandas(
-        probe, f"{head}, entry bigint, leaves bigint, last boolean"
-    )
-    chained = _sorted_by(probes, [key, "_burst"], ["_slice", "entry"]).mapInPandas(
-        chain, f"{head}, cold bigint"
-    )
-    ready = slim.join(chained, unit, "left").withColumn("cold", F.coalesce("cold", F.lit(0)))
+    long_bursts = slim.filter("_slice > 0").select(key, "_burst").distinct()
+    if long_bursts.isEmpty():
+        ready = slim.withColumn("cold", F.lit(0).cast("bigint"))
+    else:
+        probes = _sorted_by(slim.join(long_bursts, [key, "_burst"], "left_semi"), unit, ["_us"]).mapInPandas(
+            probe, f"{head}, entry bigint, leaves bigint"
+        )
+        chained = _sorted_by(probes, [key, "_burst"], ["_slice", "entry"]).mapInPandas(
+            chain, f"{head}, cold bigint"
+        )
+        ready = slim.join(chained, unit, "left").withColumn("cold", F.coalesce("cold", F.lit(0)))
     walked = _sorted_by(ready, unit, ["_us"]).mapInPandas(walk, f"{head}, _us bigint, tried boolean")
     return cut.join(walked, [*unit, "_us"]).drop("_burst", "_slice", "_us")
 

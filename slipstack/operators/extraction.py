@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slipstack import fixed
-from slipstack.functions.amounts import collapse_spaces, with_fast_total
+from slipstack.functions.amounts import collapse_spaces, has_text, with_fast_total
 
 
 def is_candidate() -> Column:
@@ -15,7 +15,7 @@ def is_candidate() -> Column:
         (F.col("status") == fixed.DONE)
         & F.col("cents").isNull()
         & ~F.col("manual")
-        & (collapse_spaces(F.col("text")) != "")
+        & has_text(F.col("text"))
     )
 
 
@@ -66,11 +66,11 @@ def batch_outcome(receipts: DataFrame, listed: Column | None = None) -> DataFram
     """
     chosen = is_candidate() if listed is None else listed
     marked = receipts.withColumn("_listed", chosen).withColumn(
-        "_text", F.when(F.col("_listed"), collapse_spaces(F.col("text")))
+        "_text", F.when(F.col("_listed"), F.col("text"))
     )
     marked = with_fast_total(marked, "_text", "_total")
     count = F.count_if(F.col("_listed"))
-    texts = F.count_if(F.col("_text") != "")
+    texts = F.count_if(has_text(F.col("_text")))
     totals = F.count("_total")
     return marked.groupBy("batch_id").agg(
         count.alias("candidates"),
@@ -89,7 +89,7 @@ def batch_message(applied: Column, total: Column, prior: Column) -> Column:
     """A-08: full success gives an earlier notice back."""
     text = F.concat(F.lit("Local: "), applied.cast("string"), F.lit("/"), total.cast("string"), F.lit(" totales."))
     earlier = F.coalesce(prior, F.lit(""))
-    return F.when((applied == total) & (collapse_spaces(earlier) != ""), earlier).otherwise(text)
+    return F.when((applied == total) & has_text(earlier), earlier).otherwise(text)
 
 
 def batch_totals(receipts: DataFrame) -> DataFrame:

@@ -133,21 +133,26 @@ def reflow(sheets: DataFrame, placements: DataFrame, new_layout: str = fixed.DEF
 
 def _target_sheet(sheets: DataFrame, placements: DataFrame, wanted: DataFrame | None) -> DataFrame:
     """W-03: the asked sheet, else the first with a hole, else the last one."""
-    used = placements.groupBy("batch_id", "sheet_no").agg(F.count(F.lit(1)).alias("_used"))
+    # At most six slots a sheet: the taken ones are a tiny array.
+    used = placements.groupBy("batch_id", "sheet_no").agg(F.collect_set("slot").alias("_taken"))
+    holes = F.array_except(
+        F.sequence(F.lit(0).cast("bigint"), capacity(F.col("layout")) - 1),
+        F.coalesce(F.col("_taken"), F.array().cast("array<bigint>")),
+    )
     state = (
         sheets.select("batch_id", "sheet_no", "layout")
         .join(used, ["batch_id", "sheet_no"], "left")
-        .withColumn("_open", F.coalesce(F.col("_used"), F.lit(0)) < capacity(F.col("layout")))
+        .withColumn("_holes", holes)
     )
     if wanted is None:
         state = state.withColumn("_asked", F.lit(None).cast("boolean"))
     else:
         asked = wanted.select("batch_id", "sheet_no", F.lit(True).alias("_asked"))
         state = state.join(asked, ["batch_id", "sheet_no"], "left")
-    here = F.struct("sheet_no", "layout")
+    here = F.struct("sheet_no", "layout", "_holes")
     chosen = F.coalesce(
         F.min(F.when(F.col("_asked"), here)),
-        F.min(F.when(F.col("_open"), here)),
+        F.min(F.when(F.size("_holes") > 0, here)),
         F.max(here),
     )
     return state.groupBy("batch_id").agg(
@@ -156,6 +161,7 @@ def _target_sheet(sheets: DataFrame, placements: DataFrame, wanted: DataFrame |
         "batch_id",
         F.col("_t.sheet_no").alias("_sheet"),
         F.col("_t.layout").alias("_layout"),
+        F.col("_t._holes").alias("_holes"),
         "_last",
     )
 
@@ -169,19 +175,7 @@ def place(
     Other sheets with holes are left alone.  ``wanted`` optionally names a sheet
     per batch.  A batch without sheets starts at sheet 1.
     """
-    target = _target_sheet(sheets, placements, wanted)
-    taken = placements.join(
-        target.select("batch_id", F.col("_sheet").alias("sheet_no")), ["batch_id", "sheet_no"], "left_semi"
-    )
-    # At most six slots a sheet: the hole list is a tiny array per batch.
-    occupied = taken.groupBy("batch_id").agg(F.collect_set("slot").alias("_occupied"))
-    plan = target.join(occupied, "batch_id", "left").withColumn(
-        "_holes",
-        F.array_except(
-            F.sequence(F.lit(0).cast("bigint"), capacity(F.col("_layout")) - 1),
-            F.coalesce(F.col("_occupied"), F.array().cast("array<bigint>")),
-        ),
-    ).select("batch_id", "_sheet", "_layout", "_last", "_holes")
+    plan = _target_sheet(sheets, placements, wanted)
     ranked = running(items, ["batch_id"], ["seq"], by_number("seq"), rank="_rank", per_key=plan)
     layout = F.coalesce(F.col("_layout"), F.lit(fixed.DEFAULT_LAYOUT))
     holes = F.when(F.col("_holes").isNull(), F.lit(0)).otherwise(F.size("_holes"))

@@ -144,8 +144,7 @@ def a17(spark, d):
 
 def g03(spark, d):
     """Smallest rectangles of the components, by side lengths."""
-    labelled = op.labelled_runs(text_maps(spark, d), op.is_text_cell, diagonal=True)
-    rects = op.hulls(labelled).withColumn("quad", op.smallest_rect(F.col("hull"))).filter("quad IS NOT NULL")
+    rects = op.hulls(text_maps(spark, d)).withColumn("quad", op.smallest_rect(F.col("hull"))).filter("quad IS NOT NULL")
     top, right, _, _ = quads.sides(quads.from_points(F.col("quad")))
     return rects.select(
         "map_id", "label", "cells", F.round(F.least(top, right), 6).alias("short_side"), F.round(F.greatest(top, right), 6).alias("long_side")

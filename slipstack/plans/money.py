@@ -135,7 +135,7 @@ def a08(spark, d):
     after = ex.apply_totals(load(spark, d, "receipts"), _results(spark, d))
     per_batch = after.groupBy("batch_id").agg(
         F.count_if("applied").alias("ok"),
-        F.count_if(am.collapse_spaces(F.col("text")) != "").alias("total"),
+        F.count_if(am.has_text(F.col("text"))).alias("total"),
         F.max(F.when(F.col("st") == "F", F.lit("aviso"))).alias("prior"),
     )
     return per_batch.select(
