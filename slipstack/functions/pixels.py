@@ -151,3 +151,18 @@ def matching_pixels(data: pd.Series, width: pd.Series, height: pd.Series) -> pd.
     """C-22: how many pixels match the top border colour."""
     grids = (_grid(d, w, h) for d, w, h in zip(data, width, height))
     return pd.Series([None if g is None else int(matches(g, middle_colour(g[0])).sum()) for g in grids])
+
+
+@F.pandas_udf(T.BinaryType())
+def rgba_bytes(data: pd.Series, channels: pd.Series) -> pd.Series:
+    """U-01: Spark's image source bytes (BGR, BGRA or grey) as RGBA."""
+
+    def turned(raw: bytes, n: int) -> bytes:
+        flat = np.frombuffer(raw, dtype=np.uint8).reshape(-1, n)
+        out = np.full((len(flat), 4), 255, dtype=np.uint8)
+        out[:, :3] = flat[:, [2, 1, 0]] if n >= 3 else flat[:, [0]]
+        if n == 4:
+            out[:, 3] = flat[:, 3]
+        return out.tobytes()
+
+    return pd.Series([turned(d, int(n)) for d, n in zip(data, channels)])
