@@ -1,11 +1,15 @@
 """The sheets of one batch while its edits are replayed.
 
 Edits do not commute, so a batch is replayed in order; the state is only its sheets.
-Sheets are named by their position (1 = first), slots from 0.
+Sheets are named by their position (1 = first), slots from 0.  Adding, moving and
+removing look things up instead of walking the sheets, so a long log stays linear.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from heapq import heappop, heappush
+
 from slipstack import fixed
 
 Sheet = dict  # {"layout": str, "slots": list[int | None]}
@@ -19,54 +23,98 @@ def blank(layout: str = fixed.DEFAULT_LAYOUT) -> Sheet:
     return {"layout": layout, "slots": [None] * size_of(layout)}
 
 
-def _where(sheets: list[Sheet], receipt: int) -> tuple[Sheet, int] | None:
-    return next(((s, s["slots"].index(receipt)) for s in sheets if receipt in s["slots"]), None)
-
-
-def _swept(sheets: list[Sheet]) -> list[Sheet]:
-    return [s for s in sheets if any(r is not None for r in s["slots"])] or [blank()]
-
-
-def _repacked(sheets: list[Sheet], new_layout: str = fixed.DEFAULT_LAYOUT) -> list[Sheet]:
-    queue = [r for s in sheets for r in s["slots"] if r is not None]
-    layouts, packed = [s["layout"] for s in sheets], []
-    while layouts or queue:
-        sheet = blank(layouts.pop(0) if layouts else new_layout)
-        room = len(sheet["slots"])
-        sheet["slots"] = (queue[:room] + [None] * room)[:room]
-        queue = queue[room:]
-        packed.append(sheet)
-    return _swept(packed)
-
-
-def apply_edit(
-    sheets: list[Sheet], op: str, receipt: int | None, sheet: int | None, slot: int | None, layout: str | None
-) -> list[Sheet]:
-    """R-15: the sheets after one edit; an edit that does not fit changes nothing."""
-    target = sheets[sheet - 1] if sheet and 0 < sheet <= len(sheets) else None
-    if op == "clear":
-        return [blank()]
-    if op == "add":
-        home = next((s for s in sheets if None in s["slots"]), None)
-        if home is None:
-            home = blank(sheets[-1]["layout"]) if sheets else blank()
-            sheets = [*sheets, home]
-        home["slots"][home["slots"].index(None)] = receipt
-        return sheets
-    if op == "layout" and target and layout in fixed.LAYOUTS:
-        target["layout"] = layout
-        return _repacked(sheets)
-    if op == "apply-all" and target:
-        chosen = target["layout"]
-        return _repacked([{**s, "layout": chosen} for s in sheets], chosen)
-    found = _where(sheets, receipt) if op in ("remove", "move") else None
-    if found is None:
-        return sheets
-    here, at = found
-    if op == "remove":
-        here["slots"][at] = None
-        return _swept(sheets)
-    if target and slot is not None and 0 <= slot < len(target["slots"]) and (here is not target or at != slot):
-        here["slots"][at], target["slots"][slot] = target["slots"][slot], receipt
-        return _swept(sheets)
-    return sheets
+class Desk:
+    def __init__(self, sheets: list[Sheet] | None = None):
+        self._lay_out(sheets or [])
+
+    def _lay_out(self, sheets: list[Sheet]) -> None:
+        # Serial numbers only grow, so the list of live ones is always in sheet order.
+        self._by_serial = dict(enumerate(sheets))
+        self._order = list(self._by_serial)
+        self._next = len(sheets)
+        self._home = {r: n for n, s in self._by_serial.items() for r in s["slots"] if r is not None}
+        self._open = [n for n, s in self._by_serial.items() if None in s["slots"]]
+
+    def sheets(self) -> list[Sheet]:
+        return [self._by_serial[n] for n in self._order]
+
+    def _at(self, position: int | None) -> int | None:
+        return self._order[position - 1] if position and 0 < position <= len(self._order) else None
+
+    def _roomy(self) -> int:
+        """First sheet with a hole, else a new one like the last."""
+        while self._open:
+            n = self._open[0]
+            if n in self._by_serial and None in self._by_serial[n]["slots"]:
+                return n
+            heappop(self._open)
+        layout = self._by_serial[self._order[-1]]["layout"] if self._order else fixed.DEFAULT_LAYOUT
+        n, self._next = self._next, self._next + 1
+        self._by_serial[n] = blank(layout)
+        self._order.append(n)
+        heappush(self._open, n)
+        return n
+
+    def _emptied(self, n: int) -> None:
+        """A sheet lost a receipt: it has a hole, or goes when nothing is left on it."""
+        if any(r is not None for r in self._by_serial[n]["slots"]):
+            heappush(self._open, n)
+            return
+        del self._by_serial[n]
+        self._order.pop(bisect_left(self._order, n))
+        if not self._order:
+            self._lay_out([blank()])
+
+    def _repack(self, new_layout: str = fixed.DEFAULT_LAYOUT) -> None:
+        queue = [r for s in self.sheets() for r in s["slots"] if r is not None]
+        layouts, taken, packed = [s["layout"] for s in self.sheets()], 0, []
+        while taken < len(queue):
+            sheet = blank(layouts[len(packed)] if len(packed) < len(layouts) else new_layout)
+            room = len(sheet["slots"])
+            part = queue[taken : taken + room]
+            sheet["slots"][: len(part)] = part
+            taken += room
+            packed.append(sheet)
+        self._lay_out(packed or [blank()])
+
+    def apply(
+        self, op: str, receipt: int | None, position: int | None, slot: int | None, layout: str | None
+    ) -> None:
+        """R-15: one edit; an edit that does not fit changes nothing."""
+        target = self._at(position)
+        if op == "clear":
+            self._lay_out([blank()])
+        elif op == "add":
+            n = self._roomy()
+            slots = self._by_serial[n]["slots"]
+            slots[slots.index(None)] = receipt
+            self._home[receipt] = n
+        elif op == "layout" and target is not None and layout in fixed.LAYOUTS:
+            self._by_serial[target]["layout"] = layout
+            self._repack()
+        elif op == "apply-all" and target is not None:
+            chosen = self._by_serial[target]["layout"]
+            for sheet in self._by_serial.values():
+                sheet["layout"] = chosen
+            self._repack(chosen)
+        elif op == "remove" and receipt in self._home:
+            n = self._home.pop(receipt)
+            slots = self._by_serial[n]["slots"]
+            slots[slots.index(receipt)] = None
+            self._emptied(n)
+        elif op == "move" and receipt in self._home and target is not None:
+            self._swap(receipt, target, slot)
+
+    def _swap(self, receipt: int, target: int, slot: int | None) -> None:
+        origin = self._home[receipt]
+        here, there = self._by_serial[origin]["slots"], self._by_serial[target]["slots"]
+        at = here.index(receipt)
+        if slot is None or not 0 <= slot < len(there) or (origin, at) == (target, slot):
+            return
+        other = there[slot]
+        here[at], there[slot] = other, receipt
+        self._home[receipt] = target
+        if other is None:
+            self._emptied(origin)
+        else:
+            self._home[other] = origin

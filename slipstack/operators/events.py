@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from slipstack import fixed
 from slipstack.functions.amounts import collapse_spaces, has_text, parse_amount, well_formed, with_fast_total
-from slipstack.functions.desk import apply_edit
+from slipstack.functions.desk import Desk
 from slipstack.operators.ordered import HOUR, by_number, by_time, running, sessions
 from slipstack.session import cut_lineage
 
@@ -295,14 +295,13 @@ def cooldown(
 PLACED = "sheet_no bigint, layout string, slot bigint, receipt_id bigint"
 
 
-def placed_rows(owner, key: str, sheets: list[dict]) -> pd.DataFrame:
-    rows = [
+def placed_rows(owner, sheets: list[dict]) -> list[tuple]:
+    return [
         (owner, n, s["layout"], slot, receipt)
         for n, s in enumerate(sheets, 1)
         for slot, receipt in enumerate(s["slots"])
         if receipt is not None
     ]
-    return pd.DataFrame(rows, columns=[key, "sheet_no", "layout", "slot", "receipt_id"])
 
 
 def _maybe(value):
@@ -327,17 +326,21 @@ def replay(log: DataFrame, key: str) -> DataFrame:
         F.col("_age") == F.col("_clears")
     ).drop("_age", "_clears")
 
+    names = [key, "sheet_no", "layout", "slot", "receipt_id"]
+
     def play(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        owner, sheets = None, []
+        owner, desk = None, Desk()
         for frame in frames:
-            for row in frame.itertuples(index=False):
-                if getattr(row, key) != owner:
+            done = []
+            for batch, row in zip(frame[key].tolist(), frame.itertuples(index=False)):
+                if batch != owner:
                     if owner is not None:
-                        yield placed_rows(owner, key, sheets)
-                    owner, sheets = getattr(row, key), []
-                sheets = apply_edit(sheets, *edit_args(row))
+                        done += placed_rows(owner, desk.sheets())
+                    owner, desk = batch, Desk()
+                desk.apply(*edit_args(row))
+            yield pd.DataFrame(done, columns=names)
         if owner is not None:
-            yield placed_rows(owner, key, sheets)
+            yield pd.DataFrame(placed_rows(owner, desk.sheets()), columns=names)
 
     key_type = log.schema[key].dataType.simpleString()
     return _sorted_by(live, [key], ["seq"]).mapInPandas(play, f"{key} {key_type}, {PLACED}")

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slipstack import fixed
 from slipstack.functions import quads
 from slipstack.functions.amounts import well_formed
-from slipstack.operators.ordered import by_number, running
 
 
 def is_image(mime: Column) -> Column:
@@ -166,21 +165,22 @@ def files_without_pages(files: DataFrame, receipts: DataFrame) -> DataFrame:
 def notice_digest(notices: DataFrame, key: str = "batch_id", seq: str = "seq") -> DataFrame:
     """A-16: up to four notices as they are, else the first three and a summary row.
 
-    Only the first four rows of a batch are needed: ``min_by`` style selection is
-    done on bucket ranks, so a batch with very many refusals is never sorted whole.
+    Each task keeps only its first four rows of a batch before anything is shuffled
+    (Spark's window group limit), and the batch sizes are counted map-side, so a batch
+    with very many refusals sends a handful of rows.
     """
-    ranked = running(
-        notices, [key], [seq], by_number(seq), rank="_rank", count="_total"
-    )
-    shown = ranked.filter(
-        (F.col("_total") <= fixed.MAX_NOTICES) | (F.col("_rank") < fixed.MAX_NOTICES)
-    ).select(key, F.col("_rank").alias("position"), F.col("title"), F.col("file"), F.col("grp"))
-    # The first row knows the total and the group, so it also writes the summary.
-    summary = ranked.filter((F.col("_rank") == 1) & (F.col("_total") > fixed.MAX_NOTICES)).select(
+    first = Window.partitionBy(key).orderBy(seq)
+    head = notices.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= fixed.MAX_NOTICES)
+    sizes = notices.groupBy(key).agg(F.count(F.lit(1)).alias("_total"))
+    many = F.col("_total") > fixed.MAX_NOTICES
+    lead = F.first(F.when(F.col("grp") == "intake", "intake")).over(first)
+    numbered = head.withColumn("_lead", lead).join(sizes, key)
+    summed = many & (F.col("_rank") == fixed.MAX_NOTICES)
+    text = F.concat(F.lit("…y "), (F.col("_total") - 3).cast("string"), F.lit(" más descartados"))
+    return numbered.select(
         key,
-        F.lit(fixed.MAX_NOTICES).cast("bigint").alias("position"),
-        F.concat(F.lit("…y "), (F.col("_total") - 3).cast("string"), F.lit(" más descartados")).alias("title"),
-        F.lit(None).cast("string").alias("file"),
-        F.when(F.col("grp") == "intake", "intake").alias("grp"),
+        F.col("_rank").cast("bigint").alias("position"),
+        F.when(summed, text).otherwise(F.col("title")).alias("title"),
+        F.when(~summed, F.col("file")).alias("file"),
+        F.when(summed, F.col("_lead")).otherwise(F.col("grp")).alias("grp"),
     )
-    return shown.unionByName(summary)

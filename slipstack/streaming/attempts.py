@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from slipstack import fixed
-from slipstack.functions.desk import apply_edit
+from slipstack.functions.desk import Desk
 from slipstack.operators.events import PLACED, edit_args, placed_rows
 
 OUT = "{key} {type}, event_id bigint, strike bigint, evicts boolean, tried boolean, alert boolean"
@@ -65,12 +65,13 @@ def replay(log: DataFrame, key: str) -> DataFrame:
 
     def step(owner, frames, state):
         text, seen = state.get if state.exists else ("[]", -1)
-        sheets = json.loads(text)
+        desk = Desk(json.loads(text))
         for row in _batch(frames, "seq", seen).itertuples(index=False):
-            sheets = apply_edit(sheets, *edit_args(row))
+            desk.apply(*edit_args(row))
             seen = row.seq
-        state.update((json.dumps(sheets), int(seen)))
-        yield placed_rows(owner[0], key, sheets).assign(version=int(seen))
+        state.update((json.dumps(desk.sheets()), int(seen)))
+        rows = [(*row, int(seen)) for row in placed_rows(owner[0], desk.sheets())]
+        yield pd.DataFrame(rows, columns=[key, "sheet_no", "layout", "slot", "receipt_id", "version"])
 
     return log.groupBy(key).applyInPandasWithState(
         step, f"{key} {_typed(log, key)}, {PLACED}, version bigint", "sheets string, seen bigint", "append", "NoTimeout"

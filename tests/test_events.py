@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from slipstack.functions import desk
+from slipstack.functions.desk import Desk
 from slipstack.operators import events as op
 
 T0 = dt.datetime(2024, 1, 1, 12)
@@ -105,10 +105,10 @@ def test_reread(rows):
 
 
 def _played(edits):
-    sheets = []
+    desk = Desk()
     for e in edits:
-        sheets = desk.apply_edit(sheets, *e)
-    return [(s["layout"], s["slots"]) for s in sheets]
+        desk.apply(*e)
+    return [(s["layout"], s["slots"]) for s in desk.sheets()]
 
 
 def _add(*ids):
@@ -134,6 +134,18 @@ def test_edits(edits, want):
     assert _played(edits) == want
 
 
+def test_a_desk_restored_between_edits_plays_the_same():
+    """Restoring from plain sheets after each edit rebuilds every index from scratch."""
+    for seed in range(30):
+        edits = [e[2:] for e in random_log(random.Random(seed), 1, 120)]
+        sheets = []
+        for e in edits:
+            desk = Desk(sheets)
+            desk.apply(*e)
+            sheets = desk.sheets()
+        assert _played(edits) == [(s["layout"], s["slots"]) for s in sheets]
+
+
 LOG = "batch_id bigint, seq bigint, op string, receipt_id bigint, sheet bigint, slot bigint, layout string"
 
 
