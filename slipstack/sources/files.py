@@ -1,4 +1,4 @@
-"""Reading dropped files and images, and writing the accepted and refused sides."""
+"""Reading dropped files and images."""
 
 from __future__ import annotations
 
@@ -68,8 +68,3 @@ def images(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     )
     return good, bad
 
-
-def write_sides(accepted: DataFrame, rejects: DataFrame, folder: str) -> None:
-    """S-10: accepted and refused files side by side, one folder per batch."""
-    accepted.write.mode("overwrite").partitionBy("batch_id").parquet(f"{folder}/accepted")
-    rejects.write.mode("overwrite").partitionBy("batch_id").parquet(f"{folder}/rejects")

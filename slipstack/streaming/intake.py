@@ -16,7 +16,8 @@ def start_intake(files: DataFrame, folder: str):
     """
 
     def judge(rows: DataFrame, epoch: int) -> None:
-        judged = classify(rows)
+        # Both sides are written from one reading of the micro-batch.
+        judged = classify(rows).persist()
         accepted, refused = split(judged)
         sides = {"accepted": accepted, "rejects": quarantine(refused)}
         for name, side in sides.items():
@@ -27,6 +28,7 @@ def start_intake(files: DataFrame, folder: str):
                 .partitionBy("epoch")
                 .parquet(f"{folder}/{name}")
             )
+        judged.unpersist()
 
     return (
         files.writeStream.foreachBatch(judge)

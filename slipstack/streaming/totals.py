@@ -2,34 +2,49 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from slipstack.functions.amounts import collapse_spaces
 from slipstack.operators.extraction import apply_totals
 
 
-def start_applying(spark: SparkSession, results: DataFrame, table: str, progress: str, buckets: str = "bucket"):
-    """Apply ``batch_id, <buckets>, receipt_id, new_cents, seen_text`` to receipts at ``table``.
+def start_applying(
+    spark: SparkSession, results: DataFrame, table: str, progress: str, place: Sequence[str] = ("bucket",)
+):
+    """Apply ``<place>, receipt_id, seq, new_cents, seen_text`` to the receipts at ``table``.
 
-    The table is partitioned by ``batch_id`` and a bucket of the receipt id, and only
-    the partitions a micro-batch touches are read and rewritten, so one huge batch is
-    not rewritten whole.  Compare-and-set makes a replay harmless: an amount that is
-    already there refuses the same result.
+    ``place`` are the partition columns of the table, such as a bucket of the receipt
+    id, so that one huge batch is never rewritten whole.  Only partitions with a usable
+    result are read (the comparison lets Spark prune them while it runs) and rewritten.
+    If several results fit a receipt, the earliest wins.  Compare-and-set makes a
+    replay harmless: an amount that is already there refuses the same result.
     """
-    place = ["batch_id", buckets]
+    keys = list(place)
 
     def apply(rows: DataFrame, epoch: int) -> None:
+        usable = rows.filter(F.col("new_cents") >= 0)
         receipts = spark.read.parquet(table)
-        touched = rows.select(*place).distinct()
-        affected = receipts.join(touched, place, "left_semi")
-        newest = rows.dropDuplicates(["receipt_id"]).drop(*place)
-        done = apply_totals(affected, newest).drop("applied").select(*receipts.columns)
+        affected = receipts.join(usable.select(*keys).distinct(), keys, "left_semi")
+        now = affected.select("receipt_id", collapse_spaces(F.col("text")).alias("seen_text"))
+        first = (
+            usable.join(now, ["receipt_id", "seen_text"])
+            .groupBy("receipt_id")
+            .agg(F.min_by(F.struct("new_cents", "seen_text"), "seq").alias("_r"))
+            .select("receipt_id", "_r.*")
+        )
+        done = apply_totals(affected, first).select(*receipts.columns)
+        # Written aside first: a partition cannot be read and replaced in one job.
         staged = f"{progress}/staged/{epoch}"
         done.write.mode("overwrite").parquet(staged)
         (
-            spark.read.schema(receipts.schema).parquet(staged)
+            spark.read.schema(receipts.schema)
+            .parquet(staged)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*place)
+            .partitionBy(*keys)
             .parquet(table)
         )
 

@@ -10,6 +10,7 @@ from slipstack.functions import pixels as px
 from slipstack.functions import quads
 from slipstack.operators import hooks
 from slipstack.operators import intake as op
+from slipstack.sinks import tables as sink
 from slipstack.sources import files as src
 
 MIB = 1024 * 1024
@@ -114,10 +115,10 @@ def test_image_source_and_listing(spark, tmp_path):
     assert listed["broken.png"][:2] == ("image/png", 13) and listed["white.png"][2] == "89504E47"
 
 
-def test_sides_are_written_per_batch(spark, rows, tmp_path):
+def test_sides_are_written_in_buckets(spark, rows, tmp_path):
     got = op.classify(rows([f for f, _ in GATE], FILES))
     accepted, rejected = op.split(got)
-    src.write_sides(accepted, op.quarantine(rejected), str(tmp_path))
+    sink.write_sides(accepted, op.quarantine(rejected), str(tmp_path), buckets=4)
     assert spark.read.parquet(f"{tmp_path}/accepted").count() == 4
     assert spark.read.parquet(f"{tmp_path}/rejects").filter("batch_id = 'b'").count() == 8
 

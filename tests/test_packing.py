@@ -132,3 +132,15 @@ def test_manifest_breaks_pages_between_sheets(rows):
     placed = rows(data, "batch_id string, sheet_no bigint, slot bigint, layout string, receipt_id bigint, width bigint, height bigint")
     got = {r.receipt_id: r.page_break for r in op.manifest(placed, F.lit("inf-der")).collect()}
     assert got == {1: False, 2: False, 3: True}
+
+
+def test_manifest_is_written_flat_and_nested(spark, rows, tmp_path):
+    from slipstack.sinks.tables import write_manifest
+
+    data = [("b", 4, 1, "u2h", 1, 10, 10), ("b", 4, 0, "u2h", 2, 10, 10), ("c", 7, 0, "u1", 3, 10, 10)]
+    placed = rows(data, "batch_id string, sheet_no bigint, slot bigint, layout string, receipt_id bigint, width bigint, height bigint")
+    flat = op.manifest(placed, F.lit("inf-der"))
+    write_manifest(flat, op.nested_manifest(flat), str(tmp_path), buckets=3)
+    assert spark.read.parquet(f"{tmp_path}/slots").drop("bucket").exceptAll(flat).isEmpty()
+    sheets = {r.sheet_no: [i.receipt_id for i in r.images] for r in spark.read.json(f"{tmp_path}/sheets").collect()}
+    assert sheets == {4: [2, 1], 7: [3]}

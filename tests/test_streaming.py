@@ -70,10 +70,12 @@ def test_late_results_reach_the_table_once(spark, rows, tmp_path):
         "batch_id string, bucket int, receipt_id bigint, text string, cents bigint, draft string, removed boolean",
     )
     table = str(tmp_path / "receipts")
-    receipts.write.partitionBy("batch_id", "bucket").parquet(table)
-    results = rows([("b", i % 2, i, 100, "TOTAL 1.00") for i in range(5)], "batch_id string, bucket int, receipt_id bigint, new_cents bigint, seen_text string")
-    stream = _stream(spark, results, str(tmp_path), "receipt_id", 2)
+    receipts.write.partitionBy("bucket").parquet(table)
+    late = [(i % 2, i, i, 100, "TOTAL 1.00") for i in range(5)]
+    late += [(1, 5, 50, 300, "otro texto"), (1, 5, 51, 400, "TOTAL 1.00"), (1, 5, 52, 500, "TOTAL 1.00"), (0, 2, 53, None, "TOTAL 1.00")]
+    results = rows(late, "bucket int, receipt_id bigint, seq bigint, new_cents bigint, seen_text string")
+    stream = _stream(spark, results, str(tmp_path), "seq", 2)
     for run in ("one", "two"):
         totals.start_applying(spark, stream, table, str(tmp_path / run)).awaitTermination()
         got = {r.receipt_id: r.cents for r in spark.read.parquet(table).collect()}
-        assert got == {0: None, 1: 100, 2: 100, 3: 7, 4: None, 5: None}
+        assert got == {0: None, 1: 100, 2: 100, 3: 7, 4: None, 5: 400}
