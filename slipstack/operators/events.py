@@ -122,17 +122,19 @@ def verdicts(receipts: DataFrame, results: DataFrame) -> DataFrame:
     )
 
 
-def strikes(attempts: DataFrame, key: str, limit: int = fixed.STRIKES, bucket_s: int = HOUR) -> DataFrame:
+def strikes(
+    attempts: DataFrame, key: str, limit: int = fixed.STRIKES, bucket_s: int = HOUR, seq: str = "event_id"
+) -> DataFrame:
     """R-09: position in the current run of failures and whether it evicts.
 
-    ``attempts`` is ``key, ts, failed``.  The position is the running count of
-    failures less that count at the latest success.
+    ``attempts`` is ``key, ts, failed`` and a sequence number that orders equal times.
+    The position is the running count of failures less that count at the latest success.
     """
-    bucket = by_time("ts", bucket_s)
+    bucket, order = by_time("ts", bucket_s), ["ts", seq]
     bad = F.col("failed").cast("bigint")
-    counted = running(attempts, [key], ["ts"], bucket, sums={"_fails": bad})
+    counted = running(attempts, [key], order, bucket, sums={"_fails": bad})
     based = running(
-        counted, [key], ["ts"], bucket, maxes={"_base": F.when(~F.col("failed"), F.col("_fails"))}
+        counted, [key], order, bucket, maxes={"_base": F.when(~F.col("failed"), F.col("_fails"))}
     )
     position = F.when(F.col("failed"), F.col("_fails") - F.coalesce(F.col("_base"), F.lit(0)))
     return based.withColumn("strike", F.when(F.col("failed"), F.pmod(position - 1, F.lit(limit)) + 1)).withColumn(
@@ -140,9 +142,10 @@ def strikes(attempts: DataFrame, key: str, limit: int = fixed.STRIKES, bucket_s:
     ).drop("_fails", "_base")
 
 
-def alerts(attempts: DataFrame, key: str, bucket_s: int = HOUR) -> DataFrame:
+def alerts(attempts: DataFrame, key: str, bucket_s: int = HOUR, seq: str = "event_id") -> DataFrame:
     """R-12: only the failures that open a run raise a notice."""
-    seen = running(attempts, [key], ["ts"], by_time("ts", bucket_s), previous={"_was": F.col("failed")})
+    order = ["ts", seq]
+    seen = running(attempts, [key], order, by_time("ts", bucket_s), previous={"_was": F.col("failed")})
     return seen.filter(F.col("failed") & ~F.coalesce(F.col("_was"), F.lit(False))).drop("_was")
 
 
@@ -217,13 +220,14 @@ def _sorted_by(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
 
 
 def cooldown(
-    attempts: DataFrame, key: str, wait_ms: int = fixed.COOLDOWN_MS, slice_s: int = HOUR
+    attempts: DataFrame, key: str, wait_ms: int = fixed.COOLDOWN_MS, slice_s: int = HOUR, seq: str = "event_id"
 ) -> DataFrame:
     """R-10: adds ``tried``: false while a failed attempt is still cooling down.
 
-    ``attempts`` is ``key, ts, failed`` and keeps its columns.  Refused requests do
+    ``attempts`` is ``key, ts, failed`` and a sequence number, unique per key, that
+    orders equal times.  Refused requests do
     not extend the wait and a success clears it.  A pause of at least the wait starts
-    afresh, so bursts are independent; single-event bursts never leave the JVM.
+    afresh, so bursts are independent.
     """
     wait = wait_ms * 1000
     slice_us = max(slice_s * 1_000_000, wait)
@@ -235,7 +239,7 @@ def cooldown(
     # Read four times below, after four passes to find the bursts: written once.
     cut = cut_lineage(cut)
     unit = [key, "_burst", "_slice"]
-    slim = cut.select(*unit, "_us", "failed")
+    slim = cut.select(*unit, "_us", seq, "failed")
 
     def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame, cuts in _whole_groups(frames, unit):
@@ -270,7 +274,7 @@ def cooldown(
         for frame, cuts in _whole_groups(frames, unit):
             stamps, flags, colds = frame["_us"].tolist(), frame["failed"].tolist(), frame["cold"].tolist()
             tried = [_walk(stamps[a:b], flags[a:b], colds[a], wait)[0] for a, b in cuts]
-            yield frame[[*unit, "_us"]].assign(tried=np.concatenate(tried))
+            yield frame[[*unit, seq]].assign(tried=np.concatenate(tried))
 
     key_type = attempts.schema[key].dataType.simpleString()
     head = f"{key} {key_type}, _burst timestamp, _slice bigint"
@@ -279,15 +283,16 @@ def cooldown(
     if long_bursts.isEmpty():
         ready = slim.withColumn("cold", F.lit(0).cast("bigint"))
     else:
-        probes = _sorted_by(slim.join(long_bursts, [key, "_burst"], "left_semi"), unit, ["_us"]).mapInPandas(
+        probes = _sorted_by(slim.join(long_bursts, [key, "_burst"], "left_semi"), unit, ["_us", seq]).mapInPandas(
             probe, f"{head}, entry bigint, leaves bigint"
         )
         chained = _sorted_by(probes, [key, "_burst"], ["_slice", "entry"]).mapInPandas(
             chain, f"{head}, cold bigint"
         )
         ready = slim.join(chained, unit, "left").withColumn("cold", F.coalesce("cold", F.lit(0)))
-    walked = _sorted_by(ready, unit, ["_us"]).mapInPandas(walk, f"{head}, _us bigint, tried boolean")
-    return cut.join(walked, [*unit, "_us"]).drop("_burst", "_slice", "_us")
+    seq_type = attempts.schema[seq].dataType.simpleString()
+    walked = _sorted_by(ready, unit, ["_us", seq]).mapInPandas(walk, f"{head}, {seq} {seq_type}, tried boolean")
+    return cut.join(walked, [*unit, seq]).drop("_burst", "_slice", "_us")
 
 
 # --- edit log ----------------------------------------------------------------

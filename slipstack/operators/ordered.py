@@ -15,7 +15,11 @@ HOUR = 3600
 
 
 def by_number(column: str, width: int = 4096) -> Column:
-    """Bucket of a counter-like order column."""
+    """Bucket of a counter-like order column.
+
+    Wide enough that a large key has many rows per bucket: only one row per bucket is
+    ordered over the whole key.
+    """
     return F.floor(F.col(column) / width)
 
 
@@ -40,7 +44,7 @@ def running(
     """Add running values of ``keys`` in ``order``.
 
     ``bucket`` must not decrease along ``order``.  ``rank`` is 1-based, ``count``
-    is the size of the key, ``sums`` and ``maxes`` include the current row,
+    is the size of the key, ``sums`` include the current row, ``maxes`` also its ties,
     ``previous`` reads the row before.  ``per_key`` (one row per key) is attached
     through the bucket summaries, so that a hot key does not become a hot join key.
     """
@@ -74,7 +78,8 @@ def running(
     for n in sums:
         rows = rows.withColumn(f"_in_{n}", F.sum(f"_in_{n}").over(upto))
     for n in maxes:
-        rows = rows.withColumn(f"_in_{n}", F.max(f"_in_{n}").over(upto))
+        # The default frame takes in the ties of the current row.
+        rows = rows.withColumn(f"_in_{n}", F.max(f"_in_{n}").over(inside))
     for n in previous:
         rows = rows.withColumn(f"_in_{n}", F.lag(f"_in_{n}").over(inside))
 

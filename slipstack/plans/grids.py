@@ -143,11 +143,10 @@ def a17(spark, d):
 
 
 def g03(spark, d):
-    """Smallest rectangles of the components, by side lengths."""
+    """Area of the smallest rectangle round every component."""
     rects = op.hulls(text_maps(spark, d)).withColumn("quad", op.smallest_rect(F.col("hull"))).filter("quad IS NOT NULL")
-    top, right, _, _ = quads.sides(quads.from_points(F.col("quad")))
     return rects.select(
-        "map_id", "label", "cells", F.round(F.least(top, right), 6).alias("short_side"), F.round(F.greatest(top, right), 6).alias("long_side")
+        "map_id", "label", "cells", F.round(quads.area(quads.from_points(F.col("quad"))), 6).alias("area")
     )
 
 
@@ -331,6 +330,14 @@ ORACLES = {
     "J-09": SCORED + " SELECT b.vec_id AS map_id, count(v) AS inside FROM b LEFT JOIN inn USING (vec_id) GROUP BY 1",
     "A-14": SCORED + " SELECT b.vec_id AS map_id, round(coalesce(avg(v), 0), 6) AS score FROM b LEFT JOIN inn USING (vec_id) GROUP BY 1",
     "A-17": SMALL + f" SELECT vec_id AS map_id, round(least({ALONG}), 6) AS u0, round(greatest({ALONG}), 6) AS u1, round(least({ACROSS}), 6) AS v0, round(greatest({ACROSS}), 6) AS v1 FROM b",
+    # Every pair of cells that has the whole component on one side is tried as an edge.
+    "G-03": TEXT + _reach(EIGHT) + """, c AS (SELECT map_id, label, x, y FROM hot JOIN labels USING (map_id, channel, pos)),
+        d AS (SELECT a.map_id, a.label, a.x AS ax, a.y AS ay, b.x - a.x AS dx, b.y - a.y AS dy, sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS m
+              FROM c a JOIN c b ON a.map_id = b.map_id AND a.label = b.label AND (a.x <> b.x OR a.y <> b.y)),
+        e AS (SELECT d.map_id, d.label, ax, ay, dx, dy, max((x * dx + y * dy) / m) - min((x * dx + y * dy) / m) AS u, max((y * dx - x * dy) / m) - min((y * dx - x * dy) / m) AS v,
+              min(dx * (y - ay) - dy * (x - ax)) AS low, max(dx * (y - ay) - dy * (x - ax)) AS high FROM d JOIN c ON c.map_id = d.map_id AND c.label = d.label GROUP BY ALL),
+        n AS (SELECT map_id, label, count(*) AS cells FROM c GROUP BY ALL)
+        SELECT map_id, label, any_value(cells) AS cells, round(min(u * v), 6) AS area FROM e JOIN n USING (map_id, label) WHERE low >= 0 AND high > 0 GROUP BY map_id, label""",
     "F-15": BOUNDS + " SELECT map_id, box_no, label, round(x0, 4) AS x0, round(y0, 4) AS y0, round(x2, 4) AS x2, round(y2, 4) AS y2 FROM num",
     "T-06": BOUNDS + " SELECT map_id, box_no, label FROM num",
     "U-01": PX + " SELECT image_id, round(white, 6) AS white, round(black, 6) AS black, sampled FROM shares",

@@ -21,9 +21,9 @@ OUT = "{key} {type}, event_id bigint, strike bigint, evicts boolean, tried boole
 STATE = "fails bigint, cold bigint, down boolean, seen bigint"
 
 
-def _batch(frames: Iterator[pd.DataFrame], order: str, seen: int) -> pd.DataFrame:
+def _batch(frames: Iterator[pd.DataFrame], order: list[str], seen: int) -> pd.DataFrame:
     rows = pd.concat(list(frames), ignore_index=True).sort_values(order, kind="stable")
-    return rows[rows[order] > seen]
+    return rows[rows[order[0]] >= seen]
 
 
 def _typed(df: DataFrame, key: str) -> str:
@@ -40,7 +40,7 @@ def watch(attempts: DataFrame, key: str, wait_ms: int = fixed.COOLDOWN_MS, strik
     def step(owner, frames, state):
         fails, cold, down, seen = state.get if state.exists else (0, 0, False, -1)
         out = []
-        for row in _batch(frames, "us", seen).itertuples(index=False):
+        for row in _batch(frames, ["us", "event_id"], seen).itertuples(index=False):
             tried = row.us >= cold
             if tried:
                 cold = row.us + wait if row.failed else 0
@@ -66,7 +66,7 @@ def replay(log: DataFrame, key: str) -> DataFrame:
     def step(owner, frames, state):
         text, seen = state.get if state.exists else ("[]", -1)
         desk = Desk(json.loads(text))
-        for row in _batch(frames, "seq", seen).itertuples(index=False):
+        for row in _batch(frames, ["seq"], seen).itertuples(index=False):
             desk.apply(*edit_args(row))
             seen = row.seq
         state.update((json.dumps(desk.sheets()), int(seen)))

@@ -27,6 +27,12 @@ def test_debounce_joins_quick_turns(rows):
         assert got == {("a", at(0)): (3, 90, at(2.9)), ("a", at(10)): (1, 90, at(10)), ("b", at(1)): (1, 270, at(1))}
 
 
+def test_turns_at_the_same_instant_share_a_session(rows):
+    turns = rows([("a", at(0), 90), ("a", at(0), 90), ("a", at(9), 90), ("a", at(9), 270)], "k string, ts timestamp, deg bigint")
+    got = {(r.session_start, r.turns, r.degrees) for r in op.quiet_sessions(turns, "k", bucket_s=2).collect()}
+    assert got == {(at(0), 2, 180), (at(9), 2, 0)}
+
+
 def test_commit_cancels_only_what_is_pending(rows):
     turns = rows([("a", at(0), 90), ("a", at(10), 90), ("a", at(20), 90), ("a", at(21), 90), ("b", at(0), 90)], "k string, ts timestamp, deg bigint")
     commits = rows([("a", at(1)), ("a", at(12)), ("a", at(20.5)), ("c", at(0))], "k string, ts timestamp")
@@ -71,6 +77,15 @@ def test_cooldown_examples(rows):
     assert [r.tried for r in got] == [True, False, False, True, False, True, True]
 
 
+def test_equal_times_follow_the_sequence(rows):
+    data = [("m", 0, True), ("m", 0, False), ("m", 5, True), ("m", 60, False), ("m", 60, True), ("m", 61, True)]
+    df = _attempts(rows, data)
+    got = sorted(op.cooldown(df, "k").collect(), key=lambda r: r.event_id)
+    assert [r.tried for r in got] == _fold(data, 60)
+    strikes = sorted(op.strikes(df, "k", bucket_s=1).collect(), key=lambda r: r.event_id)
+    assert [r.strike for r in strikes] == [1, None, 1, None, 1, 2]
+
+
 @pytest.mark.parametrize("slice_s", [60, 200, 3600])
 def test_cooldown_of_a_hot_key_in_slices(rows, slice_s):
     """One key with traffic that never pauses, cut into slices, against a plain fold."""
