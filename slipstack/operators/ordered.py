@@ -1,9 +1,10 @@
 """Ordered per-key computations that survive one huge key.
 
 A plain window over ``partitionBy(key)`` sends a whole key to one task.  Here
-each key is cut into buckets along its order, the window runs per bucket, and
-only one summary row per bucket is ever put in order over the whole key.  The
-summaries are aggregated map-side before they move.
+a large key is cut into buckets along its order, the window runs per bucket, and
+only one summary row per bucket is ever put in order over the whole key.  Small
+keys stay in one bucket.  Counts and summaries are aggregated map-side before they
+move.
 """
 
 from __future__ import annotations
@@ -12,6 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOUR = 3600
+# Keys with more rows than this are cut.  There can be at most one such key per
+# HOT_ROWS rows of input, which bounds the broadcast list of them.
+HOT_ROWS = 1_000_000
 
 
 def by_number(column: str, width: int = 4096) -> Column:
@@ -28,6 +32,15 @@ def by_time(column: str, seconds: int = HOUR) -> Column:
     return F.floor(F.unix_seconds(F.col(column)) / seconds)
 
 
+def _large_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    return (
+        df.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .filter(F.col("_rows") > HOT_ROWS)
+        .select(*keys, F.lit(True).alias("_large"))
+    )
+
+
 def running(
     df: DataFrame,
     keys: list[str],
@@ -51,30 +64,37 @@ def running(
     sums, maxes, previous = sums or {}, maxes or {}, previous or {}
     for name, column in {**sums, **maxes, **previous}.items():
         df = df.withColumn(f"_in_{name}", column)
-    df = df.withColumn("_bucket", bucket)
+    large = F.broadcast(_large_keys(df, keys))
+    whole = F.lit(0).cast("bigint")
+    df = df.join(large, keys, "left").withColumn(
+        "_bucket", F.when(F.col("_large"), bucket.cast("bigint")).otherwise(whole)
+    )
 
     last = F.struct(*order)
     aggregates = [F.count(F.lit(1)).alias("_n")]
     aggregates += [F.sum(f"_in_{n}").alias(f"_s_{n}") for n in sums]
     aggregates += [F.max(f"_in_{n}").alias(f"_m_{n}") for n in maxes]
     aggregates += [F.max_by(F.struct(f"_in_{n}"), last).alias(f"_p_{n}") for n in previous]
-    summary = df.groupBy(*keys, "_bucket").agg(*aggregates)
+    # Small keys have one bucket and need nothing carried into it.
+    summary = df.filter(F.col("_large")).groupBy(*keys, "_bucket").agg(*aggregates)
 
     chain = Window.partitionBy(*keys).orderBy("_bucket")
     before = chain.rowsBetween(Window.unboundedPreceding, -1)
-    carried = [F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")]
-    if count:
-        carried.append(F.sum("_n").over(Window.partitionBy(*keys)).alias(count))
-    carried += [F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_s_{n}") for n in sums]
+    carried = [F.sum("_n").over(before).alias("_before")]
+    carried.append(F.sum("_n").over(Window.partitionBy(*keys)).alias("_all"))
+    carried += [F.sum(f"_s_{n}").over(before).alias(f"_s_{n}") for n in sums]
     carried += [F.max(f"_m_{n}").over(before).alias(f"_m_{n}") for n in maxes]
     carried += [F.lag(f"_p_{n}").over(chain)[f"_in_{n}"].alias(f"_p_{n}") for n in previous]
     summary = summary.select(*keys, "_bucket", *carried)
     if per_key is not None:
-        summary = summary.join(per_key, keys, "left")
+        small = per_key.join(large, keys, "left_anti").withColumn("_bucket", whole)
+        summary = summary.join(per_key, keys, "left").unionByName(small, allowMissingColumns=True)
 
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = df.withColumn("_row", F.row_number().over(inside))
+    rows = df.drop("_large").withColumn("_row", F.row_number().over(inside))
+    if count:
+        rows = rows.withColumn("_here", F.count(F.lit(1)).over(Window.partitionBy(*keys, "_bucket")))
     for n in sums:
         rows = rows.withColumn(f"_in_{n}", F.sum(f"_in_{n}").over(upto))
     for n in maxes:
@@ -83,18 +103,23 @@ def running(
     for n in previous:
         rows = rows.withColumn(f"_in_{n}", F.lag(f"_in_{n}").over(inside))
 
-    out = rows.join(summary, [*keys, "_bucket"])
+    out = rows.join(summary, [*keys, "_bucket"], "left")
+    nothing = F.lit(0)
     if rank:
-        out = out.withColumn(rank, F.col("_before") + F.col("_row"))
+        out = out.withColumn(rank, F.coalesce(F.col("_before"), nothing) + F.col("_row"))
+    if count:
+        out = out.withColumn(count, F.coalesce(F.col("_all"), F.col("_here")))
     for n in sums:
-        out = out.withColumn(n, F.col(f"_s_{n}") + F.coalesce(F.col(f"_in_{n}"), F.lit(0)))
+        out = out.withColumn(
+            n, F.coalesce(F.col(f"_s_{n}"), nothing) + F.coalesce(F.col(f"_in_{n}"), nothing)
+        )
     for n in maxes:
         out = out.withColumn(n, F.greatest(f"_m_{n}", f"_in_{n}"))
     for n in previous:
         out = out.withColumn(
             n, F.when(F.col("_row") == 1, F.col(f"_p_{n}")).otherwise(F.col(f"_in_{n}"))
         )
-    helpers = ["_bucket", "_row", "_before"]
+    helpers = ["_bucket", "_row", "_before", "_all", "_here"]
     helpers += [f"_in_{n}" for n in (*sums, *maxes, *previous)]
     helpers += [f"_s_{n}" for n in sums] + [f"_m_{n}" for n in maxes] + [f"_p_{n}" for n in previous]
     return out.drop(*helpers)

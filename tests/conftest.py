@@ -18,6 +18,14 @@ def spark():
     session.stop()
 
 
+@pytest.fixture(autouse=True)
+def small_large_keys(monkeypatch):
+    """Keys of more than twenty rows count as large, so both ways are exercised."""
+    from slipstack.operators import ordered
+
+    monkeypatch.setattr(ordered, "HOT_ROWS", 20)
+
+
 @pytest.fixture
 def rows(spark):
     """rows(list of tuples, schema) -> DataFrame."""

@@ -8,10 +8,16 @@ from pyspark.sql import functions as F
 
 from slipstack.functions.desk import Desk
 from slipstack.operators import events as op
+from slipstack.operators import ordered
 
 T0 = dt.datetime(2024, 1, 1, 12)
 
 
+@pytest.fixture(autouse=True)
+def every_key_is_large(monkeypatch, small_large_keys):
+    monkeypatch.setattr(ordered, "HOT_ROWS", 1)
+
+
 def at(seconds: float) -> dt.datetime:
     return T0 + dt.timedelta(seconds=seconds)
 
