@@ -56,6 +56,12 @@ INPUTS = {
                CASE WHEN max(l_linenumber) > 2 THEN CAST(floor(max(l_extendedprice) * 100 + 0.5) AS BIGINT) END AS new_cents,
                min(l_returnflag) AS flag
         FROM {lineitem} GROUP BY l_orderkey""",
+    # The same as a stream of single results: several may reach one receipt.
+    "late_lines": """
+        SELECT l_orderkey AS receipt_id, (l_linenumber * CAST(1000000 AS BIGINT) + l_partkey) * 1000000 + l_suppkey AS seq,
+               CASE WHEN l_returnflag <> 'N' THEN CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) END AS new_cents,
+               l_returnflag AS flag
+        FROM {lineitem}""",
     # Dropped files: one per part, batch = part type.
     "files": """
         SELECT p_type AS batch_id, p_partkey AS seq,

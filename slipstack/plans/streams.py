@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from slipstack.functions.amounts import collapse_spaces
 from slipstack.plans import events as batch
 from slipstack.plans import intake as files
-from slipstack.plans.inputs import load_stream
+from slipstack.plans.inputs import cte, load, load_stream
 from slipstack.streaming import attempts, debounce
 from slipstack.streaming.intake import start_intake
 from slipstack.streaming.runner import drain_to_table, scratch
+from slipstack.streaming.totals import start_applying
 
 
 def r01(spark, d):
@@ -51,18 +53,35 @@ def r12(spark, d):
     return _watched(spark, d).filter("alert").select("event_id", "user_id")
 
 
+def r08(spark, d):
+    """Line results applied to a receipts table as they arrive; some saw another text."""
+    folder = scratch(spark, "totals")
+    bucket = F.pmod("receipt_id", F.lit(8)).alias("bucket")
+    receipts = load(spark, d, "receipts").select("receipt_id", "text", "cents", "draft", "removed", bucket)
+    receipts.write.partitionBy("bucket").parquet(f"{folder}/receipts")
+    now = receipts.select("receipt_id", collapse_spaces(F.col("text")).alias("_t"))
+    results = load_stream(spark, d, "late_lines").join(now, "receipt_id").select(
+        bucket, "receipt_id", "seq", "new_cents",
+        F.when(F.col("flag") == "R", F.concat("_t", F.lit(" !"))).otherwise(F.col("_t")).alias("seen_text"),
+    )
+    start_applying(spark, results, f"{folder}/receipts", folder).awaitTermination()
+    return spark.read.parquet(f"{folder}/receipts").select("receipt_id", "cents")
+
+
 def r15(spark, d):
     played = drain_to_table(attempts.replay(batch.edit_log(_tries(spark, d)), "batch_id"), scratch(spark, "replay"))
     newest = played.groupBy("batch_id").agg(F.max("version").alias("version"))
     return played.join(newest, ["batch_id", "version"], "left_semi").drop("version")
 
 
-QUERIES = {"R-01": r01, "R-03-stream": r03, "R-09-stream": r09, "R-10-stream": r10, "R-12-stream": r12, "R-15-stream": r15}
+QUERIES = {"R-01": r01, "R-03-stream": r03, "R-08-stream": r08, "R-09-stream": r09, "R-10-stream": r10, "R-12-stream": r12, "R-15-stream": r15}
 
 ORACLES = {
     "R-01": files.WITH + "SELECT batch_id, seq, CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejects' END AS side FROM judged",
     # The watermark is the latest turn: a session is closed once its end lies before it.
     "R-03-stream": batch.TURNS + " SELECT * FROM sess WHERE last_us + 21600000000 <= (SELECT max(us) // 1000 * 1000 FROM turns)",
+    "R-08-stream": cte("receipts", "late_lines") + """SELECT receipt_id, CASE WHEN cents IS NULL AND coalesce(draft, '') = '' AND NOT removed THEN found ELSE cents END AS cents
+        FROM receipts LEFT JOIN (SELECT receipt_id, arg_min(new_cents, seq) AS found FROM late_lines WHERE flag = 'A' GROUP BY receipt_id) USING (receipt_id)""",
     "R-09-stream": batch.ORACLES["R-09"],
     "R-10-stream": batch.ORACLES["R-10"],
     "R-12-stream": batch.ORACLES["R-12"],
