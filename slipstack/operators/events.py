@@ -227,7 +227,8 @@ def cooldown(
     ``attempts`` is ``key, ts, failed`` and a sequence number, unique per key, that
     orders equal times.  Refused requests do
     not extend the wait and a success clears it.  A pause of at least the wait starts
-    afresh, so bursts are independent.
+    afresh, so bursts are independent.  Calling this runs jobs: the bursts are written
+    to the checkpoint folder, because several steps read them.
     """
     wait = wait_ms * 1000
     slice_us = max(slice_s * 1_000_000, wait)

@@ -12,7 +12,8 @@ from slipstack.plans.inputs import cte, load, table
 BASE = ((20, 15), (180, 15), (180, 85), (20, 85))
 
 
-def _points(spark, d, order=(0, 1, 2, 3)):
+def shaken(spark, d, order=(0, 1, 2, 3)):
+    """One quad per embedding; ``order`` shuffles the corners of ``points``."""
     v = F.col("embedding")
     rows = table(spark, d, "embeddings")
     for i, (x, y) in enumerate(BASE):
@@ -32,14 +33,14 @@ def _flat(points, digits: int = 6):
 
 
 def c15(spark, d):
-    return _points(spark, d).select("vec_id", op.is_convex(op.corners()).alias("convex"))
+    return shaken(spark, d).select("vec_id", op.is_convex(op.corners()).alias("convex"))
 
 
 def c16(spark, d):
     quad = op.corners()
     w, h = op.output_size(quad)
     top, right, bottom, left = op.sides(quad)
-    return _points(spark, d).select(
+    return shaken(spark, d).select(
         "vec_id", F.round(op.area(quad), 6).alias("area"), F.round(top, 6).alias("top"), F.round(right, 6).alias("right_"),
         F.round(bottom, 6).alias("bottom"), F.round(left, 6).alias("left_"), w.alias("out_w"), h.alias("out_h"),
     )
@@ -48,31 +49,31 @@ def c16(spark, d):
 def f13(spark, d):
     sure = [F.col(f"c{i}") for i in range(4)]
     good = op.is_plausible(op.corners(), sure, F.lit(200.0), F.lit(100.0))
-    return _points(spark, d).select("vec_id", good.alias("plausible"))
+    return shaken(spark, d).select("vec_id", good.alias("plausible"))
 
 
 def t03(spark, d):
-    return _points(spark, d, (2, 0, 3, 1)).withColumn("q", op.order_by_x(F.col("points"))).select("vec_id", *_flat(F.col("q")))
+    return shaken(spark, d, (2, 0, 3, 1)).withColumn("q", op.order_by_x(F.col("points"))).select("vec_id", *_flat(F.col("q")))
 
 
 def t04(spark, d):
-    return _points(spark, d, (2, 0, 3, 1)).withColumn("q", op.order_by_angle(F.col("points"))).select("vec_id", *_flat(F.col("q")))
+    return shaken(spark, d, (2, 0, 3, 1)).withColumn("q", op.order_by_angle(F.col("points"))).select("vec_id", *_flat(F.col("q")))
 
 
 def c17(spark, d):
-    return _points(spark, d).withColumn("q", op.unclip(F.col("points"))).select("vec_id", *_flat(F.col("q"), 3))
+    return shaken(spark, d).withColumn("q", op.unclip(F.col("points"))).select("vec_id", *_flat(F.col("q"), 3))
 
 
 def c18(spark, d):
     scaled = op.scale_clamp(op.corners(), F.lit(200.0), F.lit(100.0), F.lit(160.0), F.lit(160.0))
-    rows = _points(spark, d).withColumn("q", op.to_points(scaled))
+    rows = shaken(spark, d).withColumn("q", op.to_points(scaled))
     return rows.select(
         "vec_id", (op.area(op.from_points(F.col("q"))) >= fixed.MIN_BOX_AREA).alias("kept"), *_flat(F.col("q"))
     )
 
 
 def c20(spark, d):
-    return _points(spark, d).withColumn("q", op.to_points(op.shift(op.corners()))).select("vec_id", *_flat(F.col("q")))
+    return shaken(spark, d).withColumn("q", op.to_points(op.shift(op.corners()))).select("vec_id", *_flat(F.col("q")))
 
 
 def _sizes(spark, d):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from slipstack.functions import pixels as px
 from slipstack.functions import quads
 from slipstack.operators import grids as op
-from slipstack.plans.geometry import _points
+from slipstack.plans import geometry as geo
 from slipstack.plans.inputs import table
 
 
@@ -122,7 +122,7 @@ def _boxes(spark, d):
     small = F.transform(
         "points", lambda p: F.struct((p["x"] / 25).alias("x"), (p["y"] / 12.5).alias("y"))
     )
-    return _points(spark, d).select(
+    return geo.shaken(spark, d).select(
         F.col("vec_id").alias("map_id"), F.lit(0).alias("channel"), F.col("vec_id").alias("label"), small.alias("quad")
     )
 
@@ -255,8 +255,6 @@ RUN_LABELS = "JOIN labels l ON l.map_id = r.map_id AND l.channel = r.channel AND
 SUMS = HEAT + _reach(FOUR) + """, comp AS (SELECT map_id, channel, label, count(*) AS cells, sum(p) AS mass, sum(x * p) / sum(p) AS cx, sum(y * p) / sum(p) AS cy
  FROM hot JOIN labels USING (map_id, channel, pos) GROUP BY ALL),
  pts AS (SELECT map_id, channel, (arg_max(cx, (mass, -label)) + 0.5) / 4 * 100 AS x, (arg_max(cy, (mass, -label)) + 0.5) / 4 * 60 AS y FROM comp GROUP BY map_id, channel)"""
-from slipstack.plans import geometry as geo  # noqa: E402
-
 SMALL = geo.P + ", b AS (SELECT vec_id, " + ", ".join(f"x{i} / 25 AS x{i}, y{i} / 12.5 AS y{i}" for i in range(4)) + " FROM p)"
 INSIDE = " AND ".join(
     f"((x{b} - x{a}) * (y - y{a}) - (y{b} - y{a}) * (x - x{a})) * sgn >= 0" for a, b in geo.NEXT

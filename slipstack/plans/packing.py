@@ -101,14 +101,12 @@ def f19(spark, d):
     return op.non_empty(_sheets(spark, d), _placed(spark, d)).select("batch_id", "sheet_no")
 
 
-CODES = (
-    "CASE st WHEN 'F' THEN CAST(receipt_id AS STRING) WHEN 'O' THEN CASE WHEN pr = '2-HIGH' THEN '' ELSE CAST(receipt_id AS STRING) || 'a' END ELSE '77' END AS code, "
-    "st <> 'P' AS active"
-)
+CODE = "CASE st WHEN 'F' THEN CAST(receipt_id AS STRING) WHEN 'O' THEN CASE WHEN pr = '2-HIGH' THEN '' ELSE CAST(receipt_id AS STRING) || 'a' END ELSE '77' END AS code"
+ACTIVE = "st <> 'P' AS active"
 
 
 def _codes(spark, d):
-    return load(spark, d, "receipts").selectExpr("receipt_id", "batch_id", CODES.split(", st <>")[0], "st <> 'P' AS active", "pr")
+    return load(spark, d, "receipts").selectExpr("receipt_id", "batch_id", "pr", CODE, ACTIVE)
 
 
 def f18(spark, d):
@@ -187,7 +185,7 @@ MANIFEST = (
     "coalesce(lag(sheet_no) OVER (PARTITION BY batch_id ORDER BY sheet_no, slot) <> sheet_no, false) AS page_break "
     f"FROM {FITTED})"
 )
-CODED = cte("receipts").rstrip() + f",\n coded AS (SELECT receipt_id, batch_id, pr, {CODES} FROM receipts)\n"
+CODED = cte("receipts").rstrip() + f",\n coded AS (SELECT receipt_id, batch_id, pr, {CODE}, {ACTIVE} FROM receipts)\n"
 VALID = "(NOT active OR regexp_full_match(code, '[0-9]+'))"
 TARGET = f"""st AS (SELECT s.*, coalesce(u.n, 0) AS used FROM ({SHEETS_CAP}) s LEFT JOIN (SELECT batch_id, sheet_no, count(*) AS n FROM within GROUP BY ALL) u USING (batch_id, sheet_no)),
  target AS (SELECT batch_id, coalesce(min(sheet_no) FILTER (used < cap), max(sheet_no)) AS t, max(sheet_no) AS last FROM st GROUP BY batch_id),
