@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from slipstack import fixed
 from slipstack.functions.amounts import collapse_spaces, has_text, parse_amount, well_formed, with_fast_total
 from slipstack.functions.desk import Desk
-from slipstack.operators.ordered import HOUR, by_number, by_time, running, sessions
+from slipstack.operators.ordered import HOUR, by_number, by_time, large_keys, running, sessions
 from slipstack.session import cut_lineage
 
 
@@ -130,11 +130,11 @@ def strikes(
     ``attempts`` is ``key, ts, failed`` and a sequence number that orders equal times.
     The position is the running count of failures less that count at the latest success.
     """
-    bucket, order = by_time("ts", bucket_s), ["ts", seq]
+    bucket, order, large = by_time("ts", bucket_s), ["ts", seq], large_keys(attempts, [key])
     bad = F.col("failed").cast("bigint")
-    counted = running(attempts, [key], order, bucket, sums={"_fails": bad})
+    counted = running(attempts, [key], order, bucket, sums={"_fails": bad}, large=large)
     based = running(
-        counted, [key], order, bucket, maxes={"_base": F.when(~F.col("failed"), F.col("_fails"))}
+        counted, [key], order, bucket, maxes={"_base": F.when(~F.col("failed"), F.col("_fails"))}, large=large
     )
     position = F.when(F.col("failed"), F.col("_fails") - F.coalesce(F.col("_base"), F.lit(0)))
     return based.withColumn("strike", F.when(F.col("failed"), F.pmod(position - 1, F.lit(limit)) + 1)).withColumn(

@@ -32,7 +32,8 @@ def by_time(column: str, seconds: int = HOUR) -> Column:
     return F.floor(F.unix_seconds(F.col(column)) / seconds)
 
 
-def _large_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+def large_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys to cut, for callers that take several running values in a row."""
     return (
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_rows"))
@@ -53,6 +54,7 @@ def running(
     maxes: dict[str, Column] | None = None,
     previous: dict[str, Column] | None = None,
     per_key: DataFrame | None = None,
+    large: DataFrame | None = None,
 ) -> DataFrame:
     """Add running values of ``keys`` in ``order``.
 
@@ -60,11 +62,12 @@ def running(
     is the size of the key, ``sums`` include the current row, ``maxes`` also its ties,
     ``previous`` reads the row before.  ``per_key`` (one row per key) is attached
     through the bucket summaries, so that a hot key does not become a hot join key.
+    ``large`` saves the count when the keys to cut are already known.
     """
     sums, maxes, previous = sums or {}, maxes or {}, previous or {}
     for name, column in {**sums, **maxes, **previous}.items():
         df = df.withColumn(f"_in_{name}", column)
-    large = F.broadcast(_large_keys(df, keys))
+    large = F.broadcast(large_keys(df, keys) if large is None else large)
     whole = F.lit(0).cast("bigint")
     df = df.join(large, keys, "left").withColumn(
         "_bucket", F.when(F.col("_large"), bucket.cast("bigint")).otherwise(whole)
@@ -130,10 +133,10 @@ def sessions(df: DataFrame, key: str, ts: str, gap_us: int, bucket: Column, star
 
     Two rows exactly one gap apart share a session.
     """
-    micros = F.unix_micros(F.col(ts))
-    stepped = running(df, [key], [ts], bucket, previous={"_before_us": micros})
+    micros, large = F.unix_micros(F.col(ts)), large_keys(df, [key])
+    stepped = running(df, [key], [ts], bucket, previous={"_before_us": micros}, large=large)
     opens = F.col("_before_us").isNull() | (micros - F.col("_before_us") > gap_us)
     stepped = stepped.withColumn("_opens", F.when(opens, F.col(ts)))
-    return running(stepped, [key], [ts], bucket, maxes={start: F.col("_opens")}).drop(
+    return running(stepped, [key], [ts], bucket, maxes={start: F.col("_opens")}, large=large).drop(
         "_before_us", "_opens"
     )
