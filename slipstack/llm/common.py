@@ -100,3 +100,23 @@ def components(edges: DataFrame, log: Callable[[str], None] | None = None) -> Da
             log("step")
         if not changed and following.groupBy("a").count().where("count > 1").isEmpty():
             return following.select(F.col("a").alias("node"), F.col("b").alias("component"))
+
+
+def lookup(left: DataFrame, right: DataFrame, key: str, how: str = "left", salts: int = 64) -> DataFrame:
+    """Join ``right`` (one row per key, with the size of the group in ``n``) to the rows of ``left``.
+
+    Keys with a thousandth of all rows or more, thus a thousand at most, are spread over salts on the
+    left and repeated on the right; all others join as they are. ``right`` should be a stored table.
+    """
+    rows = right.agg(F.sum("n")).first()[0] or 0
+    least = max(10_000, rows // 1000)
+    hot = right.where(F.col("n") >= least).select(F.col(key), F.lit(True).alias("_hot"))
+    if hot.isEmpty():
+        return left.join(right.drop("n"), key, how)
+    salted = left.join(F.broadcast(hot), key, "left").withColumn(
+        "_salt", F.when(F.col("_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(salts))).otherwise(F.lit(0)).cast("int")
+    )
+    spread = right.withColumn(
+        "_salt", F.explode(F.when(F.col("n") >= least, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
+    )
+    return salted.join(spread.drop("n"), [key, "_salt"], how).drop("_salt", "_hot")

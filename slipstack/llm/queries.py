@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slipstack.llm import lattice
+from slipstack.llm import lattice, packing, redirects, vafile, warc
 from slipstack.llm.common import table
 
 
@@ -14,8 +14,29 @@ def op1_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score(lattice.with_held_out(table(spark, sf_dir, "documents")))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op7_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redirects.judge(table(spark, sf_dir, "pages"))
+
+
+def op8_vafile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vafile.integers(table(spark, sf_dir, "embeddings"))
+    return vafile.search(rows, rows.where("vec_id % 100 = 0"), 10)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.counted(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lattice": op1_lattice,
+    "op2_warc": op2_warc,
+    "op7_redirects": op7_redirects,
+    "op8_vafile": op8_vafile,
+    "op9_packing": op9_packing,
 }
 
 ORACLES: dict[str, str] = {}
