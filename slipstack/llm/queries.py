@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slipstack.llm import lattice, packing, redirects, vafile, warc
+from slipstack.llm import decontam, lattice, licenses, minhash, packing, redirects, toxicity, vafile, warc
 from slipstack.llm.common import table
 
 
@@ -18,6 +18,18 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redirects.judge(table(spark, sf_dir, "pages"))
 
@@ -31,12 +43,20 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.counted(table(spark, sf_dir, "documents")))
 
 
+def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lattice": op1_lattice,
     "op2_warc": op2_warc,
+    "op4_minhash": op4_minhash,
+    "op5_licenses": op5_licenses,
+    "op6_toxicity": op6_toxicity,
     "op7_redirects": op7_redirects,
     "op8_vafile": op8_vafile,
     "op9_packing": op9_packing,
+    "op10_decontam": op10_decontam,
 }
 
 ORACLES: dict[str, str] = {}
