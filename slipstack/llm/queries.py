@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slipstack.llm import decontam, lattice, licenses, minhash, packing, redirects, toxicity, vafile, warc
+from slipstack.llm import decontam, lattice, licenses, minhash, packing, redirects, suffixes, toxicity, vafile, warc
 from slipstack.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(table(spark, sf_dir, "documents"))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lattice": op1_lattice,
     "op2_warc": op2_warc,
+    "op3_suffixes": op3_suffixes,
     "op4_minhash": op4_minhash,
     "op5_licenses": op5_licenses,
     "op6_toxicity": op6_toxicity,
