@@ -5,9 +5,9 @@ may differ. Hashes of all seeds of the benchmark meet the hashes of all seeds of
 each hit the two texts are compared word by word, to both sides, as far as the agreement carries over
 substitutions; a long enough overlap of high enough identity is a leak.
 
-Scale: documents are exploded and filtered inside the scan stage; only verified overlaps are shuffled.
-The seeds of the benchmark are broadcast after they have been counted and found few; beyond that both
-sides meet in a shuffle join of slim rows (id, place, hash), and the texts of hits are joined back.
+Scale: documents are exploded in short parts and filtered inside the scan stage; only hits are
+shuffled, as ids and places. The seeds of the benchmark, its items and the hits are broadcast after they
+have been counted and found few; beyond that they meet the documents in shuffle joins.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ SPAN = 12
 FEWEST = 5
 OVERLAP = 13
 IDENTITY = 0.8
-MOST_BROADCAST = 1_000_000
+MOST_BROADCAST = 500_000
+PART = 64
 MATCH, MISS, DROP = 1, -2, -8
 
 
@@ -34,15 +35,23 @@ def hashed(text: Column) -> Column:
 
 
 def seed(mask: str, at: Column) -> Column:
-    """Hash of the words of column h that a mask looks at; null where the window leaves the text."""
+    """Hash of the words of column part that a mask looks at; null where the window leaves the part."""
     looked = [at + i for i, c in enumerate(mask) if c == "1"]
-    return F.when(at + len(mask) <= F.size("h"), F.xxhash64(F.lit(mask), *[F.get("h", i) for i in looked]))
+    return F.when(at + len(mask) <= F.size("part"), F.xxhash64(F.lit(mask), *[F.get("part", i) for i in looked]))
 
 
 def seeds(rows: DataFrame, masks: list[str]) -> DataFrame:
-    """One row per place and mask: the columns of ``rows`` and place, seed. ``rows`` has h."""
-    placed = rows.where("size(h) > 0").withColumn("place", F.explode(F.sequence(F.lit(0), F.size("h") - 1)))
-    return placed.withColumn("seed", F.explode(F.array(*[seed(m, F.col("place")) for m in masks]))).where("seed is not null")
+    """One row per place and mask of ``rows(id, h)``: id, place, seed.
+
+    Texts are cut into short parts that overlap by a mask first, so that what a row carries while it is
+    exploded is small however long its text is.
+    """
+    firsts = F.when(F.size("h") > 0, F.sequence(F.lit(0), F.size("h") - 1, F.lit(PART)))
+    parts = rows.select("id", F.explode(F.transform(firsts, lambda s: F.struct(s.alias("first"), F.slice("h", s + 1, PART + SPAN - 1).alias("part")))).alias("p"))
+    parts = parts.select("id", "p.first", "p.part")
+    placed = parts.withColumn("at", F.explode(F.sequence(F.lit(0), F.least(F.size("part"), F.lit(PART)) - 1)))
+    each = placed.select("id", (F.col("first") + F.col("at")).alias("place"), F.explode(F.array(*[seed(m, F.col("at")) for m in masks])).alias("seed"))
+    return each.where("seed is not null")
 
 
 def reach(doc: Column, item: Column) -> Column:
@@ -70,6 +79,11 @@ def reach(doc: Column, item: Column) -> Column:
     return F.aggregate(same, zero, step, lambda s: F.struct(s["words"].alias("words"), s["good"].alias("matches")))
 
 
+def small(df: DataFrame, most: int) -> DataFrame:
+    """Marked for broadcast if it has been counted and found small; else Spark chooses."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, overlap: int = OVERLAP, identity: float = IDENTITY, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """Overlaps of ``docs(doc_id, text)`` with ``benchmark(item_id, text)``.
 
@@ -89,18 +103,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, overlap: int = OVERLAP, identit
     short = sorted(r[0] for r in items.where(F.size("h") < SPAN).select(F.size("h")).distinct().collect())  # 7 lengths at most
     masks = [*MASKS, *("1" * n for n in short)]
     item_seeds = stored(
-        seeds(items, masks)
-        .select("seed", "item_id", "n_items", F.col("h").alias("item"), F.col("place").alias("item_place"))
+        seeds(items.select(F.col("item_id").alias("id"), "h"), masks).select("seed", F.col("id").alias("item_id"), F.col("place").alias("item_place"))
+    )
+    rows = docs.select(F.col("doc_id").alias("id"), "text")
+    placed = seeds(rows.select("id", hashed(F.col("text")).alias("h")), masks)
+    hits = placed.join(small(item_seeds, most_broadcast), "seed")
+    # Hits along one diagonal of a document and an item; no more than the item has places.
+    hits = stored(
+        hits.select("id", "item_id", (F.col("place") - F.col("item_place")).alias("shift"), "item_place")
+        .groupBy("id", "item_id", "shift")
+        .agg(F.collect_set("item_place").alias("item_places"))
+    )
+    whole = small(items.select("item_id", "n_items", F.col("h").alias("item")), most_broadcast)
+    met = rows.join(small(hits, most_broadcast), rows["id"].eqNullSafe(hits["id"])).select(
+        rows["id"].alias("doc_id"), "text", "item_id", "shift", "item_places"
+    )
+    hits = (
+        met.join(whole, "item_id")
+        .withColumn("h", hashed(F.col("text")))
+        .drop("text")
+        .withColumn("item_place", F.explode("item_places"))
+        .withColumn("place", F.col("shift") + F.col("item_place"))
+        .where(F.col("place") < F.size("h"))
     )
-    rows = docs.select("doc_id", hashed(F.col("text")).alias("h"))
-    placed = seeds(rows, masks)
-    if item_seeds.count() <= most_broadcast:
-        hits = placed.join(F.broadcast(item_seeds), "seed")
-    else:
-        slim = placed.select("doc_id", "place", "seed").join(item_seeds.drop("item", "n_items"), "seed")
-        once = slim.select("doc_id", "item_id", "place", "item_place").distinct()
-        whole = items.select("item_id", "n_items", F.col("h").alias("item"))
-        hits = once.join(whole, "item_id").join(rows, "doc_id")
     left_size = F.least("place", "item_place")
     before = lambda name, at: F.reverse(F.slice(name, at - left_size + 1, left_size))
     after = lambda name, at: F.slice(name, at + 1, F.size(F.col(name)))
@@ -118,11 +143,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, overlap: int = OVERLAP, identit
         n_words.alias("n_words"),
         matching.alias("n_matching"),
         F.size("item").alias("item_words"),
-    ).where((F.col("n_words") >= F.least(F.lit(overlap), F.col("item_words"))) & (F.col("n_matching") >= identity * F.col("n_words")))
-    order = F.struct("n_matching", -F.col("n_words"), -F.col("doc_start"), -F.col("item_start"))
-    best = F.max_by(F.struct("doc_start", "item_start", "n_words", "n_matching"), order)
+    ).withColumn(
+        "leak", (F.col("n_words") >= F.least(F.lit(overlap), F.col("item_words"))) & (F.col("n_matching") >= identity * F.col("n_words"))
+    )
+    # Tested after the aggregation: as a filter before, it would be computed several times for each hit.
+    order = F.struct("leak", "n_matching", -F.col("n_words"), -F.col("doc_start"), -F.col("item_start"))
+    best = F.max_by(F.struct("leak", "doc_start", "item_start", "n_words", "n_matching"), order)
     return (
         found.groupBy("doc_id", "item_id")
         .agg(F.max("n_items").alias("n_items"), best.alias("best"))
-        .select("doc_id", "item_id", "n_items", "best.*")
+        .where("best.leak")
+        .select("doc_id", "item_id", "n_items", *[f"best.{x}" for x in ("doc_start", "item_start", "n_words", "n_matching")])
     )
