@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
-
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,39 +65,28 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def components(edges: DataFrame, log: Callable[[str], None] | None = None) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(a, b) edges -> (node, component): the smallest node that each can reach.
 
     Large-star and small-star steps in turn: every step replaces edges by links to the smallest
-    neighbour, so the number of edges does not grow and the depth falls geometrically. A node with a
-    very large number of neighbours is only ever aggregated with min and joined as the large side.
+    neighbour, so the number of edges does not grow and the depth falls geometrically. Ends when every
+    node but the roots has one link, to a root.
     """
     current = cut_lineage(
-        edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
     while True:
+        ends = current.select("a", F.lit(1).alias("up")).unionAll(current.select("b", F.lit(0)))
+        knots = ends.groupBy("a").agg(F.sum("up").alias("up"), F.count("*").alias("n")).where("up > 1 or (up = 1 and n > 1)")
+        if knots.isEmpty():
+            return current.select(F.col("a").alias("node"), F.col("b").alias("component"))
         both = current.unionAll(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = (
-            both.join(lowest, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        )
-        down = large.where("a > b")
+        down = both.join(lowest, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = (
-            down.join(least, "a")
-            .select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-            .select("e.*")
-            .where("a > b")
-            .distinct()
-        )
-        following = cut_lineage(small)
-        # Done when no node is both an end and a root: then each end has one root.
-        changed = not following.select("b").join(following.select(F.col("a").alias("b")), "b", "left_semi").isEmpty()
-        current = following
-        if log:
-            log("step")
-        if not changed and following.groupBy("a").count().where("count > 1").isEmpty():
-            return following.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        pair = lambda x: F.struct(F.col(x).alias("a"), F.col("m").alias("b"))
+        small = down.join(least, "a").select(F.explode(F.array(pair("a"), pair("b"))).alias("e")).select("e.*")
+        current = cut_lineage(small.where("a > b").distinct())
 
 
 def lookup(left: DataFrame, right: DataFrame, key: str, how: str = "left", salts: int = 64) -> DataFrame:

@@ -7,14 +7,14 @@ agree in a bin with the probability of their Jaccard similarity, and the number
 concentrated as with independent samples, at about one hash per shingle for large sets.
 
 Equal sets are one class. Classes that share all coordinates of a band meet in a bucket. Buckets are
-not turned into pairs: a bucket compares its members with one centre, which settles all that become
-linked; only members still apart from each other go on, with twice as many centres each round, until
-every pair of a bucket is either linked through others or was compared. A comparison looks at the
-sketches first, then at the full shingle sets of both texts.
+not turned into pairs. First every member is compared with the least member of its bucket, which joins
+nearly all that belong together. Buckets that share members and still hold several components are then
+searched inside tasks, in blocks: sketches first, then full sets, and only pairs not yet joined. What
+leaves a task are the links that join, never all pairs.
 
 Scale: rows that are shuffled are ids and hashes; texts move only for classes that share a bucket, and
-a comparison reads two texts at a time. Large classes and buckets are only aggregated or met through
-salted look-ups.
+a task holds two blocks at most. Large classes and buckets are only aggregated or met through salted
+look-ups.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from slipstack.llm.common import WordHashes, components, lookup, mixed, stored
 
@@ -36,8 +35,10 @@ ROWS = 5
 BINS = BANDS * ROWS
 NUMERATOR, DENOMINATOR = 85, 100
 #: Sketches that agree in fewer bins than this are not compared in full: at similarity 0.85 the
-#: expected number is 106 with a deviation of 4, so this lies ten deviations below.
-LEAST_AGREEING = 66
+#: expected number is 106 with a deviation of 4, so this lies seven deviations below.
+LEAST_AGREEING = 78
+GROUP = 500
+WHOLE_GROUP = 20_000
 AT_ONCE = 1_500_000
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 GOLDEN = 0x9E3779B97F4A7C15
@@ -148,13 +149,7 @@ def verified(pairs: DataFrame, sketches_of: DataFrame, texts: DataFrame) -> Data
                 if one != last:
                     last, centre = one, shingles(words.of(batch.column(2)[i].as_py().lower().split()))
                 other = shingles(words.of(batch.column(3)[i].as_py().lower().split()))
-                small, large = sorted((centre, other), key=len)
-                if DENOMINATOR * len(small) < NUMERATOR * len(large):
-                    continue
-                at = np.searchsorted(large, small)
-                at[at == len(large)] = 0
-                shared = int((large[at] == small).sum())
-                if DENOMINATOR * shared >= NUMERATOR * (len(small) + len(large) - shared):
+                if same_set(centre, other):
                     a.append(one)
                     b.append(two)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -167,58 +162,143 @@ def verified(pairs: DataFrame, sketches_of: DataFrame, texts: DataFrame) -> Data
     return near.join(tb, "b").join(ta, "a").select("a", "b", "s", "t").mapInArrow(compare, "a long, b long")
 
 
+def same_set(one: np.ndarray, two: np.ndarray) -> bool:
+    """Whether two sorted sets reach the similarity."""
+    small, large = sorted((one, two), key=len)
+    if DENOMINATOR * len(small) < NUMERATOR * len(large):
+        return False
+    at = np.searchsorted(large, small)
+    at[at == len(large)] = 0
+    shared = int((large[at] == small).sum())
+    return DENOMINATOR * shared >= NUMERATOR * (len(small) + len(large) - shared)
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all left with all right sets, by products of incidence matrices."""
+    values = np.concatenate([*left, *right])
+    owner = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    _, number, counts = np.unique(values, return_inverse=True, return_counts=True)
+    # Shingles of a single set add nothing.
+    fresh = np.cumsum(counts > 1) - 1
+    owner, number = owner[counts[number] > 1], fresh[number[counts[number] > 1]]
+    order = np.argsort(number, kind="stable")
+    owner, number = owner[order], number[order]
+    out = np.zeros((len(left), len(right)), np.float32)  # exact below 2**24
+    for start in range(0, int(number[-1]) + 1 if len(number) else 0, columns):
+        low, high = np.searchsorted(number, [start, start + columns])
+        part = np.zeros((len(left) + len(right), columns), np.float32)
+        part[owner[low:high], number[low:high] - start] = 1
+        out += part[: len(left)] @ part[len(left) :].T
+    return out.astype(np.int64)
+
+
+def joined(members: list[tuple[int, int, np.ndarray, bytes]], across: int, words: WordHashes) -> list[tuple[int, int]]:
+    """Links that join members (id, component, sketch, text) which are still apart.
+
+    Compares all pairs, or those of the first ``across`` members with the others if that is not zero.
+    Of the links between two components one is given.
+    """
+    drawn = np.stack([m[2] for m in members])
+    kind = np.array([m[1] for m in members])
+    left = np.arange(across or len(members))
+    right = np.arange(across, len(members))
+    close = np.zeros((len(left), len(right)), bool)
+    for i in left:
+        close[i] = ((drawn[right] == drawn[i]).sum(axis=1) >= LEAST_AGREEING) & (kind[right] != kind[i])
+        if not across:
+            close[i, : i + 1] = False
+    rows, columns = np.flatnonzero(close.any(axis=1)), np.flatnonzero(close.any(axis=0))
+    if not len(rows):
+        return []
+    made: dict[int, np.ndarray] = {}
+    for k in {*left[rows].tolist(), *right[columns].tolist()}:
+        made[k] = shingles(words.of(members[k][3].lower().split()))
+    one, two = [made[k] for k in left[rows].tolist()], [made[k] for k in right[columns].tolist()]
+    shared = shared_counts(one, two)
+    either = np.array([len(x) for x in one])[:, None] + np.array([len(x) for x in two])[None, :] - shared
+    linked = close[np.ix_(rows, columns)] & (DENOMINATOR * shared >= NUMERATOR * either)
+    root = {c: c for c in kind.tolist()}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    out = []
+    for i, k in zip(*(x.tolist() for x in np.nonzero(linked)), strict=True):
+        x, y = int(left[rows[i]]), int(right[columns[k]])
+        a, b = find(int(kind[x])), find(int(kind[y]))
+        if a != b:
+            root[a] = b
+            out.append((members[x][0], members[y][0]))
+    return out
+
+
+def remaining_links(members: DataFrame, block: int = GROUP) -> DataFrame:
+    """Links (a, b) between different components of a group, for ``members(group, n, rep, component, sketch, text)``.
+
+    Groups are cut into blocks, and each pair of blocks is one task's work; only links leave it.
+    """
+    n_blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("int")
+    own = members.withColumn("blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = met.select(
+        "group", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "component", "sketch", "text"
+    )
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, last, waiting = WordHashes(), None, []
+
+        def out():
+            split = sum(w[0] == last[1] for w in waiting) if last[1] != last[2] else 0
+            found = joined([w[1:] for w in waiting], split, words) if len(waiting) > 1 and split < len(waiting) else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            for *key, block_no, rep, component, sketch, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != last and waiting:
+                    yield out()
+                    waiting = []
+                last = key
+                waiting.append((block_no, rep, component, np.frombuffer(sketch, np.uint32), text))
+        if waiting:
+            yield out()
+
+    order = ["group", "low", "high", "block"]
+    return dealt.repartition("group", "low", "high").sortWithinPartitions(*order).mapInArrow(solve, "a long, b long")
+
+
 def links(classes: DataFrame, texts: DataFrame, ties: DataFrame) -> DataFrame:
     """(node, component) of the classes that have any link or tie; others are missing."""
     members = bands(classes)
     sizes = stored(members.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("first")).where("n > 1"))
-    buckets = stored(lookup(members, sizes.select("band", "n"), "band", how="inner"))
-    wanted = stored(buckets.select("rep").distinct())
-    chosen = stored(texts.join(wanted, "rep", "left_semi"))
-    sketches_of = stored(classes.select("rep", "sketch").join(wanted, "rep", "left_semi"))
-    # The first round: everything against the least member of its bucket.
-    pairs = lookup(buckets, sizes, "band").where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
+    buckets = stored(lookup(members, sizes, "band", how="inner"))
+    # Every member against the least of its bucket: this settles nearly all.
+    pairs = stored(buckets.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct())
+    groups = stored(components(pairs))
+    groups = groups.unionByName(groups.select(F.col("component").alias("node"), "component").distinct())
+    wanted = groups.select(F.col("node").alias("rep"), F.col("component").alias("group"))
+    chosen = stored(texts.join(wanted, "rep"))
+    sketches_of = stored(classes.select("rep", "sketch").join(wanted.select("rep"), "rep", "left_semi"))
     edges = stored(verified(pairs, sketches_of, chosen).unionByName(ties))
     roots = stored(components(edges))
-    members = stored(lookup(buckets, sizes, "band").select("band", "rep", (F.col("rep") == F.col("first")).alias("done")))
-    centres = 2
-    while True:
-        placed = members.join(roots, members["rep"] == roots["node"], "left").select("band", "rep", "done", F.coalesce("component", "rep").alias("component"))
-        open_bands = (
-            placed.where("not done").groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high")
-        )
-        open_bands = stored(open_bands.select("band", "n"))
-        if open_bands.isEmpty():
-            return roots
-        placed = stored(lookup(placed, open_bands, "band", how="inner"))
-        by_component = placed.where("not done").groupBy("band", "component").agg(F.count("*").alias("size"))
-        # Members of small components come first: the largest one may never need a centre.
-        by_size = Window.partitionBy("band").orderBy("size", "rep")
-        picked = (
-            placed.where("not done")
-            .join(by_component, ["band", "component"])
-            .withColumn("place", F.row_number().over(by_size))
-            .where(F.col("place") <= centres)
-            .select("band", "rep", "component")
-        )
-        picked = stored(picked)
-        heads = picked.groupBy("band").agg(F.collect_list(F.struct("rep", "component")).alias("heads"), F.lit(1).alias("one"))
-        heads = stored(heads.join(open_bands, "band").select("band", "heads", "n"))
-        # A member done before was compared with everything in its bucket.
-        again = (
-            lookup(placed.where("not done"), heads, "band", how="inner")
-            .select("rep", "component", F.explode("heads").alias("head"))
-            .where("component <> head.component")
-            .select(F.least("rep", "head.rep").alias("a"), F.greatest("rep", "head.rep").alias("b"))
-            .distinct()
-        )
-        edges = stored(edges.unionByName(verified(again, sketches_of, chosen)))
-        roots = stored(components(edges))
-        members = stored(
-            placed.join(picked.select("band", "rep", F.lit(True).alias("now")), ["band", "rep"], "left").select(
-                "band", "rep", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done")
-            )
-        )
-        centres *= 2
+    # Groups of buckets that share members and are still in several components.
+    placed = chosen.join(roots, chosen["rep"] == roots["node"], "left").select("group", "rep", "text", F.coalesce("component", "rep").alias("component"))
+    apart = stored(
+        placed.groupBy("group").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("group", "n")
+    )
+    if apart.isEmpty():
+        return roots
+    placed = lookup(placed, apart.select("group", "n", F.col("n").alias("members")), "group", how="inner")
+    whole = placed.where(F.col("members") <= WHOLE_GROUP).join(sketches_of, "rep").withColumnRenamed("members", "n")
+    more = remaining_links(whole)
+    if not apart.where(F.col("n") > WHOLE_GROUP).isEmpty():
+        # Long chains of buckets: bucket by bucket.
+        parts = placed.where(F.col("members") > WHOLE_GROUP).select("rep", "component", "text").join(buckets.select("rep", "band"), "rep")
+        parts = lookup(parts, sizes.select("band", "n", F.col("n").alias("members")), "band", how="inner")
+        parts = parts.select(F.col("band").alias("group"), F.col("members").alias("n"), "rep", "component", "text").join(sketches_of, "rep")
+        more = more.unionByName(remaining_links(parts))
+    return stored(components(edges.unionByName(more)))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
