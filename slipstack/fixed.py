@@ -31,6 +31,7 @@ BOX_SCORE_MIN = 0.45
 MAX_BOXES = 3000
 UNCLIP_RATIO = 1.4
 MIN_BOX_AREA = 4
+PARALLEL_BELOW = 1e-9
 MIN_BOX_CELLS = 3
 HEAT_CELL_MIN = 0.3
 FRAME_PAD = 100
@@ -88,6 +89,9 @@ FORMAT_TITLE = "Formato no soportado"
 FORMAT_TEXT = "formato no soportado: usá JPG, PNG, WEBP o PDF"
 CODE_INVALID = "Código inválido: revisá los dígitos."
 NOTHING_TO_EXPORT = "Sin comprobantes para exportar."
+NO_SUCH_SLOT = "no such slot"
+NOTHING_PENDING = "Sin pendientes (todo ya tiene total o es manual)."
+NOTHING_READ = "Sin totales para leer: revisá manualmente o recortá de nuevo."
 
 # --- page templates: rows, columns, then one (row, col, colspan, rowspan) per slot
 LAYOUTS = {
@@ -115,4 +119,5 @@ DEFAULT_LAYOUT = "u4x2"
 # --- sheet geometry (inches, and EMU per inch / per pixel) --------------------
 PAGE_WIDTH, PAGE_HEIGHT = 8.5, 11.0
 MARGIN, CODE_BAND, GUTTER = 0.3, 0.3, 0.15
+BAND_SIDES = ("sup", "inf", "")  # the code band above, below, or none
 EMU_PER_INCH, EMU_PER_PX = 914_400, 9525

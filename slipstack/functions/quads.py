@@ -146,71 +146,58 @@ def order_by_angle(points: Column) -> Column:
 
 
 def unclip(points: Column, ratio: float = fixed.UNCLIP_RATIO) -> Column:
-    """C-17: every edge pushed out by area * ratio / perimeter, neighbours crossed.
+    """C-17: the box grown on all sides by area * ratio / perimeter.
 
-    Takes and gives points.  Null for degenerate boxes and for parallel neighbours.
+    A corner between edges with outward unit normals m and n moves by
+    push * (m + n) / (1 + m . n), which keeps both edges parallel to where they were.
+    Takes and gives points.  Null for boxes without area and where two neighbouring
+    edges are parallel.
     """
     ring = F.sequence(F.lit(0), F.lit(3))
 
-    def measured(q: Column) -> Column:
+    def framed(q: Column) -> Column:
         quad = from_points(q)
-        around = reduce(lambda s, t: s + t, sides(quad))
+        perimeter = reduce(lambda s, t: s + t, sides(quad))
         return F.struct(
             q.alias("q"),
-            ((quad[0][0] + quad[1][0] + quad[2][0] + quad[3][0]) / 4).alias("gx"),
-            ((quad[0][1] + quad[1][1] + quad[2][1] + quad[3][1]) / 4).alias("gy"),
-            (F.nullif(area(quad), F.lit(0.0)) * ratio / F.nullif(around, F.lit(0.0))).alias("push"),
+            (F.nullif(area(quad), F.lit(0.0)) * ratio / F.nullif(perimeter, F.lit(0.0))).alias("push"),
+            F.signum(double_area(quad)).alias("turn"),
         )
 
-    def edge(m: Column, i: Column) -> Column:
-        """The edge from corner i: start, middle seen from the centroid, unit normal."""
-        ends = F.struct(F.get(m["q"], i).alias("a"), F.get(m["q"], (i + 1) % 4).alias("b"))
-
-        def sized(e: Column) -> Column:
-            dx, dy = e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]
-            return F.struct(
-                e["a"].alias("a"),
-                dx.alias("dx"),
-                dy.alias("dy"),
-                F.nullif(F.sqrt(dx * dx + dy * dy), F.lit(0.0)).alias("mod"),
-                ((e["a"]["x"] + e["b"]["x"]) / 2 - m["gx"]).alias("mx"),
-                ((e["a"]["y"] + e["b"]["y"]) / 2 - m["gy"]).alias("my"),
+    def with_normals(f: Column) -> Column:
+        def outward(i: Column) -> Column:
+            step = let(
+                F.struct(F.get(f["q"], i).alias("a"), F.get(f["q"], (i + 1) % 4).alias("b")),
+                lambda e: F.struct((e["b"]["x"] - e["a"]["x"]).alias("dx"), (e["b"]["y"] - e["a"]["y"]).alias("dy")),
+            )
+            return let(
+                let(step, lambda d: F.struct(d["dx"], d["dy"], F.nullif(F.hypot(d["dx"], d["dy"]), F.lit(0.0)).alias("n"))),
+                lambda d: F.struct((f["turn"] * d["dy"] / d["n"]).alias("x"), (-f["turn"] * d["dx"] / d["n"]).alias("y")),
             )
 
-        def directed(e: Column) -> Column:
-            nx, ny = e["dy"] / e["mod"], -e["dx"] / e["mod"]
-            out = F.nullif(F.signum(nx * e["mx"] + ny * e["my"]), F.lit(0.0))
-            return F.struct(e["a"].alias("a"), (nx * out).alias("x"), (ny * out).alias("y"))
-
-        def moved(n: Column) -> Column:
-            ax, ay = n["a"]["x"] + n["x"] * m["push"], n["a"]["y"] + n["y"] * m["push"]
-            return F.struct(n["x"].alias("x"), n["y"].alias("y"), (n["x"] * ax + n["y"] * ay).alias("c"))
-
-        return let(let(let(ends, sized), directed), moved)
-
-    def crossing(lines: Column, i: Column) -> Column:
-        def solve(s: Column) -> Column:
-            p, q = s["p"], s["q"]
-            det = F.when(F.abs(s["d"]) >= 1e-9, s["d"])
-            return F.struct(
-                ((p["c"] * q["y"] - q["c"] * p["y"]) / det).alias("x"),
-                ((p["x"] * q["c"] - q["x"] * p["c"]) / det).alias("y"),
+        return F.struct(f["q"].alias("q"), f["push"].alias("push"), F.transform(ring, outward).alias("out"))
+
+    def grown(f: Column) -> Column:
+        def corner(i: Column) -> Column:
+            met = F.struct(F.get(f["q"], i).alias("c"), F.get(f["out"], (i + 3) % 4).alias("m"), F.get(f["out"], i).alias("n"))
+            return let(
+                let(
+                    met,
+                    lambda e: F.struct(
+                        e["c"].alias("c"), (e["m"]["x"] + e["n"]["x"]).alias("x"), (e["m"]["y"] + e["n"]["y"]).alias("y"),
+                        F.when(
+                            F.abs(e["m"]["x"] * e["n"]["y"] - e["m"]["y"] * e["n"]["x"]) >= fixed.PARALLEL_BELOW,
+                            f["push"] / (1 + e["m"]["x"] * e["n"]["x"] + e["m"]["y"] * e["n"]["y"]),
+                        ).alias("k"),
+                    ),
+                ),
+                lambda e: F.struct((e["c"]["x"] + e["k"] * e["x"]).alias("x"), (e["c"]["y"] + e["k"] * e["y"]).alias("y")),
             )
 
-        pair = F.struct(F.get(lines, (i + 3) % 4).alias("p"), F.get(lines, i).alias("q"))
-        with_det = let(
-            pair,
-            lambda s: F.struct(
-                s["p"].alias("p"), s["q"].alias("q"), (s["p"]["x"] * s["q"]["y"] - s["q"]["x"] * s["p"]["y"]).alias("d")
-            ),
-        )
-        return let(with_det, solve)
+        return F.transform(ring, corner)
 
-    edges = let(let(points, measured), lambda m: F.transform(ring, lambda i: edge(m, i)))
-    grown = let(edges, lambda lines: F.transform(ring, lambda i: crossing(lines, i)))
-    return let(
-        grown, lambda g: F.when(F.forall(g, lambda p: p["x"].isNotNull() & p["y"].isNotNull()), g)
-    )
+    out = let(let(let(points, framed), with_normals), grown)
+    return let(out, lambda g: F.when(F.forall(g, lambda p: p["x"].isNotNull() & p["y"].isNotNull()), g))
 
 
 def scale_clamp(quad: Corners, from_w: Column, from_h: Column, to_w: Column, to_h: Column) -> Corners:
@@ -310,33 +297,17 @@ def is_safe_page(width: Column, height: Column) -> Column:
 # --- sheet slots -------------------------------------------------------------
 
 
-def slot_rect(rows: Column, cols: Column, row: Column, col: Column, colspan: Column, rowspan: Column, corner: Column):
-    """C-10: (x, y, w, h) of a slot in EMU, the code band left free on its side."""
-    margin, emu = fixed.MARGIN, fixed.EMU_PER_INCH
-    top = F.when(corner.startswith("sup"), F.lit(margin + fixed.CODE_BAND)).otherwise(F.lit(margin))
-    bottom = F.when(corner.startswith("inf"), F.lit(margin + fixed.CODE_BAND)).otherwise(F.lit(margin))
-    cell_w = F.lit(fixed.PAGE_WIDTH - margin * 2) / cols
-    cell_h = (F.lit(fixed.PAGE_HEIGHT) - top - bottom) / rows
-    half = int(fixed.GUTTER / 2 * emu + 0.5)
-    one = F.lit(1).cast("bigint")
-    return (
-        js_round((F.lit(margin) + (col - 1) * cell_w) * emu) + half,
-        js_round((top + (row - 1) * cell_h) * emu) + half,
-        F.greatest(one, js_round(colspan * cell_w * emu) - 2 * half),
-        F.greatest(one, js_round(rowspan * cell_h * emu) - 2 * half),
-    )
-
-
 def fit(width: Column, height: Column, rect_w: Column, rect_h: Column) -> tuple[Column, Column]:
-    """C-11: image size in pixels inside a slot, aspect kept."""
+    """C-11: image size in pixels inside a slot, aspect kept; an unknown size takes the slot.
+
+    The side that is the first to touch sets the scale for both.
+    """
     one = F.lit(1).cast("bigint")
-    px_w = F.greatest(one, js_round(rect_w / fixed.EMU_PER_PX))
-    px_h = F.greatest(one, js_round(rect_h / fixed.EMU_PER_PX))
+    room_w, room_h = (F.greatest(one, js_round(r / fixed.EMU_PER_PX)) for r in (rect_w, rect_h))
     known = (width >= 1) & (height >= 1)
-    scale = F.when(known, F.least(px_w / width, px_h / height))
-    return (
-        F.when(known, F.greatest(one, F.floor(width * scale))).otherwise(px_w),
-        F.when(known, F.greatest(one, F.floor(height * scale))).otherwise(px_h),
+    scale = F.when(room_w / width <= room_h / height, room_w / width).otherwise(room_h / height)
+    return tuple(
+        F.when(known, F.greatest(one, F.floor(side * scale))).otherwise(room) for side, room in ((width, room_w), (height, room_h))
     )
 
 

@@ -12,17 +12,17 @@ from pyspark.sql import functions as F
 
 from slipstack import fixed
 from slipstack.functions.amounts import collapse_spaces, has_text, parse_amount, well_formed, with_fast_total
-from slipstack.functions.desk import Desk
-from slipstack.operators.ordered import HOUR, by_number, by_time, large_keys, running, sessions
+from slipstack.operators.extraction import may_apply
+from slipstack.operators.ordered import cut_points, running, sessions
 from slipstack.session import cut_lineage
 
 
-def quiet_sessions(turns: DataFrame, key: str, gap_ms: int = fixed.QUIET_MS, bucket_s: int = HOUR) -> DataFrame:
+def quiet_sessions(turns: DataFrame, key: str, gap_ms: int = fixed.QUIET_MS, seq: list[str] | None = None) -> DataFrame:
     """R-03: turns (``key, ts, deg``) joined while the pause is at most the gap.
 
     One re-read per session, due one gap after its last turn; degrees add up.
     """
-    marked = sessions(turns, key, "ts", gap_ms * 1000, by_time("ts", bucket_s), "session_start")
+    marked = sessions(turns, key, "ts", gap_ms * 1000, "session_start", seq)
     return marked.groupBy(key, "session_start").agg(
         F.max("ts").alias("last_turn"),
         F.count(F.lit(1)).alias("turns"),
@@ -32,7 +32,7 @@ def quiet_sessions(turns: DataFrame, key: str, gap_ms: int = fixed.QUIET_MS, buc
 
 def cancelled_by_commit(
     session_table: DataFrame, turns: DataFrame, commits: DataFrame, key: str,
-    gap_ms: int = fixed.QUIET_MS, bucket_s: int = HOUR,
+    gap_ms: int = fixed.QUIET_MS, seq: list[str] | None = None,
 ) -> DataFrame:
     """R-04: sessions whose pending re-read was not overtaken by a crop commit.
 
@@ -43,7 +43,7 @@ def cancelled_by_commit(
     both = turns.select(key, "ts", F.col("ts").alias("_turn")).unionByName(
         commits.select(key, "ts", F.lit(None).cast("timestamp").alias("_turn"))
     )
-    followed = running(both, [key], ["ts"], by_time("ts", bucket_s), maxes={"_seen": F.col("_turn")})
+    followed = running(both, [key], ["ts"], maxes={"_seen": F.col("_turn")})
     hits = followed.filter(
         F.col("_turn").isNull()
         & (F.unix_micros("ts") > F.unix_micros("_seen"))
@@ -58,21 +58,26 @@ def last_editor(edits: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def reread(receipts: DataFrame, results: DataFrame) -> DataFrame:
-    """R-06: effect of a re-read (``receipt_id, new_text``, null text = it failed).
+    """R-06: effect of a re-read (``receipt_id, new_text``, null text = it failed) on live receipts.
 
-    The old text never survives.  A manual amount does; any other is taken again
-    from the new text.
+    The old text never survives.  A manual amount does; any other is given up and, after
+    a reading that worked, set again under the guards of J-05: a draft keeps it open.
+    Removed receipts stay as they are.  Of several re-reads of a receipt one that
+    worked counts, the smallest text first.
     """
-    joined = receipts.join(results.withColumn("_read", F.lit(True)), "receipt_id", "left")
-    hit = F.col("_read").isNotNull()
-    renewed = joined.withColumn("text", F.when(hit, well_formed(F.col("new_text"))).otherwise(F.col("text")))
+    once = results.groupBy("receipt_id").agg(F.min("new_text").alias("new_text"))
+    joined = receipts.join(once.withColumn("_read", F.lit(True)), "receipt_id", "left")
+    hit = F.coalesce(F.col("_read") & ~F.col("removed"), F.lit(False))
+    renewed = (
+        joined.withColumn("_hit", hit)
+        .withColumn("text", F.when(F.col("_hit"), well_formed(F.col("new_text"))).otherwise(F.col("text")))
+        .withColumn("status", F.when(F.col("_hit"), F.lit(fixed.DONE)).otherwise(F.col("status")))
+        .withColumn("cents", F.when(~F.col("_hit") | F.col("manual"), F.col("cents")))
+    )
     renewed = with_fast_total(renewed, "text", "_total")
-    return (
-        renewed.withColumn(
-            "cents", F.when(hit & ~F.col("manual"), F.col("_total")).otherwise(F.col("cents"))
-        )
-        .withColumn("status", F.when(hit, F.lit(fixed.DONE)).otherwise(F.col("status")))
-        .drop("_read", "_total", "new_text")
+    reopened = F.col("_hit") & ~F.col("manual") & may_apply(F.col("_total"), collapse_spaces(F.col("text")))
+    return renewed.withColumn("cents", F.when(reopened, F.col("_total")).otherwise(F.col("cents"))).drop(
+        "_read", "_hit", "_total", "new_text"
     )
 
 
@@ -123,18 +128,19 @@ def verdicts(receipts: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def strikes(
-    attempts: DataFrame, key: str, limit: int = fixed.STRIKES, bucket_s: int = HOUR, seq: str = "event_id"
+    attempts: DataFrame, key: str, limit: int = fixed.STRIKES, seq: str = "event_id"
 ) -> DataFrame:
     """R-09: position in the current run of failures and whether it evicts.
 
     ``attempts`` is ``key, ts, failed`` and a sequence number that orders equal times.
     The position is the running count of failures less that count at the latest success.
     """
-    bucket, order, large = by_time("ts", bucket_s), ["ts", seq], large_keys(attempts, [key])
+    order = ["ts", seq]
+    cuts = cut_points(attempts, [key], order)
     bad = F.col("failed").cast("bigint")
-    counted = running(attempts, [key], order, bucket, sums={"_fails": bad}, large=large)
+    counted = running(attempts, [key], order, sums={"_fails": bad}, cuts=cuts)
     based = running(
-        counted, [key], order, bucket, maxes={"_base": F.when(~F.col("failed"), F.col("_fails"))}, large=large
+        counted, [key], order, maxes={"_base": F.when(~F.col("failed"), F.col("_fails"))}, cuts=cuts
     )
     position = F.when(F.col("failed"), F.col("_fails") - F.coalesce(F.col("_base"), F.lit(0)))
     return based.withColumn("strike", F.when(F.col("failed"), F.pmod(position - 1, F.lit(limit)) + 1)).withColumn(
@@ -142,20 +148,20 @@ def strikes(
     ).drop("_fails", "_base")
 
 
-def alerts(attempts: DataFrame, key: str, bucket_s: int = HOUR, seq: str = "event_id") -> DataFrame:
+def alerts(attempts: DataFrame, key: str, seq: str = "event_id") -> DataFrame:
     """R-12: only the failures that open a run raise a notice."""
     order = ["ts", seq]
-    seen = running(attempts, [key], order, by_time("ts", bucket_s), previous={"_was": F.col("failed")})
+    seen = running(attempts, [key], order, previous={"_was": F.col("failed")})
     return seen.filter(F.col("failed") & ~F.coalesce(F.col("_was"), F.lit(False))).drop("_was")
 
 
-def open_flags(intakes: DataFrame, key: str, bucket_s: int = HOUR) -> DataFrame:
+def open_flags(intakes: DataFrame, key: str) -> DataFrame:
     """R-13: intakes (``key, ts, until, seq``) to a stream of open counts and the flag."""
     opened = intakes.select(key, "ts", "seq", F.lit(1).alias("step"))
     closed = intakes.select(key, F.col("until").alias("ts"), "seq", F.lit(-1).alias("step"))
     moves = opened.unionByName(closed)
     out = running(
-        moves, [key], ["ts", "seq", "step"], by_time("ts", bucket_s), sums={"open": F.col("step")}
+        moves, [key], ["ts", "seq", "step"], sums={"open": F.col("step")}
     )
     return out.withColumn("busy", F.col("open") > 0)
 
@@ -220,7 +226,7 @@ def _sorted_by(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
 
 
 def cooldown(
-    attempts: DataFrame, key: str, wait_ms: int = fixed.COOLDOWN_MS, slice_s: int = HOUR, seq: str = "event_id"
+    attempts: DataFrame, key: str, wait_ms: int = fixed.COOLDOWN_MS, slice_s: int = 3600, seq: str = "event_id"
 ) -> DataFrame:
     """R-10: adds ``tried``: false while a failed attempt is still cooling down.
 
@@ -233,7 +239,7 @@ def cooldown(
     wait = wait_ms * 1000
     slice_us = max(slice_s * 1_000_000, wait)
     us = F.unix_micros(F.col("ts"))
-    burst = sessions(attempts, key, "ts", wait - 1, by_time("ts", slice_s), "_burst")
+    burst = sessions(attempts, key, "ts", wait - 1, "_burst", [seq])
     cut = burst.withColumn("_us", us).withColumn(
         "_slice", F.floor((F.col("_us") - F.unix_micros("_burst")) / slice_us)
     )
@@ -294,59 +300,3 @@ def cooldown(
     seq_type = attempts.schema[seq].dataType.simpleString()
     walked = _sorted_by(ready, unit, ["_us", seq]).mapInPandas(walk, f"{head}, {seq} {seq_type}, tried boolean")
     return cut.join(walked, [*unit, seq]).drop("_burst", "_slice", "_us")
-
-
-# --- edit log ----------------------------------------------------------------
-
-PLACED = "sheet_no bigint, layout string, slot bigint, receipt_id bigint"
-
-
-def placed_rows(owner, sheets: list[dict]) -> list[tuple]:
-    return [
-        (owner, n, s["layout"], slot, receipt)
-        for n, s in enumerate(sheets, 1)
-        for slot, receipt in enumerate(s["slots"])
-        if receipt is not None
-    ]
-
-
-def _maybe(value):
-    return None if value is None or value != value else int(value)
-
-
-def edit_args(row) -> tuple:
-    return (row.op, _maybe(row.receipt_id), _maybe(row.sheet), _maybe(row.slot), row.layout)
-
-
-def replay(log: DataFrame, key: str) -> DataFrame:
-    """R-15: final placements of every batch after its edit log.
-
-    ``log`` is ``key, seq, op, receipt_id, sheet, slot, layout``.  Everything before
-    the last "clear" of a batch is dropped first (a running count, safe for huge
-    batches).  The rest streams through tasks in order; only the sheets are held.
-    """
-    clears = (F.col("op") == "clear").cast("bigint")
-    total = log.groupBy(key).agg(F.sum(clears).alias("_clears"))
-    slim = log.select(key, "seq", "op", "receipt_id", "sheet", "slot", "layout")
-    live = running(slim, [key], ["seq"], by_number("seq"), sums={"_age": clears}, per_key=total).filter(
-        F.col("_age") == F.col("_clears")
-    ).drop("_age", "_clears")
-
-    names = [key, "sheet_no", "layout", "slot", "receipt_id"]
-
-    def play(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        owner, desk = None, Desk()
-        for frame in frames:
-            done = []
-            for batch, row in zip(frame[key].tolist(), frame.itertuples(index=False)):
-                if batch != owner:
-                    if owner is not None:
-                        done += placed_rows(owner, desk.sheets())
-                    owner, desk = batch, Desk()
-                desk.apply(*edit_args(row))
-            yield pd.DataFrame(done, columns=names)
-        if owner is not None:
-            yield pd.DataFrame(placed_rows(owner, desk.sheets()), columns=names)
-
-    key_type = log.schema[key].dataType.simpleString()
-    return _sorted_by(live, [key], ["seq"]).mapInPandas(play, f"{key} {key_type}, {PLACED}")

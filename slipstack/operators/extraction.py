@@ -35,26 +35,41 @@ def live(results: DataFrame, receipts: DataFrame) -> DataFrame:
     return results.join(receipts.filter(~F.col("removed")), "receipt_id", "left_semi")
 
 
-def apply_totals(receipts: DataFrame, results: DataFrame) -> DataFrame:
-    """J-05: compare-and-set of extracted cents.
+def may_apply(new_cents: Column, seen_text: Column) -> Column:
+    """J-05: whether an amount read from ``seen_text`` may be set on a row of receipts.
 
-    ``results`` holds ``receipt_id, new_cents, seen_text`` (the text that was
-    evaluated, already normalised).  Adds ``applied`` and the resulting ``cents``.
-    Both sides are unique per receipt, so the join key is spread evenly.
+    A draft wins, a removed receipt stays removed, an amount that is there stays, and
+    a text that has changed meanwhile makes the reading stale.
     """
-    given = results.filter(F.col("new_cents").isNotNull())
-    joined = receipts.join(given, "receipt_id", "left")
     ok = (
-        F.col("new_cents").isNotNull()
+        new_cents.isNotNull()
         & (F.coalesce(F.col("draft"), F.lit("")) == "")
         & ~F.col("removed")
         & F.col("cents").isNull()
-        & (collapse_spaces(F.col("text")) == F.col("seen_text"))
+        & (collapse_spaces(F.col("text")) == seen_text)
+    )
+    return F.coalesce(ok, F.lit(False))
+
+
+def apply_totals(receipts: DataFrame, results: DataFrame) -> DataFrame:
+    """J-05: compare-and-set of extracted cents.
+
+    ``results`` holds ``receipt_id, new_cents, seen_text`` (the text that was
+    evaluated, already normalised) and may hold ``seq``.  Adds ``applied`` and the
+    resulting ``cents``.  Of several results that fit a receipt the first by ``seq``
+    counts, without it the smallest amount; receipts are never multiplied.
+    """
+    order = F.struct("seq", "new_cents") if "seq" in results.columns else F.struct("new_cents")
+    given = (
+        results.filter(F.col("new_cents").isNotNull())
+        .groupBy("receipt_id", F.col("seen_text").alias("_now"))
+        .agg(F.min_by("new_cents", order).alias("new_cents"))
     )
+    joined = receipts.withColumn("_now", collapse_spaces(F.col("text"))).join(given, ["receipt_id", "_now"], "left")
     return (
-        joined.withColumn("applied", F.coalesce(ok, F.lit(False)))
+        joined.withColumn("applied", may_apply(F.col("new_cents"), F.col("_now")))
         .withColumn("cents", F.when(F.col("applied"), F.col("new_cents")).otherwise(F.col("cents")))
-        .drop("new_cents", "seen_text")
+        .drop("new_cents", "_now")
     )
 
 
@@ -92,6 +107,32 @@ def batch_message(applied: Column, total: Column, prior: Column) -> Column:
     return F.when((applied == total) & has_text(earlier), earlier).otherwise(text)
 
 
+def batch_messages(receipts: DataFrame, prior: Column) -> DataFrame:
+    """A-08: what a recalculation asked for by hand says, per batch of live receipts.
+
+    Applied out of the candidates with text; a batch without candidates or without
+    totals has a text of its own, one without any text says nothing.  ``prior`` gives
+    the earlier notice of the batch as an aggregate over its receipts.
+    """
+    live_rows = receipts.filter(~F.col("removed")).withColumn("_mine", is_candidate())
+    read = with_fast_total(live_rows.withColumn("_text", F.when(F.col("_mine"), F.col("text"))), "_text", "_total")
+    applied = F.col("_mine") & may_apply(F.col("_total"), collapse_spaces(F.col("text")))
+    summed = read.groupBy("batch_id").agg(
+        F.count_if(F.col("_mine")).alias("_listed"),
+        F.count_if(has_text(F.col("_text"))).alias("_texts"),
+        F.count("_total").alias("_totals"),
+        F.count_if(applied).alias("_applied"),
+        prior.alias("_prior"),
+    )
+    message = (
+        F.when(F.col("_listed") == 0, fixed.NOTHING_PENDING)
+        .when(F.col("_texts") == 0, F.lit(None).cast("string"))
+        .when(F.col("_totals") == 0, fixed.NOTHING_READ)
+        .otherwise(batch_message(F.col("_applied"), F.col("_texts"), F.col("_prior")))
+    )
+    return summed.select("batch_id", message.alias("message"))
+
+
 def batch_totals(receipts: DataFrame) -> DataFrame:
     """A-01, A-02, A-03: exact sum in cents, count and progress per batch."""
     total = F.count(F.lit(1))
@@ -112,15 +153,20 @@ def first_pending(receipts: DataFrame) -> DataFrame:
 
 
 def settle(receipts: DataFrame) -> DataFrame:
-    """R-02: status after reading: a failed row is isolated, its siblings go on.
+    """R-02: status after reading the pending, live receipts; all others stay as they are.
 
-    ``ocr_error`` marks a poisoned item; nothing raises inside a task.
+    ``ocr_error`` marks a poisoned item: it ends in error without text and amount, its
+    siblings go on; nothing raises inside a task.  A total found is set under the
+    guards of J-05, so a draft keeps the amount open.
     """
-    failed = F.col("ocr_error").isNotNull()
-    read = with_fast_total(receipts)
-    return (
-        read.withColumn("status", F.when(failed, fixed.FAILED).otherwise(fixed.DONE))
+    mine = (F.col("status") == fixed.PENDING) & ~F.col("removed")
+    failed = F.col("_mine") & F.col("ocr_error").isNotNull()
+    read = (
+        receipts.withColumn("_mine", F.coalesce(mine, F.lit(False)))
         .withColumn("text", F.when(failed, F.lit("")).otherwise(F.col("text")))
-        .withColumn("cents", F.when(~failed, F.col("total_cents")))
-        .drop("total_cents")
+        .withColumn("cents", F.when(~F.col("_mine"), F.col("cents")))
+        .withColumn("status", F.when(failed, fixed.FAILED).when(F.col("_mine"), fixed.DONE).otherwise(F.col("status")))
     )
+    read = with_fast_total(read, "text", "_total")
+    found = F.col("_mine") & may_apply(F.col("_total"), collapse_spaces(F.col("text")))
+    return read.withColumn("cents", F.when(found, F.col("_total")).otherwise(F.col("cents"))).drop("_mine", "_total")

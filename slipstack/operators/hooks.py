@@ -41,27 +41,42 @@ def with_page_counts(files: DataFrame, count: Callable[[bytes], int], content: s
 
 
 def scored(
-    lines: DataFrame, score: Callable[[pd.DataFrame], pd.DataFrame], schema: str, width: str = "width", parts: int | None = None
+    lines: DataFrame, score: Callable[[pd.DataFrame], pd.DataFrame], schema: str, key: str, width: str = "width", parts: int | None = None
 ) -> DataFrame:
-    """U-03: a caller's scorer over lines of like width.
+    """U-03: a caller's scorer over lines of like width, one result row per line.
 
-    Lines are range-partitioned by padded width, so that the batches a scorer gets need
-    little padding.  A batch that fails is halved and tried again; single rows that
-    still fail are left out and keep no result.
+    ``schema`` is that of the scorer's frame, which names its lines by the unique ``key``.
+    Lines are range-partitioned by padded width and key, so that the batches a scorer
+    gets need little padding and a common width is still cut.  A batch that fails is
+    halved and tried again; a line that fails alone, or that the scorer leaves out,
+    has nulls and the reason in ``error``.
     """
-    near = lines.repartitionByRange(parts, width) if parts else lines.repartitionByRange(width)
+    near = lines.repartitionByRange(parts, width, key) if parts else lines.repartitionByRange(width, key)
+    names = T.StructType.fromDDL(schema).names
+
+    def explained(frame: pd.DataFrame, found: pd.DataFrame | None, error: str) -> pd.DataFrame:
+        if found is None:
+            return frame[[key]].assign(**{n: None for n in names if n != key}, error=error)[[*names, "error"]]
+        whole = frame[[key]].merge(found, on=key, how="left", indicator="_met")
+        whole["error"] = [None if m == "both" else error for m in whole["_met"]]
+        return whole[[*names, "error"]]
 
     def attempt(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
         try:
-            yield score(frame)
-        except Exception:  # noqa: BLE001 - one bad row must not lose its batch
+            found = score(frame)
+        except Exception as failed:  # noqa: BLE001 - one bad row must not lose its batch
             middle = len(frame) // 2
             if middle:
                 yield from attempt(frame.iloc[:middle])
                 yield from attempt(frame.iloc[middle:])
+            else:
+                yield explained(frame, None, str(failed) or type(failed).__name__)
+            return
+        yield explained(frame, found, "no result")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield from attempt(frame)
+            if len(frame):
+                yield from attempt(frame)
 
-    return near.sortWithinPartitions(width).mapInPandas(run, schema)
+    return near.sortWithinPartitions(width, key).mapInPandas(run, f"{schema}, error string")

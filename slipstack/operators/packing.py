@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slipstack import fixed
 from slipstack.functions import quads
-from slipstack.operators.ordered import by_number, running
+from slipstack.operators.ordered import running
 
 
 def layout_table(spark: SparkSession) -> DataFrame:
@@ -31,6 +33,25 @@ def slot_table(spark: SparkSession) -> DataFrame:
     )
 
 
+def rect_table(spark: SparkSession) -> DataFrame:
+    """C-10: the rectangle of every slot in EMU, for each side that the code band may take.
+
+    A hundred fixed rows: 35 slots with the band above, below or nowhere.
+    """
+    emu, half = fixed.EMU_PER_INCH, int(fixed.GUTTER / 2 * fixed.EMU_PER_INCH + 0.5)
+    whole = lambda inches: math.floor(inches * emu + 0.5)
+    rows = []
+    for name, (n_rows, n_cols, slots) in fixed.LAYOUTS.items():
+        for side in fixed.BAND_SIDES:
+            top, bottom = (fixed.MARGIN + (fixed.CODE_BAND if side == s else 0) for s in ("sup", "inf"))
+            cell_w, cell_h = (fixed.PAGE_WIDTH - fixed.MARGIN * 2) / n_cols, (fixed.PAGE_HEIGHT - top - bottom) / n_rows
+            for i, (row, col, wide, tall) in enumerate(slots):
+                x, y = whole(fixed.MARGIN + (col - 1) * cell_w) + half, whole(top + (row - 1) * cell_h) + half
+                w, h = max(1, whole(wide * cell_w) - 2 * half), max(1, whole(tall * cell_h) - 2 * half)
+                rows.append(f"('{name}', {i}L, '{side}', {x}L, {y}L, {w}L, {h}L)")
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(layout, slot, side, rect_x, rect_y, rect_w, rect_h)")
+
+
 def known_layout(layout: Column) -> Column:
     """C-09: unknown templates read as the four-slot one."""
     return F.when(layout.isin(*fixed.LAYOUTS), layout).otherwise(F.lit(fixed.DEFAULT_LAYOUT))
@@ -47,7 +68,7 @@ def capacity(layout: Column) -> Column:
 def with_visual_order(placements: DataFrame) -> DataFrame:
     """W-01: 1-based position by (sheet, slot) inside the batch, holes skipped."""
     return running(
-        placements, ["batch_id"], ["sheet_no", "slot"], by_number("sheet_no"), rank="position"
+        placements, ["batch_id"], ["sheet_no", "slot"], rank="position"
     )
 
 
@@ -58,7 +79,6 @@ def with_intervals(sheets: DataFrame) -> DataFrame:
         sheets.withColumn("capacity", cap),
         ["batch_id"],
         ["sheet_no"],
-        by_number("sheet_no"),
         sums={"hi": F.col("capacity")},
     )
     return out.withColumn("lo", F.col("hi") - F.col("capacity"))
@@ -113,7 +133,6 @@ def reflow(sheets: DataFrame, placements: DataFrame, new_layout: str = fixed.DEF
         placements.select("batch_id", "sheet_no", "slot", "receipt_id"),
         ["batch_id"],
         ["sheet_no", "slot"],
-        by_number("sheet_no"),
         rank="k",
         per_key=room,
     ).select("batch_id", "k", "receipt_id", "_room", "_last")
@@ -131,6 +150,16 @@ def reflow(sheets: DataFrame, placements: DataFrame, new_layout: str = fixed.DEF
     )
 
 
+def sheets_after(sheets: DataFrame, moved: DataFrame) -> DataFrame:
+    """J-06: the sheets of every batch after a reflow: those that hold something, new ones
+    included, and one default sheet for a batch that is left with none.  Emptied sheets go.
+    """
+    held = moved.select("batch_id", "sheet_no", "layout").distinct()
+    bare = sheets.groupBy("batch_id").agg(F.max("sheet_no").alias("_last")).join(held.select("batch_id"), "batch_id", "left_anti")
+    fresh = bare.select("batch_id", (F.col("_last") + 1).alias("sheet_no"), F.lit(fixed.DEFAULT_LAYOUT).alias("layout"))
+    return held.unionByName(fresh)
+
+
 def _target_sheet(sheets: DataFrame, placements: DataFrame, wanted: DataFrame | None) -> DataFrame:
     """W-03: the asked sheet, else the first with a hole, else the last one."""
     # At most six slots a sheet: the taken ones are a tiny array.
@@ -176,7 +205,7 @@ def place(
     per batch.  A batch without sheets starts at sheet 1.
     """
     plan = _target_sheet(sheets, placements, wanted)
-    ranked = running(items, ["batch_id"], ["seq"], by_number("seq"), rank="_rank", per_key=plan)
+    ranked = running(items, ["batch_id"], ["seq"], rank="_rank", per_key=plan)
     layout = F.coalesce(F.col("_layout"), F.lit(fixed.DEFAULT_LAYOUT))
     holes = F.when(F.col("_holes").isNull(), F.lit(0)).otherwise(F.size("_holes"))
     over = F.col("_rank") - 1 - holes
@@ -199,45 +228,40 @@ def paste(sheets: DataFrame, placements: DataFrame, requests: DataFrame) -> Data
     """W-04: one pasted receipt per batch: the slot asked for, if free; else the first
     hole of that sheet; else the first sheet with a hole; else a new sheet.
 
-    ``requests`` is ``batch_id, receipt_id, sheet_no, slot`` (one row per batch).
+    ``requests`` is ``batch_id, receipt_id, sheet_no, slot`` (one row per batch).  Without
+    a sheet the last one is meant, if it has a hole; a new sheet is then like the last.
     """
-    req = requests.select(
-        "batch_id", "receipt_id", F.col("sheet_no").alias("_rs"), F.col("slot").alias("_rl")
-    )
+    here = F.struct("sheet_no", "slot", "layout")
     free = (
         sheets.select("batch_id", "sheet_no", "layout")
         .withColumn("slot", F.explode(F.sequence(F.lit(0).cast("bigint"), capacity(F.col("layout")) - 1)))
         .join(placements.select("batch_id", "sheet_no", "slot"), ["batch_id", "sheet_no", "slot"], "left_anti")
     )
-    # First hole overall and first hole of the asked sheet: both are map-side minima.
-    first = free.groupBy("batch_id").agg(
-        F.min(F.struct("sheet_no", "slot", "layout")).alias("_any")
+    # Facts of a batch are minima and maxima, taken before rows move.
+    holes = free.groupBy("batch_id").agg(F.min(here).alias("_any"), F.max("sheet_no").alias("_last_open"))
+    tail = sheets.groupBy("batch_id").agg(F.max(F.struct("sheet_no", "layout")).alias("_tail"))
+    meant = F.when(F.col("sheet_no").isNotNull(), F.col("sheet_no")).when(
+        F.col("_last_open") == F.col("_tail.sheet_no"), F.col("_last_open")
     )
-    same_sheet = (
-        free.join(
-            req.select("batch_id", F.col("_rs").alias("sheet_no"), "_rl"), ["batch_id", "sheet_no"]
-        )
-        .groupBy("batch_id")
-        .agg(
-            F.min(F.when(F.col("slot") == F.col("_rl"), F.struct("sheet_no", "slot", "layout"))).alias("_exact"),
-            F.min(F.struct("sheet_no", "slot", "layout")).alias("_near"),
-        )
-    )
-    tail = sheets.groupBy("batch_id").agg(F.max("sheet_no").alias("_last"))
-    asked = sheets.select("batch_id", F.col("sheet_no").alias("_rs"), F.col("layout").alias("_asked"))
-    all_parts = (
-        req.join(first, "batch_id", "left")
-        .join(same_sheet, "batch_id", "left")
+    asked = (
+        requests.select("batch_id", "receipt_id", "sheet_no", F.col("slot").alias("_slot"))
+        .join(holes, "batch_id", "left")
         .join(tail, "batch_id", "left")
-        .join(asked, ["batch_id", "_rs"], "left")
+        .withColumn("_meant", meant)
     )
+    near = (
+        free.join(asked.select("batch_id", F.col("_meant").alias("sheet_no"), "_slot"), ["batch_id", "sheet_no"])
+        .groupBy("batch_id")
+        .agg(F.min(F.when(F.col("slot") == F.col("_slot"), here)).alias("_exact"), F.min(here).alias("_near"))
+    )
+    model = sheets.select("batch_id", F.col("sheet_no").alias("_meant"), F.col("layout").alias("_asked"))
+    met = asked.drop("sheet_no").join(near, "batch_id", "left").join(model, ["batch_id", "_meant"], "left")
     fresh = F.struct(
-        (F.coalesce(F.col("_last"), F.lit(0)) + 1).cast("bigint").alias("sheet_no"),
+        (F.coalesce(F.col("_tail.sheet_no"), F.lit(0)) + 1).cast("bigint").alias("sheet_no"),
         F.lit(0).cast("bigint").alias("slot"),
-        F.coalesce(F.col("_asked"), F.lit(fixed.DEFAULT_LAYOUT)).alias("layout"),
+        F.coalesce(F.col("_asked"), F.col("_tail.layout"), F.lit(fixed.DEFAULT_LAYOUT)).alias("layout"),
     )
-    pick = F.coalesce("_exact", "_near", "_any", fresh)
-    return all_parts.withColumn("_pick", pick).select(
+    return met.withColumn("_pick", F.coalesce("_exact", "_near", "_any", fresh)).select(
         "batch_id", "receipt_id", "_pick.sheet_no", "_pick.slot", "_pick.layout"
     )
 
@@ -276,23 +300,33 @@ def locate(receipts: DataFrame, placements: DataFrame) -> DataFrame:
 
 
 def with_slots(placed: DataFrame) -> DataFrame:
-    """J-07 base: template slot of each placement; rows beyond the template are dropped."""
+    """J-07 base: template slot of each placement.
+
+    A placement beyond its template stays, with nulls and the reason in ``refused``.
+    """
     slots = F.broadcast(slot_table(placed.sparkSession))
-    return placed.withColumn("layout", known_layout(F.col("layout"))).join(slots, ["layout", "slot"])
+    met = placed.withColumn("layout", known_layout(F.col("layout"))).join(slots, ["layout", "slot"], "left")
+    return met.withColumn("refused", F.when(F.col("grid_row").isNull(), fixed.NO_SUCH_SLOT))
 
 
 def with_rects(placed: DataFrame, corner: Column) -> DataFrame:
-    """J-07 / C-10: rectangle in EMU of each placement (needs ``layout``)."""
-    x, y, w, h = quads.slot_rect(
-        F.col("n_rows"), F.col("n_cols"), F.col("grid_row"), F.col("grid_col"),
-        F.col("col_span"), F.col("row_span"), corner,
+    """J-07 / C-10: rectangle in EMU of each placement; beyond the template nulls and ``refused``."""
+    rects = F.broadcast(rect_table(placed.sparkSession))
+    side = F.coalesce(*[F.when(corner.startswith(s), s) for s in fixed.BAND_SIDES if s], F.lit(""))
+    met = placed.withColumn("layout", known_layout(F.col("layout"))).withColumn("side", side)
+    return met.join(rects, ["layout", "slot", "side"], "left").drop("side").withColumn(
+        "refused", F.when(F.col("rect_x").isNull(), fixed.NO_SUCH_SLOT)
     )
-    return (
-        with_slots(placed)
-        .withColumn("rect_x", x)
-        .withColumn("rect_y", y)
-        .withColumn("rect_w", w)
-        .withColumn("rect_h", h)
+
+
+def fitted(placed: DataFrame, corner: Column) -> DataFrame:
+    """C-11, C-12: size in pixels and centring offset of each placement in its slot."""
+    rects = with_rects(placed, corner)
+    width_px, height_px = quads.fit(F.col("width"), F.col("height"), F.col("rect_w"), F.col("rect_h"))
+    there = F.col("refused").isNull()
+    sized = rects.withColumn("width_px", F.when(there, width_px)).withColumn("height_px", F.when(there, height_px))
+    return sized.withColumn("offset_x", quads.centre(F.col("rect_x"), F.col("rect_w"), F.col("width_px"))).withColumn(
+        "offset_y", quads.centre(F.col("rect_y"), F.col("rect_h"), F.col("height_px"))
     )
 
 
@@ -300,35 +334,32 @@ def manifest(placed: DataFrame, corner: Column) -> DataFrame:
     """S-06: export rows: one per occupied slot, with fitted size and page breaks.
 
     Needs ``batch_id, sheet_no, slot, layout, receipt_id, width, height``.  The
-    page break flag is set on the first slot of every sheet but the batch's first.
+    page break flag is set on the lowest slot of every sheet but the batch's lowest: a
+    minimum over a sheet, which has six slots at most, and one over a batch, taken
+    before rows move.
     """
-    rects = with_rects(placed, corner)
-    fit_w, fit_h = quads.fit(F.col("width"), F.col("height"), F.col("rect_w"), F.col("rect_h"))
-    sized = rects.withColumn("width_px", fit_w).withColumn("height_px", fit_h)
-    flagged = running(
-        sized,
-        ["batch_id"],
-        ["sheet_no", "slot"],
-        by_number("sheet_no"),
-        previous={"_sheet_before": F.col("sheet_no")},
-    )
-    return flagged.select(
-        "batch_id",
-        "sheet_no",
-        "slot",
-        "receipt_id",
-        quads.centre(F.col("rect_x"), F.col("rect_w"), F.col("width_px")).alias("offset_x"),
-        quads.centre(F.col("rect_y"), F.col("rect_h"), F.col("height_px")).alias("offset_y"),
-        "width_px",
-        "height_px",
-        F.coalesce(F.col("_sheet_before") != F.col("sheet_no"), F.lit(False)).alias("page_break"),
+    there = F.col("slot") < capacity(F.col("layout"))
+    lowest = placed.groupBy("batch_id").agg(F.min(F.when(there, F.col("sheet_no"))).alias("_lowest"))
+    first = F.min(F.when(F.col("refused").isNull(), F.col("slot"))).over(Window.partitionBy("batch_id", "sheet_no"))
+    opens = F.col("refused").isNull() & (F.col("slot") == first)
+    return (
+        fitted(placed, corner)
+        .withColumn("_opens", opens)
+        .join(lowest, "batch_id")
+        .select(
+            "batch_id", "sheet_no", "slot", "receipt_id", "offset_x", "offset_y", "width_px", "height_px",
+            F.coalesce(F.col("_opens") & (F.col("sheet_no") != F.col("_lowest")), F.lit(False)).alias("page_break"), "refused",
+        )
     )
 
 
 def nested_manifest(rows: DataFrame) -> DataFrame:
-    """S-06, nested: one row per sheet with its (at most six) images in slot order."""
+    """S-06, nested: one row per sheet with its (at most six) images in slot order.
+
+    Refused placements are in the flat rows only.
+    """
     image = F.struct("slot", "receipt_id", "offset_x", "offset_y", "width_px", "height_px")
-    return rows.groupBy("batch_id", "sheet_no").agg(
+    return rows.filter(F.col("refused").isNull()).groupBy("batch_id", "sheet_no").agg(
         F.array_sort(F.collect_list(image)).alias("images"),
         F.bool_or("page_break").alias("page_break"),
     )
@@ -337,7 +368,7 @@ def nested_manifest(rows: DataFrame) -> DataFrame:
 def print_cells(placed: DataFrame) -> DataFrame:
     """S-07: grid coordinates for a print view."""
     return with_slots(placed).select(
-        "batch_id", "sheet_no", "slot", "name", "grid_row", "row_span", "grid_col", "col_span"
+        "batch_id", "sheet_no", "slot", "name", "grid_row", "row_span", "grid_col", "col_span", "refused"
     )
 
 
@@ -361,3 +392,13 @@ def export_gate(active: Column, code: Column, receipts: Column) -> Column:
     return F.when(~code_valid(active, code), fixed.CODE_INVALID).when(
         receipts == 0, fixed.NOTHING_TO_EXPORT
     )
+
+
+def batch_gates(codes: DataFrame, receipts: DataFrame) -> DataFrame:
+    """F-18 per batch: ``codes`` is ``batch_id, active, code``, one row per batch.
+
+    A batch needs a valid code and at least one receipt (A-02).
+    """
+    counted = receipts.groupBy("batch_id").agg(F.count(F.lit(1)).alias("_n"))
+    gate = export_gate(F.col("active"), F.col("code"), F.coalesce(F.col("_n"), F.lit(0)))
+    return codes.join(counted, "batch_id", "left").select("batch_id", gate.alias("message"))

@@ -76,11 +76,12 @@ def best_classes_of_rows(cells: DataFrame) -> DataFrame:
     )
 
 
-def decode_rows(best: DataFrame, dictionary: DataFrame) -> DataFrame:
+def decode_rows(best: DataFrame, dictionary: DataFrame, lines: DataFrame) -> DataFrame:
     """W-05 and J-08 in long form, for score tables stored one row per step.
 
-    Windows and lists are per line; a line has a few hundred steps at most.  The
-    dictionary join is left to Spark, which broadcasts it while it is small.
+    One row for each of ``lines(line_id)``: a line without kept steps has no text and
+    score 0.  Windows and lists are per line; a line has a few hundred steps at most.
+    The dictionary join is left to Spark, which broadcasts it while it is small.
     """
     along = Window.partitionBy("line_id").orderBy("step")
     kept = best.withColumn("_prev", F.lag("class").over(along)).filter(
@@ -88,7 +89,10 @@ def decode_rows(best: DataFrame, dictionary: DataFrame) -> DataFrame:
     )
     named = kept.join(dictionary, "class")
     ordered = F.array_sort(F.collect_list(F.struct("step", "symbol")))
-    return named.groupBy("line_id").agg(
+    found = named.groupBy("line_id").agg(
         F.array_join(F.transform(ordered, lambda s: s["symbol"]), "").alias("text"),
         F.avg("value").alias("score"),
     )
+    return lines.select("line_id").join(found, "line_id", "left").select(
+        "line_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score")
+    )

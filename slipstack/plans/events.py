@@ -9,7 +9,7 @@ from slipstack.plans.inputs import cte, load
 
 QUIET_MS = 6 * 3600 * 1000  # users act about every eleven hours
 WAIT_MS = 36 * 3600 * 1000
-BUCKET_S = 5 * 24 * 3600
+SLICE_S = 5 * 24 * 3600
 
 
 def _attempts(spark, d):
@@ -18,11 +18,11 @@ def _attempts(spark, d):
 
 def _turns(spark, d):
     turned = F.when(F.col("event_type") == "click", 90).otherwise(270).cast("bigint")
-    return _attempts(spark, d).filter("event_type <> 'purchase'").select("user_id", "ts", turned.alias("deg"))
+    return _attempts(spark, d).filter("event_type <> 'purchase'").select("user_id", "ts", "event_id", turned.alias("deg"))
 
 
 def _sessions(spark, d):
-    return op.quiet_sessions(_turns(spark, d), "user_id", QUIET_MS, BUCKET_S)
+    return op.quiet_sessions(_turns(spark, d), "user_id", QUIET_MS, ["event_id"])
 
 
 def _shown(sessions):
@@ -38,23 +38,23 @@ def r03(spark, d):
 def r04(spark, d):
     commits = _attempts(spark, d).filter("event_type = 'purchase'").select("user_id", "ts")
     return _shown(
-        op.cancelled_by_commit(_sessions(spark, d), _turns(spark, d), commits, "user_id", QUIET_MS, BUCKET_S)
+        op.cancelled_by_commit(_sessions(spark, d), _turns(spark, d), commits, "user_id", QUIET_MS)
     )
 
 
 def r09(spark, d):
     tries = _attempts(spark, d).select("event_id", "user_id", "ts", "failed")
-    return op.strikes(tries, "user_id", bucket_s=BUCKET_S).select("event_id", "strike", "evicts")
+    return op.strikes(tries, "user_id").select("event_id", "strike", "evicts")
 
 
 def r10(spark, d):
     tries = _attempts(spark, d).select("event_id", "user_id", "ts", "failed")
-    return op.cooldown(tries, "user_id", WAIT_MS, BUCKET_S).select("event_id", "tried")
+    return op.cooldown(tries, "user_id", WAIT_MS, SLICE_S).select("event_id", "tried")
 
 
 def r12(spark, d):
     tries = _attempts(spark, d).select("event_id", "user_id", "ts", "failed")
-    return op.alerts(tries, "user_id", BUCKET_S).select("event_id", "user_id")
+    return op.alerts(tries, "user_id").select("event_id", "user_id")
 
 
 def r13(spark, d):
@@ -62,40 +62,12 @@ def r13(spark, d):
         "user_id", "ts", F.col("event_id").alias("seq"),
         F.timestamp_micros(F.unix_micros("ts") + F.floor(F.col("value") * 600000000)).alias("until"),
     )
-    return op.open_flags(opened, "user_id", BUCKET_S).select(
+    return op.open_flags(opened, "user_id").select(
         "user_id", "seq", F.col("step").cast("bigint").alias("step"), F.col("open").cast("bigint").alias("open"), "busy"
     )
 
 
-def edit_log(attempts):
-    """Edits of one batch per user: adds, moves, template changes, removals, clears."""
-    number = F.get_json_object("props", "$.k").cast("bigint")
-    layouts = F.array(*[F.lit(n) for n in ("u1", "u2h", "u3m", "u4x2", "u6m")])
-    kind = (
-        F.when(F.col("value") > 250, "clear")
-        .when(F.col("event_type").isin("signup", "purchase", "view"), "add")
-        .when(F.col("event_type") == "click", "move")
-        .when(number < 20, "remove")
-        .when(number < 80, "layout")
-        .otherwise("apply-all")
-    )
-    return attempts.select(
-        F.col("user_id").alias("batch_id"),
-        F.col("event_id").alias("seq"),
-        kind.alias("op"),
-        # Moves and removals name a receipt that was added a little earlier, or none.
-        F.when(kind == "add", F.col("event_id")).otherwise(F.col("event_id") - number).alias("receipt_id"),
-        (number % 3 + 1).alias("sheet"),
-        (number % 5).alias("slot"),
-        F.get(layouts, (number % 5).cast("int")).alias("layout"),
-    )
-
-
-def r15(spark, d):
-    return op.replay(edit_log(_attempts(spark, d)), "batch_id")
-
-
-QUERIES = {"R-03": r03, "R-04": r04, "R-09": r09, "R-10": r10, "R-12": r12, "R-13": r13, "R-15": r15}
+QUERIES = {"R-03": r03, "R-04": r04, "R-09": r09, "R-10": r10, "R-12": r12, "R-13": r13}
 
 A = cte("attempts").rstrip()
 TURNS = A + """, turns AS (SELECT user_id, epoch_us(ts) AS us, CASE WHEN event_type = 'click' THEN 90 ELSE 270 END AS deg FROM attempts WHERE event_type <> 'purchase'),

@@ -110,10 +110,13 @@ def a12(spark, d):
 
 
 def a13(spark, d):
-    found = op.heat_quads(_corner_points(spark, d))
+    peaks = heat_maps(spark, d).select("map_id", "channel", op.peak(F.col("p")).alias("peak"))
+    found = op.heat_quads(_corner_points(spark, d), peaks)
     quad = quads.from_points(F.col("quad"))
+    shown = F.array_join(F.transform("confidences", lambda c: F.format_string("%.4f", c)), "|")
     return found.select(
-        "map_id", *[F.round(c, 6).alias(f"{n}{i}") for i, (x, y) in enumerate(quad) for n, c in (("x", x), ("y", y))]
+        "map_id", shown.alias("confidences"),
+        *[F.round(c, 6).alias(f"{n}{i}") for i, (x, y) in enumerate(quad) for n, c in (("x", x), ("y", y))],
     )
 
 
@@ -170,11 +173,7 @@ def _bounding(spark, d):
 
 def f15(spark, d):
     """The box filters on the bounding boxes of the components."""
-    maps = text_maps(spark, d)
-    boxes = _bounding(spark, d)
-    scored = boxes.join(op.box_scores(boxes, maps), [*op.KEYS, "label"]).join(
-        maps.select(*op.KEYS, "width", "height", "image_w", "image_h"), op.KEYS
-    )
+    scored = op.box_scores(_bounding(spark, d), text_maps(spark, d), "width", "height", "image_w", "image_h")
     q = quads.from_points(F.col("quad"))
     return op.finish_boxes(scored).select(
         "map_id", F.col("box_no").cast("bigint").alias("box_no"), "label",
@@ -323,8 +322,10 @@ ORACLES = {
         o AS (SELECT *, row_number() OVER (PARTITION BY map_id ORDER BY atan2(y - cy, x - cx), channel) - 1 AS r FROM g WHERE n = 4),
         f AS (SELECT map_id, arg_min(r, (x + y, r)) AS first FROM o GROUP BY map_id),
         z AS (SELECT map_id, x, y, (r - first + 4) % 4 AS pos FROM o JOIN f USING (map_id)),
-        qd AS (SELECT map_id, {', '.join(f'max(x) FILTER (pos = {i}) AS x{i}, max(y) FILTER (pos = {i}) AS y{i}' for i in range(4))} FROM z GROUP BY map_id)
-        SELECT map_id, {geo.ROUNDED} FROM qd WHERE {geo.CONVEX}""",
+        qd AS (SELECT map_id, {', '.join(f'max(x) FILTER (pos = {i}) AS x{i}, max(y) FILTER (pos = {i}) AS y{i}' for i in range(4))} FROM z GROUP BY map_id),
+        good AS (SELECT map_id, {geo.ROUNDED} FROM qd WHERE {geo.CONVEX}),
+        peaks AS (SELECT map_id, string_agg(printf('%.4f', m), '|' ORDER BY channel) AS confidences FROM (SELECT map_id, channel, greatest(0, max(p)) AS m FROM cells GROUP BY map_id, channel) GROUP BY map_id)
+        SELECT peaks.map_id, confidences, {', '.join(f'x{i}, y{i}' for i in range(4))} FROM peaks LEFT JOIN good USING (map_id)""",
     "J-09": SCORED + " SELECT b.vec_id AS map_id, count(v) AS inside FROM b LEFT JOIN inn USING (vec_id) GROUP BY 1",
     "A-14": SCORED + " SELECT b.vec_id AS map_id, round(coalesce(avg(v), 0), 6) AS score FROM b LEFT JOIN inn USING (vec_id) GROUP BY 1",
     "A-17": SMALL + f" SELECT vec_id AS map_id, round(least({ALONG}), 6) AS u0, round(greatest({ALONG}), 6) AS u1, round(least({ACROSS}), 6) AS v0, round(greatest({ACROSS}), 6) AS v1 FROM b",

@@ -40,7 +40,7 @@ def u03(spark, d):
         (F.col("receipt_id") * 10000 + F.col("deg") * 10 + F.col("box_no")).alias("line_id"),
         F.col("width").cast("bigint").alias("width"), F.col("box_no").cast("bigint").alias("box_no"),
     )
-    return op.scored(lines, rate, "line_id bigint, rate bigint")
+    return op.scored(lines, rate, "line_id bigint, rate bigint", "line_id")
 
 
 QUERIES = {"U-02": u02, "U-03": u03}
@@ -50,5 +50,5 @@ LOCKED = """contains(html, 'lang="es"')"""
 ORACLES = {
     "U-02": f"""SELECT page_id AS seq, CASE WHEN NOT {LOCKED} THEN {COUNT} END AS page_count, CASE WHEN {LOCKED} THEN 'password' END AS open_error,
         CASE WHEN strlen(html) = 0 THEN 'ilegible' WHEN strlen(html) > 5242880 THEN 'tamano' WHEN {LOCKED} THEN 'cifrado' WHEN {COUNT} > 10 THEN 'paginas' END AS reason FROM pages""",
-    "U-03": cte("boxes") + "SELECT receipt_id * 10000 + deg * 10 + box_no AS line_id, CAST(width AS BIGINT) * 2 + box_no AS rate FROM boxes WHERE width <> 40",
+    "U-03": cte("boxes") + "SELECT receipt_id * 10000 + deg * 10 + box_no AS line_id, CASE WHEN width <> 40 THEN CAST(width AS BIGINT) * 2 + box_no END AS rate, CASE WHEN width = 40 THEN 'line too thin' END AS error FROM boxes",
 }

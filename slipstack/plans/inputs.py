@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from slipstack.plans.sql import CAPACITY
+
 TABLES = (
     "orders", "lineitem", "part", "events", "documents", "embeddings", "pages", "customer", "conversations",
 )
@@ -86,23 +88,25 @@ INPUTS = {
                max(l_quantity) * 60 AS height,
                1 - min(l_discount) AS white_ratio, min(l_tax) * 12 + max(l_discount) AS black_ratio
         FROM {lineitem} GROUP BY l_partkey, l_linenumber""",
-    # Sheets: one per order; its lines are the placed receipts.
+    # Sheets: as many per order as its lines may need; the lines are the placed receipts.
     "sheets": """
-        SELECT CAST(o_custkey AS STRING) AS batch_id, o_orderkey AS sheet_no,
+        SELECT batch_id, order_no * 8 + k AS sheet_no, layout, corner, order_no, k, cap
+        FROM (SELECT *, {capacity} AS cap FROM (SELECT CAST(o_custkey AS STRING) AS batch_id, o_orderkey AS order_no,
                CASE o_orderpriority WHEN '1-URGENT' THEN CASE o_orderstatus WHEN 'F' THEN 'u1' WHEN 'O' THEN 'u2h' ELSE 'u2v' END
                     WHEN '2-HIGH' THEN CASE o_orderstatus WHEN 'F' THEN 'u3h' WHEN 'O' THEN 'u3v' ELSE 'u3m' END
                     WHEN '3-MEDIUM' THEN CASE o_orderstatus WHEN 'F' THEN 'u4x2' WHEN 'O' THEN 'u5m' ELSE 'u6x2' END
                     WHEN '4-NOT SPECIFIED' THEN 'u6m' ELSE CASE o_orderstatus WHEN 'F' THEN 'u9z' ELSE 'u4x2' END END AS layout,
                CASE o_orderstatus WHEN 'F' THEN 'sup-izq' WHEN 'O' THEN 'inf-der' ELSE 'sup-der' END AS corner
-        FROM {orders}""",
+        FROM {orders}) o) p
+        JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6) n ON k * cap < 7""",
     "placed": """
-        SELECT s.batch_id, s.sheet_no, s.layout, s.corner, l.slot, l.receipt_id, l.width, l.height, l.cents,
+        SELECT s.batch_id, s.sheet_no, s.layout, s.corner, CAST(l.n % s.cap AS BIGINT) AS slot, l.receipt_id, l.width, l.height, l.cents,
                'factura-' || CAST(l.receipt_id AS STRING) AS name
-        FROM (SELECT l_orderkey, CAST(l_linenumber - 1 AS BIGINT) AS slot, l_orderkey * 8 + l_linenumber AS receipt_id,
+        FROM (SELECT l_orderkey, CAST(l_linenumber - 1 AS BIGINT) AS n, l_orderkey * 8 + l_linenumber AS receipt_id,
                      CAST(max(l_quantity) AS BIGINT) * 37 AS width, CAST(floor(max(l_tax) * 100 + 0.5) AS BIGINT) * 200 AS height,
                      CASE WHEN min(l_returnflag) = 'A' THEN CAST(floor(max(l_extendedprice) * 100 + 0.5) AS BIGINT) END AS cents
               FROM {lineitem} GROUP BY l_orderkey, l_linenumber) l
-        JOIN ({sheets}) s ON s.sheet_no = l.l_orderkey""",
+        JOIN ({sheets}) s ON s.order_no = l.l_orderkey AND s.k = CAST(floor(l.n / s.cap) AS BIGINT)""",
     # New receipts to place: events, batch = user; and a paste request per batch.
     "arrivals": """
         SELECT CAST(o_custkey AS STRING) AS batch_id, o_orderkey AS seq, o_orderkey + CAST(1000000000000 AS BIGINT) AS receipt_id FROM {orders}""",
@@ -143,7 +147,7 @@ INPUTS = {
 
 
 def _sql(name: str, tables: dict[str, str]) -> str:
-    text = INPUTS[name]
+    text, tables = INPUTS[name], {**tables, "capacity": CAPACITY}
     if "{sheets}" in text:
         tables = {**tables, "sheets": INPUTS["sheets"].format(**tables)}
     return text.format(**tables)
@@ -166,12 +170,13 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return _derive(spark, name, lambda t: table(spark, folder, t))
 
 
-def load_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """An input as a stream over the same files (inputs without grouping)."""
+def load_stream(spark: SparkSession, folder: str, name: str, files: int = 50) -> DataFrame:
+    """An input as a stream over the same files (inputs without grouping), some files at a time."""
 
     def read(t: str) -> DataFrame:
         schema = table(spark, folder, t).schema
-        return spark.readStream.schema(schema).option("pathGlobFilter", f"{t}.parquet").parquet(folder)
+        found = spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
+        return found.option("pathGlobFilter", f"{t}.parquet").parquet(folder)
 
     return _derive(spark, name, read)
 

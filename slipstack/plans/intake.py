@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from slipstack import fixed
 from slipstack.functions import quads
 from slipstack.operators import intake as op
 from slipstack.plans.inputs import cte, load
@@ -135,12 +136,8 @@ DIRECT = (
 JUDGED = (
     f"judged AS (SELECT *, {KIND} AS kind, CASE {KIND} WHEN 'unsupported' THEN 'formato' WHEN 'pdf' THEN {REASON} END AS reason FROM files)"
 )
-TEXTS = """texts(reason, title, detail) AS (VALUES
-  ('tamano', 'Archivo demasiado pesado', 'pesa más de 5 MB, comprimila y probá de nuevo'),
-  ('paginas', 'PDF demasiado largo', 'tiene más de 10 páginas, partila en dos PDF'),
-  ('cifrado', 'PDF protegido con contraseña', 'protegido con contraseña, quitásela y volvé a subir'),
-  ('ilegible', 'No se pudo leer', 'no se pudo leer: puede estar corrupta, probá con otra foto'),
-  ('formato', 'Formato no soportado', 'formato no soportado: usá JPG, PNG, WEBP o PDF'))"""
+REFUSALS = [(k, *v) for k, v in fixed.REASONS.items()] + [("formato", fixed.FORMAT_TITLE, fixed.FORMAT_TEXT)]
+TEXTS = "texts(reason, title, detail) AS (VALUES " + ", ".join(map(str, REFUSALS)) + ")"
 WITH = FILES.rstrip() + ",\n" + JUDGED + ",\n" + TEXTS + "\n"
 VIEW = "NOT isnan({w}) AND NOT isnan({h}) AND {w} >= 1 AND {h} >= 1 AND {h} <= 4000 AND {w} * {h} <= 8000000"
 SAFE = (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from slipstack import fixed
 from slipstack.functions import amounts as am
 from slipstack.operators import events as ev
 from slipstack.operators import extraction as ex
@@ -132,26 +133,23 @@ def a07(spark, d):
 
 
 def a08(spark, d):
-    after = ex.apply_totals(load(spark, d, "receipts"), _results(spark, d))
-    per_batch = after.groupBy("batch_id").agg(
-        F.count_if("applied").alias("ok"),
-        F.count_if(am.has_text(F.col("text"))).alias("total"),
-        F.max(F.when(F.col("st") == "F", F.lit("aviso"))).alias("prior"),
-    )
-    return per_batch.select(
-        "batch_id", ex.batch_message(F.col("ok"), F.col("total"), F.col("prior")).alias("message")
-    )
+    prior = F.max(F.when(F.col("st") == "F", F.lit("aviso")))
+    return ex.batch_messages(load(spark, d, "receipts"), prior)
 
 
 def t05(spark, d):
     return ex.first_pending(load(spark, d, "receipts"))
 
 
+# Pending receipts of every kind: amounts of old, drafts, manual and removed ones.
+PENDING = "CASE WHEN mon IN (1, 2, 6, 7, 8) AND st <> 'F' THEN 'pendiente' ELSE status END"
+PENDING_SQL = f"SELECT * REPLACE ({PENDING} AS status) FROM receipts"
+
+
 def r02(spark, d):
-    poisoned = F.when(F.col("mon") == 9, F.lit("decoder"))
-    return ex.settle(load(spark, d, "receipts").withColumn("ocr_error", poisoned)).select(
-        "receipt_id", "status", F.md5("text").alias("digest"), "cents"
-    )
+    receipts = load(spark, d, "receipts").withColumn("status", F.expr(PENDING))
+    poisoned = F.when(F.col("pr") == "2-HIGH", F.lit("decoder"))
+    return ex.settle(receipts.withColumn("ocr_error", poisoned)).select("receipt_id", "status", F.md5("text").alias("digest"), "cents")
 
 
 def r06(spark, d):
@@ -225,17 +223,20 @@ ORACLES = {
         FROM (SELECT batch_id, count(*) FILTER (l) AS n, count(*) FILTER (l AND c <> '') AS w, count(t) FILTER (l) AS k,
               CAST(coalesce(sum(t) FILTER (l), 0) AS BIGINT) AS found_cents
               FROM (SELECT batch_id, {LISTED} AS l, c, {q.fast_total('c')} AS t FROM (SELECT *, {q.clean('text')} AS c FROM receipts)) GROUP BY batch_id)""",
-    "A-08": LATE + f"""SELECT batch_id, CASE WHEN ok = total AND coalesce(prior, '') <> '' THEN prior ELSE 'Local: ' || ok || '/' || total || ' totales.' END AS message
-        FROM (SELECT batch_id, count(*) FILTER (coalesce({APPLIED}, false)) AS ok, count(*) FILTER ({q.clean('text')} <> '') AS total,
-              max(CASE WHEN st = 'F' THEN 'aviso' END) AS prior FROM receipts LEFT JOIN late USING (receipt_id) GROUP BY batch_id)""",
+    "A-08": R + f"""SELECT batch_id, CASE WHEN n = 0 THEN '{fixed.NOTHING_PENDING}' WHEN w = 0 THEN NULL WHEN k = 0 THEN '{fixed.NOTHING_READ}'
+        WHEN ok = w AND coalesce(prior, '') <> '' THEN prior ELSE 'Local: ' || ok || '/' || w || ' totales.' END AS message
+        FROM (SELECT batch_id, count(*) FILTER (l) AS n, count(*) FILTER (l AND c <> '') AS w, count(t) FILTER (l) AS k,
+              count(t) FILTER (l AND coalesce(draft, '') = '') AS ok, max(CASE WHEN st = 'F' THEN 'aviso' END) AS prior
+              FROM (SELECT *, {LISTED} AS l, {q.fast_total('c')} AS t FROM (SELECT *, {q.clean('text')} AS c FROM receipts WHERE NOT removed)) GROUP BY batch_id)""",
     "T-05": R + "SELECT batch_id, arg_min(receipt_id, ord) AS receipt_id FROM receipts WHERE status = 'pendiente' GROUP BY batch_id",
-    "R-02": R + f"""SELECT receipt_id, CASE WHEN mon = 9 THEN 'error' ELSE 'ok' END AS status, md5(CASE WHEN mon = 9 THEN '' ELSE text END) AS digest,
-        CASE WHEN mon <> 9 THEN {q.fast_total('c')} END AS cents FROM (SELECT *, {q.clean('text')} AS c FROM receipts)""",
+    "R-02": R + f"""SELECT receipt_id, CASE WHEN NOT p THEN status WHEN bad THEN 'error' ELSE 'ok' END AS status, md5(CASE WHEN p AND bad THEN '' ELSE text END) AS digest,
+        CASE WHEN NOT p THEN cents WHEN NOT bad AND coalesce(draft, '') = '' THEN {q.fast_total('c')} END AS cents
+        FROM (SELECT *, status = 'pendiente' AND NOT removed AS p, pr = '2-HIGH' AS bad, {q.clean('text')} AS c FROM ({PENDING_SQL}))""",
     "R-05": cte("typed") + "SELECT editor, arg_max(typed, (ts, seq)) AS typed FROM typed GROUP BY editor",
     "R-06": cte("receipts", "ocr_lines") + """, turned AS (SELECT receipt_id, CASE WHEN min(text) <> '' THEN 'TOTAL ' || (min(line_no) % 1000000000) || '.50' END AS new_text, min(line_no) % 1000000000 AS k FROM ocr_lines GROUP BY receipt_id)
-        SELECT receipt_id, CASE WHEN k IS NULL THEN text ELSE coalesce(new_text, '') END AS text,
-        CASE WHEN k IS NOT NULL AND NOT manual THEN CASE WHEN new_text IS NOT NULL THEN k * 100 + 50 END ELSE cents END AS cents,
-        CASE WHEN k IS NULL THEN status ELSE 'ok' END AS status FROM receipts LEFT JOIN turned USING (receipt_id)""",
+        SELECT receipt_id, CASE WHEN NOT hit THEN text ELSE coalesce(new_text, '') END AS text,
+        CASE WHEN hit AND NOT manual THEN CASE WHEN new_text IS NOT NULL AND coalesce(draft, '') = '' THEN k * 100 + 50 END ELSE cents END AS cents,
+        CASE WHEN NOT hit THEN status ELSE 'ok' END AS status FROM (SELECT *, k IS NOT NULL AND NOT removed AS hit FROM receipts LEFT JOIN turned USING (receipt_id))""",
     "R-07": cte("typed") + f""", e AS (SELECT *, {q.parse_amount('typed')} AS c FROM typed),
         r AS (SELECT *, row_number() OVER (PARTITION BY editor ORDER BY ts DESC, seq DESC) AS back FROM e)
         SELECT editor, arg_max(c, (ts, seq)) FILTER (c IS NOT NULL) AS cents, count(c) > 0 AS manual,

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from slipstack.functions import quads
+from slipstack import fixed
 from slipstack.operators import packing as op
 from slipstack.plans import sql as q
-from slipstack.plans.inputs import cte, load
+from slipstack.plans.inputs import cte, load, table
 
 
 def _sheets(spark, d):
@@ -18,11 +18,6 @@ def _placed(spark, d):
     return load(spark, d, "placed")
 
 
-def _within(spark, d):
-    """Placements whose slot exists on their sheet."""
-    return _placed(spark, d).filter(F.col("slot") < op.capacity(F.col("layout")))
-
-
 def w01(spark, d):
     return op.with_visual_order(_placed(spark, d)).select("batch_id", "receipt_id", "position")
 
@@ -32,14 +27,21 @@ def w02(spark, d):
 
 
 def w03(spark, d):
-    return op.place(_sheets(spark, d), _within(spark, d), load(spark, d, "arrivals"))
+    return op.place(_sheets(spark, d), _placed(spark, d), load(spark, d, "arrivals"))
+
+
+def w03_chosen(spark, d):
+    sheets = _sheets(spark, d)
+    wanted = sheets.filter("layout IN ('u6m', 'u3v')").groupBy("batch_id").agg(F.max("sheet_no").alias("sheet_no"))
+    return op.place(sheets, _placed(spark, d), load(spark, d, "arrivals"), wanted)
 
 
 def w04(spark, d):
+    """A paste per batch into its first order's first sheet; every third batch names no sheet."""
     asked = load(spark, d, "arrivals").groupBy("batch_id").agg(
         F.max("receipt_id").alias("receipt_id"), F.min("seq").alias("_s")
-    ).select("batch_id", "receipt_id", F.col("_s").alias("sheet_no"), (F.col("_s") % 6).alias("slot"))
-    return op.paste(_sheets(spark, d), _within(spark, d), asked)
+    ).select("batch_id", "receipt_id", F.when(F.col("_s") % 3 > 0, F.col("_s") * 8).alias("sheet_no"), (F.col("_s") % 6).alias("slot"))
+    return op.paste(_sheets(spark, d), _placed(spark, d), asked)
 
 
 def j02(spark, d):
@@ -57,6 +59,13 @@ def j06(spark, d):
     return op.reflow(_sheets(spark, d), _placed(spark, d))
 
 
+def j06_sheets(spark, d):
+    """Batches with only unread receipts are emptied, then every batch is reflowed."""
+    left = _placed(spark, d).filter(F.col("cents").isNotNull())
+    sheets = _sheets(spark, d)
+    return op.sheets_after(sheets, op.reflow(sheets, left))
+
+
 def j07(spark, d):
     return op.with_rects(_placed(spark, d), F.col("corner")).select(
         "receipt_id", "rect_x", "rect_y", "rect_w", "rect_h"
@@ -76,21 +85,19 @@ def c10(spark, d):
 
 
 def c11(spark, d):
-    placed = op.with_rects(_placed(spark, d), F.col("corner"))
-    w, h = quads.fit(F.col("width"), F.col("height"), F.col("rect_w"), F.col("rect_h"))
-    return placed.select("receipt_id", w.alias("width_px"), h.alias("height_px"))
+    return op.fitted(_placed(spark, d), F.col("corner")).select("receipt_id", "width_px", "height_px")
 
 
 def c12(spark, d):
-    return op.manifest(_placed(spark, d), F.col("corner")).select("receipt_id", "offset_x", "offset_y")
+    return op.fitted(_placed(spark, d), F.col("corner")).select("receipt_id", "offset_x", "offset_y")
 
 
 def a04(spark, d):
-    return op.occupancy(_sheets(spark, d), _within(spark, d))
+    return op.occupancy(_sheets(spark, d), _placed(spark, d))
 
 
 def a04_full(spark, d):
-    return op.all_full(_sheets(spark, d), _within(spark, d))
+    return op.all_full(_sheets(spark, d), _placed(spark, d))
 
 
 def a05(spark, d):
@@ -109,10 +116,13 @@ def _codes(spark, d):
     return load(spark, d, "receipts").selectExpr("receipt_id", "batch_id", "pr", CODE, ACTIVE)
 
 
+BATCH_CODE = "CASE c_mktsegment WHEN 'BUILDING' THEN CAST(c_custkey AS STRING) WHEN 'MACHINERY' THEN '' WHEN 'FURNITURE' THEN CAST(c_custkey AS STRING) || 'a' ELSE '7' END AS code"
+BATCH_ACTIVE = "c_nationkey < 20 AS active"
+
+
 def f18(spark, d):
-    receipts = F.when(F.col("pr") == "5-LOW", F.lit(0)).otherwise(F.lit(1))
-    gate = op.export_gate(F.col("active"), F.col("code"), receipts)
-    return _codes(spark, d).select("receipt_id", gate.alias("message"))
+    codes = table(spark, d, "customer").selectExpr("CAST(c_custkey AS STRING) AS batch_id", BATCH_CODE, BATCH_ACTIVE)
+    return op.batch_gates(codes, load(spark, d, "receipts").filter(~F.col("removed")))
 
 
 def f21(spark, d):
@@ -128,7 +138,7 @@ def s08(spark, d):
 
 
 def s06(spark, d):
-    return op.manifest(_placed(spark, d), F.col("corner"))
+    return op.manifest(_placed(spark, d), F.col("corner")).drop("refused")
 
 
 def s06_nested(spark, d):
@@ -148,13 +158,13 @@ def s07(spark, d):
 
 
 QUERIES = {
-    "W-01": w01, "W-02": w02, "W-03": w03, "W-04": w04, "J-02": j02, "J-04": j04, "J-06": j06, "J-07": j07,
+    "W-01": w01, "W-02": w02, "W-03": w03, "W-03-chosen": w03_chosen, "W-04": w04, "J-02": j02, "J-04": j04, "J-06": j06, "J-06-sheets": j06_sheets, "J-07": j07,
     "C-09": c09, "C-10": c10, "C-11": c11, "C-12": c12, "A-04": a04, "A-04-full": a04_full, "A-05": a05,
     "F-18": f18, "F-19": f19, "F-21": f21, "S-06": s06, "S-06-nested": s06_nested, "S-07": s07, "S-08": s08,
 }
 
-B = cte("sheets", "placed").rstrip() + f",\n within AS (SELECT * FROM placed WHERE slot < {q.CAPACITY}),\n {q.SLOTS}\n"
-SHEETS_CAP = f"SELECT batch_id, sheet_no, layout, {q.CAPACITY} AS cap FROM sheets"
+B = cte("sheets", "placed").rstrip() + f",\n {q.SLOTS}\n"
+SHEETS_CAP = "SELECT batch_id, sheet_no, layout, cap FROM sheets"
 TOP = "(0.3::DOUBLE + CASE WHEN corner LIKE 'sup%' THEN 0.3::DOUBLE ELSE 0 END)"
 BOTTOM = "(0.3::DOUBLE + CASE WHEN corner LIKE 'inf%' THEN 0.3::DOUBLE ELSE 0 END)"
 CELL_W, CELL_H = "((8.5::DOUBLE - 0.3::DOUBLE * 2) / n_cols)", f"((11.0::DOUBLE - {TOP} - {BOTTOM}) / n_rows)"
@@ -187,25 +197,27 @@ MANIFEST = (
 )
 CODED = cte("receipts").rstrip() + f",\n coded AS (SELECT receipt_id, batch_id, pr, {CODE}, {ACTIVE} FROM receipts)\n"
 VALID = "(NOT active OR regexp_full_match(code, '[0-9]+'))"
-TARGET = f"""st AS (SELECT s.*, coalesce(u.n, 0) AS used FROM ({SHEETS_CAP}) s LEFT JOIN (SELECT batch_id, sheet_no, count(*) AS n FROM within GROUP BY ALL) u USING (batch_id, sheet_no)),
+TARGET = f"""st AS (SELECT s.*, coalesce(u.n, 0) AS used FROM ({SHEETS_CAP}) s LEFT JOIN (SELECT batch_id, sheet_no, count(*) AS n FROM placed GROUP BY ALL) u USING (batch_id, sheet_no)),
  target AS (SELECT batch_id, coalesce(min(sheet_no) FILTER (used < cap), max(sheet_no)) AS t, max(sheet_no) AS last FROM st GROUP BY batch_id),
  free AS (SELECT batch_id, sheet_no, layout, unnest(range(cap)) AS slot FROM ({SHEETS_CAP})),
- holes AS (SELECT * FROM free ANTI JOIN within USING (batch_id, sheet_no, slot))"""
+ holes AS (SELECT * FROM free ANTI JOIN placed USING (batch_id, sheet_no, slot))"""
 ORACLES = {
     "W-01": B + "SELECT batch_id, receipt_id, row_number() OVER (PARTITION BY batch_id ORDER BY sheet_no, slot) AS position FROM placed",
     "W-02": B + f"SELECT batch_id, sheet_no, CAST(sum(cap) OVER w - cap AS BIGINT) AS lo, CAST(sum(cap) OVER w AS BIGINT) AS hi FROM ({SHEETS_CAP}) WINDOW w AS (PARTITION BY batch_id ORDER BY sheet_no)",
-    "W-03": cte("sheets", "placed", "arrivals").rstrip() + f""", within AS (SELECT * FROM placed WHERE slot < {q.CAPACITY}), {TARGET},
+    "W-03": cte("sheets", "placed", "arrivals").rstrip() + f""", {TARGET},
  h AS (SELECT batch_id, slot, row_number() OVER (PARTITION BY batch_id ORDER BY slot) AS k, count(*) OVER (PARTITION BY batch_id) AS n FROM holes JOIN target USING (batch_id) WHERE sheet_no = t),
  r AS (SELECT batch_id, receipt_id, row_number() OVER (PARTITION BY batch_id ORDER BY seq) AS k FROM arrivals),
  f AS (SELECT r.*, t, last, st.layout, st.cap, coalesce((SELECT max(n) FROM h WHERE h.batch_id = r.batch_id), 0) AS n FROM r JOIN target USING (batch_id) JOIN st ON st.batch_id = r.batch_id AND st.sheet_no = t)
  SELECT f.batch_id, receipt_id, CASE WHEN f.k <= f.n THEN t ELSE last + 1 + (f.k - f.n - 1) // cap END AS sheet_no,
  CASE WHEN f.k <= f.n THEN h.slot ELSE (f.k - f.n - 1) % cap END AS slot, layout FROM f LEFT JOIN h ON h.batch_id = f.batch_id AND h.k = f.k""",
-    "W-04": cte("sheets", "placed", "arrivals").rstrip() + f""", within AS (SELECT * FROM placed WHERE slot < {q.CAPACITY}), {TARGET},
- ask AS (SELECT batch_id, max(receipt_id) AS receipt_id, min(seq) AS s, min(seq) % 6 AS l FROM arrivals GROUP BY batch_id),
+    "W-04": cte("sheets", "placed", "arrivals").rstrip() + f""", {TARGET},
+ open AS (SELECT batch_id, max(sheet_no) AS o FROM holes GROUP BY batch_id),
+ ask AS (SELECT a.*, CASE WHEN s % 3 > 0 THEN s * 8 WHEN o = last THEN o END AS w FROM (SELECT batch_id, max(receipt_id) AS receipt_id, min(seq) AS s, min(seq) % 6 AS l FROM arrivals GROUP BY batch_id) a
+      JOIN target USING (batch_id) LEFT JOIN open USING (batch_id)),
  c AS (SELECT a.batch_id, h.sheet_no, h.slot, h.layout, row_number() OVER (PARTITION BY a.batch_id ORDER BY
-      CASE WHEN h.sheet_no = s AND h.slot = l THEN 0 WHEN h.sheet_no = s THEN 1 ELSE 2 END, h.sheet_no, h.slot) AS k FROM ask a JOIN holes h USING (batch_id))
- SELECT ask.batch_id, receipt_id, coalesce(c.sheet_no, last + 1) AS sheet_no, coalesce(c.slot, 0) AS slot, coalesce(c.layout, sheets.layout) AS layout
- FROM ask JOIN target USING (batch_id) JOIN sheets ON sheets.sheet_no = s LEFT JOIN c ON c.batch_id = ask.batch_id AND c.k = 1""",
+      CASE WHEN h.sheet_no = w AND h.slot = l THEN 0 WHEN h.sheet_no = w THEN 1 ELSE 2 END, h.sheet_no, h.slot) AS k FROM ask a JOIN holes h USING (batch_id))
+ SELECT ask.batch_id, receipt_id, coalesce(c.sheet_no, last + 1) AS sheet_no, coalesce(c.slot, 0) AS slot, coalesce(c.layout, m.layout) AS layout
+ FROM ask JOIN target USING (batch_id) JOIN sheets m ON m.batch_id = ask.batch_id AND m.sheet_no = coalesce(w, last) LEFT JOIN c ON c.batch_id = ask.batch_id AND c.k = 1""",
     "J-02": cte("sheets", "placed", "receipts") + "SELECT r.id AS receipt_id, sheet_no, slot FROM (SELECT receipt_id * 8 + 1 AS id FROM receipts) r LEFT JOIN placed ON placed.receipt_id = r.id",
     "J-04": B.rstrip() + """, kept AS (SELECT * FROM placed WHERE cents IS NOT NULL)
  SELECT batch_id, sheet_no, layout FROM sheets WHERE sheet_no IN (SELECT sheet_no FROM kept)
@@ -221,10 +233,12 @@ ORACLES = {
     "C-10": B + f"SELECT sheet_no, slot, rect_x, rect_y, rect_w, rect_h FROM (SELECT p.*, slot, {RECT} FROM (SELECT * REPLACE ({q.KNOWN} AS layout) FROM sheets) p JOIN slots USING (layout))",
     "C-11": B + f"SELECT receipt_id, width_px, height_px FROM {FITTED}",
     "C-12": B + f"SELECT receipt_id, {OFFSETS} FROM {FITTED}",
-    "A-04": B + f"SELECT batch_id, sheet_no, coalesce(n, 0) AS items, cap AS capacity FROM ({SHEETS_CAP}) LEFT JOIN (SELECT batch_id, sheet_no, count(*) AS n FROM within GROUP BY ALL) USING (batch_id, sheet_no)",
-    "A-04-full": B + f"SELECT batch_id, bool_and(coalesce(n, 0) >= cap) AS all_full FROM ({SHEETS_CAP}) LEFT JOIN (SELECT batch_id, sheet_no, count(*) AS n FROM within GROUP BY ALL) USING (batch_id, sheet_no) GROUP BY batch_id",
+    "A-04": B + f"SELECT batch_id, sheet_no, coalesce(n, 0) AS items, cap AS capacity FROM ({SHEETS_CAP}) LEFT JOIN (SELECT batch_id, sheet_no, count(*) AS n FROM placed GROUP BY ALL) USING (batch_id, sheet_no)",
+    "A-04-full": B + f"SELECT batch_id, bool_and(coalesce(n, 0) >= cap) AS all_full FROM ({SHEETS_CAP}) LEFT JOIN (SELECT batch_id, sheet_no, count(*) AS n FROM placed GROUP BY ALL) USING (batch_id, sheet_no) GROUP BY batch_id",
     "A-05": B + "SELECT batch_id, count(*) AS sheets, CAST(coalesce(sum(n), 0) AS BIGINT) AS receipts FROM sheets LEFT JOIN (SELECT sheet_no, count(*) AS n FROM placed GROUP BY 1) USING (sheet_no) GROUP BY batch_id",
-    "F-18": CODED + f"SELECT receipt_id, CASE WHEN NOT {VALID} THEN 'Código inválido: revisá los dígitos.' WHEN pr = '5-LOW' THEN 'Sin comprobantes para exportar.' END AS message FROM coded",
+    "F-18": cte("receipts").rstrip() + f""", codes AS (SELECT CAST(c_custkey AS VARCHAR) AS batch_id, {BATCH_CODE}, {BATCH_ACTIVE} FROM customer)
+ SELECT batch_id, CASE WHEN NOT {VALID} THEN '{fixed.CODE_INVALID}' WHEN coalesce(n, 0) = 0 THEN '{fixed.NOTHING_TO_EXPORT}' END AS message
+ FROM codes LEFT JOIN (SELECT batch_id, count(*) AS n FROM receipts WHERE NOT removed GROUP BY batch_id) USING (batch_id)""",
     "F-19": B + "SELECT batch_id, sheet_no FROM sheets WHERE sheet_no IN (SELECT sheet_no FROM placed)",
     "F-21": CODED + "SELECT receipt_id, regexp_replace(code, '[^0-9]', '', 'g') AS code FROM coded",
     "S-06": B + f"SELECT * FROM {MANIFEST}",
@@ -232,3 +246,13 @@ ORACLES = {
     "S-07": B + f"SELECT sheet_no, slot, name, grid_row, row_span, grid_col, col_span FROM (SELECT * REPLACE ({q.KNOWN} AS layout) FROM placed) JOIN slots USING (layout, slot)",
     "S-08": CODED + "SELECT receipt_id, CASE WHEN active THEN code ELSE 'sincodigo' END || '-comprobante.docx' AS docx, CASE WHEN active THEN code ELSE 'sincodigo' END || '-comprobante.pdf' AS pdf FROM coded",
 }
+CHOSEN = TARGET.replace(
+    "coalesce(min(sheet_no) FILTER (used < cap)", "coalesce(max(sheet_no) FILTER (layout IN ('u6m', 'u3v')), min(sheet_no) FILTER (used < cap)"
+)
+ORACLES["W-03-chosen"] = ORACLES["W-03"].replace(TARGET, CHOSEN)
+LEFT = "(SELECT * FROM placed WHERE cents IS NOT NULL)"
+ORACLES["J-06-sheets"] = (
+    "WITH moved AS (" + ORACLES["J-06"].replace("FROM placed)", f"FROM {LEFT})") + "),\n" + cte("sheets").removeprefix("WITH ") + """
+ SELECT DISTINCT batch_id, sheet_no, layout FROM moved UNION ALL
+ SELECT batch_id, max(sheet_no) + 1, '""" + fixed.DEFAULT_LAYOUT + """' FROM sheets WHERE batch_id NOT IN (SELECT batch_id FROM moved) GROUP BY batch_id"""
+)

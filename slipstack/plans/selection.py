@@ -69,12 +69,14 @@ def a18(spark, d):
 
 def w05(spark, d):
     """Long form: score table with one row per step and class, then collapse."""
-    cells = _lines(spark, d).filter("steps = 8").select("line_id", F.posexplode("scores").alias("pos", "value")).select(
-        "line_id", (F.col("pos") / 8).cast("int").alias("step"), (F.col("pos") % 8).alias("class"), "value"
+    lines, n = _lines(spark, d), len(DICTIONARY)
+    fitting = F.when(seq.shape_fits(F.col("scores"), F.col("steps"), F.lit(n)), F.col("scores"))
+    cells = lines.select("line_id", F.posexplode(fitting).alias("pos", "value")).select(
+        "line_id", (F.col("pos") / n).cast("int").alias("step"), (F.col("pos") % n).alias("class"), "value"
     )
     symbols = ", ".join(f"({i}, '{s}')" for i, s in enumerate(DICTIONARY))
     dictionary = spark.sql(f"SELECT * FROM VALUES {symbols} AS t(class, symbol)")
-    return seq.decode_rows(seq.best_classes_of_rows(cells), dictionary).select(
+    return seq.decode_rows(seq.best_classes_of_rows(cells), dictionary, lines).select(
         "line_id", "text", F.round(F.col("score"), 5).alias("score")
     )
 
@@ -109,8 +111,8 @@ ORACLES = {
         SELECT receipt_id, line_no, chunk, max(width) OVER (PARTITION BY receipt_id, chunk) AS chunk_width FROM c""",
     "A-09": X + f"SELECT receipt_id, deg, round(confidence, 6) AS confidence FROM {CONF}",
     "A-18": X.rstrip() + f", {WIDTHS} SELECT receipt_id, count(*) AS boxes, count(width) AS lines, coalesce(max(width), 0) AS max_width, CAST(ceil(count(width) / 2) AS BIGINT) AS runs, bool_or(failed) AS fallback FROM w GROUP BY receipt_id",
-    "W-05": f"WITH {BEST} SELECT * FROM out",
     "J-08": f"WITH {BEST} SELECT vec_id AS line_id, coalesce(text, '') AS text, coalesce(score, 0) AS score FROM embeddings LEFT JOIN out ON line_id = vec_id",
+    "W-05": f"WITH {BEST} SELECT vec_id AS line_id, coalesce(text, '') AS text, coalesce(score, 0) AS score FROM embeddings LEFT JOIN out ON line_id = vec_id",
     "W-06": X + f"SELECT receipt_id, CAST({PICK} AS BIGINT) AS deg FROM {CONF} GROUP BY receipt_id",
     "W-07": X + f"""SELECT receipt_id, CAST(CASE WHEN coalesce(bool_or(deg = 0 AND det_mass < 0.0005), false) THEN 0 ELSE {PICK} END AS BIGINT) AS deg,
         coalesce(bool_or(deg = 0 AND det_mass < 0.0005), false) AS no_text FROM {CONF} JOIN masses USING (receipt_id, deg) GROUP BY receipt_id""",

@@ -1,8 +1,9 @@
 """Snippets of checking SQL used by several queries."""
 
+from slipstack import fixed
+
 SPACE = r"[\s\x{0B}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
-AMOUNT = r"(?:\d{1,3}(?:,\d{3})+\.\d{2}|\d+\.\d{2})"
-PREFIX = r"(?:Bs\.?|BOB|\$)?\s*"
+AMOUNT, PREFIX = fixed.AMOUNT_PATTERN, fixed.AMOUNT_PREFIX
 FOUND = rf"{PREFIX}({AMOUNT})(?:\D|$)"
 SIGNED = rf"(?:(?:^|[^-])-\s?|\(\s?){PREFIX}{AMOUNT}(?:\D|$)"
 
@@ -53,19 +54,15 @@ def js_round(expr: str) -> str:
 
 
 CAPACITY = (
-    "CASE layout WHEN 'u1' THEN 1 WHEN 'u2h' THEN 2 WHEN 'u2v' THEN 2 WHEN 'u3h' THEN 3 WHEN 'u3v' THEN 3 "
-    "WHEN 'u3m' THEN 3 WHEN 'u5m' THEN 5 WHEN 'u6x2' THEN 6 WHEN 'u6m' THEN 6 ELSE 4 END"
+    "CASE layout "
+    + " ".join(f"WHEN '{name}' THEN {len(slots)}" for name, (_, _, slots) in fixed.LAYOUTS.items())
+    + f" ELSE {len(fixed.LAYOUTS[fixed.DEFAULT_LAYOUT][2])} END"
+)
+SLOTS = (
+    "slots(layout, slot, grid_row, grid_col, col_span, row_span, n_rows, n_cols) AS (VALUES "
+    + ", ".join(
+        str((name, i, *slot, rows, cols)) for name, (rows, cols, slots) in fixed.LAYOUTS.items() for i, slot in enumerate(slots)
+    )
+    + ")"
 )
-# layout, slot, row, column, column span, row span, rows, columns
-SLOTS = """slots(layout, slot, grid_row, grid_col, col_span, row_span, n_rows, n_cols) AS (VALUES
- ('u1',0,1,1,2,1,1,2),
- ('u2h',0,1,1,1,1,1,2),('u2h',1,1,2,1,1,1,2),
- ('u2v',0,1,1,1,1,2,1),('u2v',1,2,1,1,1,2,1),
- ('u3h',0,1,1,1,1,2,2),('u3h',1,2,1,1,1,2,2),('u3h',2,1,2,1,2,2,2),
- ('u3v',0,1,1,1,1,3,1),('u3v',1,2,1,1,1,3,1),('u3v',2,3,1,1,1,3,1),
- ('u3m',0,1,1,1,1,2,2),('u3m',1,1,2,1,1,2,2),('u3m',2,2,1,2,1,2,2),
- ('u4x2',0,1,1,1,1,2,2),('u4x2',1,1,2,1,1,2,2),('u4x2',2,2,1,1,1,2,2),('u4x2',3,2,2,1,1,2,2),
- ('u5m',0,1,1,2,1,2,6),('u5m',1,1,3,2,1,2,6),('u5m',2,1,5,2,1,2,6),('u5m',3,2,1,3,1,2,6),('u5m',4,2,4,3,1,2,6),
- ('u6x2',0,1,1,1,1,2,3),('u6x2',1,1,2,1,1,2,3),('u6x2',2,1,3,1,1,2,3),('u6x2',3,2,1,1,1,2,3),('u6x2',4,2,2,1,1,2,3),('u6x2',5,2,3,1,1,2,3),
- ('u6m',0,1,1,1,1,3,2),('u6m',1,1,2,1,1,3,2),('u6m',2,2,1,1,1,3,2),('u6m',3,2,2,1,1,3,2),('u6m',4,3,1,1,1,3,2),('u6m',5,3,2,1,1,3,2))"""
-KNOWN = "CASE WHEN layout IN ('u1','u2h','u2v','u3h','u3v','u3m','u4x2','u5m','u6x2','u6m') THEN layout ELSE 'u4x2' END"
+KNOWN = f"CASE WHEN layout IN ({', '.join(map(repr, fixed.LAYOUTS))}) THEN layout ELSE '{fixed.DEFAULT_LAYOUT}' END"

@@ -9,8 +9,9 @@ from slipstack.plans import events as batch
 from slipstack.plans import intake as files
 from slipstack.plans.inputs import cte, load, load_stream
 from slipstack.streaming import attempts, debounce
+from slipstack.streaming.in_order import drained
 from slipstack.streaming.intake import start_intake
-from slipstack.streaming.runner import drain_to_table, scratch
+from slipstack.streaming.runner import scratch
 from slipstack.streaming.totals import start_applying
 
 
@@ -28,17 +29,25 @@ def _tries(spark, d):
     return load_stream(spark, d, "attempts")
 
 
+DELAY_MS = 24 * 3600 * 1000
+
+
 def r03(spark, d):
     turns = _tries(spark, d).filter("event_type <> 'purchase'").select(
-        "user_id", "ts", F.when(F.col("event_type") == "click", 90).otherwise(270).cast("bigint").alias("deg")
+        "user_id", F.unix_micros("ts").alias("us"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "click", 90).otherwise(270).cast("bigint").alias("deg")
+    )
+    found = drained(
+        turns, "user_id", ["deg"], scratch(spark, "debounce"), lambda rows: debounce.quiet_sessions(rows, "user_id", batch.QUIET_MS, DELAY_MS)
     )
-    closed = debounce.quiet_sessions(turns, "user_id", batch.QUIET_MS, "0 seconds")
-    return batch._shown(drain_to_table(closed, scratch(spark, "debounce")))
+    return found.filter("reason IS NULL").select("user_id", "start_us", "last_us", "turns", "degrees")
 
 
 def _watched(spark, d):
-    tries = _tries(spark, d).select("user_id", "event_id", F.unix_micros("ts").alias("us"), "failed")
-    return drain_to_table(attempts.watch(tries, "user_id", batch.WAIT_MS), scratch(spark, "watch"))
+    tries = _tries(spark, d).select("user_id", F.unix_micros("ts").alias("us"), F.col("event_id").alias("seq"), "failed")
+    found = drained(
+        tries, "user_id", ["failed"], scratch(spark, "watch"), lambda rows: attempts.watch(rows, "user_id", batch.WAIT_MS, delay_ms=DELAY_MS)
+    )
+    return found.filter("reason IS NULL").withColumnRenamed("seq", "event_id")
 
 
 def r09(spark, d):
@@ -68,18 +77,11 @@ def r08(spark, d):
     return spark.read.parquet(f"{folder}/receipts").select("receipt_id", "cents")
 
 
-def r15(spark, d):
-    played = drain_to_table(attempts.replay(batch.edit_log(_tries(spark, d)), "batch_id"), scratch(spark, "replay"))
-    newest = played.groupBy("batch_id").agg(F.max("version").alias("version"))
-    return played.join(newest, ["batch_id", "version"], "left_semi").drop("version")
-
-
-QUERIES = {"R-01": r01, "R-03-stream": r03, "R-08-stream": r08, "R-09-stream": r09, "R-10-stream": r10, "R-12-stream": r12, "R-15-stream": r15}
+QUERIES = {"R-01": r01, "R-03-stream": r03, "R-08-stream": r08, "R-09-stream": r09, "R-10-stream": r10, "R-12-stream": r12}
 
 ORACLES = {
     "R-01": files.WITH + "SELECT batch_id, seq, CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejects' END AS side FROM judged",
-    # The watermark is the latest turn: a session is closed once its end lies before it.
-    "R-03-stream": batch.TURNS + " SELECT * FROM sess WHERE last_us + 21600000000 <= (SELECT max(us) // 1000 * 1000 FROM turns)",
+    "R-03-stream": batch.ORACLES["R-03"],
     "R-08-stream": cte("receipts", "late_lines") + """SELECT receipt_id, CASE WHEN cents IS NULL AND coalesce(draft, '') = '' AND NOT removed THEN found ELSE cents END AS cents
         FROM receipts LEFT JOIN (SELECT receipt_id, arg_min(new_cents, seq) AS found FROM late_lines WHERE flag = 'A' GROUP BY receipt_id) USING (receipt_id)""",
     "R-09-stream": batch.ORACLES["R-09"],

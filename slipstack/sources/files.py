@@ -28,21 +28,21 @@ def _named(files: DataFrame, batch_id: str) -> DataFrame:
     return files.withColumn("batch_id", F.lit(batch_id)).withColumn("name", name).withColumn("mime", mime)
 
 
-def listing(spark: SparkSession, path: str, batch_id: str) -> DataFrame:
+def listing(spark: SparkSession, path: str, batch_id: str, most_bytes: int = fixed.MAX_DOCUMENT_BYTES) -> DataFrame:
     """S-01: files of a folder with size and first twelve bytes.
 
-    Select only ``name`` and ``size`` and Spark does not open the files at all.
+    The size gate (F-05) is pushed into the scan: files over ``most_bytes``, which are
+    refused anyway, are listed without being opened and have no head.  Select only
+    ``name`` and ``size`` and Spark opens no file at all.
     """
     raw = spark.read.format("binaryFile").load(path)
-    return _named(raw, batch_id).select(
-        "batch_id",
-        "path",
-        "name",
-        "mime",
-        F.col("length").alias("size"),
-        F.hex(F.substring("content", 1, 12)).alias("head_hex"),
-        F.col("modificationTime").alias("modified"),
+    head = F.hex(F.substring("content", 1, 12)).alias("head_hex")
+    columns = ["batch_id", "path", "name", "mime", F.col("length").alias("size")]
+    opened = _named(raw.filter(F.col("length") <= most_bytes), batch_id).select(*columns, head, F.col("modificationTime").alias("modified"))
+    refused = _named(raw.filter(F.col("length") > most_bytes), batch_id).select(
+        *columns, F.lit(None).cast("string").alias("head_hex"), F.col("modificationTime").alias("modified")
     )
+    return opened.unionByName(refused)
 
 
 def listing_stream(spark: SparkSession, path: str, batch_id: str) -> DataFrame:

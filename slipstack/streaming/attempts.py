@@ -1,78 +1,35 @@
-"""R-09, R-10, R-12 and R-15 as keyed state.
-
-The state of a key is a few numbers (or its sheets).  Rows of one micro-batch are put
-in event order before they are applied; rows older than what a key has already seen
-are ignored as late.
-"""
+"""R-09, R-10 and R-12 as keyed state: a few numbers per key, rows in event order."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 
 from slipstack import fixed
-from slipstack.functions.desk import Desk
-from slipstack.operators.events import PLACED, edit_args, placed_rows
-
-OUT = "{key} {type}, event_id bigint, strike bigint, evicts boolean, tried boolean, alert boolean"
-STATE = "fails bigint, cold bigint, down boolean, seen bigint"
-
+from slipstack.streaming.in_order import folded
 
-def _batch(frames: Iterator[pd.DataFrame], order: list[str], seen: int) -> pd.DataFrame:
-    rows = pd.concat(list(frames), ignore_index=True).sort_values(order, kind="stable")
-    return rows[rows[order[0]] >= seen]
+START = {"fails": 0, "cold": None, "down": False}
+OUT = "strike bigint, evicts boolean, tried boolean, alert boolean"
 
 
-def _typed(df: DataFrame, key: str) -> str:
-    return df.schema[key].dataType.simpleString()
+def watch(
+    attempts: DataFrame, key: str, wait_ms: int = fixed.COOLDOWN_MS, strikes: int = fixed.STRIKES, delay_ms: int = 10_000
+) -> DataFrame:
+    """``key, us, seq, failed`` to strike, eviction, cooldown and alert per attempt.
 
-
-def watch(attempts: DataFrame, key: str, wait_ms: int = fixed.COOLDOWN_MS, strikes: int = fixed.STRIKES) -> DataFrame:
-    """``key, event_id, us, failed`` to strike, eviction, cooldown and alert per attempt.
-
-    ``us`` is the event time in microseconds.
+    ``us`` is the event time in microseconds.  Attempts later than the delay have a
+    reason and no other value.
     """
     wait = wait_ms * 1000
 
-    def step(owner, frames, state):
-        fails, cold, down, seen = state.get if state.exists else (0, 0, False, -1)
-        out = []
-        for row in _batch(frames, ["us", "event_id"], seen).itertuples(index=False):
-            tried = row.us >= cold
-            if tried:
-                cold = row.us + wait if row.failed else 0
-            fails = fails % strikes + 1 if row.failed else 0
-            strike = fails if row.failed else None
-            out.append((owner[0], row.event_id, strike, strike == strikes, tried, bool(row.failed and not down)))
-            down, seen = bool(row.failed), row.us
-        state.update((int(fails), int(cold), down, int(seen)))
-        frame = pd.DataFrame(out, columns=[key, "event_id", "strike", "evicts", "tried", "alert"])
-        yield frame.astype({"strike": "Int64"})
-
-    return attempts.groupBy(key).applyInPandasWithState(
-        step, OUT.format(key=key, type=_typed(attempts, key)), STATE, "append", "NoTimeout"
-    )
-
-
-def replay(log: DataFrame, key: str) -> DataFrame:
-    """R-15: after each micro-batch the whole placement of every batch it touched.
-
-    ``version`` grows with the edits applied; readers keep the highest per batch.
-    """
-
-    def step(owner, frames, state):
-        text, seen = state.get if state.exists else ("[]", -1)
-        desk = Desk(json.loads(text))
-        for row in _batch(frames, ["seq"], seen).itertuples(index=False):
-            desk.apply(*edit_args(row))
-            seen = row.seq
-        state.update((json.dumps(desk.sheets()), int(seen)))
-        rows = [(*row, int(seen)) for row in placed_rows(owner[0], desk.sheets())]
-        yield pd.DataFrame(rows, columns=[key, "sheet_no", "layout", "slot", "receipt_id", "version"])
-
-    return log.groupBy(key).applyInPandasWithState(
-        step, f"{key} {_typed(log, key)}, {PLACED}, version bigint", "sheets string, seen bigint", "append", "NoTimeout"
-    )
+    def fold(memory: dict, us: int, seq: int, values: tuple) -> list[tuple]:
+        failed = bool(values[0])
+        tried = memory["cold"] is None or us >= memory["cold"]
+        if tried:
+            memory["cold"] = us + wait if failed else None
+        memory["fails"] = memory["fails"] % strikes + 1 if failed else 0
+        strike = memory["fails"] if failed else None
+        alert = failed and not memory["down"]
+        memory["down"] = failed
+        return [(seq, strike, strike == strikes, tried, alert)]
+
+    return folded(attempts, key, ["failed"], OUT, START, fold, delay_ms=delay_ms)

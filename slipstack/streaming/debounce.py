@@ -3,25 +3,36 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from slipstack import fixed
+from slipstack.streaming.in_order import folded
 
+START = {"start": None, "last": None, "turns": 0, "degrees": 0}
+OUT = "start_us bigint, last_us bigint, turns bigint, degrees bigint"
 
-def quiet_sessions(turns: DataFrame, key: str, gap_ms: int = fixed.QUIET_MS, delay: str = "10 seconds") -> DataFrame:
-    """Turns (``key, ts, deg``) to closed sessions.
 
-    Partial sums are merged per session in the state store; a session comes out once
-    the watermark has passed its end, so the latest one waits for newer events.
+def quiet_sessions(turns: DataFrame, key: str, gap_ms: int = fixed.QUIET_MS, delay_ms: int = 10_000) -> DataFrame:
+    """Turns (``key, us, seq, deg``) to closed sessions; turns later than the delay have a reason.
+
+    A session comes out once time has passed its end by more than the gap.
     """
-    window = F.session_window("ts", f"{gap_ms} milliseconds")
-    return (
-        turns.withWatermark("ts", delay)
-        .groupBy(key, window.alias("w"))
-        .agg(
-            F.max("ts").alias("last_turn"),
-            F.count(F.lit(1)).alias("turns"),
-            F.pmod(F.sum("deg"), F.lit(360)).alias("degrees"),
-        )
-        .select(key, F.col("w.start").alias("session_start"), "last_turn", "turns", "degrees")
-    )
+    gap = gap_ms * 1000
+
+    def ended(memory: dict) -> list[tuple]:
+        if memory["start"] is None:
+            return []
+        row = (None, memory["start"], memory["last"], memory["turns"], memory["degrees"] % 360)
+        memory.update(START)
+        return [row]
+
+    def fold(memory: dict, us: int, seq: int, values: tuple) -> list[tuple]:
+        done = ended(memory) if memory["last"] is not None and us - memory["last"] > gap else []
+        memory["start"] = us if memory["start"] is None else memory["start"]
+        memory["last"], memory["turns"] = us, memory["turns"] + 1
+        memory["degrees"] += int(values[0])
+        return done
+
+    def close(memory: dict, limit: int) -> list[tuple]:
+        return ended(memory) if memory["last"] is not None and limit - memory["last"] > gap else []
+
+    return folded(turns, key, ["deg"], OUT, START, fold, close, delay_ms)

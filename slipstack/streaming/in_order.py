@@ -1,0 +1,86 @@
+"""Keyed folds over a stream whose rows may come out of order.
+
+Rows of a key are held until its newest row is ``delay_ms`` younger, then folded in the
+order of ``(us, seq)``.  A row that comes after its place has passed is not applied but
+given out with a reason, so rows in = rows out + late rows.  A heartbeat, a row without
+``seq``, only moves the time on: one far in the future applies all that is held.
+"""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from slipstack.streaming.runner import drain_to_table
+
+LATE = "late"
+FAR = 4_000_000_000_000_000_000  # microseconds of a heartbeat that closes everything
+
+
+def folded(
+    rows: DataFrame, key: str, fields: list[str], out: str, memory: dict,
+    fold: Callable[[dict, int, int, tuple], list[tuple]],
+    close: Callable[[dict, int], list[tuple]] | None = None, delay_ms: int = 10_000,
+) -> DataFrame:
+    """Fold ``key, us, seq, *fields`` into rows of ``key, seq, <out>, reason``.
+
+    ``fold`` changes the memory of a key and gives result rows ``(seq, ...)``; ``close``
+    is told how far time has come, after the folding.  ``fields`` are numbers or flags.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+    names = [x.split()[0] for x in out.split(", ")]
+    blank = [None] * len(names)
+
+    def step(owner, frames: Iterator[pd.DataFrame], state):
+        known, held, applied, newest = json.loads(state.get[0]) if state.exists else (dict(memory), [], None, None)
+        fresh = []
+        for frame in frames:
+            columns = [frame[c].astype(object).where(frame[c].notna(), None).tolist() for c in ("us", "seq", *fields)]
+            fresh += zip(*columns)
+        result = []
+        for us, seq, *values in fresh:
+            newest = us if newest is None or us > newest else newest
+            if seq is None:
+                continue
+            if applied is not None and [us, seq] < applied:
+                result.append((owner[0], seq, *blank, LATE))
+            else:
+                held.append([us, seq, *values])
+        if newest is not None:
+            limit = newest - delay_ms * 1000
+            held.sort(key=lambda r: (r[0], r[1]))
+            ready = sum(r[0] <= limit for r in held)
+            for us, seq, *values in held[:ready]:
+                result += [(owner[0], *r, None) for r in fold(known, us, seq, tuple(values))]
+                applied = [us, seq]
+            held = held[ready:]
+            if close is not None:
+                result += [(owner[0], *r, None) for r in close(known, limit)]
+        plain = lambda x: x.item() if hasattr(x, "item") else x
+        state.update((json.dumps([known, held, applied, newest], default=plain),))
+        yield pd.DataFrame(result, columns=[key, "seq", *names, "reason"]).astype(object)
+
+    return rows.select(key, "us", "seq", *fields).groupBy(key).applyInPandasWithState(
+        step, f"{key} {kind}, seq bigint, {out}, reason string", "memory string", "append", "NoTimeout"
+    )
+
+
+def drained(stream: DataFrame, key: str, fields: list[str], folder: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Run ``make`` over all of a stream of ``key, us, seq, *fields`` that is there, then close every key."""
+    spark = stream.sparkSession
+    beats = f"{folder}/heartbeats"
+    shape = stream.select(key, "us", "seq", *fields)
+    spark.createDataFrame([], shape.schema).write.mode("append").parquet(beats)
+    both = shape.unionByName(spark.readStream.schema(shape.schema).parquet(beats))
+    found = drain_to_table(make(both), folder)
+    seen = found.select(key).distinct()
+    held = drain_to_table(shape.select(key), f"{folder}/keys").distinct()
+    closing = held.unionByName(seen).distinct().select(
+        key, F.lit(FAR).alias("us"), F.lit(None).cast("bigint").alias("seq"), *[F.lit(None).cast(shape.schema[f].dataType).alias(f) for f in fields]
+    )
+    closing.write.mode("append").parquet(beats)
+    return drain_to_table(make(both), folder)

@@ -7,10 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slipstack.functions.amounts import collapse_spaces
 from slipstack.operators.extraction import apply_totals
 
 
+def is_complete(spark: SparkSession, folder: str) -> bool:
+    """Whether a finished job has written there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def start_applying(
     spark: SparkSession, results: DataFrame, table: str, progress: str, place: Sequence[str] = ("bucket",)
 ):
@@ -25,28 +30,21 @@ def start_applying(
     keys = list(place)
 
     def apply(rows: DataFrame, epoch: int) -> None:
-        usable = rows.filter(F.col("new_cents") >= 0)
+        # Written aside first: a partition cannot be read and replaced in one job.  A replay
+        # after a crash between the two finds the copy complete and only puts it in place:
+        # the table itself may lack partitions by then.
+        staged = f"{progress}/staged/{epoch}"
+        if not is_complete(spark, staged):
+            stage(rows, staged)
+        copy = spark.read.parquet(staged)
+        copy.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(table)
+
+    def stage(rows: DataFrame, staged: str) -> None:
+        usable = rows.filter(F.col("new_cents").isNotNull())
         receipts = spark.read.parquet(table)
         affected = receipts.join(usable.select(*keys).distinct(), keys, "left_semi")
-        now = affected.select("receipt_id", collapse_spaces(F.col("text")).alias("seen_text"))
-        first = (
-            usable.join(now, ["receipt_id", "seen_text"])
-            .groupBy("receipt_id")
-            .agg(F.min_by(F.struct("new_cents", "seen_text"), "seq").alias("_r"))
-            .select("receipt_id", "_r.*")
-        )
-        done = apply_totals(affected, first).select(*receipts.columns)
-        # Written aside first: a partition cannot be read and replaced in one job.
-        staged = f"{progress}/staged/{epoch}"
+        done = apply_totals(affected, usable).select(*receipts.columns)
         done.write.mode("overwrite").parquet(staged)
-        (
-            spark.read.schema(receipts.schema)
-            .parquet(staged)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*keys)
-            .parquet(table)
-        )
 
     return (
         results.writeStream.foreachBatch(apply)

@@ -120,6 +120,27 @@ def test_apply_totals_guards(rows):
     assert got[2] == (7, False) and got[1] == (100, True) and got[7] == (None, False)
 
 
+def test_several_results_never_multiply_a_receipt(rows):
+    df = _receipts(rows, [("b", 1, "a 1.00", None, False, "ok", None, False), ("b", 2, "x", None, False, "ok", None, False)])
+    late = rows([(1, 300, "a 1.00", 2), (1, 400, "a 1.00", 1), (1, 1, "old", 0), (1, None, "a 1.00", 0), (2, 5, "y", 1), (2, 6, "z", 1)], "receipt_id bigint, new_cents bigint, seen_text string, seq bigint")
+    for results, want in ((late, 400), (late.drop("seq"), 300)):
+        assert sorted((r.receipt_id, r.cents) for r in ex.apply_totals(df, results).collect()) == [(1, want), (2, None)]
+
+
+def test_settle_takes_live_pending_rows_only(rows):
+    kinds = [
+        (1, "TOTAL 1.00", None, "pendiente", None, False, None), (2, "TOTAL 1.00", 7, "pendiente", None, False, None), (3, "TOTAL 1.00", None, "pendiente", "1", False, None),
+        (4, "TOTAL 1.00", None, "pendiente", None, True, None), (5, "TOTAL 1.00", 7, "ok", None, False, "x"), (6, "TOTAL 1.00", 7, "pendiente", None, False, "x"),
+        (7, "nada", 7, "pendiente", None, False, None), (8, "TOTAL 1.00", 9, "procesando", None, False, None),
+    ]
+    df = rows(kinds, "receipt_id bigint, text string, cents bigint, status string, draft string, removed boolean, ocr_error string")
+    got = {r.receipt_id: (r.text, r.cents, r.status) for r in ex.settle(df).collect()}
+    assert got == {
+        1: ("TOTAL 1.00", 100, "ok"), 2: ("TOTAL 1.00", 100, "ok"), 3: ("TOTAL 1.00", None, "ok"), 4: ("TOTAL 1.00", None, "pendiente"),
+        5: ("TOTAL 1.00", 7, "ok"), 6: ("", None, "error"), 7: ("nada", None, "ok"), 8: ("TOTAL 1.00", 9, "procesando"),
+    }
+
+
 @pytest.mark.parametrize("ok,total,prior,text", [(2, 2, "antes", "antes"), (2, 2, " ", "Local: 2/2 totales."), (1, 2, "antes", "Local: 1/2 totales.")])
 def test_message(rows, ok, total, prior, text):
     df = rows([(ok, total, prior)], "a int, b int, c string")

@@ -138,6 +138,10 @@ def test_hooks_turn_failures_into_data(rows):
             raise ValueError
         return frame[["width"]].assign(twice=frame["width"] * 2)
 
+    def patchy(frame):
+        return score(frame[frame["width"] != 50])
+
     lines = rows([(w,) for w in range(100)], "width bigint")
-    got = {r.width: r.twice for r in hooks.scored(lines, score, "width bigint, twice bigint", parts=3).collect()}
-    assert got == {w: 2 * w for w in range(100) if w != 13}
+    got = {r.width: (r.twice, r.error) for r in hooks.scored(lines, patchy, "width bigint, twice bigint", "width", parts=3).collect()}
+    want = {w: (2 * w, None) for w in range(100)} | {13: (None, "ValueError"), 50: (None, "no result")}
+    assert got == want

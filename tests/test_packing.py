@@ -130,8 +130,40 @@ def test_hot_batch_is_packed_whole(rows):
 def test_manifest_breaks_pages_between_sheets(rows):
     data = [("b", 4, 1, "u2h", 1, 10, 10), ("b", 4, 0, "u2h", 2, 10, 10), ("b", 7, 1, "u2h", 3, 10, 10), ("b", 7, 5, "u2h", 4, 10, 10)]
     placed = rows(data, "batch_id string, sheet_no bigint, slot bigint, layout string, receipt_id bigint, width bigint, height bigint")
-    got = {r.receipt_id: r.page_break for r in op.manifest(placed, F.lit("inf-der")).collect()}
-    assert got == {1: False, 2: False, 3: True}
+    out = op.manifest(placed, F.lit("inf-der")).collect()
+    assert {r.receipt_id: r.page_break for r in out} == {1: False, 2: False, 3: True, 4: False}
+    # A placement beyond its template is reported, not lost.
+    assert {r.receipt_id: r.refused for r in out if r.refused} == {4: fixed.NO_SUCH_SLOT}
+    assert op.print_cells(placed.withColumn("name", F.lit("x"))).filter("refused IS NOT NULL").count() == 1
+
+
+@pytest.mark.parametrize(
+    "state,slot,want",
+    [
+        ([("u2h", [1, None]), ("u2v", [2, None])], 0, (2, 1, "u2v")), ([("u2h", [1, None]), ("u2v", [None, None])], 1, (2, 1, "u2v")),
+        ([("u2h", [1, None]), ("u1", [2])], 0, (1, 1, "u2h")), ([("u2h", [1, 3]), ("u1", [2])], 0, (3, 0, "u1")),
+    ],
+)
+def test_paste_without_a_sheet(rows, state, slot, want):
+    sheets, placed = _state(rows, state)
+    ask = rows([("b", 50, None, slot)], "batch_id string, receipt_id bigint, sheet_no bigint, slot bigint")
+    r = op.paste(sheets, placed, ask).first()
+    assert (r.sheet_no, r.slot, r.layout) == want
+
+
+def test_sheets_after_a_reflow(rows):
+    sheets, placed = _state(rows, [("u1", [1]), ("u2h", [2, 3]), ("u1", [None])])
+    bare = rows([("c", 4, "u1")], SHEETS)
+    moved = op.reflow(sheets, placed)
+    got = {(r.batch_id, r.sheet_no, r.layout) for r in op.sheets_after(sheets.unionByName(bare), moved).collect()}
+    assert got == {("b", 1, "u1"), ("b", 2, "u2h"), ("c", 5, "u4x2")}
+
+
+def test_gates_of_batches(rows):
+    codes = rows([("a", True, "12"), ("b", True, "1x"), ("c", False, None), ("d", True, "5")], "batch_id string, active boolean, code string")
+    receipts = rows([("a", 1), ("b", 2), ("c", 3)], "batch_id string, receipt_id bigint")
+    got = {r.batch_id: r.message for r in op.batch_gates(codes, receipts).collect()}
+    assert got == {"a": None, "b": fixed.CODE_INVALID, "c": None, "d": fixed.NOTHING_TO_EXPORT}
 
 
 def test_manifest_is_written_flat_and_nested(spark, rows, tmp_path):

@@ -80,7 +80,7 @@ def test_rows_and_arrays_decode_alike(rows, spark):
         "line_id bigint, step int, class int, value float",
     )
     dictionary = rows(list(enumerate(DICT)), "class int, symbol string")
-    long = seq.decode_rows(seq.best_classes_of_rows(cells), dictionary)
+    long = seq.decode_rows(seq.best_classes_of_rows(cells), dictionary, cells.select("line_id").distinct())
     a = {r.line_id: (r.text, round(r.score, 5)) for r in arrays.collect() if r.text}
     assert a == {r.line_id: (r.text, round(r.score, 5)) for r in long.collect()}
 

@@ -3,11 +3,11 @@ from __future__ import annotations
 import random
 
 from pyspark.sql import functions as F
-from test_events import LOG, at, random_log
+from test_events import at
 
 from slipstack.operators import events as batch
 from slipstack.streaming import attempts, debounce, intake, totals
-from slipstack.streaming.runner import drain_to_table
+from slipstack.streaming.in_order import LATE, drained
 
 
 def _stream(spark, df, folder, order, parts=3):
@@ -19,12 +19,28 @@ def _stream(spark, df, folder, order, parts=3):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
 
 
-def test_watch_equals_batch(spark, rows, tmp_path):
-    rng = random.Random(2)
-    data = [(i, f"k{rng.randrange(3)}", at(i * 11 + rng.random()), rng.random() < 0.6) for i in range(200)]
-    df = rows(data, "event_id bigint, k string, ts timestamp, failed boolean")
-    tries = _stream(spark, df, str(tmp_path), "ts").select("k", "event_id", F.unix_micros("ts").alias("us"), "failed")
-    got = {r.event_id: r for r in drain_to_table(attempts.watch(tries, "k"), str(tmp_path)).collect()}
+def _shuffled(spark, df, folder, rng, parts=6, jitter=40):
+    """Files out of event order by some rows."""
+    found = sorted(df.collect(), key=lambda r: r.us + rng.randrange(jitter) * 1_000_000)
+    for i in range(parts):
+        piece = spark.createDataFrame(found[i * len(found) // parts : (i + 1) * len(found) // parts], df.schema)
+        piece.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+
+def _tries(rows, seed):
+    rng = random.Random(seed)
+    data = [(i, f"k{rng.randrange(3)}", at(i * 11 + rng.random() - 10**9 * (i < 5)), rng.random() < 0.6) for i in range(200)]
+    return rows(data, "event_id bigint, k string, ts timestamp, failed boolean")
+
+
+def test_watch_equals_batch_on_files_out_of_order(spark, rows, tmp_path):
+    df = _tries(rows, 2)
+    flat = df.select("k", F.unix_micros("ts").alias("us"), F.col("event_id").alias("seq"), "failed")
+    stream = _shuffled(spark, flat, str(tmp_path), random.Random(1))
+    out = drained(stream, "k", ["failed"], str(tmp_path), lambda r: attempts.watch(r, "k", delay_ms=3_600_000)).collect()
+    got = {r.seq: r for r in out}
+    assert len(out) == 200 and not any(r.reason for r in out)
     strikes = {r.event_id: (r.strike, r.evicts) for r in batch.strikes(df, "k").collect()}
     tried = {r.event_id: r.tried for r in batch.cooldown(df, "k").collect()}
     alerts = {r.event_id for r in batch.alerts(df, "k").collect()}
@@ -33,22 +49,38 @@ def test_watch_equals_batch(spark, rows, tmp_path):
     assert {i for i, r in got.items() if r.alert} == alerts
 
 
-def test_replay_equals_batch(spark, rows, tmp_path):
-    df = rows(random_log(random.Random(4), 5, 300), LOG)
-    played = drain_to_table(attempts.replay(_stream(spark, df, str(tmp_path), "seq"), "batch_id"), str(tmp_path))
-    newest = played.groupBy("batch_id").agg(F.max("version").alias("version"))
-    got = played.join(newest, ["batch_id", "version"], "left_semi").drop("version")
-    want = batch.replay(df, "batch_id")
-    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+def test_rows_later_than_the_delay_come_out_with_a_reason(spark, rows, tmp_path):
+    df = _tries(rows, 3)
+    flat = df.select("k", F.unix_micros("ts").alias("us"), F.col("event_id").alias("seq"), "failed")
+    stream = _shuffled(spark, flat, str(tmp_path), random.Random(1), jitter=400)
+    out = drained(stream, "k", ["failed"], str(tmp_path), lambda r: attempts.watch(r, "k", delay_ms=1)).collect()
+    late = {r.seq for r in out if r.reason}
+    assert sorted(r.seq for r in out) == list(range(200)) and late and {r.reason for r in out} == {None, LATE}
+    on_time = df.filter(~F.col("event_id").isin(*late))
+    assert {r.seq: r.strike for r in out if not r.reason} == {r.event_id: r.strike for r in batch.strikes(on_time, "k").collect()}
+
 
+def test_debounce_equals_batch_with_open_sessions_closed(spark, rows, tmp_path):
+    rng = random.Random(5)
+    data = [(i, f"k{rng.randrange(4)}", at(i * 0.6), 90 * rng.randrange(1, 4)) for i in range(150)]
+    df = rows(data, "event_id bigint, k string, ts timestamp, deg bigint")
+    flat = df.select("k", F.unix_micros("ts").alias("us"), F.col("event_id").alias("seq"), "deg")
+    stream = _shuffled(spark, flat, str(tmp_path), rng, jitter=5)
+    out = drained(stream, "k", ["deg"], str(tmp_path), lambda r: debounce.quiet_sessions(r, "k", delay_ms=60_000)).collect()
+    every = batch.quiet_sessions(df, "k").select("k", F.unix_micros("session_start"), F.unix_micros("last_turn"), "turns", "degrees").collect()
+    assert sorted((r.k, r.start_us, r.last_us, r.turns, r.degrees) for r in out) == sorted(map(tuple, every))
 
-def test_debounce_waits_for_the_watermark(spark, rows, tmp_path):
-    df = rows([("a", at(0), 90), ("a", at(1.4), 90), ("b", at(2.9), 90), ("a", at(60), 90)], "k string, ts timestamp, deg bigint")
-    closed = drain_to_table(debounce.quiet_sessions(_stream(spark, df, str(tmp_path), "ts", 2), "k"), str(tmp_path))
-    got = {(r.k, r.session_start, r.turns, r.degrees) for r in closed.collect()}
-    assert got == {("a", at(0), 2, 180), ("b", at(2.9), 1, 90)}
-    every = {(r.k, r.session_start, r.turns, r.degrees) for r in batch.quiet_sessions(df, "k").collect()}
-    assert got < every and len(every) == 3
+
+def test_a_crash_between_staging_and_swap_is_repaired(spark, rows, tmp_path):
+    receipts = rows([(0, 1, "TOTAL 1.00", None, None, False), (1, 2, "TOTAL 1.00", None, None, False)], "bucket int, receipt_id bigint, text string, cents bigint, draft string, removed boolean")
+    table, progress = str(tmp_path / "receipts"), str(tmp_path / "progress")
+    receipts.write.partitionBy("bucket").parquet(table)
+    # What a finished staging of epoch 0 had written, before the partition was lost.
+    receipts.where("bucket = 0").withColumn("cents", F.lit(-100).cast("bigint")).write.parquet(f"{progress}/staged/0")
+    receipts.where("bucket = 1").write.mode("overwrite").partitionBy("bucket").parquet(table)
+    late = rows([(0, 1, 1, -100, "TOTAL 1.00")], "bucket int, receipt_id bigint, seq bigint, new_cents bigint, seen_text string")
+    totals.start_applying(spark, _stream(spark, late, str(tmp_path), "seq", 1), table, progress).awaitTermination()
+    assert {r.receipt_id: r.cents for r in spark.read.parquet(table).collect()} == {1: -100, 2: None}
 
 
 def test_intake_runs_again_without_doubles(spark, rows, tmp_path):
