@@ -81,7 +81,8 @@ def components(edges: DataFrame) -> DataFrame:
         if knots.isEmpty():
             return current.select(F.col("a").alias("node"), F.col("b").alias("component"))
         both = current.unionAll(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lowest = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        # Written, so that the join deals out both sides anew and a node with very many links can be split.
+        lowest = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
         down = both.join(lowest, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         pair = lambda x: F.struct(F.col(x).alias("a"), F.col("m").alias("b"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from slipstack.llm import decontam, lattice, licenses, minhash, packing, redirects, suffixes, toxicity, vafile, warc
-from slipstack.llm.common import table
+from slipstack.llm.common import UPPER, table
 
 
 def op1_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,4 +64,43 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontam": op10_decontam,
 }
 
-ORACLES: dict[str, str] = {}
+FOLDED = f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')"
+BITS = " + ".join(f"{16 >> k} * CAST(substr(b, 5 * i + {k + 1}, 1) AS INT)" for k in range(5))
+HOST = rf"translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{UPPER.lower()}')"
+PATH = r"regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1)"
+REST = "CASE WHEN strpos(coalesce({0}, ''), '://') > 0 THEN substr({0}, strpos({0}, '://') + 3) END"
+QUERY = "list_filter(string_split(regexp_extract(rest, '(?s)^[^?#]*[?]([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref)(=|$)'))"
+NODE = f"CASE WHEN rest IS NOT NULL THEN {HOST} || regexp_replace({PATH}, '/+$', '') || CASE WHEN len({QUERY}) > 0 THEN '?' || array_to_string({QUERY}, '&') ELSE '' END END"
+FITS = " ".join(
+    f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{v} {h}{p}'"
+    for v, h, p in sorted(redirects.RULES, key=lambda r: -len(r[1] + r[2]))
+)
+
+#: Plain SQL for the same rows. Links inside pages (canonical, refresh) do not occur in the given tables
+#: and are left out of the SQL of op7; the tests compare them with worked cases.
+ORACLES: dict[str, str] = {
+    "op2_warc": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        g AS (SELECT page_id, strlen(h) AS n, CAST(CAST(unhex(sha1(h)) AS BIT) AS VARCHAR) AS b, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+        SELECT page_id, n AS payload_bytes, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + {BITS}, 1) FOR i IN range(32)], '') AS payload_digest,
+        CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM g""",
+    "op4_minhash": f"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex({FOLDED}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM d WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+        e AS (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 85 * (a.n + b.n - k)),
+        r(doc_id, o) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.o),
+        m AS (SELECT doc_id, min(o) AS component_id FROM r GROUP BY doc_id)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM m LEFT JOIN n USING (doc_id)""",
+    "op7_redirects": f"""WITH p AS (SELECT page_id, {REST.format('url')} AS rest FROM pages),
+        h AS (SELECT page_id, coalesce({HOST}, '') AS host, coalesce({PATH}, '') AS path, {NODE} AS node FROM p),
+        f AS (SELECT *, CASE {FITS} END AS fit FROM h),
+        b AS (SELECT node, bool_or(fit LIKE 'block %') AND NOT bool_or(fit LIKE 'allow %') AS blocked FROM f WHERE fit IS NOT NULL AND node IS NOT NULL GROUP BY node)
+        SELECT page_id, host, path, CASE WHEN fit IS NOT NULL THEN substr(fit, 7) END AS rule,
+        CASE WHEN fit IS NOT NULL THEN left(fit, 5) WHEN blocked THEN 'block' ELSE 'allow' END AS verdict, node AS alias_of FROM f LEFT JOIN b USING (node)""",
+    "op8_vafile": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+          WHERE embedding IS NOT NULL AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)))),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+          FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+}
