@@ -417,12 +417,10 @@ def removed(
     One row per input row. A null text is empty. Rows that repeat another row are two documents, so
     texts of at least WINDOW bytes vanish from both.
     """
-    rows = with_copy(docs)
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    rows = with_copy(docs.select(others.alias("row"), "doc_id", "text"))
     found = spans(rows, window, gram, most, part).distinct().groupBy("doc_id", "copy").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    others = [c for c in docs.columns if c != "text"]
-    joined = rows.join(found, rows["doc_id"].eqNullSafe(found["doc_id"]) & (rows["copy"] == found["copy"]), "left").select(
-        F.struct(*[rows[f"`{c}`"] for c in others]).alias("row"), rows["text"], "spans"
-    )
+    joined = rows.join(found, rows["doc_id"].eqNullSafe(found["doc_id"]) & (rows["copy"] == found["copy"]), "left").select("row", "text", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
