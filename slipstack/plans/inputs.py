@@ -17,6 +17,14 @@ TABLES = (
 
 PLAIN = "CAST(CAST(floor({0} / 100) AS BIGINT) AS STRING) || '.' || lpad(CAST({0} % 100 AS STRING), 2, '0')"
 
+TEMPLATE_OF_ORDER = """SELECT *, {capacity} AS cap FROM (SELECT CAST(o_custkey AS STRING) AS batch_id, o_orderkey AS order_no,
+               CASE o_orderpriority WHEN '1-URGENT' THEN CASE o_orderstatus WHEN 'F' THEN 'u1' WHEN 'O' THEN 'u2h' ELSE 'u2v' END
+                    WHEN '2-HIGH' THEN CASE o_orderstatus WHEN 'F' THEN 'u3h' WHEN 'O' THEN 'u3v' ELSE 'u3m' END
+                    WHEN '3-MEDIUM' THEN CASE o_orderstatus WHEN 'F' THEN 'u4x2' WHEN 'O' THEN 'u5m' ELSE 'u6x2' END
+                    WHEN '4-NOT SPECIFIED' THEN 'u6m' ELSE CASE o_orderstatus WHEN 'F' THEN 'u9z' ELSE 'u4x2' END END AS layout,
+               CASE o_orderstatus WHEN 'F' THEN 'sup-izq' WHEN 'O' THEN 'inf-der' ELSE 'sup-der' END AS corner
+        FROM {orders}) o"""
+
 INPUTS = {
     # Receipts with OCR text: one per order, batch = customer.
     "receipts": f"""
@@ -89,24 +97,17 @@ INPUTS = {
                1 - min(l_discount) AS white_ratio, min(l_tax) * 12 + max(l_discount) AS black_ratio
         FROM {lineitem} GROUP BY l_partkey, l_linenumber""",
     # Sheets: as many per order as its lines may need; the lines are the placed receipts.
-    "sheets": """
-        SELECT batch_id, order_no * 8 + k AS sheet_no, layout, corner, order_no, k, cap
-        FROM (SELECT *, {capacity} AS cap FROM (SELECT CAST(o_custkey AS STRING) AS batch_id, o_orderkey AS order_no,
-               CASE o_orderpriority WHEN '1-URGENT' THEN CASE o_orderstatus WHEN 'F' THEN 'u1' WHEN 'O' THEN 'u2h' ELSE 'u2v' END
-                    WHEN '2-HIGH' THEN CASE o_orderstatus WHEN 'F' THEN 'u3h' WHEN 'O' THEN 'u3v' ELSE 'u3m' END
-                    WHEN '3-MEDIUM' THEN CASE o_orderstatus WHEN 'F' THEN 'u4x2' WHEN 'O' THEN 'u5m' ELSE 'u6x2' END
-                    WHEN '4-NOT SPECIFIED' THEN 'u6m' ELSE CASE o_orderstatus WHEN 'F' THEN 'u9z' ELSE 'u4x2' END END AS layout,
-               CASE o_orderstatus WHEN 'F' THEN 'sup-izq' WHEN 'O' THEN 'inf-der' ELSE 'sup-der' END AS corner
-        FROM {orders}) o) p
+    "sheets": f"""
+        SELECT batch_id, order_no * 8 + k AS sheet_no, layout, corner, order_no, k, cap FROM ({TEMPLATE_OF_ORDER}) p
         JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6) n ON k * cap < 7""",
-    "placed": """
-        SELECT s.batch_id, s.sheet_no, s.layout, s.corner, CAST(l.n % s.cap AS BIGINT) AS slot, l.receipt_id, l.width, l.height, l.cents,
-               'factura-' || CAST(l.receipt_id AS STRING) AS name
+    "placed": f"""
+        SELECT s.batch_id, s.order_no * 8 + CAST(floor(l.n / s.cap) AS BIGINT) AS sheet_no, s.layout, s.corner, CAST(l.n % s.cap AS BIGINT) AS slot,
+               l.receipt_id, l.width, l.height, l.cents, 'factura-' || CAST(l.receipt_id AS STRING) AS name
         FROM (SELECT l_orderkey, CAST(l_linenumber - 1 AS BIGINT) AS n, l_orderkey * 8 + l_linenumber AS receipt_id,
                      CAST(max(l_quantity) AS BIGINT) * 37 AS width, CAST(floor(max(l_tax) * 100 + 0.5) AS BIGINT) * 200 AS height,
                      CASE WHEN min(l_returnflag) = 'A' THEN CAST(floor(max(l_extendedprice) * 100 + 0.5) AS BIGINT) END AS cents
-              FROM {lineitem} GROUP BY l_orderkey, l_linenumber) l
-        JOIN ({sheets}) s ON s.order_no = l.l_orderkey AND s.k = CAST(floor(l.n / s.cap) AS BIGINT)""",
+              FROM {{lineitem}} GROUP BY l_orderkey, l_linenumber) l
+        JOIN ({TEMPLATE_OF_ORDER}) s ON s.order_no = l.l_orderkey""",
     # New receipts to place: events, batch = user; and a paste request per batch.
     "arrivals": """
         SELECT CAST(o_custkey AS STRING) AS batch_id, o_orderkey AS seq, o_orderkey + CAST(1000000000000 AS BIGINT) AS receipt_id FROM {orders}""",
@@ -147,10 +148,7 @@ INPUTS = {
 
 
 def _sql(name: str, tables: dict[str, str]) -> str:
-    text, tables = INPUTS[name], {**tables, "capacity": CAPACITY}
-    if "{sheets}" in text:
-        tables = {**tables, "sheets": INPUTS["sheets"].format(**tables)}
-    return text.format(**tables)
+    return INPUTS[name].format(**tables, capacity=CAPACITY)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -158,9 +156,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def _derive(spark: SparkSession, name: str, read) -> DataFrame:
-    text = INPUTS[name] + (INPUTS["sheets"] if "{sheets}" in INPUTS[name] else "")
     for t in TABLES:
-        if "{" + t + "}" in text:
+        if "{" + t + "}" in INPUTS[name]:
             read(t).createOrReplaceTempView(f"slipstack_in_{t}")
     return spark.sql(_sql(name, {t: f"slipstack_in_{t}" for t in TABLES}))
 

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from slipstack import fixed
 from slipstack.functions import quads
+from slipstack.operators import composed
 from slipstack.operators import intake as op
-from slipstack.plans.inputs import cte, load
+from slipstack.plans.inputs import cte, load, table
 from slipstack.sources.files import listing
+from slipstack.streaming.runner import scratch
 
 
 def _files(spark, d):
@@ -20,9 +22,11 @@ def _admitted(spark, d):
 
 
 def s01(spark, d):
-    """The table files themselves, listed with their sizes."""
-    found = listing(spark, f"{d}/*.parquet", "tables")
-    return found.select("name", "size", "head_hex")
+    """The pages written out as one file each, then listed with size and head."""
+    folder = scratch(spark, "pages")
+    table(spark, d, "pages").select("page_id", "html").write.partitionBy("page_id").text(f"{folder}/files")
+    found = listing(spark, f"{folder}/files", "pages")
+    return found.select(F.regexp_extract("path", r"page_id=(-?\d+)", 1).cast("bigint").alias("page_id"), "size", "head_hex")
 
 
 def s03(spark, d):
@@ -114,7 +118,21 @@ def a16(spark, d):
     return op.notice_digest(notices)
 
 
+# What was read on a page: nothing, one amount, two amounts, or a failure.
+READ = "CASE seq % 4 WHEN 0 THEN '' WHEN 1 THEN 'TOTAL ' || CAST(seq AS STRING) || '.50' WHEN 2 THEN 'TOTAL 1.00 PROPINA 2.00' ELSE 'x 3.00' END AS text"
+BROKEN = "CASE WHEN seq % 4 = 3 THEN 'decoder' END AS ocr_error"
+
+
+def intake_to_totals(spark, d):
+    """Files to pages, receipts, sheets and totals in one plan."""
+    pages = load(spark, d, "page_measures")
+    numbers = pages.select("seq", F.col("page_no").cast("int").alias("page_no")).unionByName(_files(spark, d).select("seq", F.lit(0).alias("page_no")))
+    texts = numbers.selectExpr("seq", "page_no", READ, BROKEN)
+    return composed.batch_report(_files(spark, d), pages, texts)
+
+
 QUERIES = {
+    "intake-to-totals": intake_to_totals,
     "S-01": s01, "S-03": s03, "S-10": s10, "U-S1": us1, "F-01": f01, "F-02": f02, "F-03": f03, "F-04": f04,
     "F-05": f05, "F-06": f06, "F-07": f07, "F-08": f08, "F-11": f11, "J-01": j01, "J-11": j11, "C-23": c23,
     "P-01": p01, "A-16": a16,
@@ -152,6 +170,13 @@ PAGES = (
     f"FROM fan JOIN (SELECT seq, page_no FROM page_measures WHERE {SAFE} AND white_ratio < 0.995 AND black_ratio < 0.995) USING (seq, page_no))\n"
 )
 ORACLES = {
+    "intake-to-totals": PAGES.rstrip() + f""", rec AS (SELECT batch_id, seq FROM made UNION ALL SELECT batch_id, seq FROM judged WHERE kind = 'image' AND reason IS NULL),
+        a AS (SELECT batch_id, count(*) AS n, count(*) FILTER (seq % 4 = 1) AS w, sum(CASE WHEN seq % 4 = 1 THEN seq * 100 + 50 ELSE 0 END) AS s FROM rec GROUP BY batch_id),
+        no AS (SELECT batch_id, count(*) AS n FROM judged WHERE seq NOT IN (SELECT seq FROM rec) GROUP BY batch_id)
+        SELECT batch_id, coalesce(a.n, 0) AS receipts, coalesce(w, 0) AS with_amount, CAST(coalesce(s, 0) AS BIGINT) AS total_cents,
+        CAST(coalesce(ceil(a.n / {len(fixed.LAYOUTS[fixed.DEFAULT_LAYOUT][2])}), 0) AS BIGINT) AS sheets, coalesce(no.n, 0) AS refused FROM a FULL JOIN no USING (batch_id)""",
+    # A text file ends with a line feed.
+    "S-01": f"SELECT page_id, strlen(html) + 1 AS size, CASE WHEN strlen(html) < {fixed.MAX_DOCUMENT_BYTES} THEN left(hex(encode(html || chr(10))), 24) END AS head_hex FROM pages",
     "S-03": FILES + "SELECT batch_id, seq, name FROM files",
     "S-10": WITH + "SELECT batch_id, seq, name AS file, reason, title, detail FROM judged JOIN texts USING (reason)",
     "U-S1": WITH + "SELECT batch_id, CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS side, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM judged GROUP BY 1, 2",
