@@ -162,22 +162,21 @@ def sheets_after(sheets: DataFrame, moved: DataFrame) -> DataFrame:
 
 def _target_sheet(sheets: DataFrame, placements: DataFrame, wanted: DataFrame | None) -> DataFrame:
     """W-03: the asked sheet, else the first with a hole, else the last one."""
-    # At most six slots a sheet: the taken ones are a tiny array.
-    used = placements.groupBy("batch_id", "sheet_no").agg(F.collect_set("slot").alias("_taken"))
-    holes = F.array_except(
-        F.sequence(F.lit(0).cast("bigint"), capacity(F.col("layout")) - 1),
-        F.coalesce(F.col("_taken"), F.array().cast("array<bigint>")),
+    # Sheets, taken slots and wishes of a sheet meet in one aggregate: six slots at most.
+    no_slot, no_layout = F.lit(None).cast("bigint").alias("slot"), F.lit(None).cast("string").alias("layout")
+    key = ["batch_id", "sheet_no"]
+    parts = sheets.select(*key, "layout", no_slot, F.lit(False).alias("_asked")).unionByName(
+        placements.select(*key, no_layout, F.col("slot").cast("bigint").alias("slot"), F.lit(False).alias("_asked"))
     )
+    if wanted is not None:
+        parts = parts.unionByName(wanted.select(*key, no_layout, no_slot, F.lit(True).alias("_asked")))
+    all_slots = F.sequence(F.lit(0).cast("bigint"), capacity(F.col("layout")) - 1)
     state = (
-        sheets.select("batch_id", "sheet_no", "layout")
-        .join(used, ["batch_id", "sheet_no"], "left")
-        .withColumn("_holes", holes)
+        parts.groupBy(*key)
+        .agg(F.max("layout").alias("layout"), F.collect_set("slot").alias("_taken"), F.max("_asked").alias("_asked"))
+        .filter(F.col("layout").isNotNull())
+        .withColumn("_holes", F.array_except(all_slots, F.col("_taken")))
     )
-    if wanted is None:
-        state = state.withColumn("_asked", F.lit(None).cast("boolean"))
-    else:
-        asked = wanted.select("batch_id", "sheet_no", F.lit(True).alias("_asked"))
-        state = state.join(asked, ["batch_id", "sheet_no"], "left")
     here = F.struct("sheet_no", "layout", "_holes")
     chosen = F.coalesce(
         F.min(F.when(F.col("_asked"), here)),

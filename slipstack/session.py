@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Collection
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scratch: list[str] = []
+
 
 def local_session(app: str = "slipstack", cores: str = "*") -> SparkSession:
     """A session for tests and the bench; clusters bring their own."""
@@ -43,3 +47,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors, unlike a local one."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder for intermediate tables in the shared checkpoint area, noted for ``clear_scratch``."""
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid4().hex}"
+    _scratch.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession, keep: Collection[str] = ()) -> None:
+    """Remove the intermediate folders of this process but those to keep.
+
+    For after a result has been written: frames that still read from such a folder end with it.
+    """
+    for path in [p for p in _scratch if p not in keep]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _scratch.remove(path)

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import DataFrame, SparkSession
 
-from slipstack.session import ensure_checkpoint_dir
+from slipstack.session import scratch_path
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the shared checkpoint area."""
-    return f"{ensure_checkpoint_dir(spark)}/streams/{name}-{uuid4().hex}"
+    return scratch_path(spark, f"stream-{name}")
 
 
 def drain_to_table(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
