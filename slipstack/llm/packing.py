@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slipstack.llm.common import stored
+
 LENGTHS = (512, 1024, 2048, 4096)
 OVERHEAD = 16
 GROUP = 50_000
@@ -89,7 +91,7 @@ def pack(lengths_of: DataFrame, lengths: tuple[int, ...] = LENGTHS, overhead: fl
     rows are packed as often as they occur. The result depends only on the rows, not on their order.
     """
     lengths = tuple(sorted(set(lengths)))
-    cut = pieces(lengths_of.select("doc_id", "n_tokens"), lengths[-1])
+    cut = stored(pieces(lengths_of.select("doc_id", "n_tokens"), lengths[-1]))  # counted, then dealt
     n = max(1, -(-cut.count() // group))
     dealt = cut.withColumn("lot", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n)))
 
