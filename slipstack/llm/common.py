@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slipstack.session import cut_lineage, ensure_checkpoint_dir
+from slipstack.session import cut_lineage, scratch_path
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -36,7 +35,7 @@ def remainder(doc_id: Column, by: int) -> Column:
 def stored(df: DataFrame) -> DataFrame:
     """Write a table into the shared folder and read it again: lineage is cut, executors may go."""
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "table")
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slipstack.llm.common import lookup, stored
-from slipstack.session import ensure_checkpoint_dir
+from slipstack.session import scratch_path
 
 ROLL = 256 << 20
 CHUNK = 1 << 16
@@ -279,7 +279,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
 
     One row per page, repeated rows included. A damaged archive fails the job: every page must return.
     """
-    folder = f"{ensure_checkpoint_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    folder = scratch_path(pages.sparkSession, "warc")
     archives = write_archives(pages, folder)
     ident = lambda name: F.regexp_extract(name, r"^urn:page:(-?\d+)$", 1)
     number = lambda name: F.when(ident(name) != "", ident(name).cast("long"))

@@ -12,6 +12,8 @@ from invented import prose
 from pyspark.sql import functions as F
 
 from slipstack.llm import suffixes, toxicity
+from slipstack.llm.common import stored
+from slipstack.session import noted_scratch
 
 
 def corpus():
@@ -79,6 +81,13 @@ def test_run_and_shape(spark, folder):
     assert out.columns[:2] == ["doc_id", "piece"] and out.count() > 200
 
 
+def test_run_leaves_its_result_only(spark, folder):
+    other = stored(spark.range(3))
+    before = noted_scratch()
+    out = corpus_pipeline.run(spark, folder)
+    assert len(noted_scratch()) == len(before) + 1 and other.count() == 3 and out.count() > 200
+
+
 def test_empty_documents(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
