@@ -56,6 +56,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def noted_scratch() -> list[str]:
+    """The intermediate folders noted so far, oldest first."""
+    return list(_scratch)
+
+
 def clear_scratch(spark: SparkSession, keep: Collection[str] = ()) -> None:
     """Remove the intermediate folders of this process but those to keep.
 
