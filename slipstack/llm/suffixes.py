@@ -37,7 +37,7 @@ WINDOW = 400
 GRAM = 96
 BLOCK = 16
 MOST = 20_000
-PART = 1 << 22
+PART = 1 << 20
 BATCH = 60_000  # blocks of a suffix array, unless a group has more
 BYTE_KEYS = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 STEP = 0x9E3779B97F4A7C15
