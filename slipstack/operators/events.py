@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from slipstack import fixed
 from slipstack.functions.amounts import collapse_spaces, has_text, parse_amount, well_formed, with_fast_total
 from slipstack.operators.extraction import may_apply
-from slipstack.operators.ordered import cut_points, running, sessions
+from slipstack.operators.ordered import cut_points, running, sessions, with_buckets
 from slipstack.session import cut_lineage
 
 
@@ -167,7 +167,8 @@ def open_flags(intakes: DataFrame, key: str) -> DataFrame:
 
 
 # --- cooldown ----------------------------------------------------------------
-# Inside a burst the state is "cold until t".  A long burst is cut into time slices;
+# Inside a burst the state is "cold until t".  A large key is cut into slices of about
+# equal numbers of rows, so a burst at one moment is cut like one of many days;
 # each slice first tells where every possible entry would leave it (most entries soon
 # coincide), the slices are chained on that, and then every slice is walked once with
 # its true entry.  No task holds more than one slice.
@@ -226,7 +227,7 @@ def _sorted_by(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
 
 
 def cooldown(
-    attempts: DataFrame, key: str, wait_ms: int = fixed.COOLDOWN_MS, slice_s: int = 3600, seq: str = "event_id"
+    attempts: DataFrame, key: str, wait_ms: int = fixed.COOLDOWN_MS, seq: str = "event_id"
 ) -> DataFrame:
     """R-10: adds ``tried``: false while a failed attempt is still cooling down.
 
@@ -237,12 +238,14 @@ def cooldown(
     to the checkpoint folder, because several steps read them.
     """
     wait = wait_ms * 1000
-    slice_us = max(slice_s * 1_000_000, wait)
-    us = F.unix_micros(F.col("ts"))
-    burst = sessions(attempts, key, "ts", wait - 1, "_burst", [seq])
-    cut = burst.withColumn("_us", us).withColumn(
-        "_slice", F.floor((F.col("_us") - F.unix_micros("_burst")) / slice_us)
-    )
+    order = ["ts", seq]
+    cuts = cut_points(attempts, [key], order)
+    burst = sessions(attempts, key, "ts", wait - 1, "_burst", [seq], cuts).withColumn("_us", F.unix_micros("ts"))
+    if cuts.table is None:
+        cut = burst.withColumn("_slice", F.lit(0).cast("bigint"))
+    else:
+        sliced = with_buckets(burst, [key], order, cuts)
+        cut = sliced.withColumn("_slice", F.coalesce("_bucket", F.lit(0)).cast("bigint")).drop("_bucket")
     # Read four times below, after four passes to find the bursts: written once.
     cut = cut_lineage(cut)
     unit = [key, "_burst", "_slice"]

@@ -162,14 +162,16 @@ def _summaries(df: DataFrame, keys: list[str], order: list[str], sums: dict, max
     return found.select(*keys, "_bucket", *carried)
 
 
-def sessions(df: DataFrame, key: str, ts: str, gap_us: int, start: str, seq: list[str] | None = None) -> DataFrame:
+def sessions(
+    df: DataFrame, key: str, ts: str, gap_us: int, start: str, seq: list[str] | None = None, cuts: Cuts | None = None
+) -> DataFrame:
     """Gap-separated sessions: adds the first timestamp of the row's session.
 
     Two rows exactly one gap apart share a session.  ``seq`` orders equal timestamps,
     which does not change the sessions but lets a burst at one moment be cut.
     """
     order = [ts, *(seq or [])]
-    micros, cuts = F.unix_micros(F.col(ts)), cut_points(df, [key], order)
+    micros, cuts = F.unix_micros(F.col(ts)), cuts or cut_points(df, [key], order)
     stepped = running(df, [key], order, previous={"_before_us": micros}, cuts=cuts)
     opens = F.col("_before_us").isNull() | (micros - F.col("_before_us") > gap_us)
     stepped = stepped.withColumn("_opens", F.when(opens, F.col(ts)))

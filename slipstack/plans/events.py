@@ -9,7 +9,6 @@ from slipstack.plans.inputs import cte, load
 
 QUIET_MS = 6 * 3600 * 1000  # users act about every eleven hours
 WAIT_MS = 36 * 3600 * 1000
-SLICE_S = 5 * 24 * 3600
 
 
 def _attempts(spark, d):
@@ -49,7 +48,7 @@ def r09(spark, d):
 
 def r10(spark, d):
     tries = _attempts(spark, d).select("event_id", "user_id", "ts", "failed")
-    return op.cooldown(tries, "user_id", WAIT_MS, SLICE_S).select("event_id", "tried")
+    return op.cooldown(tries, "user_id", WAIT_MS).select("event_id", "tried")
 
 
 def r12(spark, d):

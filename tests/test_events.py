@@ -90,14 +90,15 @@ def test_equal_times_follow_the_sequence(rows):
     assert [r.strike for r in strikes] == [1, None, 1, None, 1, 2]
 
 
-@pytest.mark.parametrize("slice_s", [60, 200, 3600])
-def test_cooldown_of_a_hot_key_in_slices(rows, slice_s):
-    """One key with traffic that never pauses, cut into slices, against a plain fold."""
-    rng = random.Random(slice_s)
-    stamps = sorted(rng.sample(range(0, 6000), 900))
+@pytest.mark.parametrize("hot,step", [(1, 1), (40, 1), (40, 0.01), (500, 1)])
+def test_cooldown_of_a_hot_key_in_slices(rows, monkeypatch, hot, step):
+    """One key with traffic that never pauses, cut into slices of some rows, against a plain fold; also as a burst."""
+    monkeypatch.setattr(ordered, "HOT_ROWS", hot)
+    rng = random.Random(hot)
+    stamps = [s * step for s in sorted(rng.sample(range(0, 6000), 900))]
     data = [("hot", s, rng.random() < 0.5) for s in stamps]
     data += [("calm", s * 40, rng.random() < 0.7) for s in range(60)]
-    got = {r.event_id: r.tried for r in op.cooldown(_attempts(rows, data), "k", slice_s=slice_s).collect()}
+    got = {r.event_id: r.tried for r in op.cooldown(_attempts(rows, data), "k").collect()}
     assert [got[i] for i in range(len(data))] == _fold(data, 60)
 
 
