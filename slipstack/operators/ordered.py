@@ -43,13 +43,27 @@ def _meet(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataF
     return met.drop(*[f"_k_{i}" for i in range(len(keys))])
 
 
+def _attach(rows: DataFrame, per_key: DataFrame, keys: list[str]) -> DataFrame:
+    """Facts of each key, by plain equality so that rows stay dealt as they are for the window.
+
+    The facts of a single null key are one row, which is broadcast.
+    """
+    if len(keys) > 1:
+        return _meet(rows, per_key, keys, "left")
+    facts = [c for c in per_key.columns if c not in keys]
+    met = rows.join(per_key, keys, "left")
+    of_null = per_key.filter(F.col(keys[0]).isNull()).select(*[F.col(c).alias(f"_z_{c}") for c in facts]).limit(1)
+    both = met.join(F.broadcast(of_null), F.col(keys[0]).isNull(), "left")
+    return both.withColumns({c: F.coalesce(c, f"_z_{c}") for c in facts}).drop(*[f"_z_{c}" for c in facts])
+
+
 def cut_points(df: DataFrame, keys: list[str], order: list[str]) -> Cuts:
     """Count the keys and draw cut points for the large ones; runs a job."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > HOT_ROWS)
-    large = cut_lineage(counts)
-    n = large.count()
+    n = counts.count()
     if not n:
         return Cuts(None, 0)
+    large = cut_lineage(counts)
     rows = _meet(df.select(*keys, F.struct(*order).alias("_o")), F.broadcast(large) if n <= MOST_BROADCAST else large, keys, "inner")
     every = F.greatest(F.lit(1), F.floor(F.col("_rows") / DRAWN))
     drawn = rows.filter(F.pmod(F.xxhash64("_o"), every) == 0)
@@ -131,7 +145,7 @@ def running(
         carried_last = {n: F.col(f"_p_{n}") for n in previous}
         helpers += ["_before", "_all", *[f"_s_{n}" for n in sums], *[f"_m_{n}" for n in maxes], *[f"_p_{n}" for n in previous]]
     elif per_key is not None:
-        out = _meet(out, per_key, keys, "left")
+        out = _attach(out, per_key, keys)
     if rank:
         out = out.withColumn(rank, (before_key + F.col("_row")).cast("bigint"))
     if count:
