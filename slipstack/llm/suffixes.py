@@ -19,6 +19,10 @@ walk emits the order inside the groups. Nothing is renamed and no recursion take
 Scale: the shuffled rows are hashes and places; texts move once for the contexts of step 3 and once
 for the removal. A group has at most ``most`` different contexts; the windows of larger ones are told
 by a hash of their bytes instead, so that no group has to fit one task. Long texts are read in parts.
+
+Passages can also be counted in words (``word_spans``): a window is then so many words in a row, whatever
+their length and the white space between them. Windows meet by their least hash in the same way; those of
+different contexts are told by 128-bit hashes.
 """
 
 from __future__ import annotations
@@ -31,10 +35,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slipstack.llm.common import lookup, mixed, stored
+from slipstack.llm.common import WordHashes, lookup, mixed, stored
 
 WINDOW = 400
 GRAM = 96
+WORD_GRAM = 12
 BLOCK = 16
 MOST = 20_000
 PART = 1 << 20
@@ -140,7 +145,7 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 class Hashes:
-    """Hashes of any substring of a byte string, by prefix sums modulo 2**64."""
+    """Hashes of any substring of a byte string or a row of word hashes, by prefix sums modulo 2**64."""
 
     def __init__(self, size: int):
         self.up, self.down = powers(STEP, size + 1), powers(BACK, size + 1)
@@ -149,7 +154,8 @@ class Hashes:
         if len(data) >= len(self.up):
             self.__init__(2 * len(data))
         out = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(BYTE_KEYS[data] * self.up[: len(data)], out=out[1:])
+        keys = BYTE_KEYS[data] if data.dtype == np.uint8 else data
+        np.cumsum(keys * self.up[: len(data)], out=out[1:])
         return out
 
     def between(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -388,6 +394,76 @@ def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = M
     return out if large.isEmpty() else out.unionByName(hashed_spans(large, window))
 
 
+def word_places(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word of a text, split at ASCII white space."""
+    data = np.frombuffer(text, np.uint8)
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    edges = np.flatnonzero(np.diff(np.r_[True, space, True]))
+    return edges[::2], edges[1::2]
+
+
+def word_contexts(docs: DataFrame, words: int, gram: int, part: int) -> DataFrame:
+    """As ``contexts``, places counted in words; begin and end are the bytes of the context."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, known = Hashes(1 << 12), WordHashes()
+        for batch in batches:
+            for doc_id, copy, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                starts, ends = word_places(text)
+                for at in range(0, len(starts) - words + 1, part):
+                    to = min(len(starts), at + part + words - 1)
+                    g, c, _, first, last = owners(known.of(text[starts[at] : ends[to - 1]].split()), hashes, words, gram)
+                    first, last = first + at, last + at
+                    k = len(first)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([x] * k, pa.int64()) for x in (doc_id, copy)]
+                        + [pa.array(x.astype(np.int64)) for x in (g, c, first, last, starts[first], ends[last + words - 1])],
+                        ["doc_id", "copy", "gram", "context", "first", "last", "start", "end"],
+                    )
+
+    return docs.select("doc_id", "copy", "text").mapInArrow(
+        find, "doc_id long, copy long, gram long, context long, first long, last long, start long, end long"
+    )
+
+
+def word_spans(docs: DataFrame, words: int, gram: int = WORD_GRAM, part: int = PART >> 3) -> DataFrame:
+    """Spans (doc_id, copy, start, end) of all passages of ``words`` words that start more than once."""
+    read = docs.select("doc_id", "copy", "text")
+    found = stored(word_contexts(read.where(F.length("text") >= 2 * words - 1), words, min(gram, words), part))
+    kinds = stored(
+        found.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "copy", "first", "last")).alias("one"))
+    )
+    groups = stored(kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.count("*").alias("n")).where("kinds > 1"))
+    whole = stored(kinds.where("n > 1").select(F.struct("gram", "context").alias("which"), "n"))
+    repeated = lookup(found.withColumn("which", F.struct("gram", "context")), whole, "which", how="inner").select("doc_id", "copy", "start", "end")
+    # Different contexts of one gram: their windows are told one by one, of one text per kind.
+    wanted = lookup(kinds.select("gram", "one.*"), groups, "gram", how="inner")
+    wanted = wanted.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("first", "last")).alias("wants"))  # no more than the text has contexts
+    once = read.join(wanted, (read["doc_id"].eqNullSafe(wanted["doc_id"])) & (read["copy"] == wanted["copy"])).select(
+        read["doc_id"], read["copy"], "text", "wants"
+    )
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in batches:
+            for doc_id, copy, text, wants in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                starts, ends = word_places(text)
+                for want in wants:
+                    first, last = want["first"], want["last"]
+                    own = known.of(text[starts[first] : ends[last + words - 1]].split())
+                    k = last - first + 1
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([xxhash.xxh3_128_digest(own[i : i + words].tobytes()) for i in range(k)], pa.binary())]
+                        + [pa.array([x] * k, pa.int64()) for x in (doc_id, copy)]
+                        + [pa.array(x.astype(np.int64)) for x in (starts[first : last + 1], ends[first + words - 1 : last + words])],
+                        ["words", "doc_id", "copy", "start", "end"],
+                    )
+
+    each = stored(once.mapInArrow(cut, "words binary, doc_id long, copy long, start long, end long"))
+    several = stored(each.groupBy("words").agg(F.count("*").alias("n")).where("n > 1"))
+    return repeated.unionByName(lookup(each, several, "words", how="inner").select("doc_id", "copy", "start", "end"))
+
+
 def cut_text(text: bytes, found: list[dict] | None) -> tuple[bytes, int, int]:
     """The bytes that stay, how many go, and in how many runs; spans that touch are one run."""
     if not found:
@@ -408,18 +484,22 @@ def cut_text(text: bytes, found: list[dict] | None) -> tuple[bytes, int, int]:
 
 
 def removed(
-    docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = MOST, part: int = PART, as_text: bool = False
+    docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = MOST, part: int = PART, as_text: bool = False, words: int | None = None
 ) -> DataFrame:
     """Struct ``row`` with the columns of ``docs`` but text, and n_bytes, n_removed, n_spans, kept.
 
     ``kept`` is binary, or with ``as_text`` a string, without characters of which only a part is left.
+    With ``words``, passages of that many words that occur twice are removed too, however few bytes they have.
 
     One row per input row. A null text is empty. Rows that repeat another row are two documents, so
     texts of at least WINDOW bytes vanish from both.
     """
     others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
     rows = with_copy(docs.select(others.alias("row"), "doc_id", "text"))
-    found = spans(rows, window, gram, most, part).distinct().groupBy("doc_id", "copy").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans_of = spans(rows, window, gram, most, part)
+    if words:
+        spans_of = spans_of.unionByName(word_spans(rows, words))
+    found = spans_of.distinct().groupBy("doc_id", "copy").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     joined = rows.join(found, rows["doc_id"].eqNullSafe(found["doc_id"]) & (rows["copy"] == found["copy"]), "left").select("row", "text", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

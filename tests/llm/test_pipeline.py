@@ -100,3 +100,17 @@ def test_clashing_columns_survive(spark, make_docs):
     docs = make_docs([(1, "a b")]).withColumn("predicted", F.lit(7)).withColumn("kept", F.lit("x"))
     assert toxicity.judged(docs, none).select("row.*").first().predicted == 7
     assert suffixes.removed(docs, as_text=True).select("row.*").first().kept == "x"
+
+
+def test_passages_of_over_fifty_short_words_are_cut(spark, make_docs, tmp_path):
+    short = lambda seed, n: " ".join(random.Random(seed).choices("abcdefghij", k=n))
+    long, brief = short(1, 51), short(2, 50)
+    rows = [(k, f"q{k}a q{k}b {long} r{k}a r{k}b") for k in range(2)] + [(2 + k, f"s{k} {brief} t{k}") for k in range(2)]
+    rows += [(4, f"u v\n{long.replace(' ', '  ')}\tw {brief}"), (5, prose(5, 200)), (None, f"y {brief} {long} z"), (6, None)]
+    steps = dict(corpus_pipeline.STAGES)
+    got = {r.doc_id: r.text for r in steps["repeated_passages"](spark, make_docs(rows).repartition(3), str(tmp_path)).collect()}
+    words = {i: (t or "").split() for i, t in got.items()}
+    assert {i: words[i] for i in (0, 1, 4, None)} == {
+        0: ["q0a", "q0b", "r0a", "r0b"], 1: ["q1a", "q1b", "r1a", "r1b"], 4: ["u", "v", "w", *brief.split()], None: ["y", *brief.split(), "z"],
+    }
+    assert [got[i] for i in (2, 3, 5)] == [dict(rows)[i] for i in (2, 3, 5)]

@@ -76,3 +76,24 @@ def test_empty_table_and_text_output(spark, make_docs):
     kept = {r.row.doc_id: r.kept for r in suffixes.removed(docs, as_text=True).collect()}
     assert kept == {1: "", 2: "x"}
     assert suffixes.cut_text(b"abcdef", [{"start": 1, "end": 3}, {"start": 3, "end": 4}]) == (b"aef", 3, 1)
+
+
+def test_word_windows_against_brute_force(spark, make_docs):
+    draw = random.Random(8)
+    bases = [draw.choices("abcd", k=60) for _ in range(3)]
+    texts = []
+    for _ in range(30):
+        t = list(draw.choice(bases))
+        for _ in range(draw.randint(0, 4)):
+            t[draw.randrange(len(t))] = draw.choice("xyz")
+        at = draw.randint(0, 50)
+        texts.append(t[at:] + t[: at // 2])
+    rows = suffixes.with_copy(make_docs([(k, " ".join(t)) for k, t in enumerate(texts)]).repartition(3))
+    seen: dict[tuple, list] = {}
+    for k, t in enumerate(texts):
+        for s in range(len(t) - 11):
+            seen.setdefault(tuple(t[s : s + 12]), []).append((k, s))
+    want = {(k, s + j) for places in seen.values() if len(places) > 1 for k, s in places for j in range(12)}
+    for part in (1 << 17, 16):
+        spans = suffixes.word_spans(rows, 12, gram=4, part=part).collect()
+        assert {(r.doc_id, w) for r in spans for w in range(r.start // 2, (r.end + 1) // 2)} == want
