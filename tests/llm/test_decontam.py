@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import random
 
 from invented import prose
@@ -82,3 +83,55 @@ def test_nothing_to_find(spark, make_docs):
 def test_masks():
     assert {len(m) for m in decontam.MASKS} == {decontam.SPAN} and {m.count("1") for m in decontam.MASKS} == {8}
     assert len({decontam.MASKS}) == 1 and all(m[0] == m[-1] == "1" for m in decontam.MASKS)
+
+
+def meets_the_rule(doc, item, overlap=decontam.OVERLAP):
+    """Any diagonal, any stretch of enough words, 80 % equal (all, for short items): knows neither masks nor scores."""
+    d, w = (doc or "").lower().split(), (item or "").lower().split()
+    least, share = min(overlap, len(w)), 5 if len(w) < decontam.SPAN else 4
+    if len(w) < decontam.FEWEST:
+        return False
+    for shift in range(1 - len(w), len(d)):
+        equal = [d[shift + k] == w[k] for k in range(len(w)) if 0 <= shift + k < len(d)]
+        for i in range(len(equal)):
+            good = 0
+            for j in range(i, len(equal)):
+                good += equal[j]
+                if j - i + 1 >= least and 5 * good >= share * (j - i + 1):
+                    return True
+    return False
+
+
+def test_masks_meet_every_allowed_overlap():
+    for n in range(decontam.SPAN, 26):  # longer overlaps hold a shorter one that is allowed
+        for gone in itertools.combinations(range(n), n // 5):
+            assert any(all(at + k not in gone for k, c in enumerate(m) if c == "1") for m in decontam.LOSSLESS for at in range(n - len(m) + 1)), (n, gone)
+
+
+def test_overlaps_against_the_rule(spark, make_docs):
+    draw = random.Random(6)
+    items = [(k, prose(600 + k, n)) for k, n in enumerate((12, 13, 15, 20, 25, 40, 7))] + [(20, None), (21, "too few")]
+    docs = []
+    for k, t in items[:7]:
+        for _ in range(25):
+            w = t.split()
+            low = draw.randrange(max(1, len(w) - 12)) if draw.random() < 0.4 else 0
+            cut = w[low : low + draw.randint(12, 26)] if low else w
+            for at in draw.sample(range(len(cut)), min(len(cut), len(cut) // 5 + draw.choice((0, 0, 0, 1)))):
+                cut[at] = "zz"
+            docs.append((len(docs), " ".join(["x"] * draw.randint(0, 9) + cut + ["y"] * draw.randint(0, 9))))
+    exact, vague = items[5][1].split()[:13], items[5][1].split()[13:23]
+    docs += [(500, " ".join(exact + [x if i % 2 else "zz" for i, x in enumerate(vague)])), (501, None), (502, ""), (None, items[3][1]), (0, docs[0][1]), (503, prose(5, 2000))]
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("h", F.lit("clash"))
+    frame = make_docs(docs).withColumn("shift", F.lit(1)).withColumn("item_id", F.lit("clash")).repartition(3)
+    want = {(i, j) for i, t in docs for j, u in items if meets_the_rule(t, u)}
+    texts, parts = dict(docs), dict(items)
+    for most in (10**6, 0):
+        out = decontam.overlaps(frame, bench, most_broadcast=most).collect()
+        assert {(r.doc_id, r.item_id) for r in out} == want and len(out) == len(want) > 100
+        for r in out:
+            d, w = texts[r.doc_id].split()[r.doc_start :][: r.n_words], parts[r.item_id].split()[r.item_start :][: r.n_words]
+            assert r.n_matching == sum(a == b for a, b in zip(d, w, strict=True)) >= 0.8 * r.n_words
+    older = {(r.doc_id, r.item_id) for r in decontam.leaks(frame, bench).collect()}
+    assert len(want - older) > 10
+    assert decontam.overlaps(frame, bench.limit(0)).collect() == [] == decontam.overlaps(frame.limit(0), bench).collect()
