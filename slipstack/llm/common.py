@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from slipstack.session import cut_lineage, scratch_path
 
@@ -107,3 +112,39 @@ def lookup(left: DataFrame, right: DataFrame, key: str, how: str = "left", salts
         "_salt", F.explode(F.when(F.col("n") >= least, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
     )
     return salted.join(spread.drop("n"), [key, "_salt"], how).drop("_salt", "_hot")
+
+
+def streamed_sha256(rows: DataFrame, key: str, order: str, values: list[str]) -> DataFrame:
+    """(key, one lower-case SHA-256 per value column) over the binary values of each key, chained in order.
+
+    The rows of a key meet in one task because the digest is sequential, but they pass through it one after the
+    other: nothing but the state of the digests is held, however many rows a key has. Null values add nothing.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, digests = None, []
+
+        def done(ended: list[tuple]) -> pa.RecordBatch:
+            columns = [pa.array([k for k, _ in ended], type=kind)]
+            columns += [pa.array([d[i].hexdigest() for _, d in ended], pa.string()) for i in range(len(values))]
+            return pa.RecordBatch.from_arrays(columns, [key, *values])
+
+        kind = None
+        for batch in batches:
+            kind = batch.column(0).type
+            ended = []
+            for found, *texts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not digests or found != current:
+                    if digests:
+                        ended.append((current, digests))
+                    current, digests = found, [hashlib.sha256() for _ in values]
+                for digest, text in zip(digests, texts, strict=True):
+                    digest.update(text or b"")
+            if ended:
+                yield done(ended)
+        if digests:
+            yield done([(current, digests)])
+
+    schema = T.StructType([rows.schema[key], *[T.StructField(v, T.StringType()) for v in values]])
+    dealt = rows.repartition(key).sortWithinPartitions(key, order)
+    return dealt.select(key, *values).mapInArrow(run, schema)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slipstack.llm import decontam, lattice, licenses, minhash, packing, redirects, suffixes, toxicity, vafile, warc
+from slipstack.llm import decontam, lattice, licenses, minhash, packing, redirects, suffixes, toxicity, trie, vafile, warc
 from slipstack.llm.common import UPPER, table
 
 
@@ -51,6 +51,10 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lattice": op1_lattice,
     "op2_warc": op2_warc,
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_vafile": op8_vafile,
     "op9_packing": op9_packing,
     "op10_decontam": op10_decontam,
+    "op11_trie": op11_trie,
 }
 
 FOLDED = f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')"
@@ -75,6 +80,9 @@ FITS = " ".join(
     f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{v} {h}{p}'"
     for v, h, p in sorted(redirects.RULES, key=lambda r: -len(r[1] + r[2]))
 )
+#: crc32 of a decimal number, bit by bit.
+CRC = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+        lambda a, b: list_reduce(list_prepend(xor(a, b), [CAST(0 AS BIGINT) FOR i IN range(8)]), lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))))"""
 
 #: Plain SQL for the same rows. Links inside pages (canonical, refresh) do not occur in the given tables
 #: and are left out of the SQL of op7; the tests compare them with worked cases.
@@ -103,4 +111,19 @@ ORACLES: dict[str, str] = {
           FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op11_trie": f"""WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+        k AS (SELECT c, n, {CRC} % 9 AS h FROM (SELECT c, count(*) AS n FROM t GROUP BY c)),
+        b AS (SELECT t.c, t.pos - k.h + least(k.h, coalesce(g.n, 0)) AS pos, r, x FROM t JOIN k ON k.c = t.c LEFT JOIN k g ON g.c = t.c - t.c % 5 WHERE t.pos > k.h
+          UNION ALL SELECT k.c, t.pos, r, x FROM k JOIN t ON t.c = k.c - k.c % 5 AND t.pos <= k.h),
+        p AS (SELECT c, pos AS depth, strlen(x) AS bytes, string_agg(md5(md5(r) || md5(x)), '') OVER (PARTITION BY c ORDER BY pos) AS node FROM b
+          UNION ALL SELECT c, 0, 0, '' FROM k),
+        n AS (SELECT node, depth, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(bytes) AS own FROM p GROUP BY node, depth),
+        u AS (SELECT left(node, CAST(32 * (depth - 1) AS BIGINT)) AS node, count(*) AS n FROM n WHERE depth > 0 GROUP BY 1),
+        s AS (SELECT left(node, CAST(32 * i AS BIGINT)) AS node, sum(own) AS saved, count(*) FILTER (leaf) AS leaves
+          FROM (SELECT n.node, own, u.n IS NULL AS leaf, unnest(range(depth + 1)) AS i FROM n LEFT JOIN u USING (node)) GROUP BY 1),
+        e AS (SELECT node, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM (SELECT c, max_by(node, depth) AS node FROM p GROUP BY c) GROUP BY node)
+        SELECT n.conv_id, n.depth, a.conv_id AS parent_conv_id, n.n_convs, coalesce(u.n, 0) AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
+          sha256(coalesce(ids, '')) AS ends_sha256 FROM n LEFT JOIN u USING (node) JOIN s USING (node) LEFT JOIN e USING (node)
+          LEFT JOIN n a ON n.depth > 0 AND a.node = left(n.node, CAST(32 * (n.depth - 1) AS BIGINT))""",
 }
