@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from slipstack.llm import chat, decontam, lattice, licenses, minhash, packing, redirects, suffixes, toxicity, trie, vafile, warc
+from slipstack.llm import chat, decontam, lattice, licenses, minhash, negatives, packing, redirects, suffixes, toxicity, trie, vafile, warc
 from slipstack.llm.common import UPPER, table
 
 #: Both texts of the conversation that op13 adds: marks of its own template.
@@ -58,6 +59,12 @@ def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = negatives.integers(table(spark, sf_dir, "embeddings"))
+    mixed = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.hard_negatives(mixed, mixed.where("vec_id % 100 = 0"))
+
+
 def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = spark.createDataFrame(
         [(-1, 0, "user", PLANTED), (-1, 1, "assistant", PLANTED)], "conv_id long, turn long, role string, text string"
@@ -78,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_decontam": op10_decontam,
     "op11_trie": op11_trie,
+    "op12_negatives": op12_negatives,
     "op13_chat": op13_chat,
 }
 
@@ -141,6 +149,18 @@ ORACLES: dict[str, str] = {
         SELECT n.conv_id, n.depth, a.conv_id AS parent_conv_id, n.n_convs, coalesce(u.n, 0) AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
           sha256(coalesce(ids, '')) AS ends_sha256 FROM n LEFT JOIN u USING (node) JOIN s USING (node) LEFT JOIN e USING (node)
           LEFT JOIN n a ON n.depth > 0 AND a.node = left(n.node, CAST(32 * (n.depth - 1) AS BIGINT))""",
+    "op12_negatives": """WITH v AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+          list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+          WHERE label IS NOT NULL AND embedding IS NOT NULL AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)))),
+        s AS (SELECT q.vec_id AS anchor_id, c.vec_id, c.label = q.label AS same,
+          CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+          FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
+        p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+        n AS (SELECT anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score,
+          CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INT) AS rank
+          FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""",
     "op13_chat": f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
           UNION ALL SELECT -1, 0, 'user', '{PLANTED}' UNION ALL SELECT -1, 1, 'assistant', '{PLANTED}'),
         o AS (SELECT *, row_number() OVER w AS pos, lag(r) OVER w AS before FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, x)),
