@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -174,27 +175,31 @@ def open_flags(intakes: DataFrame, key: str) -> DataFrame:
 # its true entry.  No task holds more than one slice.
 
 
+#: Not cooling down: before any time.
+FREE = -(1 << 62)
+
+
 def _walk(ts: list[int], failed: list[bool], cold: int, wait: int) -> tuple[np.ndarray, int]:
     tried = np.zeros(len(ts), dtype=bool)
     i = bisect_left(ts, cold)
     while i < len(ts):
         tried[i] = True
-        cold = ts[i] + wait if failed[i] else 0
+        cold = ts[i] + wait if failed[i] else FREE
         i = bisect_left(ts, cold, i + 1) if failed[i] else i + 1
     return tried, cold
 
 
-def _exits(ts: list[int], failed: list[bool], wait: int) -> list[int]:
+def exits(ts: list[int], failed: list[bool], wait: int) -> list[int]:
     """State after the slice if the attempt at row i happens, for every i."""
-    out = [0] * len(ts)
+    out = [FREE] * len(ts)
     for i in range(len(ts) - 1, -1, -1):
-        after = ts[i] + wait if failed[i] else 0
+        after = ts[i] + wait if failed[i] else FREE
         j = bisect_left(ts, after, i + 1) if failed[i] else i + 1
         out[i] = out[j] if j < len(ts) else after
     return out
 
 
-def _whole_groups(
+def whole_groups(
     frames: Iterator[pd.DataFrame], names: list[str]
 ) -> Iterator[tuple[pd.DataFrame, list[tuple[int, int]]]]:
     """Sorted Arrow batches recut so that no group spans two, with the group bounds."""
@@ -203,8 +208,8 @@ def _whole_groups(
         changed = np.zeros(len(frame), dtype=bool)
         changed[0] = True
         for n in names:
-            values = frame[n].to_numpy()
-            changed[1:] |= values[1:] != values[:-1]
+            values, absent = frame[n].to_numpy(), frame[n].isna().to_numpy()
+            changed[1:] |= (values[1:] != values[:-1]) & ~(absent[1:] & absent[:-1])
         starts = np.flatnonzero(changed).tolist()
         return list(zip(starts, [*starts[1:], len(frame)]))
 
@@ -222,7 +227,14 @@ def _whole_groups(
         yield held, [(0, len(held))]
 
 
-def _sorted_by(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+def _same(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Join on columns where null meets null; the columns of ``right`` that are joined on go."""
+    renamed = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
+    met = left.join(renamed, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on]), how)
+    return met.drop(*[f"_r_{c}" for c in on])
+
+
+def sorted_by(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     return df.repartition(*group).sortWithinPartitions(*group, *order)
 
 
@@ -234,9 +246,13 @@ def cooldown(
     ``attempts`` is ``key, ts, failed`` and a sequence number, unique per key, that
     orders equal times.  Refused requests do
     not extend the wait and a success clears it.  A pause of at least the wait starts
-    afresh, so bursts are independent.  Calling this runs jobs: the bursts are written
+    afresh, so bursts are independent.  A null key is a key like any other; an attempt
+    without a time has no place in the order and no ``tried``; one without an outcome
+    counts as good.  Calling this runs jobs: the bursts are written
     to the checkpoint folder, because several steps read them.
     """
+    untimed = attempts.filter(F.col("ts").isNull()).withColumn("tried", F.lit(None).cast("boolean"))
+    attempts = attempts.filter(F.col("ts").isNotNull())
     wait = wait_ms * 1000
     order = ["ts", seq]
     cuts = cut_points(attempts, [key], order)
@@ -249,15 +265,15 @@ def cooldown(
     # Read four times below, after four passes to find the bursts: written once.
     cut = cut_lineage(cut)
     unit = [key, "_burst", "_slice"]
-    slim = cut.select(*unit, "_us", seq, "failed")
+    slim = cut.select(*unit, "_us", seq, F.coalesce("failed", F.lit(False)).alias("failed"))
 
     def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame, cuts in _whole_groups(frames, unit):
+        for frame, cuts in whole_groups(frames, unit):
             stamps, flags = frame["_us"].tolist(), frame["failed"].tolist()
             picked, entry, leaves = [], [], []
             for a, b in cuts:
                 ts = stamps[a:b]
-                out = _exits(ts, flags[a:b], wait)
+                out = exits(ts, flags[a:b], wait)
                 stop = min(len(ts), bisect_left(ts, ts[0] + wait) + 1)
                 # Neighbouring entries with one exit need one row, kept under the last of them.
                 keep = [i for i in range(stop) if i + 1 == stop or out[i] != out[i + 1]]
@@ -267,21 +283,21 @@ def cooldown(
             yield frame[unit].iloc[picked].assign(entry=entry, leaves=leaves)
 
     def chain(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, cold = None, 0
-        for frame, cuts in _whole_groups(frames, unit):
-            owners = list(zip(frame[key].tolist(), frame["_burst"].tolist()))
+        current, cold = None, FREE
+        for frame, cuts in whole_groups(frames, unit):
+            owners = list(zip(frame[key].astype(object).where(frame[key].notna(), None).tolist(), frame["_burst"].tolist()))
             entries, leaves = frame["entry"].tolist(), frame["leaves"].tolist()
             colds = []
             for a, b in cuts:
                 if owners[a] != current:
-                    current, cold = owners[a], 0
+                    current, cold = owners[a], FREE
                 colds.append(cold)
                 at = bisect_left(entries, cold, a, b)
                 cold = leaves[at] if at < b else cold
             yield frame[unit].iloc[[a for a, _ in cuts]].assign(cold=colds)
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame, cuts in _whole_groups(frames, unit):
+        for frame, cuts in whole_groups(frames, unit):
             stamps, flags, colds = frame["_us"].tolist(), frame["failed"].tolist(), frame["cold"].tolist()
             tried = [_walk(stamps[a:b], flags[a:b], colds[a], wait)[0] for a, b in cuts]
             yield frame[[*unit, seq]].assign(tried=np.concatenate(tried))
@@ -291,15 +307,16 @@ def cooldown(
     # Bursts that fit one slice need no chaining: they enter cold-free.
     long_bursts = slim.filter("_slice > 0").select(key, "_burst").distinct()
     if long_bursts.isEmpty():
-        ready = slim.withColumn("cold", F.lit(0).cast("bigint"))
+        ready = slim.withColumn("cold", F.lit(FREE))
     else:
-        probes = _sorted_by(slim.join(long_bursts, [key, "_burst"], "left_semi"), unit, ["_us", seq]).mapInPandas(
+        probes = sorted_by(_same(slim, long_bursts, [key, "_burst"], "left_semi"), unit, ["_us", seq]).mapInPandas(
             probe, f"{head}, entry bigint, leaves bigint"
         )
-        chained = _sorted_by(probes, [key, "_burst"], ["_slice", "entry"]).mapInPandas(
+        chained = sorted_by(probes, [key, "_burst"], ["_slice", "entry"]).mapInPandas(
             chain, f"{head}, cold bigint"
         )
-        ready = slim.join(chained, unit, "left").withColumn("cold", F.coalesce("cold", F.lit(0)))
+        ready = _same(slim, chained, unit, "left").withColumn("cold", F.coalesce("cold", F.lit(FREE)))
     seq_type = attempts.schema[seq].dataType.simpleString()
-    walked = _sorted_by(ready, unit, ["_us", seq]).mapInPandas(walk, f"{head}, {seq} {seq_type}, tried boolean")
-    return cut.join(walked, [*unit, seq]).drop("_burst", "_slice", "_us")
+    walked = sorted_by(ready, unit, ["_us", seq]).mapInPandas(walk, f"{head}, {seq} {seq_type}, tried boolean")
+    done = _same(cut, walked, [*unit, seq], "inner").drop("_burst", "_slice", "_us")
+    return done.unionByName(untimed)

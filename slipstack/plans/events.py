@@ -73,21 +73,23 @@ TURNS = A + """, turns AS (SELECT user_id, epoch_us(ts) AS us, CASE WHEN event_t
  stepped AS (SELECT *, lag(us) OVER (PARTITION BY user_id ORDER BY us) AS prev FROM turns),
  numbered AS (SELECT *, sum(CASE WHEN prev IS NULL OR us - prev > 21600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY us) AS n FROM stepped),
  sess AS (SELECT user_id, min(us) AS start_us, max(us) AS last_us, count(*) AS turns, CAST(sum(deg) % 360 AS BIGINT) AS degrees FROM numbered GROUP BY user_id, n)"""
+STRIKES = A + """, o AS (SELECT *, sum(CASE WHEN failed THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM attempts),
+        p AS (SELECT event_id, epoch_us(ts) AS us, failed, row_number() OVER (PARTITION BY user_id, run, failed ORDER BY ts) AS pos FROM o)"""
+STRIKE = "event_id, CASE WHEN failed THEN (pos - 1) % 2 + 1 END AS strike, failed AND pos % 2 = 0 AS evicts"
+COOLED = A.replace("WITH ", "WITH RECURSIVE ", 1) + f""", o AS (SELECT event_id, user_id, epoch_us(ts) AS us, failed, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM attempts),
+        w AS (SELECT event_id, user_id, us, k, true AS tried, CASE WHEN failed THEN us + {WAIT_MS * 1000} ELSE 0 END AS cold FROM o WHERE k = 1
+          UNION ALL SELECT o.event_id, o.user_id, o.us, o.k, o.us >= w.cold, CASE WHEN o.us < w.cold THEN w.cold WHEN o.failed THEN o.us + {WAIT_MS * 1000} ELSE 0 END
+          FROM w JOIN o ON o.user_id = w.user_id AND o.k = w.k + 1)"""
+EDGES = A + ", o AS (SELECT event_id, user_id, epoch_us(ts) AS us, failed, lag(failed) OVER (PARTITION BY user_id ORDER BY ts) AS was FROM attempts)"
+MOVES = A + """, m AS (SELECT user_id, epoch_us(ts) AS us, event_id AS seq, 1 AS step FROM attempts
+          UNION ALL SELECT user_id, epoch_us(ts) + CAST(floor(value * 600000000) AS BIGINT), event_id, -1 FROM attempts),
+        c AS (SELECT *, CAST(sum(step) OVER (PARTITION BY user_id ORDER BY us, seq, step ROWS UNBOUNDED PRECEDING) AS BIGINT) AS open FROM m)"""
 ORACLES = {
     "R-03": TURNS + " SELECT * FROM sess",
     "R-04": TURNS + """ SELECT * FROM sess s WHERE NOT EXISTS (SELECT 1 FROM attempts c WHERE c.user_id = s.user_id AND event_type = 'purchase'
         AND epoch_us(c.ts) > last_us AND epoch_us(c.ts) <= last_us + 21600000000)""",
-    "R-09": A + """, o AS (SELECT *, sum(CASE WHEN failed THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM attempts),
-        p AS (SELECT event_id, failed, row_number() OVER (PARTITION BY user_id, run, failed ORDER BY ts) AS pos FROM o)
-        SELECT event_id, CASE WHEN failed THEN (pos - 1) % 2 + 1 END AS strike, failed AND pos % 2 = 0 AS evicts FROM p""",
-    "R-10": A.replace("WITH ", "WITH RECURSIVE ", 1) + f""", o AS (SELECT event_id, user_id, epoch_us(ts) AS us, failed, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM attempts),
-        w AS (SELECT event_id, user_id, k, true AS tried, CASE WHEN failed THEN us + {WAIT_MS * 1000} ELSE 0 END AS cold FROM o WHERE k = 1
-          UNION ALL SELECT o.event_id, o.user_id, o.k, o.us >= w.cold, CASE WHEN o.us < w.cold THEN w.cold WHEN o.failed THEN o.us + {WAIT_MS * 1000} ELSE 0 END
-          FROM w JOIN o ON o.user_id = w.user_id AND o.k = w.k + 1)
-        SELECT event_id, tried FROM w""",
-    "R-12": A + ", o AS (SELECT event_id, user_id, failed, lag(failed) OVER (PARTITION BY user_id ORDER BY ts) AS was FROM attempts) SELECT event_id, user_id FROM o WHERE failed AND was IS DISTINCT FROM true",
-    "R-13": A + """, m AS (SELECT user_id, epoch_us(ts) AS us, event_id AS seq, 1 AS step FROM attempts
-          UNION ALL SELECT user_id, epoch_us(ts) + CAST(floor(value * 600000000) AS BIGINT), event_id, -1 FROM attempts),
-        c AS (SELECT *, CAST(sum(step) OVER (PARTITION BY user_id ORDER BY us, seq, step ROWS UNBOUNDED PRECEDING) AS BIGINT) AS open FROM m)
-        SELECT user_id, seq, step, open, open > 0 AS busy FROM c""",
+    "R-09": STRIKES + f" SELECT {STRIKE} FROM p",
+    "R-10": COOLED + " SELECT event_id, tried FROM w",
+    "R-12": EDGES + " SELECT event_id, user_id FROM o WHERE failed AND was IS DISTINCT FROM true",
+    "R-13": MOVES + " SELECT user_id, seq, step, open, open > 0 AS busy FROM c",
 }

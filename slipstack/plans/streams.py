@@ -8,11 +8,9 @@ from slipstack.functions.amounts import collapse_spaces
 from slipstack.plans import events as batch
 from slipstack.plans import intake as files
 from slipstack.plans.inputs import cte, load, load_stream
-from slipstack.streaming import attempts, debounce
-from slipstack.streaming.in_order import drained
+from slipstack.streaming import attempts, debounce, overlap, slices, totals
 from slipstack.streaming.intake import start_intake
-from slipstack.streaming.runner import scratch
-from slipstack.streaming.totals import start_applying
+from slipstack.streaming.runner import drain_to_table, scratch
 
 
 def r01(spark, d):
@@ -25,66 +23,102 @@ def r01(spark, d):
     return sides[0].unionByName(sides[1])
 
 
-def _tries(spark, d):
+DELAY_MS = 24 * 3600 * 1000
+SLICE_MS = 24 * 3600 * 1000
+
+
+def _attempts(spark, d):
     return load_stream(spark, d, "attempts")
 
 
-DELAY_MS = 24 * 3600 * 1000
+def _turns(spark, d):
+    deg = F.when(F.col("event_type") == "click", 90).otherwise(270).cast("bigint").alias("deg")
+    return _attempts(spark, d).filter("event_type <> 'purchase'").select("user_id", "ts", deg)
 
 
 def r03(spark, d):
-    turns = _tries(spark, d).filter("event_type <> 'purchase'").select(
-        "user_id", F.unix_micros("ts").alias("us"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "click", 90).otherwise(270).cast("bigint").alias("deg")
-    )
-    found = drained(
-        turns, "user_id", ["deg"], scratch(spark, "debounce"), lambda rows: debounce.quiet_sessions(rows, "user_id", batch.QUIET_MS, DELAY_MS)
-    )
-    return found.filter("reason IS NULL").select("user_id", "start_us", "last_us", "turns", "degrees")
+    found = debounce.quiet_sessions(_turns(spark, d), "user_id", batch.QUIET_MS, DELAY_MS)
+    return batch._shown(drain_to_table(found.drop("due"), scratch(spark, "debounce")))
+
+
+def r04(spark, d):
+    commits = _attempts(spark, d).filter("event_type = 'purchase'").select("user_id", "ts")
+    found = debounce.uncancelled(_turns(spark, d), commits, "user_id", batch.QUIET_MS, DELAY_MS)
+    return batch._shown(drain_to_table(found, scratch(spark, "cancel")))
 
 
 def _watched(spark, d):
-    tries = _tries(spark, d).select("user_id", F.unix_micros("ts").alias("us"), F.col("event_id").alias("seq"), "failed")
-    found = drained(
-        tries, "user_id", ["failed"], scratch(spark, "watch"), lambda rows: attempts.watch(rows, "user_id", batch.WAIT_MS, delay_ms=DELAY_MS)
-    )
-    return found.filter("reason IS NULL").withColumnRenamed("seq", "event_id")
+    """Judged rows; rows that came too late or whose slice is still open have a reason instead."""
+    told = attempts.attempts_stream(_attempts(spark, d), "user_id")
+    sealed, aside, waiting = slices.drained(told, attempts.Watch(batch.WAIT_MS), scratch(spark, "watch"), SLICE_MS, DELAY_MS)
+    rest = aside.unionByName(waiting).select("key", "seq", "reason")
+    return attempts.watched(sealed, batch.WAIT_MS).unionByName(rest, allowMissingColumns=True).withColumnsRenamed({"key": "user_id", "seq": "event_id"})
 
 
 def r09(spark, d):
-    return _watched(spark, d).select("event_id", "strike", "evicts")
+    return _watched(spark, d).select("event_id", "strike", "evicts", "reason")
 
 
 def r10(spark, d):
-    return _watched(spark, d).select("event_id", "tried")
+    return _watched(spark, d).select("event_id", "tried", "reason")
 
 
 def r12(spark, d):
-    return _watched(spark, d).filter("alert").select("event_id", "user_id")
+    return _watched(spark, d).filter("alert or reason is not null").select("event_id", "user_id", "reason")
+
+
+def r13(spark, d):
+    until = F.timestamp_micros(F.unix_micros("ts") + F.floor(F.col("value") * 600000000)).alias("until")
+    opened = _attempts(spark, d).select("user_id", "ts", until, F.col("event_id").alias("seq"))
+    moves = overlap.moves_stream(opened, "user_id")
+    sealed, aside, waiting = slices.drained(moves, overlap.OpenCount(), scratch(spark, "overlap"), SLICE_MS, DELAY_MS)
+    rest = aside.unionByName(waiting).select("key", "seq", "step", "reason")
+    return overlap.open_flags(sealed).unionByName(rest, allowMissingColumns=True).withColumnRenamed("key", "user_id")
 
 
 def r08(spark, d):
     """Line results applied to a receipts table as they arrive; some saw another text."""
     folder = scratch(spark, "totals")
-    bucket = F.pmod("receipt_id", F.lit(8)).alias("bucket")
+    bucket = F.pmod("receipt_id", F.lit(8)).cast("int").alias("bucket")
     receipts = load(spark, d, "receipts").select("receipt_id", "text", "cents", "draft", "removed", bucket)
-    receipts.write.partitionBy("bucket").parquet(f"{folder}/receipts")
+    totals.create(receipts, f"{folder}/receipts")
     now = receipts.select("receipt_id", collapse_spaces(F.col("text")).alias("_t"))
     results = load_stream(spark, d, "late_lines").join(now, "receipt_id").select(
         bucket, "receipt_id", "seq", "new_cents",
         F.when(F.col("flag") == "R", F.concat("_t", F.lit(" !"))).otherwise(F.col("_t")).alias("seen_text"),
     )
-    start_applying(spark, results, f"{folder}/receipts", folder).awaitTermination()
-    return spark.read.parquet(f"{folder}/receipts").select("receipt_id", "cents")
+    totals.start_applying(spark, results, f"{folder}/receipts", folder).awaitTermination()
+    totals.compact(spark, f"{folder}/receipts")
+    return totals.current(spark, f"{folder}/receipts").select("receipt_id", "cents")
+
+
+QUERIES = {
+    "R-01": r01, "R-03-stream": r03, "R-04-stream": r04, "R-08-stream": r08,
+    "R-09-stream": r09, "R-10-stream": r10, "R-12-stream": r12, "R-13-stream": r13,
+}
+
+def _passed(where: str = "true") -> str:
+    """What the watermark has passed in the end: the newest time in whole milliseconds less the delay, in microseconds."""
+    return f"((SELECT max(epoch_us(ts)) // 1000 FROM attempts WHERE {where}) - {DELAY_MS}) * 1000"
+
 
+def _sealed(judged: str, source: str, columns: str, waiting: str, where: str = "true") -> str:
+    """Rows of the batch twin whose slice has ended, the others as open."""
+    ended = f"(us // {SLICE_MS * 1000} + 1) * {SLICE_MS * 1000} <= {_passed()}"
+    return f"{judged} SELECT {columns}, NULL AS reason FROM {source} WHERE {ended} AND {where} UNION ALL SELECT {waiting}, 'open' FROM {source} WHERE NOT ({ended})"
 
-QUERIES = {"R-01": r01, "R-03-stream": r03, "R-08-stream": r08, "R-09-stream": r09, "R-10-stream": r10, "R-12-stream": r12}
 
+TURNED = f"last_us + {batch.QUIET_MS * 1000} <= {_passed("event_type <> 'purchase'")}"
+#: Of two streams the slower one counts.
+COMMITTED = f"last_us + {batch.QUIET_MS * 1000} <= {_passed("event_type = 'purchase'")}"
 ORACLES = {
     "R-01": files.WITH + "SELECT batch_id, seq, CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejects' END AS side FROM judged",
-    "R-03-stream": batch.ORACLES["R-03"],
+    "R-03-stream": batch.ORACLES["R-03"] + f" WHERE {TURNED}",
+    "R-04-stream": batch.ORACLES["R-04"] + f" AND {TURNED} AND {COMMITTED}",
     "R-08-stream": cte("receipts", "late_lines") + """SELECT receipt_id, CASE WHEN cents IS NULL AND coalesce(draft, '') = '' AND NOT removed THEN found ELSE cents END AS cents
         FROM receipts LEFT JOIN (SELECT receipt_id, arg_min(new_cents, seq) AS found FROM late_lines WHERE flag = 'A' GROUP BY receipt_id) USING (receipt_id)""",
-    "R-09-stream": batch.ORACLES["R-09"],
-    "R-10-stream": batch.ORACLES["R-10"],
-    "R-12-stream": batch.ORACLES["R-12"],
+    "R-09-stream": _sealed(batch.STRIKES, "p", batch.STRIKE, "event_id, NULL, NULL"),
+    "R-10-stream": _sealed(batch.COOLED, "w", "event_id, tried", "event_id, NULL"),
+    "R-12-stream": _sealed(batch.EDGES, "o", "event_id, user_id", "event_id, user_id", "failed AND was IS DISTINCT FROM true"),
+    "R-13-stream": _sealed(batch.MOVES, "c", "user_id, seq, step, open, open > 0 AS busy", "user_id, seq, step, NULL, NULL"),
 }

@@ -143,3 +143,24 @@ def test_verdicts_agree_with_the_setter(rows):
     said = {r.receipt_id: r.verdict for r in op.verdicts(receipts, results).collect()}
     assert said == {1: "aplicado", 2: "ya-tiene", 3: "rancio", 4: "borrador", 5: "quitado", 6: "quitado"}
     assert {r.receipt_id for r in apply_totals(receipts, results).filter("applied").collect()} == {1}
+
+
+def test_cooldown_keeps_null_keys_and_null_times(rows, monkeypatch):
+    from slipstack.operators import ordered
+
+    times = [(0, None, at(0), True), (1, None, at(30), False), (2, "a", at(0), True), (3, "a", None, True), (4, None, at(70), True), (5, None, at(80), None)]
+    times += [(6, "old", at(-10**10), True), (7, "old", at(30 - 10**10), True), (8, "old", at(60 - 10**10), True)]
+    want = {0: True, 1: False, 2: True, 3: None, 4: True, 5: False, 6: True, 7: False, 8: True}
+    for hot in (1000, 2):  # null keys as whole keys and cut into slices
+        monkeypatch.setattr(ordered, "HOT_ROWS", hot)
+        got = op.cooldown(rows(times, "event_id bigint, k string, ts timestamp, failed boolean"), "k").collect()
+        assert {r.event_id: r.tried for r in got} == want and len(got) == len(times)
+
+
+def test_other_rules_keep_null_keys(rows):
+    data = [(0, None, at(0), True), (1, None, at(5), True), (2, "a", at(0), False), (3, None, at(9), False)]
+    tries = rows(data, "event_id bigint, k string, ts timestamp, failed boolean")
+    assert {r.event_id: r.strike for r in op.strikes(tries, "k").collect()} == {0: 1, 1: 2, 2: None, 3: None}
+    assert {r.event_id for r in op.alerts(tries, "k").collect()} == {0}
+    turns = rows([(0, None, at(0), 90), (1, None, at(1), 90)], "event_id bigint, k string, ts timestamp, deg bigint")
+    assert [(r.k, r.turns) for r in op.quiet_sessions(turns, "k").collect()] == [(None, 2)]
