@@ -147,11 +147,20 @@ LONG = P + ", k AS (" + " UNION ALL ".join(
 ) + ")"
 WIDE = ", ".join(f"round(max(x) FILTER (pos = {i}), 6) AS x{i}, round(max(y) FILTER (pos = {i}), 6) AS y{i}" for i in range(4))
 # Offset lines of the edges, then crossings of neighbours.
-UNCLIP = P + f""", e AS (SELECT *, abs({AREA2}) / 2 * 1.4 / ({' + '.join(LEN)}) AS push, (x0 + x1 + x2 + x3) / 4 AS gx, (y0 + y1 + y2 + y3) / 4 AS gy FROM p),
+def grown(keys: str, source: str) -> str:
+    """CTEs up to ``l``: the offset lines of the edges of ``source`` (keys, x0 to y3)."""
+    return f""", e AS (SELECT *, abs({AREA2}) / 2 * 1.4 / ({' + '.join(LEN)}) AS push, (x0 + x1 + x2 + x3) / 4 AS gx, (y0 + y1 + y2 + y3) / 4 AS gy FROM {source}),
  n AS (SELECT *, {', '.join(f'(y{b} - y{a}) / {LEN[a]} AS nx{a}, -(x{b} - x{a}) / {LEN[a]} AS ny{a}' for a, b in NEXT)} FROM e),
  s AS (SELECT *, {', '.join(f'CASE WHEN nx{a} * ((x{a} + x{b}) / 2 - gx) + ny{a} * ((y{a} + y{b}) / 2 - gy) < 0 THEN -1 ELSE 1 END AS s{a}' for a, b in NEXT)} FROM n),
- l AS (SELECT vec_id, {', '.join(f'nx{a} * s{a} AS a{a}, ny{a} * s{a} AS b{a}, nx{a} * s{a} * (x{a} + nx{a} * s{a} * push) + ny{a} * s{a} * (y{a} + ny{a} * s{a} * push) AS c{a}' for a, _ in NEXT)} FROM s)
- SELECT vec_id, {', '.join(f'round((c{p} * b{i} - c{i} * b{p}) / (a{p} * b{i} - a{i} * b{p}), 3) AS x{i}, round((a{p} * c{i} - a{i} * c{p}) / (a{p} * b{i} - a{i} * b{p}), 3) AS y{i}' for i, p in ((i, (i + 3) % 4) for i in range(4)))} FROM l"""
+ l AS (SELECT {keys}, {', '.join(f'nx{a} * s{a} AS a{a}, ny{a} * s{a} AS b{a}, nx{a} * s{a} * (x{a} + nx{a} * s{a} * push) + ny{a} * s{a} * (y{a} + ny{a} * s{a} * push) AS c{a}' for a, _ in NEXT)} FROM s)"""
+
+
+#: Corner i of the grown box: where its two lines cross.
+CROSSED = [
+    (f"(c{p} * b{i} - c{i} * b{p}) / (a{p} * b{i} - a{i} * b{p})", f"(a{p} * c{i} - a{i} * c{p}) / (a{p} * b{i} - a{i} * b{p})")
+    for i, p in ((i, (i + 3) % 4) for i in range(4))
+]
+UNCLIP = P + grown("vec_id", "p") + " SELECT vec_id, " + ", ".join(f"round({x}, 3) AS x{i}, round({y}, 3) AS y{i}" for i, (x, y) in enumerate(CROSSED)) + " FROM l"
 Z = cte("sizes")
 RATIO = "CASE WHEN greatest(w, h) > 960 THEN 960.0::DOUBLE / greatest(w, h) ELSE 1 END"
 SNAP = "CASE WHEN w < 1 OR h < 1 THEN 0 ELSE greatest(32, CAST(floor({0} * " + RATIO + " / 32 + 0.5) AS BIGINT) * 32) END"

@@ -269,6 +269,23 @@ BOUNDS = TEXT + _reach(EIGHT) + """, bb AS (SELECT map_id, label, min(x) AS l, m
    FROM bb JOIN cells c ON c.map_id = bb.map_id AND x BETWEEN l AND r AND y BETWEEN t AND b WHERE n >= 3 AND r > l AND b > t GROUP BY ALL),
  fin AS (SELECT map_id, label, greatest(0, (l - push) * 10) AS x0, greatest(0, (t - push) * 10) AS y0, least(80, (r + push) * 10) AS x2, least(80, (b + push) * 10) AS y2 FROM sc WHERE score >= 0.45),
  num AS (SELECT *, row_number() OVER (PARTITION BY map_id ORDER BY label) AS box_no FROM fin WHERE (x2 - x0) * (y2 - y0) >= 4)"""
+RING = [("u0", "v0"), ("u1", "v0"), ("u1", "v1"), ("u0", "v1")]
+# From cells to finished boxes: every pair of cells with the component on its left is tried as an edge.
+BOXES = TEXT + _reach(EIGHT) + f""", c AS (SELECT map_id, label, x, y, count(*) OVER (PARTITION BY map_id, label) AS cells FROM hot JOIN labels USING (map_id, channel, pos)),
+ d AS (SELECT a.map_id, a.label, a.x AS ax, a.y AS ay, b.x - a.x AS dx, b.y - a.y AS dy FROM c a JOIN c b ON a.map_id = b.map_id AND a.label = b.label AND (a.x <> b.x OR a.y <> b.y) WHERE a.cells >= 3),
+ r AS (SELECT map_id, d.label, dx, dy, dx * dx + dy * dy AS sq, min(x * dx + y * dy) AS u0, max(x * dx + y * dy) AS u1, min(y * dx - x * dy) AS v0, max(y * dx - x * dy) AS v1, ay * dx - ax * dy AS own,
+   CASE WHEN dx = 0 AND dy < 0 THEN 9 ELSE atan2(dy, dx) + CASE WHEN dx < 0 AND dy < 0 THEN 2 * pi() ELSE 0 END END AS turn FROM d JOIN c USING (map_id, label) GROUP BY map_id, d.label, ax, ay, dx, dy),
+ best AS (SELECT * FROM r WHERE v0 = own AND v1 > own QUALIFY row_number() OVER (PARTITION BY map_id, label ORDER BY CAST((u1 - u0) * (v1 - v0) AS DOUBLE) / sq, turn) = 1),
+ rect AS (SELECT map_id, label, {', '.join(f'CAST({u} * dx - {v} * dy AS DOUBLE) / sq AS x{i}, CAST({u} * dy + {v} * dx AS DOUBLE) / sq AS y{i}' for i, (u, v) in enumerate(RING))} FROM best),
+ sc AS (SELECT q.map_id, label, avg(p) AS score FROM (SELECT *, CASE WHEN {geo.AREA2} < 0 THEN -1 ELSE 1 END AS sgn FROM rect) q JOIN cells c ON c.map_id = q.map_id
+   WHERE x BETWEEN floor(least(x0, x1, x2, x3)) AND ceil(greatest(x0, x1, x2, x3)) AND y BETWEEN floor(least(y0, y1, y2, y3)) AND ceil(greatest(y0, y1, y2, y3)) AND {INSIDE} GROUP BY ALL HAVING avg(p) >= 0.45),
+ k AS ({' UNION ALL '.join(f'SELECT map_id, label, score, {i} AS i, x{i} AS x, y{i} AS y FROM rect JOIN sc USING (map_id, label)' for i in range(4))}),
+ h AS (SELECT *, row_number() OVER (PARTITION BY map_id, label ORDER BY x, i) AS bx FROM k),
+ o AS (SELECT *, (bx - 1) // 2 AS side, row_number() OVER (PARTITION BY map_id, label, (bx - 1) // 2 ORDER BY y, bx) AS by_ FROM h),
+ z AS (SELECT map_id, label, score, x, y, CASE WHEN side = 0 THEN CASE by_ WHEN 1 THEN 0 ELSE 3 END ELSE CASE by_ WHEN 1 THEN 1 ELSE 2 END END AS pos FROM o),
+ w AS (SELECT map_id, label, score, {', '.join(f'max(x) FILTER (pos = {i}) AS x{i}, max(y) FILTER (pos = {i}) AS y{i}' for i in range(4))} FROM z GROUP BY map_id, label, score)
+ """ + geo.grown("map_id, label, score", "w") + f""",
+ fin AS (SELECT map_id, label, score, {', '.join(f'least(80, greatest(0, {x} * 10)) AS x{i}, least(80, greatest(0, {y} * 10)) AS y{i}' for i, (x, y) in enumerate(geo.CROSSED))} FROM l)"""
 PX = f"""WITH px AS (SELECT vec_id AS image_id, i % 8 AS x, i // 8 AS y, i,
    CASE WHEN v < ink THEN 120 ELSE base + s END AS r, CASE WHEN v < ink THEN 120 ELSE base + 2 + s END AS g, CASE WHEN v < ink THEN 120 ELSE base - 2 + s END AS b,
    CASE WHEN v > 0.3 THEN 0 ELSE 255 END AS a FROM (SELECT *, CAST(floor(v * 5) AS BIGINT) AS s FROM
@@ -337,6 +354,7 @@ ORACLES = {
               min(dx * (y - ay) - dy * (x - ax)) AS low, max(dx * (y - ay) - dy * (x - ax)) AS high FROM d JOIN c ON c.map_id = d.map_id AND c.label = d.label GROUP BY ALL),
         n AS (SELECT map_id, label, count(*) AS cells FROM c GROUP BY ALL)
         SELECT map_id, label, any_value(cells) AS cells, round(min(u * v), 6) AS area FROM e JOIN n USING (map_id, label) WHERE low >= 0 AND high > 0 GROUP BY map_id, label""",
+    "text-boxes": BOXES + f" SELECT map_id, row_number() OVER (PARTITION BY map_id ORDER BY label) AS box_no, round(score, 6) AS score, {', '.join(f'round(x{i}, 4) AS x{i}, round(y{i}, 4) AS y{i}' for i in range(4))} FROM fin WHERE abs({geo.AREA2}) / 2 >= 4",
     "F-15": BOUNDS + " SELECT map_id, box_no, label, round(x0, 4) AS x0, round(y0, 4) AS y0, round(x2, 4) AS x2, round(y2, 4) AS y2 FROM num",
     "T-06": BOUNDS + " SELECT map_id, box_no, label FROM num",
     "U-01": PX + " SELECT image_id, round(white, 6) AS white, round(black, 6) AS black, sampled FROM shares",
