@@ -8,8 +8,10 @@ from slipstack import fixed
 from slipstack.functions import quads
 from slipstack.operators import composed
 from slipstack.operators import intake as op
+from slipstack.plans.grids import PX, pictures
 from slipstack.plans.inputs import cte, load, table
-from slipstack.sources.files import listing
+from slipstack.sinks import blobs
+from slipstack.sources.files import bitmap, images, listing
 from slipstack.streaming.runner import scratch
 
 
@@ -24,9 +26,26 @@ def _admitted(spark, d):
 def s01(spark, d):
     """The pages written out as one file each, then listed with size and head."""
     folder = scratch(spark, "pages")
-    table(spark, d, "pages").select("page_id", "html").write.partitionBy("page_id").text(f"{folder}/files")
-    found = listing(spark, f"{folder}/files", "pages")
-    return found.select(F.regexp_extract("path", r"page_id=(-?\d+)", 1).cast("bigint").alias("page_id"), "size", "head_hex")
+    blobs.register(spark)
+    name = F.concat(F.col("page_id").cast("string"), F.lit(".html"))
+    pages = table(spark, d, "pages").select(name.alias("name"), F.col("html").cast("binary").alias("content"))
+    pages.write.format(blobs.FORMAT).mode("append").save(folder)
+    found = listing(spark, folder, "pages")
+    return found.select(F.regexp_extract("name", r"^(-?\d+)", 1).cast("bigint").alias("page_id"), "size", "head_hex")
+
+
+def s02(spark, d):
+    """Pictures written as bitmaps, some of them cut off, then read back: sizes and pixels, or the reason they are refused."""
+    folder = scratch(spark, "pictures")
+    blobs.register(spark)
+    whole = bitmap(F.col("data"), F.col("w"), F.col("h"))
+    content = F.when(F.col("image_id") % 10 == 3, F.substring(whole, 1, 40)).otherwise(whole)
+    name = F.concat(F.col("image_id").cast("string"), F.lit(".bmp"))
+    pictures(spark, d).select(name.alias("name"), content.alias("content")).write.format(blobs.FORMAT).mode("append").save(folder)
+    good, bad = images(spark, folder)
+    number = lambda path: F.regexp_extract(path, r"(-?\d+)\.bmp$", 1).cast("bigint").alias("image_id")
+    shown = good.select(number(F.col("origin")), "width", "height", F.hex("data").alias("bgr"), F.lit(None).cast("string").alias("reason"))
+    return shown.unionByName(bad.select(number(F.col("path")), "reason"), allowMissingColumns=True)
 
 
 def s03(spark, d):
@@ -133,7 +152,7 @@ def intake_to_totals(spark, d):
 
 QUERIES = {
     "intake-to-totals": intake_to_totals,
-    "S-01": s01, "S-03": s03, "S-10": s10, "U-S1": us1, "F-01": f01, "F-02": f02, "F-03": f03, "F-04": f04,
+    "S-01": s01, "S-02": s02, "S-03": s03, "S-10": s10, "U-S1": us1, "F-01": f01, "F-02": f02, "F-03": f03, "F-04": f04,
     "F-05": f05, "F-06": f06, "F-07": f07, "F-08": f08, "F-11": f11, "J-01": j01, "J-11": j11, "C-23": c23,
     "P-01": p01, "A-16": a16,
 }
@@ -176,7 +195,9 @@ ORACLES = {
         SELECT batch_id, coalesce(a.n, 0) AS receipts, coalesce(w, 0) AS with_amount, CAST(coalesce(s, 0) AS BIGINT) AS total_cents,
         CAST(coalesce(ceil(a.n / {len(fixed.LAYOUTS[fixed.DEFAULT_LAYOUT][2])}), 0) AS BIGINT) AS sheets, coalesce(no.n, 0) AS refused FROM a FULL JOIN no USING (batch_id)""",
     # A text file ends with a line feed.
-    "S-01": f"SELECT page_id, strlen(html) + 1 AS size, CASE WHEN strlen(html) < {fixed.MAX_DOCUMENT_BYTES} THEN left(hex(encode(html || chr(10))), 24) END AS head_hex FROM pages",
+    "S-01": f"SELECT page_id, strlen(html) AS size, CASE WHEN strlen(html) <= {fixed.MAX_DOCUMENT_BYTES} THEN left(hex(encode(html)), 24) END AS head_hex FROM pages",
+    "S-02": PX + """ SELECT image_id, CASE WHEN image_id % 10 <> 3 THEN 8 END AS width, CASE WHEN image_id % 10 <> 3 THEN 8 END AS height,
+        CASE WHEN image_id % 10 <> 3 THEN string_agg(printf('%02X%02X%02X', b, g, r), '' ORDER BY i) END AS bgr, CASE WHEN image_id % 10 = 3 THEN 'ilegible' END AS reason FROM px GROUP BY image_id""",
     "S-03": FILES + "SELECT batch_id, seq, name FROM files",
     "S-10": WITH + "SELECT batch_id, seq, name AS file, reason, title, detail FROM judged JOIN texts USING (reason)",
     "U-S1": WITH + "SELECT batch_id, CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS side, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM judged GROUP BY 1, 2",

@@ -18,17 +18,19 @@ def start_intake(files: DataFrame, folder: str):
     def judge(rows: DataFrame, epoch: int) -> None:
         # Both sides are written from one reading of the micro-batch.
         judged = classify(rows).persist()
-        accepted, refused = split(judged)
-        sides = {"accepted": accepted, "rejects": quarantine(refused)}
-        for name, side in sides.items():
-            (
-                side.withColumn("epoch", F.lit(epoch))
-                .write.mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .partitionBy("epoch")
-                .parquet(f"{folder}/{name}")
-            )
-        judged.unpersist()
+        try:
+            accepted, refused = split(judged)
+            sides = {"accepted": accepted, "rejects": quarantine(refused)}
+            for name, side in sides.items():
+                (
+                    side.withColumn("epoch", F.lit(epoch))
+                    .write.mode("overwrite")
+                    .option("partitionOverwriteMode", "dynamic")
+                    .partitionBy("epoch")
+                    .parquet(f"{folder}/{name}")
+                )
+        finally:
+            judged.unpersist()
 
     return (
         files.writeStream.foreachBatch(judge)

@@ -10,8 +10,10 @@ from slipstack.functions import pixels as px
 from slipstack.functions import quads
 from slipstack.operators import hooks
 from slipstack.operators import intake as op
+from slipstack.sinks import blobs
 from slipstack.sinks import tables as sink
 from slipstack.sources import files as src
+from slipstack.streaming.runner import drain_to_table
 
 MIB = 1024 * 1024
 FILES = "batch_id string, seq bigint, name string, mime string, size bigint, page_count int, open_error string"
@@ -115,6 +117,64 @@ def test_image_source_and_listing(spark, tmp_path):
     assert listed["broken.png"][:2] == ("image/png", 13) and listed["white.png"][2] == "89504E47"
 
 
+def test_heads_are_read_behind_the_gate_in_batch_and_stream(spark, tmp_path):
+    inside = tmp_path / "in" / "a b"
+    inside.mkdir(parents=True)
+    (inside / "näme 1.pdf").write_bytes(b"%PDF-1.7 and more")
+    (inside / "empty.png").write_bytes(b"")
+    (inside / "large.pdf").write_bytes(b"%PDF-" + b"x" * 100)
+    want = {("näme 1.pdf", 17, "255044462D312E3720616E64"), ("empty.png", 0, ""), ("large.pdf", 105, None)}
+    told = lambda df: {(r.name, r.size, r.head_hex) for r in df.collect()}
+    batch = src.listing(spark, str(tmp_path / "in"), "b", 50)
+    assert told(batch) == want
+    stream = src.listing_stream(spark, str(tmp_path / "in"), "b", 50, settle=0)
+    assert told(drain_to_table(stream, str(tmp_path / "out"))) == want
+    (tmp_path / "in" / "later.png").write_bytes(b"\x89PNG")
+    (tmp_path / "in" / "_unfinished").mkdir()
+    (tmp_path / "in" / "_unfinished" / "half.png").write_bytes(b"x")
+    assert told(drain_to_table(stream, str(tmp_path / "out"))) == {*want, ("later.png", 4, "89504E47")}
+
+
+def _names(folder):
+    return sorted(p.name for p in folder.rglob("*") if p.is_file())
+
+
+def test_files_are_published_by_commit_and_dropped_by_abort(spark, rows, tmp_path):
+    blobs.register(spark)
+    folder = tmp_path / "refused"
+    files = rows([(f"f{i}.bin", bytes([i])) for i in range(20)], "name string, content binary").repartition(4)
+    files.write.format(blobs.FORMAT).mode("append").save(str(folder))
+    assert _names(folder) == sorted(f"f{i}.bin" for i in range(20)) and (next(folder.rglob("f7.bin"))).read_bytes() == b"\x07"
+    with pytest.raises(Exception, match="not a file name"):
+        rows([("good.bin", b"1"), ("../bad.bin", b"2")], "name string, content binary").write.format(blobs.FORMAT).mode("append").save(str(folder))
+    assert len(_names(folder)) == 20 and not [p for p in folder.rglob("*") if "bad" in p.name or "good" in p.name]
+    files.limit(3).write.format(blobs.FORMAT).mode("overwrite").save(str(folder))
+    assert len(_names(folder)) == 3
+
+
+def test_a_replayed_epoch_replaces_its_files(tmp_path):
+    writer = blobs.StreamWriter(str(tmp_path))
+    for content in (b"first", b"again"):
+        staged = tmp_path / blobs.STAGING / writer.staged.run / f"task-{content.decode()}" / "0"
+        staged.mkdir(parents=True)
+        (staged / "a.bin").write_bytes(content)
+        writer.commit([blobs.Written(f"{blobs.STAGING}/{writer.staged.run}/task-{content.decode()}", 1), None], 4)
+    assert [p.read_bytes() for p in tmp_path.rglob("*.bin")] == [b"again"]
+    writer.abort([], 5)
+
+
+def test_bitmaps_are_read_back(spark, rows, tmp_path):
+    blobs.register(spark)
+    pixels = bytes(range(5 * 3 * 4))  # five pixels a row: rows are padded
+    df = rows([("p.bmp", bytearray(pixels), 5, 3)], "name string, data binary, w int, h int")
+    whole = df.select("name", src.bitmap(F.col("data"), F.col("w"), F.col("h")).alias("content"))
+    whole.write.format(blobs.FORMAT).mode("append").save(str(tmp_path / "pictures"))
+    good, bad = src.images(spark, str(tmp_path / "pictures"))
+    (r,) = good.collect()
+    assert (r.width, r.height, r.nChannels) == (5, 3, 3) and bad.count() == 0
+    assert bytes(r.data) == b"".join(pixels[i : i + 3][::-1] for i in range(0, len(pixels), 4))
+
+
 def test_sides_are_written_in_buckets(spark, rows, tmp_path):
     got = op.classify(rows([f for f, _ in GATE], FILES))
     accepted, rejected = op.split(got)
