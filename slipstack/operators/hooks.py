@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from slipstack.operators.selection import equal_areas
+
 COUNTED = T.StructType().add("page_count", T.IntegerType()).add("open_error", T.StringType())
 
 
@@ -46,12 +48,13 @@ def scored(
     """U-03: a caller's scorer over lines of like width, one result row per line.
 
     ``schema`` is that of the scorer's frame, which names its lines by the unique ``key``.
-    Lines are range-partitioned by padded width and key, so that the batches a scorer
-    gets need little padding and a common width is still cut.  A batch that fails is
+    Tasks get lines of like width and the same padded area each (``equal_areas``), so the batches a scorer
+    gets need little padding, a common width is cut and wide lines do not pile up.  A batch that fails is
     halved and tried again; a line that fails alone, or that the scorer leaves out,
     has nulls and the reason in ``error``.
     """
-    near = lines.repartitionByRange(parts, width, key) if parts else lines.repartitionByRange(width, key)
+    parts = parts or int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = equal_areas(lines, parts, key, width).drop("_part")
     names = T.StructType.fromDDL(schema).names
 
     def explained(frame: pd.DataFrame, found: pd.DataFrame | None, error: str) -> pd.DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slipstack import fixed
+from slipstack.operators.ordered import running
 
 
 def top_boxes(boxes: DataFrame, n: int = fixed.TOP_BOXES) -> DataFrame:
@@ -59,17 +60,36 @@ def can_read(width: Column, height: Column) -> Column:
 def width_chunks(lines: DataFrame, size: int = fixed.LINES_PER_CHUNK) -> DataFrame:
     """T-02: lines of a receipt by padded width, cut into chunks of ``size``.
 
-    Adds ``chunk`` and ``chunk_width``.  A receipt has at most 3000 lines.
+    Adds ``chunk`` and ``chunk_width``.  The place of a line is a running rank, so a receipt may have any number of
+    lines; only the lines of one chunk meet.
     """
-    by_width = Window.partitionBy("receipt_id").orderBy("width", "line_no")
-    chunked = lines.withColumn(
-        "chunk", F.floor((F.row_number().over(by_width) - 1) / size)
-    )
+    placed = running(lines, ["receipt_id"], ["width", "line_no"], rank="_place")
+    chunked = placed.withColumn("chunk", F.floor((F.col("_place") - 1) / size)).drop("_place")
     return chunked.withColumn(
         "chunk_width", F.max("width").over(Window.partitionBy("receipt_id", "chunk"))
     )
 
 
+def equal_areas(lines: DataFrame, parts: int, key: str, width: str = "width", step: int = 8) -> DataFrame:
+    """Lines dealt to ``parts`` tasks, in order of width, so that every task has the same padded area.
+
+    Adds ``_part``. Widths are padded to multiples of ``step``. A task takes a stretch of the area under the widths,
+    put in order; a common width is cut at a hash of the unique ``key``. Only the counts of the padded widths are
+    put in order, so that is bounded by the widest line, not by the lines. A line without width counts as empty.
+    """
+    padded = F.greatest(F.lit(1), F.ceil(F.coalesce(F.col(width), F.lit(0)) / step)).cast("bigint")
+    sized = lines.withColumn("_padded", padded)
+    counted = sized.groupBy("_padded").agg((F.count(F.lit(1)) * F.col("_padded")).cast("double").alias("_area"))
+    before = Window.orderBy("_padded").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counted.select(
+        "_padded", "_area", F.coalesce(F.sum("_area").over(before), F.lit(0.0)).alias("_start"), F.sum("_area").over(Window.partitionBy()).alias("_all")
+    )
+    share = F.pmod(F.xxhash64(key), F.lit(1 << 30)) / float(1 << 30)
+    at = (F.col("_start") + share * F.col("_area")) / F.col("_all")
+    part = F.least(F.lit(parts - 1), F.floor(at * parts)).cast("int")
+    return sized.join(starts, "_padded").withColumn("_part", part).drop("_padded", "_area", "_start", "_all").repartitionById(parts, "_part")
+
+
 def diagnostics(lines: DataFrame, size: int = fixed.LINES_PER_CHUNK) -> DataFrame:
     """A-18: boxes, lines, widest line, chunk runs and fallback per receipt."""
     usable = F.count("width")

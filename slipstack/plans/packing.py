@@ -214,10 +214,10 @@ ORACLES = {
  open AS (SELECT batch_id, max(sheet_no) AS o FROM holes GROUP BY batch_id),
  ask AS (SELECT a.*, CASE WHEN s % 3 > 0 THEN s * 8 WHEN o = last THEN o END AS w FROM (SELECT batch_id, max(receipt_id) AS receipt_id, min(seq) AS s, min(seq) % 6 AS l FROM arrivals GROUP BY batch_id) a
       JOIN target USING (batch_id) LEFT JOIN open USING (batch_id)),
- c AS (SELECT a.batch_id, h.sheet_no, h.slot, h.layout, row_number() OVER (PARTITION BY a.batch_id ORDER BY
-      CASE WHEN h.sheet_no = w AND h.slot = l THEN 0 WHEN h.sheet_no = w THEN 1 ELSE 2 END, h.sheet_no, h.slot) AS k FROM ask a JOIN holes h USING (batch_id))
- SELECT ask.batch_id, receipt_id, coalesce(c.sheet_no, last + 1) AS sheet_no, coalesce(c.slot, 0) AS slot, coalesce(c.layout, m.layout) AS layout
- FROM ask JOIN target USING (batch_id) JOIN sheets m ON m.batch_id = ask.batch_id AND m.sheet_no = coalesce(w, last) LEFT JOIN c ON c.batch_id = ask.batch_id AND c.k = 1""",
+ c AS (SELECT a.batch_id, coalesce(min(p) FILTER (h.sheet_no = w AND h.slot = l), min(p) FILTER (h.sheet_no = w), min(p)) AS p
+      FROM ask a JOIN (SELECT *, {{'sheet_no': sheet_no, 'slot': slot, 'layout': layout}} AS p FROM holes) h USING (batch_id) GROUP BY a.batch_id)
+ SELECT ask.batch_id, receipt_id, coalesce(c.p.sheet_no, last + 1) AS sheet_no, coalesce(c.p.slot, 0) AS slot, coalesce(c.p.layout, m.layout) AS layout
+ FROM ask JOIN target USING (batch_id) JOIN sheets m ON m.batch_id = ask.batch_id AND m.sheet_no = coalesce(w, last) LEFT JOIN c ON c.batch_id = ask.batch_id""",
     "J-02": cte("sheets", "placed", "receipts") + "SELECT r.id AS receipt_id, sheet_no, slot FROM (SELECT receipt_id * 8 + 1 AS id FROM receipts) r LEFT JOIN placed ON placed.receipt_id = r.id",
     "J-04": B.rstrip() + """, kept AS (SELECT * FROM placed WHERE cents IS NOT NULL)
  SELECT batch_id, sheet_no, layout FROM sheets WHERE sheet_no IN (SELECT sheet_no FROM kept)

@@ -135,3 +135,35 @@ def test_plausible(rows, pts, conf, good):
 def test_output_size(rows):
     df = _quad(rows, [(0, 0), (100, 0), (100, 50), (0, 50)])
     assert tuple(df.select(*quads.output_size(quads.from_points(F.col("p")))).first()) == (100, 50)
+
+
+def test_tasks_get_equal_padded_areas_on_skewed_widths(spark):
+    # A third of the lines has one width; few are very wide.
+    wide = F.when(F.col("id") % 3 == 0, 320).when(F.col("id") % 100 == 1, 1536).otherwise(40 + F.pmod(F.hash("id"), F.lit(280)))
+    lines = spark.range(60_000).withColumn("width", wide).withColumn("_padded_w", F.ceil(F.col("width") / 8) * 8)
+    tasks = op.equal_areas(lines, 16, "id").withColumn("task", F.spark_partition_id()).groupBy("task").agg(
+        F.sum("_padded_w").alias("area"), F.count("*").alias("n"), F.min("width").alias("low"), F.max("width").alias("high"), F.count_distinct("_part").alias("parts")
+    ).orderBy("task").collect()
+    areas = [t.area for t in tasks]
+    assert len(tasks) == 16 and all(t.parts == 1 for t in tasks) and sum(t.n for t in tasks) == 60_000
+    assert max(areas) < 1.1 * sum(areas) / 16  # load
+    # Padding every task to its widest line would cost less than a quarter more.
+    assert sum(t.n * t.high for t in tasks) < 1.25 * sum(areas)
+    assert all(a.high <= b.low + 8 for a, b in zip(tasks, tasks[1:]))
+
+
+def test_equal_areas_of_nothing_and_of_lines_without_width(spark, rows):
+    assert op.equal_areas(rows([], "id bigint, width bigint"), 4, "id").count() == 0
+    assert op.equal_areas(rows([(1, None), (2, 0), (None, 50)], "id bigint, width bigint"), 4, "id").count() == 3
+
+
+def test_chunks_of_a_receipt_with_very_many_lines(rows):
+    lines = rows([(r, i, (i * 7) % 50) for r, n in ((1, 100), (2, 5), (None, 40)) for i in range(n)], "receipt_id bigint, line_no bigint, width bigint")
+    got = op.width_chunks(lines, 16).collect()
+    for r, n in ((1, 100), (2, 5), (None, 40)):
+        want = sorted(((i * 7) % 50, i) for i in range(n))
+        chunks = {line: k // 16 for k, (_, line) in enumerate(want)}
+        widest = {}
+        for w, line in want:
+            widest[chunks[line]] = max(w, widest.get(chunks[line], 0))
+        assert {x.line_no: (x.chunk, x.chunk_width) for x in got if x.receipt_id == r} == {line: (c, widest[c]) for line, c in chunks.items()}
