@@ -20,14 +20,14 @@ Scale: the shuffled rows are hashes and places; texts move once for the contexts
 for the removal. A group has at most ``most`` different contexts; the windows of larger ones are told
 by a hash of their bytes instead, so that no group has to fit one task. Long texts are read in parts.
 
-Passages can also be counted in words (``word_spans``): a window is then so many words in a row, whatever
-their length and the white space between them. Windows meet by their least hash in the same way; those of
-different contexts are told by 128-bit hashes.
+Texts are read twice: a first scan counts the hashes, a second one gives only the contexts of those that were
+chosen more than once. Passages can also be counted in words (``passages``): a window is then so many words in a row,
+whatever their length and the white space between them, and the array is built over words instead of blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +40,11 @@ from slipstack.llm.common import WordHashes, lookup, mixed, stored
 WINDOW = 400
 GRAM = 96
 WORD_GRAM = 12
+WORD = 8  # bytes of the hash of a word
+PASSAGE = 51  # fixed value: a passage of over 50 words
 BLOCK = 16
 MOST = 20_000
+MOST_WORDS = 5_000
 PART = 1 << 20
 BATCH = 60_000  # blocks of a suffix array, unless a group has more
 BYTE_KEYS = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -187,8 +190,20 @@ def owners(data: np.ndarray, hashes: Hashes, window: int = WINDOW, gram: int = G
     return grams[place], context, place, first, last
 
 
-def contexts(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, part: int = PART) -> DataFrame:
-    """doc_id, copy, gram, context, place, first, last for all contexts of ``docs(doc_id, copy, text)``."""
+def sparse(text: bytes, window: int, words: int) -> np.ndarray:
+    """For each window of a text whether it holds fewer whole words than ``words``."""
+    starts, ends = word_places(text)
+    at = np.arange(len(text) - window + 1)
+    return np.searchsorted(ends, at + window, "right") - np.searchsorted(starts, at) < words
+
+
+def contexts(
+    docs: DataFrame, window: int = WINDOW, gram: int = GRAM, part: int = PART, words: int | None = None, counted: bool = False
+) -> DataFrame:
+    """doc_id, copy, gram, context, place, first, last for all contexts of ``docs(doc_id, copy, text)``.
+
+    With ``words`` only those that have a window of fewer whole words. ``counted``: only gram and n, how often it is chosen.
+    """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes(1 << 16)
@@ -198,10 +213,18 @@ def contexts(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, part: int
             for i, text in enumerate(batch.column(2)):
                 data = np.frombuffer(text.as_buffer(), np.uint8)
                 for start in range(0, len(data) - window + 1, part):
-                    g, c, place, first, last = owners(data[start : start + part + window - 1], hashes, window, gram)
+                    cut = data[start : start + part + window - 1]
+                    g, c, place, first, last = owners(cut, hashes, window, gram)
+                    if words is not None:
+                        few = np.r_[0, np.cumsum(sparse(cut.tobytes(), window, words))]
+                        keep = few[last + 1] > few[first]
+                        g, c, place, first, last = (x[keep] for x in (g, c, place, first, last))
                     rows.append((ids[i], copies[i], g, c, place + start, first + start, last + start))
             if not rows:
                 continue
+            if counted:
+                yield tallied([r[2] for r in rows])
+                continue
             sizes = [len(r[2]) for r in rows]
             joined = [np.concatenate([r[k] for r in rows]).astype(np.int64) for k in range(2, 7)]
             spread = np.repeat(np.arange(len(rows)), sizes)
@@ -210,13 +233,29 @@ def contexts(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, part: int
                 ["doc_id", "copy", "gram", "context", "place", "first", "last"],
             )
 
-    return docs.select("doc_id", "copy", "text").mapInArrow(
-        find, "doc_id long, copy long, gram long, context long, place long, first long, last long"
-    )
+    schema = TALLY if counted else "doc_id long, copy long, gram long, context long, place long, first long, last long"
+    return docs.select("doc_id", "copy", "text").mapInArrow(find, schema)
+
+
+TALLY = "gram long, n long"
+
+
+def tallied(grams: list[np.ndarray]) -> pa.RecordBatch:
+    found, n = np.unique(np.concatenate(grams), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
+
 
+def met(grams: DataFrame, found: DataFrame) -> DataFrame:
+    """The contexts of ``found`` whose gram occurs more than once, told by a scan that gives only ``grams`` (gram, n).
 
-def repeated_windows(texts: list[bytes], places: list[int], window: int = WINDOW, block: int = BLOCK) -> list[np.ndarray]:
-    """For each context the starts of its windows that occur again among all of them.
+    Most contexts of usual text are alone; reading the texts twice keeps them off the disks.
+    """
+    several = stored(grams.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1"))
+    return stored(lookup(found, several, "gram", how="inner"))
+
+
+def repeated_windows(texts: list[bytes], places: list[int], window: int = WINDOW, block: int = BLOCK, unit: int = 1) -> list[np.ndarray]:
+    """For each context the starts of its windows that occur again among all of them; windows start at multiples of ``unit``.
 
     ``places`` are those of the shared grams. Windows that differ in the place of their gram relative to
     the grid cannot be equal, so each context has the grid that its gram fixes.
@@ -252,7 +291,7 @@ def repeated_windows(texts: list[bytes], places: list[int], window: int = WINDOW
         kind[order[shared]] = number[shared]
     found_text, found_start, found_key = [], [], []
     for x, (text, s, b, p) in enumerate(zip(texts, starts, base, places, strict=True)):
-        begin = np.arange(len(text) - window + 1)
+        begin = np.arange(0, len(text) - window + 1, unit)
         first_block = -(-(begin - s) // block)
         first_block = np.maximum(first_block, 0)
         group = kind[b + first_block]
@@ -291,19 +330,19 @@ def runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 SPANS = "doc_id long, copy long, start long, end long"
 
 
-def grid_spans(asked: DataFrame, window: int, batch_blocks: int = BATCH) -> DataFrame:
-    """Spans to remove from ``asked(gram, doc_id, copy, first, n, offset, bytes)``, groups by gram."""
+def grid_spans(asked: DataFrame, window: int, block: int = BLOCK, unit: int = 1, batch_blocks: int = BATCH) -> DataFrame:
+    """Spans to remove from ``asked(gram, doc_id, copy, first, n, offset, bytes)``, groups by gram; places count units of bytes."""
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple] = []
         blocks = 0
 
         def out():
-            found = repeated_windows([r[5] for r in waiting], [r[4] for r in waiting], window)
+            found = repeated_windows([r[5] for r in waiting], [r[4] for r in waiting], window, block, unit)
             rows: list[tuple] = []
             for (doc_id, copy, first, n, *_), starts in zip(waiting, found, strict=True):
                 if n == 1 and len(starts):  # contexts that occur twice are removed as a whole elsewhere
-                    rows.extend((doc_id, copy, first + int(a), first + int(b) + window) for a, b in zip(*runs(starts), strict=True))
+                    rows.extend((doc_id, copy, first + int(a), first + int(b) + window // unit) for a, b in zip(*runs(starts // unit), strict=True))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "copy", "start", "end"])
 
@@ -315,7 +354,7 @@ def grid_spans(asked: DataFrame, window: int, batch_blocks: int = BATCH) -> Data
                     waiting, blocks = [], 0
                 last = gram
                 waiting.append(tuple(row))
-                blocks += len(row[-1]) // BLOCK
+                blocks += len(row[-1]) // block
         if waiting:
             yield out()
 
@@ -323,13 +362,13 @@ def grid_spans(asked: DataFrame, window: int, batch_blocks: int = BATCH) -> Data
     return dealt.select("gram", "doc_id", "copy", "first", "n", "offset", "bytes").mapInArrow(solve, SPANS)
 
 
-def hashed_spans(asked: DataFrame, window: int) -> DataFrame:
+def hashed_spans(asked: DataFrame, window: int, unit: int = 1) -> DataFrame:
     """The same for groups too large for one task: windows are told by a 128-bit hash of their bytes."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_id, copy, first, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                keys = [xxhash.xxh3_128_digest(text[s : s + window]) for s in range(len(text) - window + 1)]
+                keys = [xxhash.xxh3_128_digest(text[s : s + window]) for s in range(0, len(text) - window + 1, unit)]
                 k = len(keys)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys, pa.binary()), pa.array([doc_id] * k, pa.int64()), pa.array([copy] * k, pa.int64()), pa.array(range(first, first + k), pa.int64())],
@@ -338,7 +377,7 @@ def hashed_spans(asked: DataFrame, window: int) -> DataFrame:
 
     each = stored(asked.select("doc_id", "copy", "first", "bytes").mapInArrow(cut, "bytes binary, doc_id long, copy long, start long"))
     several = stored(each.groupBy("bytes").agg(F.count("*").alias("n")).where("n > 1"))
-    return lookup(each, several, "bytes", how="inner").select("doc_id", "copy", "start", (F.col("start") + window).alias("end"))
+    return lookup(each, several, "bytes", how="inner").select("doc_id", "copy", "start", (F.col("start") + window // unit).alias("end"))
 
 
 def with_copy(docs: DataFrame) -> DataFrame:
@@ -347,21 +386,33 @@ def with_copy(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text", text).withColumn("copy", F.xxhash64("text"))
 
 
-def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = MOST, part: int = PART) -> DataFrame:
-    """All spans (doc_id, copy, start, end) of bytes to remove from ``docs`` as ``with_copy`` gives them."""
+def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = MOST, part: int = PART, words: int | None = None) -> DataFrame:
+    """All spans (doc_id, copy, start, end) of bytes to remove from ``docs`` as ``with_copy`` gives them.
+
+    With ``words``, windows of at least that many whole words are left to ``passages``.
+    """
     read = docs.select("doc_id", "copy", "text")
-    found = stored(contexts(read.where(F.length("text") >= window), window, gram, part))
+    long_enough = read.where(F.length("text") >= window)
+    found = met(contexts(long_enough, window, gram, part, words, counted=True), contexts(long_enough, window, gram, part, words))
+
+    def bytes_of(text: bytes, first: int, last: int) -> bytes:
+        return text[first : last + window]
+
+    return told(read, found, lambda: bytes_of, window, BLOCK, 1, most)
+
+
+def told(read: DataFrame, found: DataFrame, reader: Callable, window: int, block: int, unit: int, most: int) -> DataFrame:
+    """Spans of repeated windows of the contexts ``found``, in units; ``reader()`` gives a function that takes a context out of a text."""
     kinds = stored(
         found.groupBy("gram", "context").agg(
             F.count("*").alias("n"), F.min(F.struct("doc_id", "copy", "first", "last", "place")).alias("one")
         )
     )
-    groups = kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.count("*").alias("n")).where("kinds > 1")
-    groups = stored(groups)
+    groups = stored(kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.count("*").alias("n")).where("kinds > 1"))
     # Contexts that are repeated as a whole.
-    whole = kinds.where("n > 1").select(F.struct("gram", "context").alias("which"), "n")
-    repeated = lookup(found.withColumn("which", F.struct("gram", "context")), stored(whole), "which", how="inner").select(
-        "doc_id", "copy", F.col("first").alias("start"), (F.col("last") + window).alias("end")
+    whole = stored(kinds.where("n > 1").select(F.struct("gram", "context").alias("which"), "n"))
+    repeated = lookup(found.withColumn("which", F.struct("gram", "context")), whole, "which", how="inner").select(
+        "doc_id", "copy", F.col("first").alias("start"), (F.col("last") + window // unit).alias("end")
     )
     # Different contexts of one gram: their bytes are fetched, one text per kind.
     different = lookup(kinds, groups, "gram", how="inner")
@@ -376,11 +427,13 @@ def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = M
     )
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken = reader()
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, copy, text, wants in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows.extend(
-                    (w["gram"], w["kinds"], doc_id, copy, w["first"], w["n"], w["place"] - w["first"], text[w["first"] : w["last"] + window]) for w in wants
+                    (w["gram"], w["kinds"], doc_id, copy, w["first"], w["n"], (w["place"] - w["first"]) * unit, taken(text, w["first"], w["last"]))
+                    for w in wants
                 )
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
             kinds_of = [*[pa.int64()] * 7, pa.binary()]
@@ -389,9 +442,9 @@ def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = M
             )
 
     asked = stored(once.mapInArrow(fetch, "gram long, kinds long, doc_id long, copy long, first long, n long, offset long, bytes binary"))
-    out = repeated.unionByName(grid_spans(asked.where(F.col("kinds") <= most), window))
+    out = repeated.unionByName(grid_spans(asked.where(F.col("kinds") <= most), window, block, unit))
     large = asked.where(F.col("kinds") > most)
-    return out if large.isEmpty() else out.unionByName(hashed_spans(large, window))
+    return out if large.isEmpty() else out.unionByName(hashed_spans(large, window, unit))
 
 
 def word_places(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -402,8 +455,8 @@ def word_places(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-def word_contexts(docs: DataFrame, words: int, gram: int, part: int) -> DataFrame:
-    """As ``contexts``, places counted in words; begin and end are the bytes of the context."""
+def word_contexts(docs: DataFrame, words: int, gram: int, part: int, counted: bool = False) -> DataFrame:
+    """As ``contexts``, places counted in words."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, known = Hashes(1 << 12), WordHashes()
@@ -412,56 +465,59 @@ def word_contexts(docs: DataFrame, words: int, gram: int, part: int) -> DataFram
                 starts, ends = word_places(text)
                 for at in range(0, len(starts) - words + 1, part):
                     to = min(len(starts), at + part + words - 1)
-                    g, c, _, first, last = owners(known.of(text[starts[at] : ends[to - 1]].split()), hashes, words, gram)
-                    first, last = first + at, last + at
+                    g, c, place, first, last = owners(known.of(text[starts[at] : ends[to - 1]].split()), hashes, words, gram)
+                    if counted:
+                        yield tallied([g])
+                        continue
                     k = len(first)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([x] * k, pa.int64()) for x in (doc_id, copy)]
-                        + [pa.array(x.astype(np.int64)) for x in (g, c, first, last, starts[first], ends[last + words - 1])],
-                        ["doc_id", "copy", "gram", "context", "first", "last", "start", "end"],
+                        + [pa.array(x.astype(np.int64)) for x in (g, c, place + at, first + at, last + at)],
+                        ["doc_id", "copy", "gram", "context", "place", "first", "last"],
                     )
 
-    return docs.select("doc_id", "copy", "text").mapInArrow(
-        find, "doc_id long, copy long, gram long, context long, first long, last long, start long, end long"
-    )
+    schema = TALLY if counted else "doc_id long, copy long, gram long, context long, place long, first long, last long"
+    return docs.select("doc_id", "copy", "text").mapInArrow(find, schema)
 
 
-def word_spans(docs: DataFrame, words: int, gram: int = WORD_GRAM, part: int = PART >> 3) -> DataFrame:
-    """Spans (doc_id, copy, start, end) of all passages of ``words`` words that start more than once."""
+def passages(docs: DataFrame, words: int, gram: int = WORD_GRAM, most: int = MOST_WORDS, part: int = PART >> 3) -> DataFrame:
+    """Spans (doc_id, copy, start, end) of all passages of ``words`` words that start more than once, counted in words.
+
+    A suffix array over the words tells them, as it does over blocks of bytes: a word is its 64-bit hash.
+    """
     read = docs.select("doc_id", "copy", "text")
-    found = stored(word_contexts(read.where(F.length("text") >= 2 * words - 1), words, min(gram, words), part))
-    kinds = stored(
-        found.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "copy", "first", "last")).alias("one"))
-    )
-    groups = stored(kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.count("*").alias("n")).where("kinds > 1"))
-    whole = stored(kinds.where("n > 1").select(F.struct("gram", "context").alias("which"), "n"))
-    repeated = lookup(found.withColumn("which", F.struct("gram", "context")), whole, "which", how="inner").select("doc_id", "copy", "start", "end")
-    # Different contexts of one gram: their windows are told one by one, of one text per kind.
-    wanted = lookup(kinds.select("gram", "one.*"), groups, "gram", how="inner")
-    wanted = wanted.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("first", "last")).alias("wants"))  # no more than the text has contexts
-    once = read.join(wanted, (read["doc_id"].eqNullSafe(wanted["doc_id"])) & (read["copy"] == wanted["copy"])).select(
-        read["doc_id"], read["copy"], "text", "wants"
-    )
+    long_enough, gram = read.where(F.length("text") >= 2 * words - 1), min(gram, words)
+    found = met(word_contexts(long_enough, words, gram, part, counted=True), word_contexts(long_enough, words, gram, part))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for batch in batches:
-            for doc_id, copy, text, wants in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                starts, ends = word_places(text)
-                for want in wants:
-                    first, last = want["first"], want["last"]
-                    own = known.of(text[starts[first] : ends[last + words - 1]].split())
-                    k = last - first + 1
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([xxhash.xxh3_128_digest(own[i : i + words].tobytes()) for i in range(k)], pa.binary())]
-                        + [pa.array([x] * k, pa.int64()) for x in (doc_id, copy)]
-                        + [pa.array(x.astype(np.int64)) for x in (starts[first : last + 1], ends[first + words - 1 : last + words])],
-                        ["words", "doc_id", "copy", "start", "end"],
-                    )
+    def reader():
+        known, last = WordHashes(), (None, None)
+
+        def hashes_of(text: bytes, first: int, to: int) -> bytes:
+            nonlocal last
+            if last[0] is not text:
+                last = text, word_places(text)
+            starts, ends = last[1]
+            return known.of(text[starts[first] : ends[to + words - 1]].split()).tobytes()
+
+        return hashes_of
+
+    return told(read, found, reader, words * WORD, WORD, WORD, most)
 
-    each = stored(once.mapInArrow(cut, "words binary, doc_id long, copy long, start long, end long"))
-    several = stored(each.groupBy("words").agg(F.count("*").alias("n")).where("n > 1"))
-    return repeated.unionByName(lookup(each, several, "words", how="inner").select("doc_id", "copy", "start", "end"))
+
+def in_bytes(text: bytes, found: list[dict]) -> list[dict]:
+    """Spans counted in words as spans of bytes, from the first word's start to the last word's end."""
+    starts, ends = word_places(text)
+    return [{"start": int(starts[x["start"]]), "end": int(ends[x["end"] - 1])} for x in found]
+
+
+def covered(found: list[dict]) -> tuple[int, int]:
+    """How many places the spans cover, and in how many runs; spans that touch are one run."""
+    n, n_runs, end = 0, 0, -1
+    for start, stop in sorted((x["start"], x["end"]) for x in found):
+        n_runs += start > end
+        n += max(0, stop - max(start, end))
+        end = max(end, stop)
+    return n, n_runs
 
 
 def cut_text(text: bytes, found: list[dict] | None) -> tuple[bytes, int, int]:
@@ -484,47 +540,53 @@ def cut_text(text: bytes, found: list[dict] | None) -> tuple[bytes, int, int]:
 
 
 def removed(
-    docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = MOST, part: int = PART, as_text: bool = False, words: int | None = None
+    docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = MOST, part: int = PART, as_text: bool = False,
+    words: int | None = None, cut_words: bool = True,
 ) -> DataFrame:
-    """Struct ``row`` with the columns of ``docs`` but text, and n_bytes, n_removed, n_spans, kept.
+    """Struct ``row`` with the columns of ``docs`` but text, and n_bytes, n_removed, n_spans, kept, n_passage_words, n_passage_spans.
 
     ``kept`` is binary, or with ``as_text`` a string, without characters of which only a part is left.
-    With ``words``, passages of that many words that occur twice are removed too, however few bytes they have.
+    With ``words``, passages of that many words that occur twice are found too, however few bytes they have: the last
+    two columns count their words and runs (null without ``words``). With ``cut_words`` they are removed, and of
+    the windows of bytes only those that hold fewer whole words are looked for, as the others hold a passage.
 
     One row per input row. A null text is empty. Rows that repeat another row are two documents, so
     texts of at least WINDOW bytes vanish from both.
     """
     others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
     rows = with_copy(docs.select(others.alias("row"), "doc_id", "text"))
-    spans_of = spans(rows, window, gram, most, part)
+    found = spans(rows, window, gram, most, part, words if cut_words else None).withColumn("unit", F.lit("byte"))
     if words:
-        spans_of = spans_of.unionByName(word_spans(rows, words))
-    found = spans_of.distinct().groupBy("doc_id", "copy").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    joined = rows.join(found, rows["doc_id"].eqNullSafe(found["doc_id"]) & (rows["copy"] == found["copy"]), "left").select("row", "text", "spans")
+        found = found.unionByName(passages(rows, words).withColumn("unit", F.lit("word")))
+    listed = [F.collect_list(F.when(F.col("unit") == u, F.struct("start", "end"))).alias(f"{u}s") for u in ("byte", "word")]
+    found = found.distinct().groupBy("doc_id", "copy").agg(*listed)
+    joined = rows.join(found, rows["doc_id"].eqNullSafe(found["doc_id"]) & (rows["copy"] == found["copy"]), "left").select("row", "text", "bytes", "words")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, spans_of = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            done = [cut_text(t, s) for t, s in zip(texts, spans_of, strict=True)]
+            done = []
+            texts = batch.column(1).to_pylist()
+            for text, byte_spans, word_spans in zip(texts, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                gone = list(byte_spans or [])
+                if word_spans and cut_words:
+                    gone += in_bytes(text, word_spans)
+                done.append((*cut_text(text, gone), *(covered(word_spans or []) if words else (None, None))))
+            counts = [pa.array([d[k] for d in done], pa.int64()) for k in range(1, 5)]
+            kept = pa.array([d[0].decode("utf-8", "ignore") for d in done], pa.string()) if as_text else pa.array([d[0] for d in done], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([len(t) for t in texts], pa.int64()),
-                    pa.array([d[1] for d in done], pa.int64()),
-                    pa.array([d[2] for d in done], pa.int64()),
-                    pa.array([d[0].decode("utf-8", "ignore") for d in done]) if as_text else pa.array([d[0] for d in done], pa.binary()),
-                ],
-                ["row", "n_bytes", "n_removed", "n_spans", "kept"],
+                [batch.column(0), pa.array([len(t) for t in texts], pa.int64()), *counts[:2], kept, *counts[2:]],
+                ["row", "n_bytes", "n_removed", "n_spans", "kept", "n_passage_words", "n_passage_spans"],
             )
 
     kind = joined.schema["row"].dataType.simpleString()
     return joined.mapInArrow(
-        cut, f"row {kind}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}"
+        cut,
+        f"row {kind}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}, n_passage_words long, n_passage_spans long",
     )
 
 
-def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    return removed(docs.select("doc_id", "text")).select(
-        "row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+def digest(docs: DataFrame, words: int = PASSAGE) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and how many words stand in passages of ``words`` words that occur twice, in how many runs."""
+    return removed(docs.select("doc_id", "text"), words=words, cut_words=False).select(
+        "row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passage_words", "n_passage_spans"
     )

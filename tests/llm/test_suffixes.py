@@ -95,5 +95,11 @@ def test_word_windows_against_brute_force(spark, make_docs):
             seen.setdefault(tuple(t[s : s + 12]), []).append((k, s))
     want = {(k, s + j) for places in seen.values() if len(places) > 1 for k, s in places for j in range(12)}
     for part in (1 << 17, 16):
-        spans = suffixes.word_spans(rows, 12, gram=4, part=part).collect()
-        assert {(r.doc_id, w) for r in spans for w in range(r.start // 2, (r.end + 1) // 2)} == want
+        for most in (5000, 1):
+            spans = suffixes.passages(rows, 12, gram=4, most=most, part=part).collect()
+            assert {(r.doc_id, w) for r in spans for w in range(r.start, r.end)} == want
+    # The same passages as the columns of the digest count them.
+    got = {r.row.doc_id: (r.n_passage_words, r.n_passage_spans) for r in suffixes.removed(make_docs([(k, " ".join(t)) for k, t in enumerate(texts)]), words=12, cut_words=False).collect()}
+    for k, t in enumerate(texts):
+        inside = [(k, w) in want for w in range(len(t))]
+        assert got[k][0] == sum(inside) and got[k][1] == sum(x and not (w and inside[w - 1]) for w, x in enumerate(inside))
