@@ -34,9 +34,8 @@ BANDS = 25
 ROWS = 5
 BINS = BANDS * ROWS
 NUMERATOR, DENOMINATOR = 85, 100
-#: Sketches that agree in fewer bins than this are not compared in full: at similarity 0.85 the
-#: expected number is 106 with a deviation of 4, so this lies seven deviations below.
-LEAST_AGREEING = 78
+#: Deviations below the expected number of equal bins from which sketches are not compared in full.
+DEVIATIONS = 7
 GROUP = 500
 WHOLE_GROUP = 20_000
 AT_ONCE = 1_500_000
@@ -44,6 +43,17 @@ EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 GOLDEN = 0x9E3779B97F4A7C15
 
 
+def least_agreeing(percent: int) -> int:
+    """Equal bins that two sketches need to be compared in full: 78 of 125 at a similarity of 85 %, 68 at 80 %."""
+    share = percent / DENOMINATOR
+    return int(BINS * share - DEVIATIONS * (BINS * share * (1 - share)) ** 0.5)
+
+
+def rows_of(percent: int) -> int:
+    """Bins in a band: five at 85 % and more, four below, so that all bands miss a pair at the limit with less than 1e-6."""
+    return ROWS if percent >= NUMERATOR else ROWS - 1
+
+
 def shingles(hashes: np.ndarray, width: int = WIDTH) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles; fewer words than a shingle make one together."""
     n = len(hashes)
@@ -116,29 +126,31 @@ def features(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text).mapInArrow(make, FEATURES)
 
 
-def bands(classes: DataFrame) -> DataFrame:
+def bands(classes: DataFrame, rows: int = ROWS) -> DataFrame:
     """(band, rep): a row for each band of each class; band hashes its number and coordinates."""
+    n = BINS // rows
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = mixed((np.arange(BINS, dtype=np.uint64) + np.uint64(1)) * np.uint64(GOLDEN))
         for batch in batches:
             found = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, BINS).astype(np.uint64)
-            keys = mixed(mixed(found ^ salt).reshape(-1, BANDS, ROWS).sum(axis=2, dtype=np.uint64)).astype(np.int64)
+            keys = mixed(mixed(found ^ salt)[:, : n * rows].reshape(-1, n, rows).sum(axis=2, dtype=np.uint64)).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.reshape(-1)), pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS))], ["band", "rep"]
+                [pa.array(keys.reshape(-1)), pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), n))], ["band", "rep"]
             )
 
     return classes.select("rep", "sketch").mapInArrow(cut, "band long, rep long")
 
 
-def verified(pairs: DataFrame, sketches_of: DataFrame, texts: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sketches_of: DataFrame, texts: DataFrame, percent: int = NUMERATOR) -> DataFrame:
     """Those (a, b) of distinct pairs whose full sets reach the similarity."""
+    least = least_agreeing(percent)
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, BINS)
             y = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint32).reshape(-1, BINS)
-            keep = pa.array((x == y).sum(axis=1) >= LEAST_AGREEING)
+            keep = pa.array((x == y).sum(axis=1) >= least)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +161,7 @@ def verified(pairs: DataFrame, sketches_of: DataFrame, texts: DataFrame) -> Data
                 if one != last:
                     last, centre = one, shingles(words.of(batch.column(2)[i].as_py().lower().split()))
                 other = shingles(words.of(batch.column(3)[i].as_py().lower().split()))
-                if same_set(centre, other):
+                if same_set(centre, other, percent):
                     a.append(one)
                     b.append(two)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -162,15 +174,15 @@ def verified(pairs: DataFrame, sketches_of: DataFrame, texts: DataFrame) -> Data
     return near.join(tb, "b").join(ta, "a").select("a", "b", "s", "t").mapInArrow(compare, "a long, b long")
 
 
-def same_set(one: np.ndarray, two: np.ndarray) -> bool:
+def same_set(one: np.ndarray, two: np.ndarray, percent: int = NUMERATOR) -> bool:
     """Whether two sorted sets reach the similarity."""
     small, large = sorted((one, two), key=len)
-    if DENOMINATOR * len(small) < NUMERATOR * len(large):
+    if DENOMINATOR * len(small) < percent * len(large):
         return False
     at = np.searchsorted(large, small)
     at[at == len(large)] = 0
     shared = int((large[at] == small).sum())
-    return DENOMINATOR * shared >= NUMERATOR * (len(small) + len(large) - shared)
+    return DENOMINATOR * shared >= percent * (len(small) + len(large) - shared)
 
 
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -192,7 +204,9 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int
     return out.astype(np.int64)
 
 
-def joined(members: list[tuple[int, int, np.ndarray, bytes]], across: int, words: WordHashes) -> list[tuple[int, int]]:
+def joined(
+    members: list[tuple[int, int, np.ndarray, bytes]], across: int, words: WordHashes, percent: int = NUMERATOR
+) -> list[tuple[int, int]]:
     """Links that join members (id, component, sketch, text) which are still apart.
 
     Compares all pairs, or those of the first ``across`` members with the others if that is not zero.
@@ -202,9 +216,9 @@ def joined(members: list[tuple[int, int, np.ndarray, bytes]], across: int, words
     kind = np.array([m[1] for m in members])
     left = np.arange(across or len(members))
     right = np.arange(across, len(members))
-    close = np.zeros((len(left), len(right)), bool)
+    close, least = np.zeros((len(left), len(right)), bool), least_agreeing(percent)
     for i in left:
-        close[i] = ((drawn[right] == drawn[i]).sum(axis=1) >= LEAST_AGREEING) & (kind[right] != kind[i])
+        close[i] = ((drawn[right] == drawn[i]).sum(axis=1) >= least) & (kind[right] != kind[i])
         if not across:
             close[i, : i + 1] = False
     rows, columns = np.flatnonzero(close.any(axis=1)), np.flatnonzero(close.any(axis=0))
@@ -216,7 +230,7 @@ def joined(members: list[tuple[int, int, np.ndarray, bytes]], across: int, words
     one, two = [made[k] for k in left[rows].tolist()], [made[k] for k in right[columns].tolist()]
     shared = shared_counts(one, two)
     either = np.array([len(x) for x in one])[:, None] + np.array([len(x) for x in two])[None, :] - shared
-    linked = close[np.ix_(rows, columns)] & (DENOMINATOR * shared >= NUMERATOR * either)
+    linked = close[np.ix_(rows, columns)] & (DENOMINATOR * shared >= percent * either)
     root = {c: c for c in kind.tolist()}
 
     def find(c: int) -> int:
@@ -234,7 +248,7 @@ def joined(members: list[tuple[int, int, np.ndarray, bytes]], across: int, words
     return out
 
 
-def remaining_links(members: DataFrame, block: int = GROUP) -> DataFrame:
+def remaining_links(members: DataFrame, percent: int, block: int = GROUP) -> DataFrame:
     """Links (a, b) between different components of a group, for ``members(group, n, rep, component, sketch, text)``.
 
     Groups are cut into blocks, and each pair of blocks is one task's work; only links leave it.
@@ -251,7 +265,7 @@ def remaining_links(members: DataFrame, block: int = GROUP) -> DataFrame:
 
         def out():
             split = sum(w[0] == last[1] for w in waiting) if last[1] != last[2] else 0
-            found = joined([w[1:] for w in waiting], split, words) if len(waiting) > 1 and split < len(waiting) else []
+            found = joined([w[1:] for w in waiting], split, words, percent) if len(waiting) > 1 and split < len(waiting) else []
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
@@ -268,9 +282,9 @@ def remaining_links(members: DataFrame, block: int = GROUP) -> DataFrame:
     return dealt.repartition("group", "low", "high").sortWithinPartitions(*order).mapInArrow(solve, "a long, b long")
 
 
-def links(classes: DataFrame, texts: DataFrame, ties: DataFrame) -> DataFrame:
+def links(classes: DataFrame, texts: DataFrame, ties: DataFrame, percent: int = NUMERATOR) -> DataFrame:
     """(node, component) of the classes that have any link or tie; others are missing."""
-    members = bands(classes)
+    members = bands(classes, rows_of(percent))
     sizes = stored(members.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("first")).where("n > 1"))
     buckets = stored(lookup(members, sizes, "band", how="inner"))
     # Every member against the least of its bucket: this settles nearly all.
@@ -280,7 +294,7 @@ def links(classes: DataFrame, texts: DataFrame, ties: DataFrame) -> DataFrame:
     wanted = groups.select(F.col("node").alias("rep"), F.col("component").alias("group"))
     chosen = stored(texts.join(wanted, "rep"))
     sketches_of = stored(classes.select("rep", "sketch").join(wanted.select("rep"), "rep", "left_semi"))
-    edges = stored(verified(pairs, sketches_of, chosen).unionByName(ties))
+    edges = stored(verified(pairs, sketches_of, chosen, percent).unionByName(ties))
     roots = stored(components(edges))
     # Groups of buckets that share members and are still in several components.
     placed = chosen.join(roots, chosen["rep"] == roots["node"], "left").select("group", "rep", "text", F.coalesce("component", "rep").alias("component"))
@@ -291,20 +305,20 @@ def links(classes: DataFrame, texts: DataFrame, ties: DataFrame) -> DataFrame:
         return roots
     placed = lookup(placed, apart.select("group", "n", F.col("n").alias("members")), "group", how="inner")
     whole = placed.where(F.col("members") <= WHOLE_GROUP).join(sketches_of, "rep").withColumnRenamed("members", "n")
-    more = remaining_links(whole)
+    more = remaining_links(whole, percent)
     if not apart.where(F.col("n") > WHOLE_GROUP).isEmpty():
         # Long chains of buckets: bucket by bucket.
         parts = placed.where(F.col("members") > WHOLE_GROUP).select("rep", "component", "text").join(buckets.select("rep", "band"), "rep")
         parts = lookup(parts, sizes.select("band", "n", F.col("n").alias("members")), "band", how="inner")
         parts = parts.select(F.col("band").alias("group"), F.col("members").alias("n"), "rep", "component", "text").join(sketches_of, "rep")
-        more = more.unionByName(remaining_links(parts))
+        more = more.unionByName(remaining_links(parts, percent))
     return stored(components(edges.unionByName(more)))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = NUMERATOR) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs(doc_id, text)``.
 
-    Two documents are linked when 100 * shared >= 85 * all shingles. Null and empty texts have no
+    Two documents are linked when 100 * shared >= ``percent`` * all shingles. Null and empty texts have no
     shingles and no links. Rows that repeat an id are one document, whose links are joined. A null id
     has no component and is kept. Texts whose sets are equal are linked whatever their wording.
     """
@@ -315,7 +329,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # An id with several sets belongs to several classes, which it ties together.
     several = named.groupBy("doc_id").agg(F.min("same").alias("low"), F.max("same").alias("high")).where("low <> high").select("doc_id")
     ties = named.join(several, "doc_id").join(classes, "same").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
-    found = links(classes, texts, stored(ties))
+    found = links(classes, texts, stored(ties), percent)
     of_class = stored(classes.select("same", "n", "rep").join(found, F.col("rep") == F.col("node"), "left").select("same", "n", F.coalesce("component", "rep").alias("component")))
     joined = lookup(read.select("doc_id", "n_shingles", "same"), of_class, "same")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

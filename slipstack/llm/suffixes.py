@@ -190,19 +190,10 @@ def owners(data: np.ndarray, hashes: Hashes, window: int = WINDOW, gram: int = G
     return grams[place], context, place, first, last
 
 
-def sparse(text: bytes, window: int, words: int) -> np.ndarray:
-    """For each window of a text whether it holds fewer whole words than ``words``."""
-    starts, ends = word_places(text)
-    at = np.arange(len(text) - window + 1)
-    return np.searchsorted(ends, at + window, "right") - np.searchsorted(starts, at) < words
-
-
-def contexts(
-    docs: DataFrame, window: int = WINDOW, gram: int = GRAM, part: int = PART, words: int | None = None, counted: bool = False
-) -> DataFrame:
+def contexts(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, part: int = PART, counted: bool = False) -> DataFrame:
     """doc_id, copy, gram, context, place, first, last for all contexts of ``docs(doc_id, copy, text)``.
 
-    With ``words`` only those that have a window of fewer whole words. ``counted``: only gram and n, how often it is chosen.
+    ``counted``: only gram and n, how often it is chosen.
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,12 +204,7 @@ def contexts(
             for i, text in enumerate(batch.column(2)):
                 data = np.frombuffer(text.as_buffer(), np.uint8)
                 for start in range(0, len(data) - window + 1, part):
-                    cut = data[start : start + part + window - 1]
-                    g, c, place, first, last = owners(cut, hashes, window, gram)
-                    if words is not None:
-                        few = np.r_[0, np.cumsum(sparse(cut.tobytes(), window, words))]
-                        keep = few[last + 1] > few[first]
-                        g, c, place, first, last = (x[keep] for x in (g, c, place, first, last))
+                    g, c, place, first, last = owners(data[start : start + part + window - 1], hashes, window, gram)
                     rows.append((ids[i], copies[i], g, c, place + start, first + start, last + start))
             if not rows:
                 continue
@@ -386,14 +372,11 @@ def with_copy(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text", text).withColumn("copy", F.xxhash64("text"))
 
 
-def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = MOST, part: int = PART, words: int | None = None) -> DataFrame:
-    """All spans (doc_id, copy, start, end) of bytes to remove from ``docs`` as ``with_copy`` gives them.
-
-    With ``words``, windows of at least that many whole words are left to ``passages``.
-    """
+def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = MOST, part: int = PART) -> DataFrame:
+    """All spans (doc_id, copy, start, end) of bytes to remove from ``docs`` as ``with_copy`` gives them."""
     read = docs.select("doc_id", "copy", "text")
     long_enough = read.where(F.length("text") >= window)
-    found = met(contexts(long_enough, window, gram, part, words, counted=True), contexts(long_enough, window, gram, part, words))
+    found = met(contexts(long_enough, window, gram, part, counted=True), contexts(long_enough, window, gram, part))
 
     def bytes_of(text: bytes, first: int, last: int) -> bytes:
         return text[first : last + window]
@@ -547,15 +530,14 @@ def removed(
 
     ``kept`` is binary, or with ``as_text`` a string, without characters of which only a part is left.
     With ``words``, passages of that many words that occur twice are found too, however few bytes they have: the last
-    two columns count their words and runs (null without ``words``). With ``cut_words`` they are removed, and of
-    the windows of bytes only those that hold fewer whole words are looked for, as the others hold a passage.
+    two columns count their words and runs (null without ``words``). With ``cut_words`` they are removed too.
 
     One row per input row. A null text is empty. Rows that repeat another row are two documents, so
     texts of at least WINDOW bytes vanish from both.
     """
     others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
     rows = with_copy(docs.select(others.alias("row"), "doc_id", "text"))
-    found = spans(rows, window, gram, most, part, words if cut_words else None).withColumn("unit", F.lit("byte"))
+    found = spans(rows, window, gram, most, part).withColumn("unit", F.lit("byte"))
     if words:
         found = found.unionByName(passages(rows, words).withColumn("unit", F.lit("word")))
     listed = [F.collect_list(F.when(F.col("unit") == u, F.struct("start", "end"))).alias(f"{u}s") for u in ("byte", "word")]

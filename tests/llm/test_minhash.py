@@ -110,3 +110,14 @@ def test_components_of_paths_stars_and_cycles(spark):
     random.Random(1).shuffle(edges)
     found = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert found == {**{i: 1 for i in range(2, 61)}, **{100 + k: 100 for k in range(1, 30)}, 201: 200, 202: 200, 300: 299}
+
+
+def test_a_lower_similarity_links_more(spark, make_docs):
+    base = prose(21, 104)  # a hundred shingles
+    words = base.split()
+    changed = lambda *at: " ".join("x" if k in at else w for k, w in enumerate(words))
+    rows = [(1, base), (2, changed(20, 60)), (3, prose(22, 104)), (4, prose(22, 104) + " tail"), (5, changed(10, 30, 50))]
+    got = {p: {r.doc_id: r.component_id for r in minhash.near_duplicates(make_docs(rows), p).collect()} for p in (85, 80)}
+    assert len(sets_of(rows[0][1]) & sets_of(rows[1][1])) == 90  # 90 of 110, thus 0.818
+    assert got[85] == {1: 1, 2: 2, 3: 3, 4: 3, 5: 5} and got[80] == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+    assert minhash.least_agreeing(85) == 78 and minhash.rows_of(85) == 5 and minhash.rows_of(80) == 4

@@ -114,3 +114,14 @@ def test_passages_of_over_fifty_short_words_are_cut(spark, make_docs, tmp_path):
         0: ["q0a", "q0b", "r0a", "r0b"], 1: ["q1a", "q1b", "r1a", "r1b"], 4: ["u", "v", "w", *brief.split()], None: ["y", *brief.split(), "z"],
     }
     assert [got[i] for i in (2, 3, 5)] == [dict(rows)[i] for i in (2, 3, 5)]
+
+
+def test_near_duplicates_at_eight_tenths_and_texts_of_one_id(spark, make_docs, tmp_path):
+    base, other = prose(21, 104), prose(31, 80)
+    words = base.split()
+    words[20] = words[60] = "x"  # similarity 0.818
+    rows = [(1, base), (2, " ".join(words)), (3, other), (3, prose(32, 80)), (3, None), (7, other + " tail"), (8, prose(33, 60)), (8, prose(33, 60))]
+    steps = dict(corpus_pipeline.STAGES)
+    got = steps["near_duplicates"](spark, make_docs(rows).repartition(3), str(tmp_path)).collect()
+    texts = sorted((r.doc_id, r.text or "") for r in got)
+    assert texts == sorted([(1, base), (3, other), (3, prose(32, 80)), (3, ""), (8, prose(33, 60))])
