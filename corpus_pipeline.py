@@ -16,6 +16,8 @@ from slipstack.session import clear_scratch, noted_scratch
 
 #: Fixed value: a repeated passage of over 50 words is cut out, of usual or short words alike.
 PASSAGE_WORDS = 51
+#: Fixed value: near duplicates share this part of their shingles of five words, in percent.
+SIMILAR_PERCENT = 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,10 +27,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays; rows without id stay as they are."""
-    kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id")
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """Of each group of near duplicates the document with the smallest id stays; rows without id stay as they are.
+
+    Different texts of one id are documents of their own and go by a number drawn from id and text; of equal rows one stays.
+    """
+    named, text = docs.where("doc_id is not null"), F.coalesce("text", F.lit(""))
+    told = named.select("doc_id", F.xxhash64(text).alias("h")).groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high"))
+    several = stored(told.where("low <> high").select("doc_id", F.lit(True).alias("_several")))
+    keyed = named.withColumn("_key", F.col("doc_id"))
+    if not several.isEmpty():
+        own = F.xxhash64("doc_id", text).bitwiseOR(F.lit(-(1 << 63)))  # negative
+        keyed = named.join(several, "doc_id", "left").withColumn("_key", F.when(F.col("_several"), own).otherwise(F.col("doc_id")))
+    found = minhash.near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), SIMILAR_PERCENT)
+    kept = found.where("kept").select(F.col("doc_id").alias("_key")).distinct()
+    single = keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"])
+    return single.select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
