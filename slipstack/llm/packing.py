@@ -20,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slipstack.llm.common import stored
+from slipstack.llm.common import lookup, stored
 
 LENGTHS = (512, 1024, 2048, 4096)
 OVERHEAD = 16
 GROUP = 50_000
+#: Rows of one id and piece that are more than this part of a group are dealt one by one.
+MANY = 10
 PACKED = "doc_id long, piece int, start long, n_tokens int, bin_id long, bin_offset int, bin_tokens int, capacity int"
 
 
@@ -93,7 +95,14 @@ def pack(lengths_of: DataFrame, lengths: tuple[int, ...] = LENGTHS, overhead: fl
     lengths = tuple(sorted(set(lengths)))
     cut = stored(pieces(lengths_of.select("doc_id", "n_tokens"), lengths[-1]))  # counted, then dealt
     n = max(1, -(-cut.count() // group))
-    dealt = cut.withColumn("lot", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n)))
+    key = F.xxhash64("doc_id", "piece")
+    # Many rows of one id and piece, or of none, would make one lot: they are dealt by their place in the stored table.
+    many = stored(cut.groupBy(key.alias("key")).agg(F.count("*").alias("n")).where(F.col("n") > max(1, group // MANY)).withColumn("common", F.lit(True)))
+    lot = key
+    if not many.isEmpty():
+        cut = lookup(cut.withColumns({"key": key, "place": F.monotonically_increasing_id()}), many, "key")
+        lot = F.when(F.col("common"), F.xxhash64("key", "place")).otherwise(F.col("key"))
+    dealt = cut.withColumn("lot", F.pmod(lot, F.lit(n))).select("doc_id", "piece", "start", "n_tokens", "lot")
 
     def fill(table: pa.Table) -> pa.Table:
         table = table.sort_by([("n_tokens", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])

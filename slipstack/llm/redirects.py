@@ -1,8 +1,9 @@
 """Url decisions by rules, carried over to aliases.
 
 Every page is judged by the longest rule that fits its url. Pages without a rule take the decision of
-the pages they are equivalent to: addresses of the same resource, and addresses tied by a redirect or
-a canonical link, in any number of steps. An allow among them takes precedence over a block.
+the addresses they are equivalent to: spellings of the same one, and addresses tied by a redirect or
+a canonical link, in any number of steps, whether there is a page for them or not. An allow among them takes
+precedence over a block.
 
 Scale: rules are a short list, tested inside the row. Only addresses with a link enter the connected
 components; decisions are aggregated per class before they move, and large classes are salted when
@@ -50,22 +51,46 @@ def address(url: Column) -> Column:
     return F.when(rest(url).isNotNull(), whole)
 
 
+def tidy(whole: Column) -> Column:
+    """A path without its ``.`` and ``..`` steps."""
+    def step(done: Column, part: Column) -> Column:
+        shorter = F.slice(done, 1, F.greatest(F.lit(1), F.size(done) - 1))  # the root stays
+        return F.when(part == ".", done).when(part == "..", shorter).otherwise(F.concat(done, F.array(part)))
+
+    parts = F.split(whole, "/")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    # A last step that names a folder leaves its slash.
+    return F.concat(F.array_join(kept, "/"), F.when(F.element_at(parts, -1).isin(".", ".."), F.lit("/")).otherwise(F.lit("")))
+
+
 def resolved(link: Column, base: Column) -> Column:
-    """A link of a page as a whole url; other forms than those with a scheme, host or root path are ignored."""
+    """A link of a page as a whole url: with a scheme, a host, a root path, a path beside the page or a query of its own.
+
+    Links that only name a place in the page, and those of schemes without a host (``mailto:``), give null.
+    """
+    scheme = r"(?i)^[a-z][a-z0-9+.-]*:"
+    here, folder = path(base), F.regexp_replace(path(base), "[^/]*$", "")
+    step, tail = F.regexp_extract(link, r"(?s)^[^?#]*", 0), F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1)
+    inside = (
+        F.when(step.startswith("/"), tidy(step))
+        .when(step != "", tidy(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), step)))
+        .otherwise(here)
+    )
     return (
-        F.when(link.contains("://"), link)
+        F.when(link.startswith("#") | (link == ""), F.lit(None).cast("string"))
+        .when(link.rlike(scheme + "//"), link)
+        .when(link.rlike(scheme), F.lit(None).cast("string"))
         .when(link.startswith("//"), F.concat(F.lit("http:"), link))
-        .when(link.startswith("/"), F.concat(F.lit("http://"), host(base), link))
+        .when(rest(base).isNotNull(), F.concat(F.lit("http://"), host(base), inside, tail))
     )
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """(source, target) urls of canonical links and refresh redirects in the pages."""
-    found = F.array(*[F.regexp_extract(F.coalesce(F.col("html"), F.lit("")), x, 1) for x in (CANONICAL, REFRESH)])
+    """(source, target) urls of all canonical links and refresh redirects in the pages."""
+    found = [F.regexp_extract_all(F.coalesce(F.col("html"), F.lit("")), F.lit(x), F.lit(1)) for x in (CANONICAL, REFRESH)]
     return (
         pages.where(F.col("html").rlike("(?i)canonical|http-equiv"))
-        .select(F.col("url").alias("source"), F.explode(found).alias("link"))
-        .where("link <> ''")
+        .select(F.col("url").alias("source"), F.explode(F.array_distinct(F.concat(*found))).alias("link"))
         .select("source", resolved(F.col("link"), F.col("source")).alias("target"))
         .where("target is not null")
     )
@@ -92,19 +117,25 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) ->
     links = page_links(pages)
     if redirects is not None:
         links = links.unionByName(redirects.select("source", "target"))
-    edges = links.select(address(F.col("source")).alias("a"), address(F.col("target")).alias("b")).where("a is not null and b is not null")
-    roots = stored(components(edges).withColumn("n", F.lit(1)))
-    judged = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), address(F.col("url")).alias("node"))
-    judged = judged.withColumn("fit", fitting(rules)).select("page_id", "host", "path", "node", "fit.rule", "fit.verdict")
-    if not roots.isEmpty():
-        judged = judged.join(roots.select("node", "component"), "node", "left")
-    else:
-        judged = judged.withColumn("component", F.lit(None).cast("string"))
-    judged = judged.withColumn("alias_of", F.coalesce("component", "node")).drop("node", "component")
+    pairs = links.select("source", "target", address(F.col("source")).alias("a"), address(F.col("target")).alias("b"))
+    pairs = stored(pairs.where("a is not null and b is not null"))
+    roots = stored(components(pairs.select("a", "b")).withColumn("n", F.lit(1)))
+
+    def told(urls: DataFrame) -> DataFrame:
+        """Rows with a url: host, path, rule, verdict and the name of their class."""
+        parts = urls.withColumns({"host": host(F.col("url")), "path": path(F.col("url")), "node": address(F.col("url"))})
+        fitted = parts.withColumn("fit", fitting(rules)).withColumns({"rule": F.col("fit.rule"), "verdict": F.col("fit.verdict")})
+        known = fitted.join(roots.select("node", "component"), "node", "left")
+        return known.withColumn("alias_of", F.coalesce("component", "node")).drop("url", "fit", "node", "component")
+
+    judged = told(pages.select("page_id", "url"))
+    # Addresses that are only linked to have a rule of their own too.
+    ends = told(pairs.select(F.explode(F.array("source", "target")).alias("url")).distinct())
+    votes = judged.select("alias_of", "verdict", F.lit(1).alias("page")).unionByName(ends.select("alias_of", "verdict", F.lit(0).alias("page")))
     decisions = stored(
-        judged.where("alias_of is not null")
+        votes.where("alias_of is not null")
         .groupBy("alias_of")
-        .agg(F.count("*").alias("n"), F.max(F.col("verdict") == "allow").alias("allowed"), F.max(F.col("verdict") == "block").alias("blocked"))
+        .agg(F.sum("page").alias("n"), F.max(F.col("verdict") == "allow").alias("allowed"), F.max(F.col("verdict") == "block").alias("blocked"))
         .where("blocked and not coalesce(allowed, false)")
         .select("alias_of", "n", F.lit("block").alias("inherited"))
     )

@@ -78,3 +78,39 @@ def test_empty_and_unusable_lengths(spark):
     df = spark.createDataFrame([(1, None), (2, 0), (3, -4), (4, 5)], "doc_id long, n_tokens long")
     assert [r.doc_id for r in packing.pack(df).collect()] == [4]
     assert packing.pack(df.limit(0)).collect() == []
+
+
+def test_lots_of_null_and_equal_ids_are_bounded(spark):
+    rows = [(None, 3 + k % 40) for k in range(3000)] + [(7, 30)] * 2000 + [(k, 20) for k in range(100, 1100)]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, n_tokens long"), (64, 128), group=500).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in out) == sorted((i or 0, n) for i, n in rows)
+    lots = {}
+    for r in out:
+        lots[r.bin_id >> 32] = lots.get(r.bin_id >> 32, 0) + 1
+    assert len(lots) == 12 and max(lots.values()) < 700
+
+
+def test_cost_against_the_best_packing_of_few_pieces():
+    draw = random.Random(3)
+
+    def best(sizes, lengths):
+        """Least summed capacity by trying every way to fill bins."""
+        if not sizes:
+            return 0
+        first, rest = sizes[0], sizes[1:]
+        costs = []
+        for mask in range(1 << len(rest)):
+            inside = [first] + [x for k, x in enumerate(rest) if mask >> k & 1]
+            fits = [c for c in lengths if c >= sum(inside)]
+            if fits:
+                costs.append(min(fits) + best([x for k, x in enumerate(rest) if not mask >> k & 1], lengths))
+        return min(costs)
+
+    total, least = 0, 0
+    for _ in range(60):
+        sizes = sorted((draw.randint(1, 20) for _ in range(draw.randint(1, 6))), reverse=True)
+        capacity = packing.best_fit(sizes, (5, 10, 20), 0)[1]
+        cost, bound = sum(capacity), best(sizes, (5, 10, 20))
+        assert bound <= cost <= 2 * bound
+        total, least = total + cost, least + bound
+    assert total <= 1.15 * least
