@@ -3,15 +3,15 @@
 A text is an exchangeable sequence of words and one end. Word probabilities come from the training
 counts by absolute discounting; the mass taken off goes to a distribution over all byte strings: the
 lattice of every segmentation of the word into pieces of an existing vocabulary, weighted by the
-scores of that vocabulary and summed by a forward recursion in log space. One pass over the distinct
-training words turns the scores into expected use (forward-backward), so that pieces the corpus
-writes with count for more; pieces are neither added nor learned. Within a text the words
+scores of that vocabulary and summed by a forward recursion in log space. Probabilities stay logarithms
+to the end, so words of any length are told apart. Within a text the words
 already seen gain weight (Dirichlet-multinomial with ``memory`` pseudo-tokens), so the probability of
 a text depends only on how often each word occurs in it.
 
 Scale: words that make up at least ``head`` of all tokens, thus 1/head at most, are known to every
 task; the rest meet their probability in one shuffle join on the word. None of them can be frequent,
-so no key of that join is hot. Nothing else than the head leaves the executors.
+so no key of that join is hot. Nothing else than the head leaves the executors. The driver reads the
+vocabulary and sends its weights to the tasks, which need no file of their own.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slipstack.llm.common import remainder, stored
@@ -30,40 +30,35 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 HEAD = 1e-6
 MEMORY = 1000.0
 STOP = 0.25
-RANK_SHIFT = 50.0
+RANK_SHIFT = 2.7
 BYTE_SHARE = 0.05
-PRIOR = 0.01
 FLUSH = 200_000
 END = b" end"  # no word holds a space
 
 
+def scores_of(path: str = VOCABULARY) -> dict[bytes, float]:
+    """The pieces of a vocabulary file and their weights.
+
+    The file scores a piece by its negated rank: merges first, then the alphabet, both from the most
+    frequent on. Rank r of either list weighs 1 / (r + RANK_SHIFT), the fall of frequencies over ranks
+    that Zipf and Mandelbrot found.
+    """
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    ids = [i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
+    ranked = {i: (len(model.id_to_piece(i)) == 1, model.get_score(i)) for i in ids}
+    first = {letter: max(s for x, s in ranked.values() if x == letter) for letter in {x for x, _ in ranked.values()}}
+    return {model.id_to_piece(i).encode(): 1.0 / (RANK_SHIFT + first[letter] - score) for i, (letter, score) in ranked.items()}
+
+
 class Lattice:
-    """All segmentations of a word into scored pieces, over bytes; single bytes always fit.
+    """All segmentations of a word into weighted pieces, over bytes; single bytes always fit.
 
-    The file scores a piece by its negated rank. Rank r gets a weight in proportion to
-    1 / (r + RANK_SHIFT), the usual fall of frequencies over ranks; together with the share of the
-    single bytes and of the stop after each piece the weights sum to one.
+    Together with the share of the single bytes and of the stop after each piece the weights sum to one.
     """
 
-    def __init__(self, path: str = VOCABULARY):
-        import sentencepiece
-
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        weights: dict[bytes, float] = {}
-        for piece in range(model.get_piece_size()):
-            if model.is_byte(piece) or model.is_control(piece) or model.is_unknown(piece) or model.is_unused(piece):
-                continue
-            weights[model.id_to_piece(piece).encode()] = 1.0 / (RANK_SHIFT - min(0.0, model.get_score(piece)))
-        self._weigh(weights)
-
-    @classmethod
-    def of(cls, weights: dict[bytes, float]) -> Lattice:
-        """A lattice over given pieces and weights."""
-        self = cls.__new__(cls)
-        self._weigh(weights)
-        return self
-
-    def _weigh(self, weights: dict[bytes, float]) -> None:
+    def __init__(self, weights: dict[bytes, float]):
         total = sum(weights.values()) or 1.0
         self.pieces = {k: math.log((1 - STOP) * (1 - BYTE_SHARE) * v / total) for k, v in weights.items()}
         self.single = math.log((1 - STOP) * BYTE_SHARE / 256)
@@ -72,7 +67,6 @@ class Lattice:
             by_first.setdefault(piece[0], set()).add(len(piece))
         self.lengths = [sorted(by_first.get(b, ())) for b in range(256)]
         self.nothing = math.log(1 - STOP)
-        self.chances = {k: math.exp(v) for k, v in self.pieces.items()}
 
     def log_prob(self, word: bytes) -> float:
         """Natural log of the probability of the word, over all segmentations of "▁" + word."""
@@ -109,53 +103,36 @@ class Lattice:
         return forward[n] + math.log(STOP) - self.nothing
 
 
-    def expected(self, word: bytes, into: dict[bytes, float]) -> None:
-        """Add how often each piece is expected in the word, over all segmentations."""
-        text = b"\xe2\x96\x81" + word
-        n = len(text)
-        forward, backward = [0.0] * (n + 1), [0.0] * (n + 1)
-        forward[0] = backward[n] = 1.0
-        single, get, arcs = math.exp(self.single), self.chances.get, []
-        for i in range(n):
-            here = forward[i]
-            if here < 1e-250:
-                if not here:
-                    continue
-                return  # beyond the range of a double: such long words say nothing about pieces
-            forward[i + 1] += here * single
-            arcs.append((i, i + 1, single, None))
-            for m in self.lengths[text[i]]:
-                j = i + m
-                if j > n:
-                    break
-                piece = text[i:j]
-                chance = get(piece)
-                if chance is not None:
-                    forward[j] += here * chance
-                    arcs.append((i, j, chance, piece))
-        for i, j, chance, piece in reversed(arcs):
-            after = chance * backward[j]
-            backward[i] += after
-            if piece is not None:
-                into[piece] = into.get(piece, 0.0) + forward[i] * after / forward[n]
-
-    def reweighted(self, uses: dict[bytes, float]) -> Lattice:
-        """The same pieces by their expected use, with a small share of their scores kept."""
-        total = sum(uses.values())
-        if not total:
-            return self
-        scores = {k: math.exp(v) for k, v in self.pieces.items()}
-        mass = sum(scores.values())
-        return Lattice.of({k: (1 - PRIOR) * uses.get(k, 0.0) / total + PRIOR * v / mass for k, v in scores.items()})
-
-
-def rising(base: float, times: int) -> float:
-    """log10 of base * (base + 1) * ... with so many factors."""
+def grown(log_weight: Column, times: Column) -> Column:
+    """log10 of w * (w + 1) * ... with ``times`` factors, for w = 10 ** log_weight, however small w is.
+
+    The first factor is the logarithm itself, the next ones are added up; from the sixteenth on the
+    difference of two logarithms of the gamma function stands for them (Stirling's series, exact to 1e-11).
+    """
+    weight = F.pow(F.lit(10.0), log_weight)
+    some = F.aggregate(F.sequence(F.lit(1), F.least(times, F.lit(16)).cast("int") - 1), F.lit(0.0), lambda s, j: s + F.log10(weight + j))
+
+    def gamma(x: Column) -> Column:
+        return (x - 0.5) * F.log(x) - x + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
+
+    more = (gamma(weight + times) - gamma(weight + 16)) / math.log(10)
+    return log_weight + F.when(times > 1, some).otherwise(0.0) + F.when(times > 16, more).otherwise(0.0)
+
+
+def rising(log_weight: float, times: int) -> float:
+    """``grown`` as a plain function."""
     if times == 1:
-        return math.log10(base)
+        return log_weight
+    weight = 10.0**log_weight
     if times < 20:
-        return sum(math.log10(base + j) for j in range(times))
-    return (math.lgamma(base + times) - math.lgamma(base)) / math.log(10)
+        return log_weight + sum(math.log10(weight + j) for j in range(1, times))
+    return log_weight + (math.lgamma(weight + times) - math.lgamma(weight + 1)) / math.log(10)
+
+
+def log_sum(a: float, b: float) -> float:
+    """log(exp(a) + exp(b))."""
+    low, high = min(a, b), max(a, b)
+    return high if low == -math.inf else high + math.log1p(math.exp(low - high))
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -213,36 +190,25 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, memory: float = MEMORY,
     n, v = facts["n"], facts["v"]
     discount = facts["n1"] / (facts["n1"] + 2 * facts["n2"]) if facts["n1"] and facts["n2"] else 0.5
     spare = discount * v / n if n else 1.0
-    end_share = 1.0 / (v + 1)
+    end_share = 1.0 / (v + 1) if v else 0.5
 
-    def use(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Expected uses of pieces: at most one row for each piece and task."""
-        lattice, uses = Lattice(vocabulary), {}
-        for batch in batches:
-            for word in batch.column(0).to_pylist():
-                lattice.expected(word, uses)
-        yield pa.RecordBatch.from_arrays([pa.array(list(uses), pa.binary()), pa.array(list(uses.values()), pa.float64())], ["piece", "uses"])
-
-    trained = vocab.where((F.col("c") > 0) & (F.col("word") != END)).select("word")
-    used = trained.mapInArrow(use, "piece binary, uses double").groupBy("piece").agg(F.sum("uses").alias("uses"))
-    pieces = {bytes(r["piece"]): r["uses"] for r in used.collect()}  # no more rows than the vocabulary has pieces
-    sent = docs.sparkSession.sparkContext.broadcast(Lattice(vocabulary).reweighted(pieces))
+    sent = docs.sparkSession.sparkContext.broadcast(scores_of(vocabulary))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """weight: memory times the probability of the word."""
-        lattice = sent.value
+        """log_weight: log10 of memory times the probability of the word."""
+        lattice = Lattice(sent.value)
         for batch in batches:
             keys, counts = batch.column(0), batch.column(1).to_pylist()
             out = []
             for word, c in zip(keys.to_pylist(), counts, strict=True):
-                q = end_share if word == END else (1 - end_share) * math.exp(lattice.log_prob(word))
-                p = (max(c - discount, 0.0) / n if n else 0.0) + spare * q
-                out.append(memory * max(p, 1e-300))
-            yield pa.RecordBatch.from_arrays([keys, batch.column(1), pa.array(out, pa.float64())], ["word", "c", "weight"])
+                spelled = math.log(spare) + (math.log(end_share) if word == END else math.log1p(-end_share) + lattice.log_prob(word))
+                seen = math.log((c - discount) / n) if c else -math.inf
+                out.append((math.log(memory) + log_sum(seen, spelled)) / math.log(10))
+            yield pa.RecordBatch.from_arrays([keys, batch.column(1), pa.array(out, pa.float64())], ["word", "c", "log_weight"])
 
-    weighed = "word binary, c long, weight double"
+    weighed = "word binary, c long, log_weight double"
     least = max(1.0, head * n)  # at most 1 / head words
-    top = {r["word"]: (r["c"], r["weight"]) for r in vocab.where(F.col("c") >= least).mapInArrow(weigh, weighed).toLocalIterator()}
+    top = {r["word"]: (r["c"], r["log_weight"]) for r in vocab.where(F.col("c") >= least).mapInArrow(weigh, weighed).toLocalIterator()}
     top = {bytes(k): x for k, x in top.items()}
     known_words = docs.sparkSession.sparkContext.broadcast(top)
     total = n + v + 1
@@ -266,7 +232,7 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, memory: float = MEMORY,
                 counts = Counter(text.lower().split())
                 size = sum(counts.values()) + 1
                 counts[END] = 1
-                known, base, value = 0, -size * total_log, rising(memory, size) * -1.0
+                known, base, value = 0, -size * total_log, -rising(math.log10(memory), size)
                 tail = []
                 for word, times in counts.items():
                     found = heads.get(word)
@@ -275,7 +241,7 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, memory: float = MEMORY,
                         continue
                     known += times
                     base += times * log10(found[0] + 1)
-                    value += log10(found[1]) if times == 1 else rising(found[1], times)
+                    value += rising(found[1], times)
                 for word, times in ((b" %d" % key, 0), *tail):
                     first = not times
                     for x, cell in zip(rows, (key, word, times, doc_id if first else None, held if first else None, size if first else 0, known if first else 0, base if first else 0.0, value if first else 0.0), strict=True):
@@ -289,10 +255,7 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, memory: float = MEMORY,
         "key long, word binary, times long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double",
     )
     rare = vocab.where(F.col("c") < least).mapInArrow(weigh, weighed)
-    times, weight = F.col("times"), F.col("weight")
-    grown = F.when(times == 1, F.log10(weight)).otherwise(
-        F.expr("aggregate(sequence(0L, times - 1), 0D, (s, j) -> s + log10(weight + j))")
-    )
+    times = F.col("times")
     real = times > 0
     joined = emitted.join(rare, "word", "left").select(
         "key",
@@ -301,7 +264,7 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, memory: float = MEMORY,
         "n_tokens",
         F.when(real & (F.col("c") > 0), times).otherwise(F.col("n_known")).alias("n_known"),
         F.when(real, times * F.log10(F.coalesce(F.col("c"), F.lit(0)) + 1.0)).otherwise(F.col("base_score")).alias("base_score"),
-        F.when(real, grown).otherwise(F.col("score")).alias("score"),
+        F.when(real, grown(F.col("log_weight"), times)).otherwise(F.col("score")).alias("score"),
     )
     return (
         joined.groupBy("key")
