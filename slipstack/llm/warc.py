@@ -30,7 +30,7 @@ from slipstack.session import scratch_path
 
 ROLL = 256 << 20
 CHUNK = 1 << 16
-LONGEST_HEAD = 1 << 20
+VERSION = b"WARC/1."
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "path string, offset long, record_type string, record_id string, target_uri string, payload_bytes long, payload_digest string, refers_to string, payload binary, error string"
@@ -85,13 +85,13 @@ class Member:
                 return True
         return False
 
-    def until(self, mark: bytes, most: int) -> bytes:
-        """Everything before the mark, which is taken as well."""
+    def until(self, mark: bytes, begins: bytes = b"") -> bytes:
+        """Everything before the mark, which is taken as well. Other beginnings than the one given are refused at once."""
         start = 0
         while (at := self.ready.find(mark, start)) < 0:
+            if not self.ready.startswith(begins[: len(self.ready)]):
+                raise ValueError("not a record")
             start = max(0, len(self.ready) - len(mark) + 1)
-            if len(self.ready) > most:
-                raise ValueError("record head too long")
             if not self._more():
                 raise ValueError("record head without end")
         out = bytes(self.ready[:at])
@@ -130,7 +130,8 @@ def read_archive(source: BinaryIO, with_payload: bool = True) -> Iterator[dict]:
 
     A record whose digests do not match has its error named. A break in the framing or in the
     compression ends the archive with one row that holds only the error, because nothing after it can
-    be trusted.
+    be trusted. Heads may be as long as their record; what does not begin as a record is refused before more
+    of it is read.
     """
     ahead, offset = b"", 0
     while True:
@@ -142,8 +143,8 @@ def read_archive(source: BinaryIO, with_payload: bool = True) -> Iterator[dict]:
         row["offset"] = start
         try:
             reader = Member(source, ahead)
-            head = reader.until(b"\r\n\r\n", LONGEST_HEAD)
-            if not head.startswith(b"WARC/1."):
+            head = reader.until(b"\r\n\r\n", VERSION)
+            if not head.startswith(VERSION):
                 raise ValueError("not a record")
             fields = fields_of(head)
             length = int(fields["content-length"])
@@ -156,8 +157,6 @@ def read_archive(source: BinaryIO, with_payload: bool = True) -> Iterator[dict]:
                     front += piece
                     at = front.find(b"\r\n\r\n")
                     if at < 0:
-                        if len(front) > LONGEST_HEAD:
-                            raise ValueError("HTTP head too long")
                         continue
                     size = int(fields_of(bytes(front[:at])).get("content-length", -1))
                     piece = bytes(front[at + 4 :])
@@ -249,8 +248,12 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, roll: in
     return stored(with_roles(pages, least_bytes).mapInArrow(write, "path string, records long"))
 
 
-def read_archives(archives: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
-    """All records of the archives; see ``read_archive`` for damaged ones."""
+def read_archives(archives: DataFrame, folder: str, with_payload: bool = True, strict: bool = False) -> DataFrame:
+    """All records of ``archives(path, records)``; see ``read_archive`` for damaged ones.
+
+    With ``strict`` the task that meets an error, or another number of records than was written, fails, so
+    damage ends the job whichever columns are asked for.
+    """
     names = [x.split()[0] for x in RECORD.split(", ")]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,20 +261,25 @@ def read_archives(archives: DataFrame, folder: str, with_payload: bool = True) -
         kinds = [pa.string(), pa.int64(), *[pa.string()] * 3, pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string()]
         schema = pa.schema(list(zip(names, kinds, strict=True)))
         for batch in batches:
-            for path in batch.column(0).to_pylist():
-                rows, size = [], 0
+            for path, records in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows, size, met = [], 0, 0
                 with files.open_input_file(path) as source:
                     for row in read_archive(source, with_payload):
+                        if strict and row["error"]:
+                            raise ValueError(f"{path} at {row['offset']}: {row['error']}")
+                        met += 1
                         rows.append({"path": path} | row)
                         size += len(row.get("payload") or b"")
                         if len(rows) >= 5000 or size > 16 << 20:
                             yield pa.RecordBatch.from_pylist(rows, schema)
                             rows, size = [], 0
+                if strict and met != records:
+                    raise ValueError(f"{path}: {met} records read, {records} written")
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
     n = max(1, archives.count())
-    return archives.select("path").repartition(min(n, 10_000)).mapInArrow(read, RECORD)
+    return archives.select("path", "records").repartition(min(n, 10_000)).mapInArrow(read, RECORD)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
@@ -283,10 +291,8 @@ def round_trip(pages: DataFrame) -> DataFrame:
     archives = write_archives(pages, folder)
     ident = lambda name: F.regexp_extract(name, r"^urn:page:(-?\d+)$", 1)
     number = lambda name: F.when(ident(name) != "", ident(name).cast("long"))
-    return read_archives(archives, folder, with_payload=False).select(
-        F.when(F.col("error").isNotNull(), F.raise_error(F.concat_ws(" ", "path", "error")).cast("long"))
-        .otherwise(number("record_id"))
-        .alias("page_id"),
+    return read_archives(archives, folder, with_payload=False, strict=True).select(
+        number("record_id").alias("page_id"),
         "payload_bytes",
         "payload_digest",
         "record_type",

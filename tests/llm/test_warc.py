@@ -79,5 +79,19 @@ def test_damage_fails_the_query(spark, tmp_path):
     (tmp_path / "w" / "x.warc.gz").write_bytes(archive([b"abc"])[:-4])
     rows = spark.createDataFrame([(f"{tmp_path}/w/x.warc.gz", 1)], "path string, records long")
     assert warc.read_archives(rows, f"file://{tmp_path}/w").first()["error"]
+    # Failing does not depend on the columns that are read.
+    for path, records in (("x", 1), ("y", 2)):
+        (tmp_path / "w" / "y.warc.gz").write_bytes(archive([b"abc"]))
+        rows = spark.createDataFrame([(f"{tmp_path}/w/{path}.warc.gz", records)], "path string, records long")
+        with pytest.raises(Exception, match="ends inside|1 records read, 2 written"):
+            warc.read_archives(rows, f"file://{tmp_path}/w", strict=True).select("record_type").count()
     with pytest.raises(ValueError):
-        warc.Member(io.BytesIO(b""), b"").until(b"x", 10)
+        warc.Member(io.BytesIO(b""), b"").until(b"x")
+    with pytest.raises(ValueError, match="not a record"):
+        warc.Member(io.BytesIO(warc.member(b"other" * 100_000)), b"").until(b"\r\n\r\n", warc.VERSION)
+
+
+def test_heads_of_any_length(spark):
+    df = spark.createDataFrame([(1, "http://a/" + "x" * 2_000_000, "one"), (2, "http://b", "two")], "page_id long, url string, html string").coalesce(1)
+    assert warc.round_trip(df).count() == 2
+    assert {r.page_id: r.payload_bytes for r in warc.round_trip(df).collect()} == {1: 3, 2: 3}
