@@ -182,13 +182,18 @@ class Scorer:
         if not hits:
             return [1.0, 0, 0, 0, 0, 0, 0]
         peak = fuzzy = quoted = total = 0.0
-        for at, value, misspelled in hits:
+        low = high = 0
+        for k, (at, value, misspelled) in enumerate(hits):
+            while hits[low][0] < at - WINDOW:
+                low += 1
+            while high < len(hits) and hits[high][0] <= at + WINDOW:
+                high += 1
             near = tokens[max(0, at - WINDOW) : at + WINDOW + 1]
             here = at - max(0, at - WINDOW)
             before, after = near[:here], near[here + 1 :]
             marks = any(not QUOTES.isdisjoint(x[:1] + x[-1:]) for x in (*before, near[here][:1])) and any(not QUOTES.isdisjoint(x[:1] + x[-1:]) for x in (near[here][-1:], *after))
             report = sum(x.strip('.,:;!?"') in REPORT for x in before)
-            others = sum(v for j, v, _ in hits if j != at and abs(j - at) <= WINDOW) if len(hits) < 200 else 0.0
+            others = sum(hits[j][1] for j in range(low, high) if j != k)
             abuse = value + 0.5 * others + sum(x.strip('.,:;!?"') in ADDRESS for x in near)
             quoting = 2.0 * marks + 1.0 * (report > 0)
             score = abuse - quoting

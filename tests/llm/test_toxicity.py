@@ -49,6 +49,16 @@ def test_quotation_counts_less_than_abuse():
     assert judge.facts('he wrote "idiot" there')[4] == 1.0 and judge.facts("an idiot there")[4] == 0.0
 
 
+def test_a_passage_peaks_alike_in_texts_of_any_length():
+    judge = toxicity.Scorer({"idiot": 3.0, "moron": 2.0}, frozenset())
+    passage = "you idiot moron you moron"
+    apart = "it was an idiot of some kind once more in the old house on the hill "
+    short = judge.facts(passage)[2]
+    assert short == 3.0 + 0.5 * 4.0 + 2
+    for times in (1, 198, 199, 200, 5000):
+        assert judge.facts(apart * times + passage)[2] == short
+
+
 def corpus(n=900):
     draw = random.Random(4)
     rows, labels = [], []
