@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slipstack.llm.common import WordHashes, lookup, mixed, stored
+from slipstack.llm.common import lookup, mixed, stored
 
 WINDOW = 400
 GRAM = 96
@@ -46,6 +46,7 @@ BLOCK = 16
 MOST = 20_000
 MOST_WORDS = 5_000
 PART = 1 << 20
+FLUSH = 100_000
 BATCH = 60_000  # blocks of a suffix array, unless a group has more
 BYTE_KEYS = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 STEP = 0x9E3779B97F4A7C15
@@ -438,26 +439,57 @@ def word_places(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
+def word_hashes(text: bytes, starts: np.ndarray, ends: np.ndarray, hashes: Hashes, most: int = PART) -> np.ndarray:
+    """64-bit hashes of the words at these places, ``most`` bytes of text at a time, however long a word is."""
+    sums, at = np.zeros(len(starts), np.uint64), 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + most, "right")))
+        for low in range(int(starts[at]), int(ends[to - 1]), most):
+            prefix = hashes.prefix(np.frombuffer(text, np.uint8, min(most, int(ends[to - 1]) - low), low))
+            if to > at + 1 or low == starts[at]:
+                found = (prefix[np.minimum(ends[at:to] - low, len(prefix) - 1)] - prefix[starts[at:to] - low]) * hashes.down[starts[at:to] - low]
+            else:  # the next bytes of a word longer than ``most``
+                found = prefix[-1:] * np.uint64(pow(STEP, low - int(starts[at]), 1 << 64))
+            sums[at:to] += found
+        at = to
+    return mixed(sums)
+
+
 def word_contexts(docs: DataFrame, words: int, gram: int, part: int, counted: bool = False) -> DataFrame:
     """As ``contexts``, places counted in words."""
+    names = ["doc_id", "copy", "gram", "context", "place", "first", "last"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, known = Hashes(1 << 12), WordHashes()
+        hashes, of_bytes = Hashes(1 << 12), Hashes(1 << 12)
+        rows: list[list[np.ndarray]] = []
+        ids: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            if counted:
+                done = tallied([r[0] for r in rows])
+            else:
+                sizes = [len(r[0]) for r in rows]
+                keys = [pa.array(x, pa.int64()).take(pa.array(np.repeat(np.arange(len(sizes)), sizes))) for x in zip(*ids, strict=True)]
+                done = pa.RecordBatch.from_arrays(keys + [pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], names)
+            rows.clear()
+            ids.clear()
+            return done
+
         for batch in batches:
+            size = 0
             for doc_id, copy, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 starts, ends = word_places(text)
                 for at in range(0, len(starts) - words + 1, part):
                     to = min(len(starts), at + part + words - 1)
-                    g, c, place, first, last = owners(known.of(text[starts[at] : ends[to - 1]].split()), hashes, words, gram)
-                    if counted:
-                        yield tallied([g])
-                        continue
-                    k = len(first)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([x] * k, pa.int64()) for x in (doc_id, copy)]
-                        + [pa.array(x.astype(np.int64)) for x in (g, c, place + at, first + at, last + at)],
-                        ["doc_id", "copy", "gram", "context", "place", "first", "last"],
-                    )
+                    g, c, place, first, last = owners(word_hashes(text, starts[at:to], ends[at:to], of_bytes), hashes, words, gram)
+                    rows.append([g] if counted else [g.astype(np.int64), c.astype(np.int64), *(x + at for x in (place, first, last))])
+                    ids.append((doc_id, copy))
+                    size += len(g)
+                    if size > FLUSH:
+                        yield out()
+                        size = 0
+            if rows:
+                yield out()
 
     schema = TALLY if counted else "doc_id long, copy long, gram long, context long, place long, first long, last long"
     return docs.select("doc_id", "copy", "text").mapInArrow(find, schema)
@@ -473,14 +505,14 @@ def passages(docs: DataFrame, words: int, gram: int = WORD_GRAM, most: int = MOS
     found = met(word_contexts(long_enough, words, gram, part, counted=True), word_contexts(long_enough, words, gram, part))
 
     def reader():
-        known, last = WordHashes(), (None, None)
+        hashes, last = Hashes(1 << 12), (None, None)
 
         def hashes_of(text: bytes, first: int, to: int) -> bytes:
             nonlocal last
             if last[0] is not text:
                 last = text, word_places(text)
             starts, ends = last[1]
-            return known.of(text[starts[first] : ends[to + words - 1]].split()).tobytes()
+            return word_hashes(text, starts[first : to + words], ends[first : to + words], hashes).tobytes()
 
         return hashes_of
 

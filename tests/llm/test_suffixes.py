@@ -103,3 +103,16 @@ def test_word_windows_against_brute_force(spark, make_docs):
     for k, t in enumerate(texts):
         inside = [(k, w) in want for w in range(len(t))]
         assert got[k][0] == sum(inside) and got[k][1] == sum(x and not (w and inside[w - 1]) for w, x in enumerate(inside))
+
+
+def test_hashes_of_words_do_not_depend_on_where_they_are_cut():
+    draw = random.Random(6)
+    text = b" ".join(bytes(draw.choice(b"abc") for _ in range(draw.choice((1, 2, 5, 17, 300)))) for _ in range(400)) + b"\n"
+    starts, ends = suffixes.word_places(text)
+    hashes = suffixes.Hashes(4)
+    whole = suffixes.word_hashes(text, starts, ends, hashes)
+    for most in (1, 7, 16, 64, 1000):
+        assert (suffixes.word_hashes(text, starts, ends, hashes, most) == whole).all()
+        assert (suffixes.word_hashes(text, starts[5:90], ends[5:90], hashes, most) == whole[5:90]).all()
+    words = text.split()
+    assert len(set(zip(words, whole.tolist(), strict=True))) == len(set(words)) == len(set(whole.tolist()))
