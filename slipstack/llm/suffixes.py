@@ -22,7 +22,7 @@ by a hash of their bytes instead, so that no group has to fit one task. Long tex
 
 Texts are read twice: a first scan counts the hashes, a second one gives only the contexts of those that were
 chosen more than once. Passages can also be counted in words (``passages``): a window is then so many words in a row,
-whatever their length and the white space between them, and the array is built over words instead of blocks.
+whatever their length and the white space between them, and blocks are WORD_BLOCK words.
 """
 
 from __future__ import annotations
@@ -41,11 +41,13 @@ WINDOW = 400
 GRAM = 96
 WORD_GRAM = 12
 WORD = 8  # bytes of the hash of a word
+WORD_BLOCK = 4
 PASSAGE = 51  # fixed value: a passage of over 50 words
 BLOCK = 16
 MOST = 20_000
 MOST_WORDS = 5_000
 PART = 1 << 20
+SLICE = 1 << 16
 FLUSH = 100_000
 BATCH = 60_000  # blocks of a suffix array, unless a group has more
 BYTE_KEYS = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -177,53 +179,88 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def owners(data: np.ndarray, hashes: Hashes, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """For each context: hash of its gram, hash of its bytes and place, place of the gram, first and last window."""
+def owners(data: np.ndarray, hashes: Hashes, window: int = WINDOW, gram: int = GRAM, whole: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """For each context: hash of its gram, hash of its bytes and place, place of the gram, first and last window.
+
+    ``whole`` tells which windows lie in one text; others belong to no context.
+    """
     prefix = hashes.prefix(data)
     at = np.arange(len(data) - gram + 1)
     grams = hashes.between(prefix, at, at + gram)
     # High bits choose, low bits are the place: of equal hashes the first one counts.
     chosen = sliding_min((grams & np.uint64(0xFFFFFFFFFF000000)) | at.astype(np.uint64), window - gram + 1)
-    first = np.flatnonzero(np.r_[True, chosen[1:] != chosen[:-1]])
-    last = np.r_[first[1:], len(chosen)] - 1
-    place = (chosen[first] & np.uint64(0xFFFFFF)).astype(np.int64)
+    windows = np.arange(len(chosen)) if whole is None else np.flatnonzero(whole)
+    chosen = chosen[windows]
+    breaks = np.flatnonzero(np.r_[True, chosen[1:] != chosen[:-1]][: len(chosen)])
+    first = windows[breaks]
+    last = windows[np.r_[breaks[1:], len(chosen)] - 1] if len(breaks) else first
+    place = (chosen[breaks] & np.uint64(0xFFFFFF)).astype(np.int64)
     context = mixed(hashes.between(prefix, first, last + window) + (place - first).astype(np.uint64))
     return grams[place], context, place, first, last
 
 
-def contexts(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, part: int = PART, counted: bool = False) -> DataFrame:
+def laid(texts: list[bytes], size: int = SLICE) -> Iterator[tuple[int, bytes, np.ndarray]]:
+    """Texts laid end to end, ``size`` bytes or a single text each time: number of the first, bytes, where each starts and the last ends."""
+    at = 0
+    while at < len(texts):
+        to, held = at + 1, len(texts[at])
+        while to < len(texts) and held + len(texts[to]) <= size:
+            held += len(texts[to])
+            to += 1
+        yield at, b"".join(texts[at:to]), np.cumsum([0, *map(len, texts[at:to])])
+        at = to
+
+
+def scanned(docs: DataFrame, reader: Callable, window: int, gram: int, part: int, counted: bool) -> DataFrame:
     """doc_id, copy, gram, context, place, first, last for all contexts of ``docs(doc_id, copy, text)``.
 
-    ``counted``: only gram and n, how often it is chosen.
+    ``reader()`` gives a function from texts laid end to end and their bounds to units (bytes, or hashes of words) and the
+    bounds in units. ``part`` units are looked at together. ``counted``: only gram and n, how often it is chosen.
     """
+    names = ["doc_id", "copy", "gram", "context", "place", "first", "last"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes(1 << 16)
+        hashes, units_of = Hashes(1 << 16), reader()
         for batch in batches:
-            ids, copies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            rows: list[tuple] = []
-            for i, text in enumerate(batch.column(2)):
-                data = np.frombuffer(text.as_buffer(), np.uint8)
-                for start in range(0, len(data) - window + 1, part):
-                    g, c, place, first, last = owners(data[start : start + part + window - 1], hashes, window, gram)
-                    rows.append((ids[i], copies[i], g, c, place + start, first + start, last + start))
-            if not rows:
-                continue
-            if counted:
-                yield tallied([r[2] for r in rows])
-                continue
-            sizes = [len(r[2]) for r in rows]
-            joined = [np.concatenate([r[k] for r in rows]).astype(np.int64) for k in range(2, 7)]
-            spread = np.repeat(np.arange(len(rows)), sizes)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[k] for r in rows], pa.int64()).take(pa.array(spread)) for k in (0, 1)] + [pa.array(x) for x in joined],
-                ["doc_id", "copy", "gram", "context", "place", "first", "last"],
-            )
+            rows: list[list[np.ndarray]] = []
+            size = 0
+
+            def out(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                if counted:
+                    done = tallied([r[1] for r in rows])
+                else:
+                    of, *values = (np.concatenate(x) for x in zip(*rows, strict=True))
+                    done = pa.RecordBatch.from_arrays(
+                        [batch.column(k).take(pa.array(of)) for k in (0, 1)] + [pa.array(x.astype(np.int64)) for x in values], names
+                    )
+                rows.clear()
+                return done
+
+            for number, text, text_bounds in laid(batch.column(2).to_pylist(), min(SLICE, part)):
+                units, bounds = units_of(text, text_bounds)
+                texts = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+                for start in range(0, len(units) - window + 1, part):
+                    of = texts[start : start + part + window - 1]
+                    whole = of[: len(of) - window + 1] == of[window - 1 :]
+                    g, c, place, first, last = owners(units[start : start + part + window - 1], hashes, window, gram, whole)
+                    of = of[first]
+                    rows.append([of + number, g, c, *(x + (start - bounds[of]) for x in (place, first, last))])
+                    size += len(g)
+                if size > FLUSH:
+                    yield out()
+                    size = 0
+            if rows:
+                yield out()
 
     schema = TALLY if counted else "doc_id long, copy long, gram long, context long, place long, first long, last long"
     return docs.select("doc_id", "copy", "text").mapInArrow(find, schema)
 
 
+def contexts(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, part: int = PART, counted: bool = False) -> DataFrame:
+    """As ``scanned``, of the bytes of the texts."""
+    return scanned(docs, lambda: lambda text, bounds: (np.frombuffer(text, np.uint8), bounds), window, gram, part, counted)
+
+
 TALLY = "gram long, n long"
 
 
@@ -431,12 +468,19 @@ def told(read: DataFrame, found: DataFrame, reader: Callable, window: int, block
     return out if large.isEmpty() else out.unionByName(hashed_spans(large, window, unit))
 
 
-def word_places(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of each word of a text, split at ASCII white space."""
+def word_places(text: bytes, bounds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word of a text, split at ASCII white space and at ``bounds``."""
     data = np.frombuffer(text, np.uint8)
     space = (data == 32) | ((data >= 9) & (data <= 13))
-    edges = np.flatnonzero(np.diff(np.r_[True, space, True]))
-    return edges[::2], edges[1::2]
+    apart = np.zeros(len(data) + 1, bool)
+    apart[[0, len(data)]] = True
+    if bounds is not None:
+        apart[bounds] = True
+    starts = apart[:-1].copy()
+    starts[1:] |= space[:-1]
+    ends = apart[1:].copy()
+    ends[:-1] |= space[1:]
+    return np.flatnonzero(starts & ~space), np.flatnonzero(ends & ~space) + 1
 
 
 def word_hashes(text: bytes, starts: np.ndarray, ends: np.ndarray, hashes: Hashes, most: int = PART) -> np.ndarray:
@@ -456,49 +500,24 @@ def word_hashes(text: bytes, starts: np.ndarray, ends: np.ndarray, hashes: Hashe
 
 
 def word_contexts(docs: DataFrame, words: int, gram: int, part: int, counted: bool = False) -> DataFrame:
-    """As ``contexts``, places counted in words."""
-    names = ["doc_id", "copy", "gram", "context", "place", "first", "last"]
+    """As ``scanned``, of the words of the texts; places are counted in words."""
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, of_bytes = Hashes(1 << 12), Hashes(1 << 12)
-        rows: list[list[np.ndarray]] = []
-        ids: list[tuple] = []
+    def reader():
+        hashes = Hashes(1 << 12)
 
-        def out() -> pa.RecordBatch:
-            if counted:
-                done = tallied([r[0] for r in rows])
-            else:
-                sizes = [len(r[0]) for r in rows]
-                keys = [pa.array(x, pa.int64()).take(pa.array(np.repeat(np.arange(len(sizes)), sizes))) for x in zip(*ids, strict=True)]
-                done = pa.RecordBatch.from_arrays(keys + [pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], names)
-            rows.clear()
-            ids.clear()
-            return done
+        def units(text: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            starts, ends = word_places(text, bounds)
+            return word_hashes(text, starts, ends, hashes), np.searchsorted(starts, bounds)
 
-        for batch in batches:
-            size = 0
-            for doc_id, copy, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                starts, ends = word_places(text)
-                for at in range(0, len(starts) - words + 1, part):
-                    to = min(len(starts), at + part + words - 1)
-                    g, c, place, first, last = owners(word_hashes(text, starts[at:to], ends[at:to], of_bytes), hashes, words, gram)
-                    rows.append([g] if counted else [g.astype(np.int64), c.astype(np.int64), *(x + at for x in (place, first, last))])
-                    ids.append((doc_id, copy))
-                    size += len(g)
-                    if size > FLUSH:
-                        yield out()
-                        size = 0
-            if rows:
-                yield out()
+        return units
 
-    schema = TALLY if counted else "doc_id long, copy long, gram long, context long, place long, first long, last long"
-    return docs.select("doc_id", "copy", "text").mapInArrow(find, schema)
+    return scanned(docs, reader, words, gram, part, counted)
 
 
 def passages(docs: DataFrame, words: int, gram: int = WORD_GRAM, most: int = MOST_WORDS, part: int = PART >> 3) -> DataFrame:
     """Spans (doc_id, copy, start, end) of all passages of ``words`` words that start more than once, counted in words.
 
-    A suffix array over the words tells them, as it does over blocks of bytes: a word is its 64-bit hash.
+    A suffix array over blocks of words tells them, as it does over blocks of bytes: a word is its 64-bit hash.
     """
     read = docs.select("doc_id", "copy", "text")
     long_enough, gram = read.where(F.length("text") >= 2 * words - 1), min(gram, words)
@@ -516,7 +535,7 @@ def passages(docs: DataFrame, words: int, gram: int = WORD_GRAM, most: int = MOS
 
         return hashes_of
 
-    return told(read, found, reader, words * WORD, WORD, WORD, most)
+    return told(read, found, reader, words * WORD, min(WORD_BLOCK, words) * WORD, WORD, most)
 
 
 def in_bytes(text: bytes, found: list[dict]) -> list[dict]:
