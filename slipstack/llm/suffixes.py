@@ -9,7 +9,7 @@ A window is every WINDOW-byte string of a text; it is removed wherever it starts
    whole. What remains are different contexts around the same string.
 3. These are laid on a grid of BLOCK bytes fixed by the shared string, and a suffix array over the
    blocks is built for a few groups at a time. A window covers CORE whole blocks and, before and after
-   them, BLOCK bytes together: the array brings equal cores side by side, and the remaining bytes are
+   them, less than two blocks together: the array brings equal cores side by side, and the remaining bytes are
    then compared for all windows of equal cores.
 
 The suffix array is made by linear grouping: suffixes are grouped by the Lyndon word they start with,
@@ -41,13 +41,14 @@ WINDOW = 400
 GRAM = 96
 WORD_GRAM = 12
 WORD = 8  # bytes of the hash of a word
-WORD_BLOCK = 4
+WORD_BLOCK = 8
 PASSAGE = 51  # fixed value: a passage of over 50 words
-BLOCK = 16
+BLOCK = 32
 MOST = 20_000
 MOST_WORDS = 5_000
 PART = 1 << 20
 SLICE = 1 << 16
+TOGETHER = 128  # contexts whose windows are compared together
 FLUSH = 100_000
 BATCH = 60_000  # blocks of a suffix array, unless a group has more
 BYTE_KEYS = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -284,7 +285,7 @@ def repeated_windows(texts: list[bytes], places: list[int], window: int = WINDOW
     ``places`` are those of the shared grams. Windows that differ in the place of their gram relative to
     the grid cannot be equal, so each context has the grid that its gram fixes.
     """
-    core = (window - block + 1) // block
+    core = (window - block + unit) // block
     edge = window - core * block  # bytes of a window outside its core
     starts = [p % block for p in places]
     n_blocks = [(len(t) - s) // block for t, s in zip(texts, starts, strict=True)]
@@ -313,36 +314,35 @@ def repeated_windows(texts: list[bytes], places: list[int], window: int = WINDOW
         number = np.cumsum(~same) - 1
         shared = np.bincount(number)[number] > 1
         kind[order[shared]] = number[shared]
-    found_text, found_start, found_key = [], [], []
-    for x, (text, s, b, p) in enumerate(zip(texts, starts, base, places, strict=True)):
-        begin = np.arange(0, len(text) - window + 1, unit)
-        first_block = -(-(begin - s) // block)
-        first_block = np.maximum(first_block, 0)
-        group = kind[b + first_block]
-        begin, first_block, group = begin[group >= 0], first_block[group >= 0], group[group >= 0]
-        if not len(begin):
-            continue
-        data = np.frombuffer(text, np.uint8)
-        before = s + block * first_block - begin
-        reach = np.arange(edge)[None, :]
-        outside = data[begin[:, None] + np.where(reach < before[:, None], reach, reach + core * block)]
-        words = np.zeros((len(begin), -(-edge // 8) * 8), np.uint8)
-        words[:, :edge] = outside
+    found: list[tuple[np.ndarray, ...]] = []
+    for low in range(0, len(texts), TOGETHER):
+        some = texts[low : low + TOGETHER]
+        # All windows of these contexts, and the first whole block of each.
+        sizes = np.array([max(0, len(t) - window + unit) // unit for t in some], np.int64)
+        which = np.repeat(np.arange(len(some)), sizes)
+        begin = (np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)) * unit
+        shift = np.array(starts[low : low + TOGETHER], np.int64)[which]
+        first_block = np.maximum(-((shift - begin) // block), 0)
+        group = kind[base[low + which] + first_block]
+        shared = np.flatnonzero(group >= 0)
+        which, begin, group = which[shared], begin[shared], group[shared]
+        before = shift[shared] + block * first_block[shared] - begin
+        # The bytes outside the blocks tell windows of equal cores apart.
+        data = np.frombuffer(b"".join(some), np.uint8)
+        at = np.cumsum([0, *map(len, some)])[which] + begin
         key = mixed((group * (block + 1) + before).astype(np.uint64))
-        for column in words.view(np.uint64).T:
+        reach = np.arange(edge)[None, :]
+        outside = np.zeros((len(at), -(-edge // 8) * 8), np.uint8)
+        outside[:, :edge] = data[at[:, None] + np.where(reach < before[:, None], reach, reach + core * block)]
+        for column in outside.view(np.uint64).T:
             key = mixed(key + mixed(column + np.uint64(STEP)))
-        found_text.append(np.full(len(begin), x))
-        found_start.append(begin)
-        found_key.append(key)
-    out = [np.zeros(0, np.int64)] * len(texts)
-    if found_key:
-        which, begin, key = np.concatenate(found_text), np.concatenate(found_start), np.concatenate(found_key)
-        _, number, counts = np.unique(key, return_inverse=True, return_counts=True)
-        twice = counts[number] > 1
-        which, begin = which[twice], begin[twice]
-        cuts = np.searchsorted(which, np.arange(len(texts) + 1))
-        out = [begin[cuts[x] : cuts[x + 1]] for x in range(len(texts))]
-    return out
+        found.append((which + low, begin, key))
+    which, begin, key = (np.concatenate(x) for x in zip(*found, strict=True))
+    _, number, counts = np.unique(key, return_inverse=True, return_counts=True)
+    twice = counts[number] > 1
+    which, begin = which[twice], begin[twice]
+    cuts = np.searchsorted(which, np.arange(len(texts) + 1))
+    return [begin[cuts[x] : cuts[x + 1]] for x in range(len(texts))]
 
 
 def runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -419,7 +419,7 @@ def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = M
     def bytes_of(text: bytes, first: int, last: int) -> bytes:
         return text[first : last + window]
 
-    return told(read, found, lambda: bytes_of, window, BLOCK, 1, most)
+    return told(read, found, lambda: bytes_of, window, min(BLOCK, max(1, window // 2)), 1, most)
 
 
 def told(read: DataFrame, found: DataFrame, reader: Callable, window: int, block: int, unit: int, most: int) -> DataFrame:
@@ -535,7 +535,7 @@ def passages(docs: DataFrame, words: int, gram: int = WORD_GRAM, most: int = MOS
 
         return hashes_of
 
-    return told(read, found, reader, words * WORD, min(WORD_BLOCK, words) * WORD, WORD, most)
+    return told(read, found, reader, words * WORD, min(WORD_BLOCK, max(1, words // 2)) * WORD, WORD, most)
 
 
 def in_bytes(text: bytes, found: list[dict]) -> list[dict]:
