@@ -1,17 +1,14 @@
 """Benchmark decontamination with spaced seeds, in DataFrame functions only.
 
 A seed looks at some of the words of a window and skips others, as a fixed mask says; skipped words
-may differ. Hashes of all seeds of the benchmark meet the hashes of all seeds of the documents. Around
-each hit the two texts are compared word by word, to both sides, as far as the agreement carries over
-substitutions; a long enough overlap of high enough identity is a leak.
-
-``overlaps`` is the whole rule: its masks miss no overlap that meets it, and every diagonal with a hit is
-tested for any stretch that is long and equal enough. ``leaks`` is the older, narrower search: it follows
-the best-scoring extension of a hit only, which drops differing words at the ends of an overlap.
+may differ. Hashes of all seeds of the benchmark meet the hashes of all seeds of the documents. The masks miss
+no overlap that meets the rule, and every diagonal with a hit is tested word by word for any stretch that is
+long and equal enough.
 
 Scale: documents are exploded in short parts and filtered inside the scan stage; only hits are
-shuffled, as ids and places. The seeds of the benchmark, its items and the hits are broadcast after they
-have been counted and found few; beyond that they meet the documents in shuffle joins.
+shuffled, as ids and places. Hits stay rows: a text that has some is cut into stretches of words, and the hits of
+a stretch meet it there, so a long text with many hits is spread over tasks. The seeds of the benchmark, its items and
+the hits are broadcast after they have been counted and found few; beyond that they meet the documents in shuffle joins.
 """
 
 from __future__ import annotations
@@ -23,8 +20,6 @@ from pyspark.sql import functions as F
 
 from slipstack.llm.common import SPACE, stored
 
-#: Each looks at 8 of 12 words.
-MASKS = ("111010011011", "110110101101", "101111000111")
 SPAN = 12
 #: Each looks at 6 words. Together they meet every overlap of 12 words or more of which 80 % are equal (tested).
 LOSSLESS = ("1110111", "11100001011", "11011001001")
@@ -33,7 +28,7 @@ OVERLAP = 13
 IDENTITY = 0.8
 MOST_BROADCAST = 500_000
 PART = 64
-MATCH, MISS, DROP = 1, -2, -8
+STRETCH = 1024  # words of a text that meet its hits together
 
 
 def hashed(text: Column) -> Column:
@@ -62,31 +57,6 @@ def seeds(rows: DataFrame, masks: list[str]) -> DataFrame:
     return each.where("seed is not null")
 
 
-def reach(doc: Column, item: Column) -> Column:
-    """How far two word arrays agree from their start: (words, matches) of the best prefix.
-
-    Score: one up for a match, two down for a difference; it stops counting eight below its best.
-    """
-    same = F.zip_with(doc, item, lambda a, b: F.coalesce(a == b, F.lit(False)))
-    zero = F.struct(*[F.lit(0).alias(x) for x in ("n", "score", "matches", "best", "words", "good")], F.lit(False).alias("over"))
-
-    def step(s: Column, hit: Column) -> Column:
-        score = s["score"] + F.when(hit, MATCH).otherwise(MISS)
-        matches = s["matches"] + hit.cast("int")
-        better = ~s["over"] & (score > s["best"])
-        return F.struct(
-            (s["n"] + 1).alias("n"),
-            score.alias("score"),
-            matches.alias("matches"),
-            F.when(better, score).otherwise(s["best"]).alias("best"),
-            F.when(better, s["n"] + 1).otherwise(s["words"]).alias("words"),
-            F.when(better, matches).otherwise(s["good"]).alias("good"),
-            (s["over"] | (score < s["best"] + DROP)).alias("over"),
-        )
-
-    return F.aggregate(same, zero, step, lambda s: F.struct(s["words"].alias("words"), s["good"].alias("matches")))
-
-
 def small(df: DataFrame, most: int) -> DataFrame:
     """Marked for broadcast if it has been counted and found small; else Spark chooses."""
     return F.broadcast(df) if df.count() <= most else df
@@ -102,74 +72,6 @@ def known(benchmark: DataFrame) -> DataFrame:
     )
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, overlap: int = OVERLAP, identity: float = IDENTITY, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """Overlaps of ``docs(doc_id, text)`` with ``benchmark(item_id, text)``.
-
-    One row per document and item with their best overlap: doc_id, item_id, n_items, doc_start,
-    item_start, n_words, n_matching. Items of equal words are one, named by the smallest id and counted
-    in n_items. An overlap has at least ``overlap`` words, or the whole item if that is shorter, and
-    ``identity`` of them agree. Items shorter than a mask are searched whole and word for word; those
-    of fewer than five words, and empty ones, are not searched. Repeated document rows give one row,
-    null or empty texts none.
-    """
-    items = known(benchmark)
-    short = sorted(r[0] for r in items.where(F.size("h") < SPAN).select(F.size("h")).distinct().collect())  # 7 lengths at most
-    masks = [*MASKS, *("1" * n for n in short)]
-    item_seeds = stored(
-        seeds(items.select(F.col("item_id").alias("id"), "h"), masks).select("seed", F.col("id").alias("item_id"), F.col("place").alias("item_place"))
-    )
-    rows = docs.select(F.col("doc_id").alias("id"), "text")
-    placed = seeds(rows.select("id", hashed(F.col("text")).alias("h")), masks)
-    hits = placed.join(small(item_seeds, most_broadcast), "seed")
-    # Hits along one diagonal of a document and an item; no more than the item has places.
-    hits = stored(
-        hits.select("id", "item_id", (F.col("place") - F.col("item_place")).alias("shift"), "item_place")
-        .groupBy("id", "item_id", "shift")
-        .agg(F.collect_set("item_place").alias("item_places"))
-    )
-    whole = small(items.select("item_id", "n_items", F.col("h").alias("item")), most_broadcast)
-    met = rows.join(small(hits, most_broadcast), rows["id"].eqNullSafe(hits["id"])).select(
-        rows["id"].alias("doc_id"), "text", "item_id", "shift", "item_places"
-    )
-    hits = (
-        met.join(whole, "item_id")
-        .withColumn("h", hashed(F.col("text")))
-        .drop("text")
-        .withColumn("item_place", F.explode("item_places"))
-        .withColumn("place", F.col("shift") + F.col("item_place"))
-        .where(F.col("place") < F.size("h"))
-    )
-    left_size = F.least("place", "item_place")
-    before = lambda name, at: F.reverse(F.slice(name, at - left_size + 1, left_size))
-    after = lambda name, at: F.slice(name, at + 1, F.size(F.col(name)))
-    place, item_place = F.col("place"), F.col("item_place")
-    seen = hits.withColumn("left", reach(before("h", place), before("item", item_place))).withColumn(
-        "right", reach(F.slice("h", place + 1, F.size("item")), after("item", item_place))
-    )
-    n_words, matching = F.col("left.words") + F.col("right.words"), F.col("left.matches") + F.col("right.matches")
-    found = seen.select(
-        "doc_id",
-        "item_id",
-        "n_items",
-        (place - F.col("left.words")).alias("doc_start"),
-        (item_place - F.col("left.words")).alias("item_start"),
-        n_words.alias("n_words"),
-        matching.alias("n_matching"),
-        F.size("item").alias("item_words"),
-    ).withColumn(
-        "leak", (F.col("n_words") >= F.least(F.lit(overlap), F.col("item_words"))) & (F.col("n_matching") >= identity * F.col("n_words"))
-    )
-    # Tested after the aggregation: as a filter before, it would be computed several times for each hit.
-    order = F.struct("leak", "n_matching", -F.col("n_words"), -F.col("doc_start"), -F.col("item_start"))
-    best = F.max_by(F.struct("leak", "doc_start", "item_start", "n_words", "n_matching"), order)
-    return (
-        found.groupBy("doc_id", "item_id")
-        .agg(F.max("n_items").alias("n_items"), best.alias("best"))
-        .where("best.leak")
-        .select("doc_id", "item_id", "n_items", *[f"best.{x}" for x in ("doc_start", "item_start", "n_words", "n_matching")])
-    )
-
-
 def stretch(same: Column, least: Column, identity: Fraction) -> Column:
     """The best-scoring stretch of at least ``least`` places of an array of booleans: (score, start, end).
 
@@ -196,7 +98,12 @@ def stretch(same: Column, least: Column, identity: Fraction) -> Column:
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, overlap: int = OVERLAP, identity: float = IDENTITY, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """All leaks of ``benchmark(item_id, text)`` in ``docs(doc_id, text)``, columns as ``leaks`` gives them.
+    """All leaks of ``benchmark(item_id, text)`` in ``docs(doc_id, text)``.
+
+    One row per document and item with their best overlap: doc_id, item_id, n_items, doc_start,
+    item_start, n_words, n_matching. Items of equal words are one, named by the smallest id and counted
+    in n_items. A document is an id and a text: different texts of one id, or of none, give a row each,
+    rows that repeat both give one. Null or empty texts give none.
 
     An overlap is any stretch of words, the n-th of the document against the n-th of the item, of at least
     ``overlap`` words or as many as the item has, of which ``identity`` agree, wherever the others stand.
@@ -212,30 +119,33 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, overlap: int = OVERLAP, iden
     for n in short:
         item_seeds = item_seeds.unionByName(seeds(named.where(F.size("h") == n), ["1" * n]))
     item_seeds = stored(item_seeds.select("seed", F.col("id").alias("item_id"), F.col("place").alias("item_place")))
-    rows = docs.select(F.col("doc_id").alias("id"), "text")
+    rows = docs.select(F.struct("doc_id", F.xxhash64("text").alias("copy")).alias("id"), "text")
     placed = seeds(rows.select("id", hashed(F.col("text")).alias("h")), [*LOSSLESS, *("1" * n for n in short)])
     # Diagonals of a document and an item that have a hit.
     hits = placed.join(small(item_seeds, most_broadcast), "seed")
-    hits = stored(hits.select("id", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).distinct())
-    hits = stored(hits.groupBy("id").agg(F.collect_list(F.struct("item_id", "shift")).alias("hits")))
+    hits = hits.select("id", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).distinct()
+    begin = F.greatest(F.col("shift"), F.lit(0))
+    hits = stored(hits.withColumn("stretch", F.floor(begin / STRETCH).cast("int")))
+    asked = stored(hits.groupBy("id").agg(F.collect_set("stretch").alias("stretches")))  # no more than the text has
     whole = small(items.select("item_id", "n_items", F.col("h").alias("item")), most_broadcast)
-    met = rows.join(small(hits, most_broadcast), rows["id"].eqNullSafe(hits["id"])).select(rows["id"].alias("doc_id"), hashed(F.col("text")).alias("h"), "hits")
+    met = rows.join(small(asked, most_broadcast), rows["id"] == asked["id"]).select(rows["id"], hashed(F.col("text")).alias("h"), "stretches")
     # The words of the document from where the item would start, as many as the longest item has.
     longest = items.agg(F.max(F.size("h"))).first()[0] or 0
-    met = met.select("doc_id", "h", F.explode("hits").alias("hit")).select(
-        "doc_id", "hit.*", F.slice("h", F.greatest("hit.shift", F.lit(0)) + 1, longest).alias("h")
-    )
+    met = met.select("id", "h", F.explode("stretches").alias("stretch"))
+    met = met.select("id", "stretch", F.slice("h", F.col("stretch") * STRETCH + 1, STRETCH + longest).alias("h"))
+    met = met.join(small(hits, most_broadcast), ["id", "stretch"])
+    met = met.select("id", "item_id", "shift", F.slice("h", begin - F.col("stretch") * STRETCH + 1, longest).alias("h"))
     n_item = F.size("item")
     least = F.least(F.lit(overlap), n_item)
     met = met.join(whole, "item_id").withColumn("first", F.greatest(-F.col("shift"), F.lit(0)))
     met = met.withColumn("n", F.least(F.size("h"), n_item - F.col("first"))).where(F.col("n") >= least)
     same = F.zip_with(F.slice("h", 1, F.col("n")), F.slice("item", F.col("first") + 1, F.col("n")), lambda a, b: a == b)
-    seen = met.select("doc_id", "item_id", "n_items", "shift", "first", least.alias("least"), n_item.alias("n_item"), same.alias("same"))
+    seen = met.select("id", "item_id", "n_items", "shift", "first", least.alias("least"), n_item.alias("n_item"), same.alias("same"))
     seen = seen.withColumn("found", stretch(F.col("same"), F.col("least"), share))
     n_words = F.col("found.end") - F.col("found.start")
     item_start = F.col("first") + F.col("found.start")
     found = seen.select(
-        "doc_id",
+        "id",
         "item_id",
         "n_items",
         (F.col("shift") + item_start).alias("doc_start"),
@@ -249,8 +159,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, overlap: int = OVERLAP, iden
     order = F.struct("leak", "n_matching", -F.col("n_words"), -F.col("doc_start"), -F.col("item_start"))
     best = F.max_by(F.struct("leak", "doc_start", "item_start", "n_words", "n_matching"), order)
     return (
-        found.groupBy("doc_id", "item_id")
+        found.groupBy("id", "item_id")
         .agg(F.max("n_items").alias("n_items"), best.alias("best"))
         .where("best.leak")
-        .select("doc_id", "item_id", "n_items", *[f"best.{x}" for x in ("doc_start", "item_start", "n_words", "n_matching")])
+        .select("id.doc_id", "item_id", "n_items", *[f"best.{x}" for x in ("doc_start", "item_start", "n_words", "n_matching")])
     )
